@@ -1,89 +1,97 @@
-"""Whole-text encoding with the tokenizers library, word by word with a bounded cache."""
+"""Whole-text encoding with the tokenizers library, each distinct word once per worker."""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 
-#: White space to str.split() that the tokenizer's pattern does not count as such.
-_ODD = regex.compile("[\x1c-\x1f]")
-_END = "</w>"
+from lectern.llm.words import SPACED, U64, Words
 
 
 class WordEncoder:
-    """Encodes texts exactly as the tokenizer does, one distinct word at a time.
+    """Encodes texts exactly as the tokenizer does.
 
-    Holds for tokenizers whose normaliser and pre-tokeniser drop white space and never
-    look across it, which is checked on load. The cache is emptied when it is full, so
-    memory stays bounded; results do not depend on it.
+    It is made for tokenizers that drop white space and never look across it, which is
+    checked on load. Texts are cut at ASCII white space; a word is known by its 64-bit
+    hash, and new words go to the tokenizer. The store of known words is emptied when it
+    is full, so memory stays bounded; results do not depend on it.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+    def __init__(self, path: str, limit: int = 3_000_000):
+        from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
         self.exact.no_padding()
         self.exact.no_truncation()
         if len(self.exact.encode("a \n b", add_special_tokens=False).ids) != 2:
             raise ValueError("the tokenizer keeps white space")
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(Regex(" +"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        self.ends = np.array([t.endswith(_END) for t, _ in sorted(self.exact.get_vocab().items(), key=lambda x: x[1])])
-        #: How the tokenizer cuts a word: contractions, letters, single digits, other signs.
+        #: For words of printable ASCII the tokenizer lower-cases, cuts so and encodes each piece.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.limit = cache
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.exact.model
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.limit = limit
+        self._forget()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.exact.encode_batch(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known = np.zeros(0, dtype=U64)  # sorted hashes of the words
+        self.at = np.zeros(0, dtype=np.int64)  # where their ids begin in the pool
+        self.size = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self.words.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        plain = [w for w in words if w.isascii() and "<|" not in w and len(w) <= 200]
-        other = [w for w in words if not (w.isascii() and "<|" not in w and len(w) <= 200)]
-        self.words.update(zip(other, self._whole(other), strict=True))
-        cut = [self.cut(w.lower()) for w in plain]
-        new = list({p for ps in cut for p in ps} - self.pieces.keys())
-        for i in range(0, len(new), 500):
-            some = new[i : i + 500]
-            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(some):
-                raise ValueError("a piece does not end in one token")
-            raw, ends = ids.tobytes(), (4 * at).tolist()
-            self.pieces.update((p, raw[a:b]) for p, a, b in zip(some, [0, *ends], ends, strict=False))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in zip(plain, cut, strict=True))
+    def _pieces(self, word: str):
+        for piece in self.cut(word.lower()):
+            found = self.pieces.get(piece)
+            if found is None:
+                if len(self.pieces) >= self.limit // 8:
+                    self.pieces.clear()
+                found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(piece)])
+            yield from found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() if not _ODD.search(t) else None for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        new: set[str] = set()
-        late = []
-        for i, words in enumerate(split):
-            if words is None:
-                out[i] = self._whole([texts[i]])[0]
-                continue
-            found = list(map(self.words.get, words))
-            if None in found:
-                new.update(w for w, f in zip(words, found, strict=True) if f is None)
-                late.append(i)
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        ids, sizes, other = array("I"), [], []
+        for i, raw in enumerate(words):
+            word = raw.decode()
+            before = len(ids)
+            if raw.isascii() and word.isprintable() and "<|" not in word and len(word) <= 200:
+                ids.extend(self._pieces(word))
             else:
-                out[i] = b"".join(found)
-        if late:
-            self._learn(new)
-            for i in late:
-                found = list(map(self.words.get, split[i]))
-                if None in found:  # the cache was emptied meanwhile
-                    self._learn(set(split[i]))
-                    found = [self.words[w] for w in split[i]]
-                out[i] = b"".join(found)
-        return out
+                other.append(i)
+            sizes.append(len(ids) - before)
+        rare = self.exact.encode_batch([words[i].decode() for i in other], add_special_tokens=False) if other else []
+        pool = np.frombuffer(ids, dtype="<u4") if len(ids) else np.zeros(0, dtype="<u4")
+        size = np.array(sizes, dtype=np.int64)
+        at = np.cumsum(size) - size
+        used, more = len(pool), []
+        for i, e in zip(other, rare, strict=True):
+            at[i], size[i] = used, len(e.ids)
+            used += len(e.ids)
+            more.append(np.array(e.ids, dtype="<u4"))
+        at += len(self.pool)
+        self.pool = np.concatenate([self.pool, pool, *more])
+        known = np.concatenate([self.known, keys])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def encode(self, data: bytes, offsets: np.ndarray) -> list[bytes]:
+        """The ids of consecutive UTF-8 texts, as little-endian unsigned 32-bit integers."""
+        w = Words(data, offsets, SPACED, lower=False)
+        keys, first, place = np.unique(w.hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(keys) > self.limit:
+            self._forget()
+        at = np.searchsorted(self.known, keys)
+        new = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != keys[inside]
+        if new.any():
+            self._learn(keys[new], [w.word(i) for i in first[new]])
+            at = np.searchsorted(self.known, keys)
+        word = at[place]
+        size = self.size[word]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        ids = self.pool[np.repeat(self.at[word] - (end - size), size) + np.arange(total)]
+        bounds = np.concatenate([[0], end])[w.bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from lectern.llm import decontaminate, token_store
+from lectern.llm import decontaminate, ngram_join, quality_classifier, quality_rules, token_store, toxicity
 from lectern.session import table
 
 
@@ -16,13 +16,36 @@ def op1_token_store(spark, sf_dir):
     return token_store.encode_and_read_back(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op3_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.rate(docs, quality_classifier.train(docs, labels))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scores(docs, toxicity.train(docs, labels))
+
+
 def op9_decontamination(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.contamination(docs, bench))
 
 
+def op10_quality_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, quality_rules.trusted_documents(labels))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.encoder import WordEncoder
+from lectern.llm.words import slices, text_column
 from lectern.session import bounded_batches, fresh_path
 
 # Fixed values of the seekable format.
@@ -142,9 +143,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, lev
             encoder = encoder or WordEncoder(tokenizer)
             writer = writer or FrameWriter(f"{folder}/{name}", level)
             ids = batch.column(0).fill_null(NO_ID).to_pylist()
-            texts = batch.column(1)
-            for i in range(0, len(ids), 200):
-                for doc_id, raw in zip(ids[i : i + 200], encoder.encode([x or "" for x in texts[i : i + 200].to_pylist()]), strict=True):
+            for first, last, data, offsets in slices(text_column(batch), 4 << 20):
+                for doc_id, raw in zip(ids[first:last], encoder.encode(data, offsets), strict=True):
                     writer.add(doc_id, raw + end)
                     tokens += len(raw) // 4 + 1
         if writer and writer.ids:
