@@ -1,0 +1,66 @@
+"""A corpus pipeline of five stages, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents. Part of the subpackage lectern.llm.
+"""
+
+from __future__ import annotations
+
+import importlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate, line_dedup, ngram_join, pieces, toxicity
+from lectern.session import materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold, by a classifier fitted on the labels."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier in the corpus.
+
+    A document all of whose lines stand earlier goes; one that had no lines stays.
+    """
+    done = line_dedup.deduplicate(docs).where("n_removed = 0 or n_left > 0")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.keep_first(docs, k=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with the benchmark."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip of the documents that are left."""
+    return pieces.encode(docs, importlib.import_module("public_tokenizers").path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
+
+#: The classifier, edit distances and piece ids are beyond SQL; tests compare run() with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

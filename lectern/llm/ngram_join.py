@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.llm.bitmap import bitmap_of, holds
 from lectern.llm.words import SPACED, U64, Words, slices, text_column
 from lectern.operators.graph import components
 from lectern.session import bounded_batches, materialise
 
 #: Cells of the shingle counts that give the global order: 4 bytes each, whatever the corpus.
 SKETCH_BITS = 20
-#: Bits of the filter that tells which texts a comparison needs: 8 MB, whatever the corpus.
-FILTER_BITS = 26
 #: Sets compared with a pivot in one task; more are split over tasks.
 SETS_PER_PIVOT = 512
 #: Sets in one trie.
@@ -64,7 +63,7 @@ def shingle_sets(col: pa.Array, k: int):
 
 def shingle_counts(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """How often shingles fall into each cell of a table of 2**bits cells, over all documents."""
-    spark, size = docs.sparkSession, 1 << bits
+    size = 1 << bits
     part = min(_PART, size)
 
     def count(batches):
@@ -90,7 +89,6 @@ def shingle_counts(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarr
     out = np.zeros(size, dtype=np.uint32)
     for r in parts.toLocalIterator():
         out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), dtype=np.uint32)
-    del spark
     return out
 
 
@@ -194,43 +192,6 @@ class _Node:
         return upper
 
 
-def _needed_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each of 2**bits cells, set where a needed doc_id falls; of fixed size."""
-    part = 1 << 20
-
-    def collect(batches):
-        seen = np.zeros(1 << bits, dtype=bool)
-        any_seen = False
-        for batch in batches:
-            seen[_cell(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
-            any_seen = any_seen or batch.num_rows > 0
-        rows = []
-        if any_seen:
-            for i in range(0, len(seen), part):
-                if seen[i : i + part].any():
-                    rows.append((i // part, zstandard.compress(np.packbits(seen[i : i + part]).tobytes(), 1)))
-        yield _rows(rows, ["part", "bits"], [pa.int32(), pa.binary()])
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-                sums[i] = sums[i] | more if i in sums else more
-        yield _rows([(i, zstandard.compress(x.tobytes(), 1)) for i, x in sums.items()], ["part", "bits"], [pa.int32(), pa.binary()])
-
-    schema = "part int, bits binary"
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in ids.mapInArrow(collect, schema).repartition("part").mapInArrow(merge, schema).toLocalIterator():
-        more = np.frombuffer(zstandard.decompress(bytes(r["bits"])), dtype=np.uint8)
-        out[r["part"] * part // 8 :][: len(more)] = more
-    return out
-
-
-def _cell(ids: np.ndarray, bits: int) -> np.ndarray:
-    return ((ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
-
-
 def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_BITS) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose documents link.
 
@@ -243,14 +204,12 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int, counts, bit
     tasks = pairs.join(many, "a").select(F.col("b").alias("doc_id"), "a", lot("b", F.col("lots")).alias("lot"))
     own = many.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
     wants = materialise(tasks.union(own))
-    wanted = spark.sparkContext.broadcast(_needed_filter(wants.select("doc_id"), FILTER_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap_of(wants.select("doc_id")))
 
     def only_needed(batches):
         for batch in batches:
-            ids = batch.column(0)
-            cell = _cell(ids.fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
-            keep = (wanted.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(keep.astype(bool)))
+            keep = holds(wanted.value, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(keep))
             if batch.num_rows:
                 yield batch
 
@@ -362,6 +321,9 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat a doc_id within a group one stays.
     """
     found = similar_documents(docs, k, percent)
-    first = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        named = named.dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

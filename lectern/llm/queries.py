@@ -4,7 +4,19 @@ from __future__ import annotations
 
 import importlib
 
-from lectern.llm import decontaminate, ngram_join, quality_classifier, quality_rules, token_store, toxicity
+import corpus_pipeline
+from lectern.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    line_dedup,
+    ngram_join,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    token_store,
+    toxicity,
+)
 from lectern.session import table
 
 
@@ -25,11 +37,30 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.rate(docs, quality_classifier.train(docs, labels))
 
 
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.scores(docs, toxicity.train(docs, labels))
 
 
+def op7_chat_format(spark, sf_dir):
+    own = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(chat.render(chats))
+
+
+def op8_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.contamination(docs, bench))
@@ -44,8 +75,14 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op7_chat_format": op7_chat_format,
+    "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
+#: op4, op7, op8, op9 and op10 hash or parse beyond what SQL states at this size; they are tested by brute force.
 ORACLES: dict[str, str] = {}
