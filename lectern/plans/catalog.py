@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import history, ranking, retrieval, texts
+
+QUERIES: dict = {**texts.QUERIES, **history.QUERIES, **ranking.QUERIES, **retrieval.QUERIES}
+ORACLES: dict = {**texts.ORACLES, **history.ORACLES, **ranking.ORACLES, **retrieval.ORACLES}
