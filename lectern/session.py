@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own: dict[str, str | None] = {}
 
 
 def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
@@ -38,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set(CHECKPOINT_DIR, where)
+        where = _own.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
+        _own[spark.sparkContext.applicationId] = where
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
