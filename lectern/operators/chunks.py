@@ -122,7 +122,7 @@ def chunk_column(c: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int =
 
     empty = state(F.array().cast("array<string>"), F.lit(""))
     folded = F.aggregate(T.paragraphs(c), empty, paragraph, flush)
-    whole = F.when(size(c) <= max_tokens, F.array(c)).otherwise(folded)
+    whole = F.when(c.isNull(), F.lit(None)).when(size(c) <= max_tokens, F.array(c)).otherwise(folded)
     return F.transform(whole, lambda x, i: F.when(i > 0, F.concat(_tail(F.get(whole, i - 1), overlap_tokens), x)).otherwise(x)) if overlap_tokens else whole
 
 
