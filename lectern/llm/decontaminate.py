@@ -181,7 +181,8 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
     """The same report for benchmarks of any size: document fingerprints join those of the items.
 
     Grams lead to candidate windows, which are confirmed against the document's own window
-    hashes. Short items join on the hashes of every run of their length.
+    hashes. Short items join on the hashes of every run of their length. Rows are told apart
+    by doc_id here: those with a null id have no hits, and repeated rows share theirs.
     """
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
 
@@ -221,7 +222,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
                     )
 
     text = docs.select("doc_id", "text")
-    found = text.mapInArrow(places, "doc_id long, at long, size int, gram long, hash long")
+    found = text.where("doc_id is not null").mapInArrow(places, "doc_id long, at long, size int, gram long, hash long")
     grams = windows.select("size", F.when(F.col("size") == window, F.col("gram")).otherwise(F.col("hash")).alias("gram"), "hash", "item_id").distinct()
     hits = found.join(grams, ["size", "gram", "hash"]).select("doc_id", "at", "size", "item_id").distinct()
     spans = hits.groupBy("doc_id").agg(
