@@ -11,6 +11,7 @@ from lectern.llm import (
     html_text,
     line_dedup,
     ngram_join,
+    oracles,
     pieces,
     quality_classifier,
     quality_rules,
@@ -84,5 +85,9 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-#: op4, op7, op8, op9 and op10 hash or parse beyond what SQL states at this size; they are tested by brute force.
-ORACLES: dict[str, str] = {}
+#: The others train, hash, parse or compare beyond what SQL can do on whole tables; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": oracles.NGRAM_JOIN,
+    "op7_chat_format": oracles.CHAT_FORMAT,
+    "op9_decontamination": oracles.DECONTAMINATION,
+}
