@@ -36,38 +36,28 @@ QUARTERS = 4
 _STRIP = " \t\n\x0b\f\r"
 
 
-def _hash(*parts: str | bytes) -> int:
-    h = xxhash.xxh3_64()
-    for p in parts:
-        h.update(p.encode() if isinstance(p, str) else p)
-        h.update(b"\xff")
-    return h.intdigest() - (1 << 63)
+def _hash(text: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode(), seed) - (1 << 63)
 
 
 def line_key(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
-def _quarter(line: str, j: int, short: int) -> tuple[str, str, str]:
-    """(before, inside, after) of quarter ``j``, for a pair whose shorter line has ``short`` code points."""
+def _meeting_key(line: str, j: int, short: int) -> int:
+    """The seed tells quarter and length, so it also tells where the two parts meet."""
     a, b = j * short // QUARTERS, (j + 1) * short // QUARTERS
-    end = len(line) - (short - b)
-    return line[:a], line[a:end], line[end:]
+    return _hash(line[:a] + line[len(line) - (short - b) :], short * QUARTERS + j)
 
 
 def meeting_keys(line: str) -> list[int]:
     """Hashes of all but one quarter, as the longer or the shorter of a pair."""
     n = len(line)
-    if n < MIN_CHARS:
-        return []
-    out = []
-    for short in (n, n - 1):
-        if short < MIN_CHARS:
-            continue
-        for j in range(QUARTERS):
-            a, _, c = _quarter(line, j, short)
-            out.append(_hash(bytes([j]), str(short), a, c))
-    return out
+    return [_meeting_key(line, j, short) for short in (n, n - 1) if short >= MIN_CHARS for j in range(QUARTERS)]
+
+
+#: Seeds of whole lines, apart from those of masked places.
+_WHOLE = 1 << 40
 
 
 def variant_keys(line: str, met: set[int]) -> list[tuple[int, int]]:
@@ -76,20 +66,20 @@ def variant_keys(line: str, met: set[int]) -> list[tuple[int, int]]:
     Role 0: a place is masked; equal keys are one change apart. Role 1: the whole line;
     role 2: the line with one code point less; equal keys of roles 1 and 2 are one addition apart.
     """
-    n, out = len(line), []
+    n, out = len(line), set()
     for short in (n, n - 1):
         if short < MIN_CHARS:
             continue
         for j in range(QUARTERS):
-            a, b, c = _quarter(line, j, short)
-            if _hash(bytes([j]), str(short), a, c) not in met:
+            if _meeting_key(line, j, short) not in met:
                 continue
+            begin, end = j * short // QUARTERS, n - (short - (j + 1) * short // QUARTERS)
             if short == n:
-                out += [(_hash(b"c", str(len(a) + i), a, b[:i], b[i + 1 :], c), 0) for i in range(len(b))]
-                out.append((_hash(b"d", line), 1))
+                out.update((_hash(line[:i] + line[i + 1 :], i), 0) for i in range(begin, end))
+                out.add((_hash(line, _WHOLE), 1))
             else:
-                out += [(_hash(b"d", a + b[:i] + b[i + 1 :] + c), 2) for i in range(len(b))]
-    return list(set(out))
+                out.update((_hash(line[:i] + line[i + 1 :], _WHOLE), 2) for i in range(begin, end))
+    return list(out)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -201,7 +191,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with redundant lines taken out of text, and n_lines, n_removed and n_left (non-blank lines)."""
     gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    solid = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.translate(x, _STRIP, "") != "")).cast("long")
+    solid = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?md)^[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]")).cast("long")
     joined = docs.alias("d").join(gone.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id") == F.col("_id"), "left")
     columns = [c for c in docs.columns if c != "text"]
     return (
