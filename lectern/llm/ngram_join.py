@@ -9,8 +9,10 @@ All sets are ordered by one global order, rare shingles first, as told by counts
 shingles in a table of fixed size. Documents with equal sets form a class, whose smallest
 doc_id stands for it. Linked classes share one of their first n - ceil(percent n / 100) + 1
 shingles (their prefix), so each class is posted under its prefix only. Within a shingle's
-postings a pivot is compared with the others first; what these links don't connect is then
-compared pair by pair, but only between different components. Comparisons run pivot by
+postings the smallest class is the pivot, and each class is compared with its commonest
+pivot first; what these links don't connect is then compared pair by pair, but only between different components. Outlines (counts of a set's
+shingles by parts of the hash range) bound overlaps from above and rule out most pairs
+before any set is moved. Comparisons run pivot by
 pivot over a trie of the other sets, in the reverse order so that near copies share long
 paths: a partial overlap is computed once for all sets below a node, and a subtree is left
 when even its remaining length can't reach the threshold.
@@ -41,6 +43,8 @@ SKETCH_BITS = 20
 SETS_PER_PIVOT = 512
 #: Sets in one trie.
 TRIE_SETS = 256
+#: Members of a shingle's group that are compared in one task, with as many others.
+GROUP_BLOCK = 2048
 
 _PART = 1 << 16
 
@@ -112,15 +116,59 @@ def profiles(docs: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_B
             for i, s in shingle_sets(text_column(batch), k):
                 n = len(s)
                 if not n:
-                    rows.append((ids[i], 0, None, []))
+                    rows.append((ids[i], 0, None, [], None))
                     continue
                 rare = np.argsort(counts.value[(s >> U64(64 - bits)).astype(np.int64)], kind="stable")
                 prefix = s[rare[: n - needed(n, percent) + 1]].view(np.int64)
                 cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                rows.append((ids[i], n, cls, prefix))
-            yield _rows(rows, ["doc_id", "n", "cls", "prefix"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+                rows.append((ids[i], n, cls, prefix, outline(s)))
+            yield _rows(rows, ["doc_id", "n", "cls", "prefix", "outline"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n long, cls long, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n long, cls long, prefix array<bigint>, outline binary")
+
+
+def outline(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of about n / 2 equal parts of the hash range, half a byte each.
+
+    The smaller counts of two outlines bound the overlap of their sets from above. Without
+    an outline (tiny sets, or a count beyond half a byte) only sizes are compared.
+    """
+    b = _outline_bits(len(s))
+    if not b:
+        return b""
+    counts = np.bincount((s >> U64(64 - b)).astype(np.int64), minlength=1 << b)
+    return (counts[::2] << 4 | counts[1::2]).astype(np.uint8).tobytes() if counts.max() < 16 else b""
+
+
+def _outline_bits(n: int) -> int:
+    return max(0, (n // 2).bit_length() - 1)
+
+
+def _parts(raw: bytes) -> np.ndarray:
+    packed = np.frombuffer(raw, dtype=np.uint8)
+    out = np.empty(2 * len(packed), dtype=np.uint8)
+    out[::2], out[1::2] = packed >> 4, packed & 15
+    return out
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """An outline, or rows of them, with half as many parts."""
+    return x.reshape(*x.shape[:-1], -1, 2).sum(axis=-1, dtype=np.uint16)
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False only for sets of n and m shingles that can't link."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    if not x or not y:
+        return True
+    a, b = _parts(x), _parts(y)
+    while len(a) > len(b):
+        a = _fold(a)
+    while len(b) > len(a):
+        b = _fold(b)
+    most = int(np.minimum(a, b).sum(dtype=np.int64))
+    return 100 * most >= percent * (n + m - most)
 
 
 class Trie:
@@ -272,23 +320,25 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     profile = materialise(profiles(docs, k, percent, counts, bits))
     classes = (
         profile.where("n > 0 and doc_id is not null").groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "n", "prefix")).alias("one"))
+        .agg(F.min(F.struct("doc_id", "n", "prefix", "outline")).alias("one")).select("one.*")
     )
+    classes = materialise(classes)
     by_token = W.partitionBy("token").orderBy("doc_id")
-    postings = classes.select(F.explode("one.prefix").alias("token"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"))
     led = (
-        postings.withColumn("pivot", F.first(F.struct("doc_id", "n")).over(by_token.rowsBetween(W.unboundedPreceding, 0)))
+        classes.select(F.explode("prefix").alias("token"), "doc_id")
+        .withColumn("a", F.first("doc_id").over(by_token.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("next", F.lead("doc_id").over(by_token))
-        .where("doc_id <> pivot.doc_id or next is not null")
-        .select("token", "doc_id", "n", F.col("pivot.doc_id").alias("a"), F.col("pivot.n").alias("an"))
+        .where("doc_id <> a or next is not null").select("token", "doc_id", "a")
     )
     led = materialise(led)
-    fits = 100 * F.least("n", "an") >= percent * F.greatest("n", "an")
-    tried = materialise(led.where("a <> doc_id").where(fits).select("a", F.col("doc_id").alias("b")).distinct())
+    outlines = classes.select("doc_id", "n", "outline")
+    # Each class is tried with the pivot that leads most of its shingles, so there is one pair a class.
+    shared = led.where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("s"))
+    chosen = shared.groupBy(F.col("doc_id").alias("b")).agg(F.min_by("a", F.struct(-F.col("s"), F.col("a"))).alias("a"))
+    tried = materialise(_promising(chosen.select("a", "b"), outlines, percent))
     links = materialise(compare(docs, tried, k, percent, counts, bits))
     labels = components(links)
-    rest = _across(led, labels, percent).join(tried, ["a", "b"], "left_anti")
-    rest = materialise(rest)
+    rest = materialise(_across(led.select("token", "doc_id"), labels, outlines, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(materialise(compare(docs, rest, k, percent, counts, bits)))
         labels = components(links)
@@ -300,21 +350,103 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     )
 
 
-def _across(led: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one shingle that may link and are not yet in one component."""
-    marked = led.join(labels, led["doc_id"] == labels["node"], "left").select(
-        "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("label")
+def _promising(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose outlines don't rule a link out."""
+    side = lambda c: outlines.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("outline").alias(f"{c}_o"))
+
+    def check(batches):
+        for batch in batches:
+            n, x, m, y = (batch.column(c).to_pylist() for c in ("a_n", "a_o", "b_n", "b_o"))
+            keep = [may_link(*r, percent) for r in zip(n, x, m, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_o", "b_n", "b_o")
+    return both.mapInArrow(check, "a long, b long")
+
+
+def _across(postings: DataFrame, labels: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs under one shingle whose outlines allow a link and that are not yet in one component.
+
+    A group's members are compared in blocks of bounded size, and only pairs that pass are
+    put out.
+    """
+    marked = postings.join(labels, postings["doc_id"] == labels["node"], "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    open_ = (
+        marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
+        .select("token", F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("s"))
+    )
+    own = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
+    placed = (
+        marked.join(open_, "token").withColumn("own", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        .select("token", F.least("own", "t").alias("p"), F.greatest("own", "t").alias("q"), "own", "doc_id", "label")
     )
-    split = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_ = marked.join(split.select("token"), "token", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
+
+    def enumerate_pairs(batches):
+        key, group, out = None, [], set()
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("token", "p", "q", "own", "doc_id", "label", "n", "outline")]
+            for token, p, q, own_, doc_id, label, n, raw in zip(*cols, strict=True):
+                if (token, p, q) != key:
+                    if key:
+                        out.update(_open_pairs(group, key[1] != key[2], percent))
+                    key, group = (token, p, q), []
+                group.append((n, doc_id, label, own_, raw))
+            if len(out) > 100_000:
+                yield _rows(list(out), ["a", "b"], [pa.int64(), pa.int64()])
+                out = set()
+        if key:
+            out.update(_open_pairs(group, key[1] != key[2], percent))
+        yield _rows(list(out), ["a", "b"], [pa.int64(), pa.int64()])
+
     return (
-        x.join(y, F.expr("x.token = y.token and x.doc_id < y.doc_id and x.label <> y.label"
-                         f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        placed.join(outlines, "doc_id").repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+        .select("token", "p", "q", "own", "doc_id", "label", "n", "outline")
+        .mapInArrow(enumerate_pairs, "a long, b long").distinct()
     )
 
 
+def _open_pairs(group: list[tuple], crossing: bool, percent: int):
+    """(smaller, larger doc_id) of members of different labels (and blocks) whose outlines allow a link."""
+    if len(group) <= 8:
+        for i, (n, x_id, x_label, x_own, x) in enumerate(group):
+            for m, y_id, y_label, y_own, y in group[i + 1 :]:
+                if x_label != y_label and not (crossing and x_own == y_own) and may_link(n, x, m, y, percent):
+                    yield min(x_id, y_id), max(x_id, y_id)
+        return
+    shelves: dict[int, list[tuple]] = {}
+    for member in group:
+        shelves.setdefault(_outline_bits(member[0]) if member[4] else -1, []).append(member)
+    plain = shelves.pop(-1, [])
+    for i, (n, x_id, x_label, x_own, x) in enumerate(plain):
+        for m, y_id, y_label, y_own, y in [*plain[i + 1 :], *(g for s in shelves.values() for g in s)]:
+            if x_label != y_label and not (crossing and x_own == y_own) and may_link(n, x, m, y, percent):
+                yield min(x_id, y_id), max(x_id, y_id)
+    made = {}
+    for b, shelf in shelves.items():
+        shelf.sort()
+        made[b] = (
+            np.array([g[0] for g in shelf]), np.array([g[1] for g in shelf]), np.array([g[2] for g in shelf]), np.array([g[3] for g in shelf]),
+            np.stack([_parts(g[4]) for g in shelf]),
+        )
+    for b, (n, ids, label, own, x) in made.items():
+        for other in (b, b + 1):
+            if other not in made:
+                continue
+            m, y_ids, y_label, y_own, y = made[other]
+            y_rows = _fold(y) if other != b else y
+            for i in range(len(n)):
+                ok = (y_label != label[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
+                if crossing:
+                    ok &= y_own != own[i]
+                if other == b:
+                    ok[: i + 1] = False
+                at = np.flatnonzero(ok)
+                if len(at):
+                    most = np.minimum(y_rows[at], x[i]).sum(axis=1, dtype=np.int64)
+                    for j in at[100 * most >= percent * (n[i] + m[at] - most)]:
+                        yield (int(min(ids[i], y_ids[j])), int(max(ids[i], y_ids[j])))
+
+
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that link, directly or not, to one of smaller doc_id.
 
