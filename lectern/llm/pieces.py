@@ -19,6 +19,7 @@ a row; an empty table gives none.
 from __future__ import annotations
 
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from lectern.llm.words import U64, Words, separators, slices, text_column
 from lectern.session import bounded_batches
 
 MARK = "▁"
+#: Neighbouring pieces whose merging is remembered.
+_KEPT_PAIRS = 200_000
 _SPACES = separators([(0x20, 0x20)])
 _PARTS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -57,7 +60,7 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, limit: int = 2_000_000):
+    def __init__(self, pieces: Pieces, limit: int = 600_000):
         import ahocorasick
 
         self.pieces, self.limit = pieces, limit
@@ -105,7 +108,7 @@ class Encoder:
         key = (a, b)
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) > self.limit // 2:
+            if len(self.apart) > _KEPT_PAIRS:
                 self.apart.clear()
             s = self.pieces.strings
             x = s[b] if a < 0 else s[a] + s[b]
@@ -248,20 +251,25 @@ class Encoder:
         return out[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[at]
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(model: str, kind: str) -> Encoder:
+    """The encoder of this worker process, which keeps what it knows from task to task."""
+    return Encoder(Pieces.load(model, kind))
+
+
 def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """Per row: doc_id, n_tokens, ids and whether decoding gives the text again.
 
     ``model`` is the path of a model file that every worker can read.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, size="8m")
 
     def run(batches):
-        encoder = None
         mark = MARK.encode()
         for batch in batches:
-            encoder = encoder or Encoder(Pieces.load(model, kind))
+            encoder = shared_encoder(model, kind)
             doc_ids = batch.column(0).cast(pa.int64())
-            for first, last, data, offsets in slices(text_column(batch), 4 << 20):
+            for first, last, data, offsets in slices(text_column(batch)):
                 ids, bounds = encoder.encode(data, offsets)
                 back, at = encoder.decode(ids, bounds)
                 same = [
@@ -284,9 +292,8 @@ def decode(encoded: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     bounded_batches(encoded.sparkSession)
 
     def run(batches):
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(Pieces.load(model, kind))
+            encoder = shared_encoder(model, kind)
             rows = [np.asarray(x or [], dtype=np.int32) for x in batch.column(1).to_pylist()]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
             data, at = encoder.decode(np.concatenate(rows) if rows else np.zeros(0, np.int32), bounds)

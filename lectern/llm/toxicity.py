@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.labelled import Sparse, descend, labelled_sample, remainder, sigmoid
-from lectern.llm.words import U64, slices, text_column
+from lectern.llm.words import U64, text_column
+from lectern.llm.words import slices as slices_of
 from lectern.session import bounded_batches, materialise
 
 #: Labelled rows to learn from at most.
@@ -35,6 +36,17 @@ THRESHOLD = 0.7
 _PART = 1 << 16
 
 
+def slices(col: pa.Array):
+    """Short runs of texts: every byte starts an n-gram of each size."""
+    return slices_of(col, 1 << 18)
+
+
+def _distinct(found) -> tuple[np.ndarray, np.ndarray]:
+    """Each (document, bucket) of (bucket, document) arrays once."""
+    pair = np.unique(np.concatenate([(d << BITS | b).astype(np.uint64 if len(d) and d[-1] >> 12 else np.uint32) for b, d in found]))
+    return (pair >> BITS).astype(np.int64), (pair & ((1 << BITS) - 1)).astype(np.int64)
+
+
 def _grams(data: bytes, offsets: np.ndarray):
     """(bucket, document) arrays of the n-grams of consecutive texts, size by size."""
     n, data = len(data), data.translate(_SPACE)
@@ -64,11 +76,10 @@ def class_counts(sample: DataFrame) -> np.ndarray:
         for batch in batches:
             label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
             for first, last, data, offsets in slices(_lower(batch)):
-                found = [(b[ok], d[ok]) for b, ok, d in _grams(data, offsets)]
-                bucket, doc = np.concatenate([b for b, _ in found]), np.concatenate([d for _, d in found])
-                pair = np.unique(doc * (1 << BITS) + bucket)
-                kind = (label[first:last][pair >> BITS] > 0).astype(np.int64)
-                np.add.at(total, (kind, pair & ((1 << BITS) - 1)), 1)
+                doc, bucket = _distinct((b[ok], d[ok]) for b, ok, d in _grams(data, offsets))
+                toxic = label[first:last][doc] > 0
+                np.add.at(total[1], bucket[toxic], 1)
+                np.add.at(total[0], bucket[~toxic], 1)
         flat = total.ravel()
         parts = [(i, zstandard.compress(flat[i * _PART : (i + 1) * _PART].tobytes(), 1)) for i in range(len(flat) // _PART)]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "counts"])
@@ -101,9 +112,9 @@ class Model:
             found = []
             for bucket, ok, doc in _grams(data, offsets):
                 at = np.flatnonzero((self.weights[bucket] != 0) & ok)
-                found.append((doc[at] << BITS) + bucket[at])
-            pair = np.unique(np.concatenate(found))
-            out[first:last] += np.bincount(pair >> BITS, self.weights[pair & ((1 << BITS) - 1)], minlength=last - first)
+                found.append((bucket[at], doc[at]))
+            doc, bucket = _distinct(found)
+            out[first:last] += np.bincount(doc, self.weights[bucket], minlength=last - first)
         return sigmoid(out)
 
 
