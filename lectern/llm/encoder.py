@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -10,6 +12,12 @@ import regex
 from lectern.llm.words import SPACED, U64, Words
 
 
+#: Pieces of words whose ids are kept beside those of whole words.
+_KEPT_PIECES = 50_000
+#: Signs that stand for themselves behind a word.
+_SIGNS = frozenset(".,;:!?)")
+
+
 class WordEncoder:
     """Encodes texts exactly as the tokenizer does.
 
@@ -19,7 +27,9 @@ class WordEncoder:
     is full, so memory stays bounded; results do not depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 3_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
+        # One task, one thread: Spark runs as many tasks as there are cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
@@ -40,36 +50,43 @@ class WordEncoder:
         self.size = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype="<u4")
 
-    def _pieces(self, word: str):
-        for piece in self.cut(word.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                if len(self.pieces) >= self.limit // 8:
-                    self.pieces.clear()
-                found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(piece)])
-            yield from found
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        found = tuple([t.id for t in self.model.tokenize(piece)])
+        if len(self.pieces) < _KEPT_PIECES:
+            self.pieces[piece] = found
+        return found
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         ids, sizes, other = array("I"), [], []
+        get, add = self.pieces.get, ids.extend
         for i, raw in enumerate(words):
-            word = raw.decode()
             before = len(ids)
-            if raw.isascii() and word.isprintable() and "<|" not in word and len(word) <= 200:
-                ids.extend(self._pieces(word))
+            if raw.isascii() and len(raw) <= 200 and b"<|" not in raw and (word := raw.decode()).isprintable():
+                word = word.lower()
+                if word.isalpha():
+                    add(get(word) or self._piece(word))
+                elif word[:-1].isalpha() and word[-1] in _SIGNS:
+                    add(get(word[:-1]) or self._piece(word[:-1]))
+                    add(get(word[-1]) or self._piece(word[-1]))
+                else:
+                    for piece in self.cut(word):
+                        add(get(piece) or self._piece(piece))
             else:
                 other.append(i)
             sizes.append(len(ids) - before)
-        rare = self.exact.encode_batch([words[i].decode() for i in other], add_special_tokens=False) if other else []
+        rare: list[np.ndarray] = []
+        for i in range(0, len(other), 1000):
+            texts = [words[j].decode() for j in other[i : i + 1000]]
+            rare += [np.array(e.ids, dtype="<u4") for e in self.exact.encode_batch_fast(texts, add_special_tokens=False)]
         pool = np.frombuffer(ids, dtype="<u4") if len(ids) else np.zeros(0, dtype="<u4")
         size = np.array(sizes, dtype=np.int64)
         at = np.cumsum(size) - size
-        used, more = len(pool), []
+        used = len(pool)
         for i, e in zip(other, rare, strict=True):
-            at[i], size[i] = used, len(e.ids)
-            used += len(e.ids)
-            more.append(np.array(e.ids, dtype="<u4"))
+            at[i], size[i] = used, len(e)
+            used += len(e)
         at += len(self.pool)
-        self.pool = np.concatenate([self.pool, pool, *more])
+        self.pool = np.concatenate([self.pool, pool, *rare])
         known = np.concatenate([self.known, keys])
         order = np.argsort(known, kind="stable")
         self.known = known[order]
@@ -95,3 +112,9 @@ class WordEncoder:
         ids = self.pool[np.repeat(self.at[word] - (end - size), size) + np.arange(total)]
         bounds = np.concatenate([[0], end])[w.bounds].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps what it knows from task to task."""
+    return WordEncoder(path)

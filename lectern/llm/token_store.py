@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.encoder import WordEncoder
+from lectern.llm.encoder import shared_encoder
 from lectern.llm.words import slices, text_column
 from lectern.session import bounded_batches, fresh_path
 
@@ -130,20 +130,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, lev
     ``tokenizer`` is the path of a tokenizer file that every worker can read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 1000, "4m")
     end = struct.pack("<I", end_id)
     folder = f"{path}/files"
     files, local = _open(folder)
     files.create_dir(local, recursive=True)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, tokens = None, None, 0
+        writer, tokens = None, 0
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer)
+            encoder = shared_encoder(tokenizer)
             writer = writer or FrameWriter(f"{folder}/{name}", level)
             ids = batch.column(0).fill_null(NO_ID).to_pylist()
-            for first, last, data, offsets in slices(text_column(batch), 4 << 20):
+            for first, last, data, offsets in slices(text_column(batch)):
                 for doc_id, raw in zip(ids[first:last], encoder.encode(data, offsets), strict=True):
                     writer.add(doc_id, raw + end)
                     tokens += len(raw) // 4 + 1
@@ -164,8 +164,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a store: doc_id, start, n_tokens, ids_crc32, ids (binary, unsigned 32-bit)."""
+def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Every document of a store: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, unsigned 32-bit)."""
     folder = f"{path}/files"
 
     def read(batches):
@@ -173,7 +173,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader, rows, size = FrameReader(f"{folder}/{name}"), [], 0
                 for doc_id, raw in zip(reader.ids.tolist(), reader.frames(), strict=False):
-                    rows.append((doc_id if doc_id != NO_ID else None, start, len(raw) // 4, zlib.crc32(raw), raw))
+                    rows.append((doc_id if doc_id != NO_ID else None, start, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
                     start += len(raw) // 4
                     size += len(raw)
                     if size > 8 << 20:
@@ -234,4 +234,4 @@ def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 1) -> Da
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_store(docs, path, tokenizer, end_id)
-    return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_store(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
