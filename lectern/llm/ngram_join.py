@@ -24,6 +24,8 @@ An empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,8 +45,11 @@ SKETCH_BITS = 20
 SETS_PER_PIVOT = 512
 #: Sets in one trie.
 TRIE_SETS = 256
-#: Members of a shingle's group that are compared in one task, with as many others.
+#: Members of a group whose outlines are compared in one task, with as many others.
 GROUP_BLOCK = 2048
+#: Sets, and shingles in them, of one block of a family.
+FAMILY_SETS = 256
+FAMILY_SHINGLES = 1 << 20
 
 _PART = 1 << 16
 
@@ -200,13 +205,18 @@ class Trie:
             node = child
         node.names.append(name)
 
-    def join(self, probe: np.ndarray, percent: int):
-        """(name, overlap) of the stored sets that link with the sorted set ``probe``."""
+    def join(self, probe: np.ndarray, percent: int, held: np.ndarray | None = None):
+        """(name, overlap) of the stored sets that link with the sorted set ``probe``.
+
+        Where shingles are small numbers, ``held`` may tell for each whether the probe holds it.
+        """
         n = len(probe)
         stack = [(self.root, 0)]
         while stack:
             node, shared = stack.pop()
-            if len(node.run):
+            if len(node.run) and held is not None:
+                shared += int(np.count_nonzero(held[node.run]))
+            elif len(node.run):
                 at = np.searchsorted(probe, node.run)
                 at[at == n] = 0
                 shared += int(np.count_nonzero(probe[at] == node.run))
@@ -240,19 +250,12 @@ class _Node:
         return upper
 
 
-def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_BITS) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose documents link.
+def _with_sets(docs: DataFrame, wants: DataFrame, k: int, counts, bits: int) -> DataFrame:
+    """The sets, commonest shingle first, of the rows (doc_id, key, p, q, own, label) of ``wants``, one task's rows together.
 
-    Texts of needed documents only are moved; each set goes to its pivots (a), whose sets
-    are dealt over tasks in bounded lots.
+    Texts of needed documents only are moved.
     """
-    spark = docs.sparkSession
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SETS_PER_PIVOT).cast("int").alias("lots"))
-    lot = lambda b, lots: F.pmod(F.xxhash64(b), lots).cast("int")
-    tasks = pairs.join(many, "a").select(F.col("b").alias("doc_id"), "a", lot("b", F.col("lots")).alias("lot"))
-    own = many.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    wants = materialise(tasks.union(own))
-    wanted = spark.sparkContext.broadcast(bitmap_of(wants.select("doc_id")))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(wants.select("doc_id")))
 
     def only_needed(batches):
         for batch in batches:
@@ -269,25 +272,45 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int, counts, bit
                 order = np.argsort(-counts.value[(s >> U64(64 - bits)).astype(np.int64)].astype(np.int64), kind="stable")
                 raw = s[order].tobytes()
                 for t in tasks[i]:
-                    rows.append((t["a"], t["lot"], ids[i], raw))
+                    rows.append((t["key"], t["p"], t["q"], t["own"], t["label"], ids[i], raw))
                     size += len(raw)
-                if size > 8 << 20:
-                    yield _rows(rows, *_SETS)
-                    rows, size = [], 0
+                    if size > 8 << 20:
+                        yield _rows(rows, *_SETS)
+                        rows, size = [], 0
             if rows:
                 yield _rows(rows, *_SETS)
 
+    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(only_needed, "doc_id long, text string")
+    tasks = wants.groupBy("doc_id").agg(F.collect_list(F.struct("key", "p", "q", "own", "label")).alias("tasks"))
+    return (
+        texts.dropDuplicates(["doc_id"]).join(tasks, "doc_id")
+        .mapInArrow(sets, "key long, p int, q int, own int, label long, doc_id long, set binary")
+        .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
+    )
+
+
+_SETS = ["key", "p", "q", "own", "label", "doc_id", "set"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_BITS) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose documents link: each set goes to its pivots (a), dealt over tasks in bounded lots."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SETS_PER_PIVOT).cast("int").alias("lots"))
+    row = lambda doc_id, p: (F.col(doc_id).alias("doc_id"), F.col("a").alias("key"), p.alias("p"), F.lit(0).alias("q"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("label"))
+    others = pairs.join(many, "a").select(*row("b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")))
+    pivots = many.select(*row("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))))
+    wants = materialise(others.union(pivots))
+
     def join(batches):
-        key, probe, trie, held, links = None, None, Trie(), 0, []
+        task, probe, trie, held, links = None, None, Trie(), 0, []
         for batch in batches:
-            for a, at, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "lot", "b", "set")), strict=True):
-                if (a, at) != key or held >= TRIE_SETS:
+            for a, at, b, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "doc_id", "set")), strict=True):
+                if (a, at) != task or held >= TRIE_SETS:
                     if held:
-                        links += [(key[0], b2) for b2, _ in trie.join(probe, percent)]
+                        links += [(task[0], b2) for b2, _ in trie.join(probe, percent)]
                     trie, held = Trie(), 0
                 ordered = np.frombuffer(raw, dtype=U64)
-                if (a, at) != key:
-                    key, probe = (a, at), None
+                if (a, at) != task:
+                    task, probe = (a, at), None
                 if b == a:
                     probe = np.sort(ordered)
                 else:
@@ -297,19 +320,82 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int, counts, bit
                 yield _rows(links, ["a", "b"], [pa.int64(), pa.int64()])
                 links = []
         if held:
-            yield _rows([(key[0], b2) for b2, _ in trie.join(probe, percent)], ["a", "b"], [pa.int64(), pa.int64()])
+            yield _rows([(task[0], b2) for b2, _ in trie.join(probe, percent)], ["a", "b"], [pa.int64(), pa.int64()])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(only_needed, "doc_id long, text string")
-    lots = wants.groupBy("doc_id").agg(F.collect_list(F.struct("a", "lot")).alias("tasks"))
-    return (
-        texts.dropDuplicates(["doc_id"]).join(lots, "doc_id")
-        .mapInArrow(sets, "a long, lot int, b long, set binary")
-        .repartition("a", "lot").sortWithinPartitions("a", "lot", "b")
-        .mapInArrow(join, "a long, b long")
+    return _with_sets(docs, wants, k, counts, bits).mapInArrow(join, "a long, b long")
+
+
+def compare_families(docs: DataFrame, members: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_BITS) -> DataFrame:
+    """Links (a, b) between ``members`` (key, doc_id, label, n) of one key but of different labels.
+
+    A family's sets are dealt into blocks of bounded size; each pair of blocks meets in one
+    task, where one block's tries are probed with the other's sets. Links that join nothing
+    new are not put out, so a task gives fewer rows than it has members.
+    """
+    shape = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / FAMILY_SETS, F.sum("n") / FAMILY_SHINGLES)).cast("int").alias("s"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
+    wants = (
+        members.join(shape, "key").withColumn("own", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        .select("doc_id", "key", F.least("own", "t").alias("p"), F.greatest("own", "t").alias("q"), "own", "label")
     )
+    wants = materialise(wants)
 
+    def join(batches):
+        task, block = None, []
+        for batch in batches:
+            links = []
+            for key, p, q, own, label, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in _SETS[0]), strict=True):
+                if (key, p, q) != task:
+                    links += _block_links(block, percent)
+                    task, block = (key, p, q), []
+                block.append((own == p, own == q, doc_id, label, raw))
+            if links:
+                yield _rows(links, ["a", "b"], [pa.int64(), pa.int64()])
+        yield _rows(_block_links(block, percent), ["a", "b"], [pa.int64(), pa.int64()])
 
-_SETS = ["a", "lot", "b", "set"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return _with_sets(docs, wants, k, counts, bits).mapInArrow(join, "a long, b long")
+
+
+def _block_links(block: list[tuple], percent: int) -> list[tuple]:
+    """Links (a, b) that connect the labels of (stored, probes, doc_id, label, set bytes, commonest shingle first).
+
+    Stored sets of the commonest label fill one trie, which sets of that label don't probe;
+    the others fill another. A set that is stored and probes meets those before it.
+    """
+    labels = {doc_id: label for _, _, doc_id, label, _ in block}
+    above = {label: label for label in labels.values()}
+    if len(above) < 2:
+        return []
+    most = Counter(labels.values()).most_common(1)[0][0]
+
+    def top(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    # Shingles of a block are numbered, which makes a lookup cheap.
+    found, number = np.unique(np.frombuffer(b"".join(raw for *_, raw in block), dtype=U64), return_inverse=True)
+    ends = np.cumsum([len(raw) // 8 for *_, raw in block])
+    sets = np.split(number, ends[:-1])
+    held = np.zeros(len(found), dtype=bool)
+    common, others, links = Trie(), Trie(), []
+    for (stored, probes, doc_id, label, _), ordered in zip(block, sets, strict=True):
+        if stored and (label == most or not probes):
+            (common if label == most else others).insert(ordered, doc_id)
+    for (stored, probes, doc_id, label, _), ordered in zip(block, sets, strict=True):
+        if not probes or (stored and label == most):
+            continue
+        held[ordered] = True
+        for trie in (others,) if label == most else (common, others):
+            for other, _ in trie.join(ordered, percent, held):
+                x, y = top(label), top(labels[other])
+                if x != y:
+                    above[y] = x
+                    links.append((min(doc_id, other), max(doc_id, other)))
+        held[ordered] = False
+        if stored:
+            others.insert(ordered, doc_id)
+    return links
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
@@ -334,11 +420,19 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     outlines = classes.select("doc_id", "n", "outline")
     # Each class is tried with the pivot that leads most of its shingles, so there is one pair a class.
     shared = led.where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("s"))
-    chosen = shared.groupBy(F.col("doc_id").alias("b")).agg(F.min_by("a", F.struct(-F.col("s"), F.col("a"))).alias("a"))
+    chosen = materialise(shared.groupBy(F.col("doc_id").alias("b")).agg(F.min_by("a", F.struct(-F.col("s"), F.col("a"))).alias("a")))
     tried = materialise(_promising(chosen.select("a", "b"), outlines, percent))
     links = materialise(compare(docs, tried, k, percent, counts, bits))
     labels = components(links)
-    rest = materialise(_across(led.select("token", "doc_id"), labels, outlines, percent).join(tried, ["a", "b"], "left_anti"))
+    # Classes with one pivot are a family: what its links left apart meets in blocks, with the sets at hand.
+    family = chosen.select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
+    near = materialise(_near(family, labels, outlines, percent))
+    if not near.isEmpty():
+        more = materialise(compare_families(docs, near, k, percent, counts, bits))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+    rest = materialise(_across(led.select(F.col("token").alias("key"), "doc_id"), family, labels, outlines, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(materialise(compare(docs, rest, k, percent, counts, bits)))
         labels = components(links)
@@ -364,78 +458,95 @@ def _promising(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame
     return both.mapInArrow(check, "a long, b long")
 
 
-def _across(postings: DataFrame, labels: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one shingle whose outlines allow a link and that are not yet in one component.
-
-    A group's members are compared in blocks of bounded size, and only pairs that pass are
-    put out.
-    """
-    marked = postings.join(labels, postings["doc_id"] == labels["node"], "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+def _blocks(grouped: DataFrame, labels: DataFrame, outlines: DataFrame) -> DataFrame:
+    """Members of groups (key, doc_id) of more than one label, dealt so that all pairs of bounded blocks (p, q) meet."""
+    marked = grouped.join(labels, grouped["doc_id"] == labels["node"], "left").select("key", grouped["doc_id"], F.coalesce("component", "doc_id").alias("label"))
     open_ = (
-        marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
-        .select("token", F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("s"))
+        marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
+        .select("key", F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("s"))
     )
     own = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    placed = (
-        marked.join(open_, "token").withColumn("own", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select("token", F.least("own", "t").alias("p"), F.greatest("own", "t").alias("q"), "own", "doc_id", "label")
+    return (
+        marked.join(open_, "key").withColumn("own", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        .select("key", F.least("own", "t").alias("p"), F.greatest("own", "t").alias("q"), "own", "doc_id", "label")
+        .join(outlines, "doc_id")
     )
 
-    def enumerate_pairs(batches):
-        key, group, out = None, [], set()
+
+def _per_block(blocks: DataFrame, put, names: list[str], kinds: list, schema: str) -> DataFrame:
+    """``put(key, members, crossing)`` of each block pair; members are (n, doc_id, label, own, family, outline)."""
+    fields = ["key", "p", "q", "own", "doc_id", "label", "family", "n", "outline"]
+
+    def run(batches):
+        at, group, out = None, [], set()
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("token", "p", "q", "own", "doc_id", "label", "n", "outline")]
-            for token, p, q, own_, doc_id, label, n, raw in zip(*cols, strict=True):
-                if (token, p, q) != key:
-                    if key:
-                        out.update(_open_pairs(group, key[1] != key[2], percent))
-                    key, group = (token, p, q), []
-                group.append((n, doc_id, label, own_, raw))
+            for key, p, q, own, doc_id, label, family, n, raw in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+                if (key, p, q) != at:
+                    if at:
+                        out.update(put(at[0], group, at[1] != at[2]))
+                    at, group = (key, p, q), []
+                group.append((n, doc_id, label, own, family, raw))
             if len(out) > 100_000:
-                yield _rows(list(out), ["a", "b"], [pa.int64(), pa.int64()])
+                yield _rows(list(out), names, kinds)
                 out = set()
-        if key:
-            out.update(_open_pairs(group, key[1] != key[2], percent))
-        yield _rows(list(out), ["a", "b"], [pa.int64(), pa.int64()])
+        if at:
+            out.update(put(at[0], group, at[1] != at[2]))
+        yield _rows(list(out), names, kinds)
 
-    return (
-        placed.join(outlines, "doc_id").repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
-        .select("token", "p", "q", "own", "doc_id", "label", "n", "outline")
-        .mapInArrow(enumerate_pairs, "a long, b long").distinct()
-    )
+    return blocks.select(*fields).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, schema)
+
+
+def _near(family: DataFrame, labels: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, label, n) of members that may link to a member of their family in another component."""
+
+    def put(key, group, crossing):
+        found = {x for pair in _open_pairs(group, crossing, percent) for x in pair}
+        return [(key, doc_id, label, n) for n, doc_id, label, _, _, _ in group if doc_id in found]
+
+    blocks = _blocks(family, labels, outlines).withColumn("family", F.col("doc_id"))
+    return _per_block(blocks, put, ["key", "doc_id", "label", "n"], [pa.int64()] * 4, "key long, doc_id long, label long, n long").distinct()
+
+
+def _across(postings: DataFrame, family: DataFrame, labels: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) under one shingle, of different families, whose outlines allow a link and that are not yet in one component."""
+    kin = family.select("doc_id", F.col("key").alias("family"))
+    blocks = _blocks(postings, labels, outlines).join(kin, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
+    put = lambda _, group, crossing: _open_pairs(group, crossing, percent)
+    return _per_block(blocks, put, ["a", "b"], [pa.int64()] * 2, "a long, b long").distinct()
 
 
 def _open_pairs(group: list[tuple], crossing: bool, percent: int):
-    """(smaller, larger doc_id) of members of different labels (and blocks) whose outlines allow a link."""
-    if len(group) <= 8:
-        for i, (n, x_id, x_label, x_own, x) in enumerate(group):
-            for m, y_id, y_label, y_own, y in group[i + 1 :]:
-                if x_label != y_label and not (crossing and x_own == y_own) and may_link(n, x, m, y, percent):
-                    yield min(x_id, y_id), max(x_id, y_id)
+    """(smaller, larger doc_id) of members of different labels and families (and blocks) whose outlines allow a link."""
+    if len({g[4] for g in group}) < 2:
         return
+
+    def plain_pair(x, y):
+        apart = x[2] != y[2] and x[4] != y[4] and not (crossing and x[3] == y[3])
+        return apart and may_link(x[0], x[5], y[0], y[5], percent)
+
     shelves: dict[int, list[tuple]] = {}
-    for member in group:
-        shelves.setdefault(_outline_bits(member[0]) if member[4] else -1, []).append(member)
-    plain = shelves.pop(-1, [])
-    for i, (n, x_id, x_label, x_own, x) in enumerate(plain):
-        for m, y_id, y_label, y_own, y in [*plain[i + 1 :], *(g for s in shelves.values() for g in s)]:
-            if x_label != y_label and not (crossing and x_own == y_own) and may_link(n, x, m, y, percent):
-                yield min(x_id, y_id), max(x_id, y_id)
+    if len(group) > 8:
+        for member in group:
+            shelves.setdefault(_outline_bits(member[0]) if member[5] else -1, []).append(member)
+        plain = shelves.pop(-1, [])
+    else:
+        plain = group
+    for i, x in enumerate(plain):
+        for y in [*plain[i + 1 :], *(g for s in shelves.values() for g in s)]:
+            if plain_pair(x, y):
+                yield min(x[1], y[1]), max(x[1], y[1])
     made = {}
     for b, shelf in shelves.items():
         shelf.sort()
-        made[b] = (
-            np.array([g[0] for g in shelf]), np.array([g[1] for g in shelf]), np.array([g[2] for g in shelf]), np.array([g[3] for g in shelf]),
-            np.stack([_parts(g[4]) for g in shelf]),
-        )
-    for b, (n, ids, label, own, x) in made.items():
+        made[b] = *(np.array([g[c] for g in shelf]) for c in range(5)), np.stack([_parts(g[5]) for g in shelf])
+    for b, (n, ids, label, own, kin, x) in made.items():
         for other in (b, b + 1):
             if other not in made:
                 continue
-            m, y_ids, y_label, y_own, y = made[other]
+            m, y_ids, y_label, y_own, y_kin, y = made[other]
             y_rows = _fold(y) if other != b else y
             for i in range(len(n)):
-                ok = (y_label != label[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
+                ok = (y_label != label[i]) & (y_kin != kin[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
                 if crossing:
                     ok &= y_own != own[i]
                 if other == b:
