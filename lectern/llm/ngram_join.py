@@ -428,13 +428,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     family = chosen.select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
     near = materialise(_near(family, labels, outlines, percent))
     if not near.isEmpty():
-        more = materialise(compare_families(docs, near, k, percent, counts, bits))
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+        links = links.union(materialise(compare_families(docs, near, k, percent, counts, bits)))
     rest = materialise(_across(led.select(F.col("token").alias("key"), "doc_id"), family, labels, outlines, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(materialise(compare(docs, rest, k, percent, counts, bits)))
+    if not (near.isEmpty() and rest.isEmpty()):
         labels = components(links)
     heads = profile.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"))
     found = heads.join(labels, heads["head"] == labels["node"], "left").select("cls", F.coalesce("component", "head").alias("component"))
