@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions import text as T
 from lectern.operators.graph import components
 
 #: A block of query vectors that is sent to every task holds at most so many numbers (32 MB).
 BLOCK_NUMBERS = 4_000_000
+#: Pairs of new and earlier questions that are compared at once.
+TILE_CELLS = 1 << 18
 
 
 def _blocks(queries: DataFrame, qid: str, vector: str, dim: int):
@@ -123,21 +128,93 @@ def repeats(new: DataFrame, bank: DataFrame, structural: float = 0.85, exact: fl
     Both have qid, concept_id, embedding and text (and form). Tiers: verbatim (equal text),
     exact (cosine of ``exact`` or more and the same numbers), structural (``structural`` or
     more; with ``form`` the same form and other numbers), conceptual (the concept only), none.
+
+    New questions go out in blocks of bounded size; each task keeps their best tier among its
+    rows of the bank, so the bank never moves, however many rows one concept has.
     """
-    b = bank.select(*[F.col(c).alias(f"b_{c}") for c in bank.columns])
-    sim = T.cosine(F.col("embedding"), F.col("b_embedding"))
-    alike = sim >= structural
-    if form:
-        alike = alike & (F.col("form") == F.col("b_form")) & ~same_numbers(F.col("text"), F.col("b_text"))
-    tier = (
-        F.when(F.col("b_qid").isNull(), 0)
-        .when(T.strip("text") == T.strip("b_text"), 4)
-        .when((sim >= exact) & same_numbers(F.col("text"), F.col("b_text")), 3)
-        .when(alike, 2).otherwise(1)
+    spark = bank.sparkSession
+    fields = ["qid", "concept_id", "embedding", "text", "numbers", "form"]
+    shape = lambda df: df.select(
+        "qid", "concept_id", F.col("embedding").cast("array<double>").alias("embedding"), T.strip("text").alias("text"),
+        F.array_join(T.number_list("text"), " ").alias("numbers"), (F.col("form") if form else F.lit(None)).cast("string").alias("form"),
     )
-    best = new.join(b, (F.col("concept_id") == F.col("b_concept_id")) & (F.col("qid") != F.col("b_qid")), "left").withColumn("tier", tier)
+    keys = shape(new).select("qid", "concept_id")
+    types = StructType([StructField(f.name, f.dataType) for f in keys.schema] + [StructField("tier_no", IntegerType())])
+    earlier = shape(bank).where("qid is not null and concept_id is not null")
+    out = keys.withColumn("tier_no", F.lit(0))
+    for block in _question_blocks(shape(new).where("qid is not null and concept_id is not null"), fields):
+        sent = spark.sparkContext.broadcast(block)
+
+        def best(batches, sent=sent):
+            tiers = {c: np.zeros(len(rows["qid"]), dtype=np.int8) for c, rows in sent.value.items()}
+            for batch in batches:
+                found: dict = {}
+                for r in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+                    if r[1] in tiers:
+                        found.setdefault(r[1], []).append(r)
+                for concept, rows in found.items():
+                    _raise_tiers(tiers[concept], sent.value[concept], _columns(rows, fields), structural, exact, form)
+            hits = [(q, c, t) for c, rows in sent.value.items() for q, t in zip(rows["qid"], tiers[c].tolist(), strict=True) if t]
+            names = ["qid", "concept_id", "tier_no"]
+            kinds = to_arrow_schema(types)
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], kinds.field(i).type) for i in range(3)], names=names)
+
+        out = out.unionByName(earlier.mapInArrow(best, types))
     names = F.array(*[F.lit(x) for x in ("none", "conceptual", "structural", "exact", "verbatim")])
-    return best.groupBy("qid", "concept_id").agg(F.max("tier").alias("tier_no")).withColumn("tier", F.element_at(names, F.col("tier_no") + 1))
+    return out.groupBy("qid", "concept_id").agg(F.max("tier_no").alias("tier_no")).withColumn("tier", F.element_at(names, F.col("tier_no") + 1))
+
+
+def _question_blocks(questions: DataFrame, fields: list[str]):
+    """Questions by concept, as columns, in blocks of bounded size."""
+    rows, size = {}, 0
+    for r in questions.select(*fields).toLocalIterator():
+        rows.setdefault(r[1], []).append(tuple(r))
+        size += len(r["embedding"] or ()) + len(r["text"] or "") + len(r["numbers"] or "") + 8
+        if size >= BLOCK_NUMBERS:
+            yield {c: _columns(x, fields) for c, x in rows.items()}
+            rows, size = {}, 0
+    if rows:
+        yield {c: _columns(x, fields) for c, x in rows.items()}
+
+
+def _columns(rows: list[tuple], fields: list[str]) -> dict:
+    """Columns of question rows; vectors of one length are stacked, as (places, unit vectors) by length."""
+    out = {c: [r[i] for r in rows] for i, c in enumerate(fields)}
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(out.pop("embedding")):
+        if v and None not in v and any(v):
+            places.setdefault(len(v), []).append(i)
+    at = fields.index("embedding")
+    out["unit"] = {n: (np.array(x), _unit(np.array([rows[i][at] for i in x], dtype=np.float64))) for n, x in places.items()}
+    return out
+
+
+def _raise_tiers(tiers: np.ndarray, new: dict, bank: dict, structural: float, exact: float, form: bool) -> None:
+    """Raise the tiers of new questions to what rows of the bank of their concept give, in tiles of bounded size."""
+    code = {c: _codes(new[c], bank[c]) for c in ("qid", "text", "numbers", "form")}
+    m = len(bank["qid"])
+    step = max(1, TILE_CELLS // m)
+    for a in range(0, len(tiers), step):
+        n = min(step, len(tiers) - a)
+        sim = np.full((n, m), -np.inf)
+        for dim, (at, x) in new["unit"].items():
+            if dim in bank["unit"]:
+                here = slice(*np.searchsorted(at, (a, a + n)))
+                y_at, y = bank["unit"][dim]
+                sim[np.ix_(at[here] - a, y_at)] = x[here] @ y.T
+        same = {c: (x[a : a + n, None] == y[None, :]) & (x[a : a + n, None] >= 0) for c, (x, y) in code.items()}
+        alike = sim >= structural
+        if form:
+            x, y = code["numbers"]
+            alike &= same["form"] & ~same["numbers"] & (x[a : a + n, None] >= 0) & (y[None, :] >= 0)
+        tier = np.where(same["text"], 4, np.where((sim >= exact) & same["numbers"], 3, np.where(alike, 2, 1)))
+        np.maximum(tiers[a : a + n], np.where(same["qid"], 0, tier).max(axis=1).astype(np.int8), out=tiers[a : a + n])
+
+
+def _codes(x: list, y: list) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where values are; -1 for nulls."""
+    known: dict = {}
+    return tuple(np.array([-1 if v is None else known.setdefault(v, len(known)) for v in z], dtype=np.int64) for z in (x, y))
 
 
 def reuse_rates(matched: DataFrame, *by: str) -> DataFrame:

@@ -78,6 +78,36 @@ def test_repeats(spark):
     assert got == {1: "exact", 2: "none"}
 
 
+@pytest.mark.parametrize("form", [False, True])
+def test_repeats_within_one_large_concept(spark, monkeypatch, form):
+    """Against every earlier row, in several blocks and tiles; the bank meets no join on the concept."""
+    monkeypatch.setattr(retrieve, "BLOCK_NUMBERS", 300)
+    rnd = np.random.default_rng(5)
+    texts = ["add 2", " add 2 ", "sum 2", "sum 3", "no", None]
+    rows = [
+        (i, None if i == 7 else "big" if i % 5 else f"c{i % 3}", None if i == 11 else [0.0, 0.0] if i == 13 else rnd.normal(size=2).tolist(), texts[rnd.integers(6)], ["f", "g", None][i % 3])
+        for i in range(200)
+    ]
+    bank = spark.createDataFrame(rows, "qid long, concept_id string, embedding array<double>, text string, form string")
+    got = retrieve.repeats(bank.where("qid % 4 = 0 or qid in (7, 11, 13)"), bank, 0.85, 0.92, form)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    def tier(x, y):
+        u, v = x[2], y[2]
+        sim = np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v) if u and v and any(u) and any(v) else -2
+        known = x[3] is not None and y[3] is not None
+        same = known and [c for c in x[3] if c.isdigit()] == [c for c in y[3] if c.isdigit()]
+        if known and x[3].strip() == y[3].strip():
+            return 4
+        if sim >= 0.92 and same:
+            return 3
+        fits = not form or (known and not same and x[4] is not None and x[4] == y[4])
+        return 2 if sim >= 0.85 and fits else 1
+
+    want = {x[0]: max([tier(x, y) for y in rows if y[1] == x[1] is not None and y[0] != x[0]], default=0) for x in rows if x[0] % 4 == 0 or x[0] in (7, 11, 13)}
+    assert {r.qid: r.tier_no for r in got.collect()} == want
+
+
 def rows_for_model(spark):
     rnd = np.random.default_rng(1)
     rows = []
