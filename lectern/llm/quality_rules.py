@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 #: Buckets for words and pairs, each; what the driver sees has this size at most.
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-#: Trusted documents that the target distribution is taken from at most.
-TRUSTED_ROWS = 20_000
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.2
 
@@ -58,11 +56,11 @@ def _covered(windows: Column) -> Column:
     )
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the hashes of words and of word pairs."""
+def with_words(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, the columns ``more`` and the hashes of words and of word pairs."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
         .withColumn("word", F.transform(words, lambda w: F.xxhash64(w)))
         .withColumn("pair", _following(F.col("word"), 1))
     )
@@ -75,9 +73,11 @@ def _bucket(h: Column, buckets: int) -> Column:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[list[float]]:
     """Log-likelihood ratios of the buckets of words and of pairs.
 
-    ``trusted`` (doc_id) is of bounded size. The raw counts cover every document.
+    ``trusted`` (doc_id) may be of any size: ids and texts meet in a shuffle. The raw counts
+    cover every document, the target ones every trusted document.
     """
-    marked = with_words(docs).join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    good = trusted.select("doc_id", F.lit(1).alias("good")).hint("shuffle_hash")
+    marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left"), "good")
     one = lambda h, kind: F.transform(h, lambda x: _bucket(x, buckets) + F.lit(kind * buckets))
     counts = (
         marked.select("good", F.explode(F.concat(one(F.col("word"), 0), one(F.col("pair"), 1))).alias("bucket"))
@@ -94,10 +94,9 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, s
     return out
 
 
-def trusted_documents(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of documents rated good: those of smallest hash, ``limit`` at most."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Ids of all documents rated good."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:

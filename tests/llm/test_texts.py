@@ -220,6 +220,16 @@ def test_quality_rules(spark, sf, docs_of):
     assert sorted(map(str, ((*r[:8], round(r.score, 9) + 0.0) for r in got))) == sorted(map(str, ((*x[:8], x[8] + 0.0) for x in want)))
 
 
+def test_quality_rules_trust_every_good_document(spark):
+    """All good labels count, however many there are."""
+    labels = spark.range(30_000).selectExpr("id as doc_id", "1 as quality")
+    good = quality_rules.trusted_documents(labels)
+    assert good.count() == 30_000
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('w', id % 5) as text")
+    ratios = quality_rules.bucket_ratios(docs, good, 64)
+    assert max(abs(x) for part in ratios for x in part) < 1e-12  # every document is trusted: both distributions are one
+
+
 def test_quality_rules_without_trust(spark, docs_of):
     labels = spark.createDataFrame([(None, 1), (1, 0)], "doc_id long, quality int")
     good = quality_rules.trusted_documents(labels)
