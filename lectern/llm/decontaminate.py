@@ -25,9 +25,13 @@ from lectern.session import bounded_batches, materialise
 
 WINDOW = 10
 GRAM = 5
-#: Benchmarks of up to so many windows are sent to every task; larger ones are joined.
+#: Benchmarks of up to so many rows of benchmark_windows() are sent to every task; larger ones
+#: are joined, with the same results. A full window has up to window - k + 1 rows.
 BROADCAST_WINDOWS = 200_000
 
+#: The column of row numbers in the join.
+ROW = "_row"
+
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -174,7 +178,12 @@ def contamination(
     if windows.select("size", "hash", "item_id").limit(broadcast_windows + 1).count() <= broadcast_windows:
         index = spark.sparkContext.broadcast(Index(windows.toLocalIterator(), window, k))
         return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, index.value), _OUT)
-    return _by_join(docs, materialise(windows), window, k)
+    return _by_join(_numbered(docs.select("doc_id", "text")), materialise(windows), window, k).drop(ROW)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, written down so that it stays the same."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
@@ -182,13 +191,13 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
 
     Grams lead to candidate windows, which are confirmed against the document's own window
     hashes. Short items join on the hashes of every run of their length. Rows are told apart
-    by doc_id here: those with a null id have no hits, and repeated rows share theirs.
+    by their number (_numbered), which the report keeps.
     """
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
 
     def places(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            ids = batch.column(batch.schema.get_field_index(ROW)).to_numpy(zero_copy_only=False)
             for first, _, data, offsets in slices(text_column(batch)):
                 w = Words(data, offsets, ALNUM)
                 for size in sizes:
@@ -218,14 +227,13 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
                             pa.array(gram.view(np.int64)),
                             pa.array(full.view(np.int64)),
                         ],
-                        names=["doc_id", "at", "size", "gram", "hash"],
+                        names=[ROW, "at", "size", "gram", "hash"],
                     )
 
-    text = docs.select("doc_id", "text")
-    found = text.where("doc_id is not null").mapInArrow(places, "doc_id long, at long, size int, gram long, hash long")
+    found = docs.select(ROW, "text").mapInArrow(places, f"{ROW} long, at long, size int, gram long, hash long")
     grams = windows.select("size", F.when(F.col("size") == window, F.col("gram")).otherwise(F.col("hash")).alias("gram"), "hash", "item_id").distinct()
-    hits = found.join(grams, ["size", "gram", "hash"]).select("doc_id", "at", "size", "item_id").distinct()
-    spans = hits.groupBy("doc_id").agg(
+    hits = found.join(grams, ["size", "gram", "hash"]).select(ROW, "at", "size", "item_id").distinct()
+    spans = hits.groupBy(ROW).agg(
         F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("places"),
         F.sort_array(F.collect_set("item_id")).alias("items"),
     )
@@ -240,13 +248,13 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
             ),
         ).otherwise(F.concat(acc, F.array(F.array(p["at"], p["end"])))),
     )
-    counts = text.mapInArrow(_count_words, "doc_id long, n_words long")
+    counts = docs.select(ROW, "doc_id", "text").mapInArrow(_count_words, f"{ROW} long, doc_id long, n_words long")
     none = F.array().cast("array<string>")
     return (
-        counts.join(spans.withColumn("spans", merged), "doc_id", "left")
+        counts.join(spans.withColumn("spans", merged), ROW, "left")
         .withColumn("spans", F.coalesce("spans", F.array().cast("array<array<bigint>>")))
         .select(
-            "doc_id", "n_words",
+            ROW, "doc_id", "n_words",
             F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0]).alias("n_hit"),
             F.coalesce("items", none).alias("items"), "spans",
         )
@@ -258,8 +266,8 @@ def _count_words(batches):
         n = np.zeros(batch.num_rows, np.int64)
         for first, last, data, offsets in slices(text_column(batch)):
             n[first:last] = Words(data, offsets, ALNUM).counts
-        ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n)], names=["doc_id", "n_words"])
+        rows, ids = (batch.column(batch.schema.get_field_index(c)).cast(pa.int64()) for c in (ROW, "doc_id"))
+        yield pa.RecordBatch.from_arrays([rows, ids, pa.array(n)], names=[ROW, "doc_id", "n_words"])
 
 
 def digest(report: DataFrame) -> DataFrame:
@@ -272,18 +280,19 @@ def digest(report: DataFrame) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Documents without any hit, with the columns they came with.
 
-    Works in place on the rows, so no join on doc_id is needed while the benchmark is of
-    bounded size. Documents with a null id are kept or dropped by their text as any other.
+    Works in place on the rows while the benchmark is of bounded size, and by a join on row
+    numbers beyond. Either way each row is kept or dropped by its own text, whatever its id.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     windows = benchmark_windows(benchmark)
-    if windows.select("size", "hash", "item_id").limit(BROADCAST_WINDOWS + 1).count() > BROADCAST_WINDOWS:
-        hit = _by_join(docs, materialise(windows), WINDOW, GRAM).where("n_hit > 0")
-        return docs.join(hit.select("doc_id"), "doc_id", "left_anti")
+    if windows.select("size", "hash", "item_id").limit(broadcast_windows + 1).count() > broadcast_windows:
+        rows = _numbered(docs)
+        hit = _by_join(rows, materialise(windows), WINDOW, GRAM).where("n_hit > 0")
+        return rows.join(hit.select(ROW), ROW, "left_anti").select(*docs.columns)
     index = spark.sparkContext.broadcast(Index(windows.toLocalIterator(), WINDOW, GRAM))
 
     def clean(batches):

@@ -227,6 +227,18 @@ def test_removal_keeps_clean_rows(spark, docs_of):
     assert sorted((r.doc_id or -1) for r in decontaminate.remove_contaminated(docs_of(rows), bench).collect()) == [-1, 2]
 
 
+def test_decontamination_forms_agree(spark, docs_of):
+    """Broadcast and join judge each row by its own text: null ids, shared ids, repeated rows."""
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage), (2, "rare pair")], "item_id long, text string")
+    rows = [(1, "x " + passage), (1, "clean"), (None, "y " + passage), (None, "clean too"), (2, "a rare pair"), (2, "a rare pair"), (3, None)]
+    docs = docs_of(rows + EDGES, extra=True)
+    reports = [sorted(map(str, decontaminate.contamination(docs, bench, broadcast_windows=n).collect())) for n in (1000, 0)]
+    assert reports[0] == reports[1]
+    kept = [sorted(map(str, decontaminate.remove_contaminated(docs, bench, n).collect())) for n in (1000, 0)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3 + len(EDGES)
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_join", "op9_decontamination", "op4_line_dedup"])
 def test_queries_on_the_small_table(spark, sf, name):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
