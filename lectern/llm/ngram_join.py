@@ -398,8 +398,8 @@ def _block_links(block: list[tuple], percent: int) -> list[tuple]:
     return links
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _prepared(docs: DataFrame, k: int, percent: int, bits: int):
+    """The shingle counts, sent to all tasks; profiles of rows; classes; and (token, doc_id, pivot a) of shared prefix shingles."""
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = spark.sparkContext.broadcast(shingle_counts(docs, k, bits))
@@ -416,7 +416,15 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
         .withColumn("next", F.lead("doc_id").over(by_token))
         .where("doc_id <> a or next is not null").select("token", "doc_id", "a")
     )
-    led = materialise(led)
+    return counts, profile, classes, materialise(led)
+
+
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Only links that connect components are looked for; all_links() gives every one.
+    """
+    counts, profile, classes, led = _prepared(docs, k, percent, bits)
     outlines = classes.select("doc_id", "n", "outline")
     # Each class is tried with the pivot that leads most of its shingles, so there is one pair a class.
     shared = led.where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("s"))
@@ -442,6 +450,37 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     )
 
 
+def all_links(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """Every link: (a, b) with a < b of class representatives, and the membership (doc_id, n_shingles, class_id, n_links) of rows.
+
+    Documents of one class have equal sets and link with each other. A document links with
+    each other document of its own class and of the classes that its class links to; n_links
+    counts these documents, each doc_id once. Rows without words or id have a null class and
+    no links. The number of links grows with the square of a group of near copies.
+    """
+    counts, profile, classes, led = _prepared(docs, k, percent, bits)
+    outlines = classes.select("doc_id", "n", "outline")
+    alone = docs.sparkSession.createDataFrame([], "node long, component long")
+    single = docs.sparkSession.createDataFrame([], "key long, doc_id long")
+    # Each class is its own component and family, so every pair under one shingle counts as open.
+    pairs = materialise(_across(led.select(F.col("token").alias("key"), "doc_id"), single, alone, outlines, percent))
+    links = materialise(compare(docs, pairs, k, percent, counts, bits))
+    rows = profile.where("n > 0 and doc_id is not null").select("cls", "doc_id").distinct()
+    sizes = materialise(rows.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")))
+    size = sizes.select(F.col("class_id").alias("b"), "size")
+    both = links.union(links.select("b", "a"))
+    outside = both.join(size, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("outside"))
+    per_class = sizes.join(outside, "class_id", "left").select(
+        "cls", "class_id", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links")
+    )
+    named = F.col("doc_id").isNotNull()
+    members = profile.join(per_class, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(named, F.col("class_id")).alias("class_id"),
+        F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
+    )
+    return links, members
+
+
 def _promising(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose outlines don't rule a link out."""
     side = lambda c: outlines.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("outline").alias(f"{c}_o"))

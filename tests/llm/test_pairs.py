@@ -54,6 +54,31 @@ def corpus(seed, n=60):
     return rows
 
 
+@pytest.mark.parametrize("k,percent", [(4, 85), (2, 60)])
+def test_all_links(docs_of, k, percent):
+    """Every link between different sets, also inside a component, and the links of each document."""
+    base = [f"w{i}" for i in range(200)]
+    clump = [(100 + i, " ".join([*base[: 15 * i], f"v{i}", *base[15 * i + 1 :]])) for i in range(12)]
+    rows = corpus(k) + clump + EDGES
+    links, members = ngram_join.all_links(docs_of(rows), k, percent, bits=12)
+    sets = {i: shingles(t, k) for i, t in rows if i is not None}
+    head = {}
+    for i in sorted(sets):
+        if sets[i]:
+            head.setdefault(frozenset(sets[i]), i)
+    heads = sorted(head.values())
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    want = {(a, b) for n, a in enumerate(heads) for b in heads[n + 1 :] if near(sets[a], sets[b])}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > len({x for pair in want for x in pair})  # more than a forest: links within components are there
+    n_links = {i: sum(near(x, y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+    found = members.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.class_id, r.n_links) == ((head.get(frozenset(sets[r.doc_id])), n_links[r.doc_id]) if r.doc_id is not None else (None, 0))
+
+
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80), (2, 60)])
 def test_similar_documents(docs_of, k, percent):
     rows = corpus(k) + EDGES
