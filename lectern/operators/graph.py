@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import materialise
+from lectern.session import discard, materialise
 
 
-def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
     """One row (node, component) per node of ``edges``; component is the smallest node reachable.
 
     Each round links every node's larger neighbours, then its smaller ones, to the
     smallest node next to it. Rows per round never exceed a few times the edges, and the
     number of rounds grows with the logarithm of the longest path. Null ends and self
-    loops are ignored; repeated edges count once; no edges give no rows.
+    loops are ignored; repeated edges count once; no edges give no rows. Raises if the rounds
+    run out before the labels are settled.
     """
     pairs = (
         edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
@@ -23,7 +24,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         .distinct()
     )
     pairs = materialise(pairs)
-    before = _mark(pairs)
+    before, settled = _mark(pairs), False
     for _ in range(max_rounds):
         both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(pairs.select("hi", "lo"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -37,11 +38,15 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
             .where("lo <> hi")
             .distinct()
         )
-        pairs = materialise(small)
+        last, pairs = pairs, materialise(small)
+        discard(last)
         now = _mark(pairs)
-        if now == before:
+        settled = now == before
+        if settled:
             break
         before = now
+    if not settled:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         pairs.select("lo", "lo").distinct()
     )
