@@ -10,16 +10,18 @@ shingles in a table of fixed size. Documents with equal sets form a class, whose
 doc_id stands for it. Linked classes share one of their first n - ceil(percent n / 100) + 1
 shingles (their prefix), so each class is posted under its prefix only. Within a shingle's
 postings the smallest class is the pivot, and each class is compared with its commonest
-pivot first; what these links don't connect is then compared pair by pair, but only between different components. Outlines (counts of a set's
-shingles by parts of the hash range) bound overlaps from above and rule out most pairs
-before any set is moved. Comparisons run pivot by
-pivot over a trie of the other sets, in the reverse order so that near copies share long
-paths: a partial overlap is computed once for all sets below a node, and a subtree is left
-when even its remaining length can't reach the threshold.
+pivot first; what these links don't connect is then compared pair by pair, but only between
+different components. Outlines (counts of a set's shingles by parts of the hash range)
+bound overlaps from above and rule out most pairs before any set is moved. Comparisons run
+pivot by pivot over a trie of the other sets, in the reverse order so that near copies
+share long paths: a partial overlap is computed once for all sets below a node, and a
+subtree is left when even its remaining length can't reach the threshold.
 
 Texts that are null or have no words have an empty set and link with nothing. Rows with a
-null doc_id take no part (null component). Repeated rows each get a row, in one class.
-An empty table gives no rows; further columns are ignored.
+null doc_id take no part (null component). Every row is judged by its own text: repeated
+rows are in one class, and where texts differ under one doc_id, the rows are told apart by
+numbers of their own, and their component is still the smallest doc_id reachable. An empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +39,16 @@ from pyspark.sql import functions as F
 from lectern.llm.bitmap import bitmap_of, holds
 from lectern.llm.words import SPACED, U64, Words, slices, text_column
 from lectern.operators.graph import components
-from lectern.session import bounded_batches, materialise
+from lectern.session import bounded_batches, discard, free_names, materialise
 
 #: Cells of the shingle counts that give the global order: 4 bytes each, whatever the corpus.
 SKETCH_BITS = 20
 #: Sets compared with a pivot in one task; more are split over tasks.
-SETS_PER_PIVOT = 512
+SETS_PER_PIVOT = 256
+#: Shingles whose cell counts more than this, and more than CROWDED times the mean cell, may have
+#: postings too many for one task and find their pivot by aggregation instead of in a sorted run.
+HOT_CELL = 100_000
+CROWDED = 4
 #: Sets in one trie.
 TRIE_SETS = 256
 #: Members of a group whose outlines are compared in one task, with as many others.
@@ -111,25 +117,35 @@ def needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def profiles(docs: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row: doc_id, n_shingles, the class of its set, and the set's prefix in the global order."""
+def profiles(docs: DataFrame, k: int, percent: int, counts, bits: int = SKETCH_BITS, hot: int = HOT_CELL) -> DataFrame:
+    """Per row: doc_id, n_shingles, the class of its set, and the set's prefix in the global order.
+
+    The prefix is in two parts; ``crowd`` holds the shingles that may be in very many sets.
+    """
 
     def profile(batches):
+        limit = max(hot, CROWDED * int(counts.value.mean()))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
             for i, s in shingle_sets(text_column(batch), k):
                 n = len(s)
                 if not n:
-                    rows.append((ids[i], 0, None, [], None))
+                    rows.append((ids[i], 0, None, [], [], None))
                     continue
-                rare = np.argsort(counts.value[(s >> U64(64 - bits)).astype(np.int64)], kind="stable")
-                prefix = s[rare[: n - needed(n, percent) + 1]].view(np.int64)
+                often = counts.value[(s >> U64(64 - bits)).astype(np.int64)]
+                rare = np.argsort(often, kind="stable")[: n - needed(n, percent) + 1]
+                prefix, crowded = s[rare].view(np.int64), often[rare] > limit
                 cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                rows.append((ids[i], n, cls, prefix, outline(s)))
-            yield _rows(rows, ["doc_id", "n", "cls", "prefix", "outline"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n long, cls long, prefix array<bigint>, outline binary")
+                rows.append((ids[i], n, cls, prefix[~crowded], prefix[crowded], outline(s)))
+            yield _rows(
+                rows, ["doc_id", "n", "cls", "prefix", "crowd", "outline"],
+                [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        profile, "doc_id long, n long, cls long, prefix array<bigint>, crowd array<bigint>, outline binary"
+    )
 
 
 def outline(s: np.ndarray) -> bytes:
@@ -253,7 +269,7 @@ class _Node:
 def _with_sets(docs: DataFrame, wants: DataFrame, k: int, counts, bits: int) -> DataFrame:
     """The sets, commonest shingle first, of the rows (doc_id, key, p, q, own, label) of ``wants``, one task's rows together.
 
-    Texts of needed documents only are moved.
+    Texts of needed documents only are moved; where a doc_id repeats in ``docs`` its texts are equal.
     """
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(wants.select("doc_id")))
 
@@ -398,15 +414,15 @@ def _block_links(block: list[tuple], percent: int) -> list[tuple]:
     return links
 
 
-def _prepared(docs: DataFrame, k: int, percent: int, bits: int):
+def _prepared(docs: DataFrame, k: int, percent: int, bits: int, hot: int):
     """The shingle counts, sent to all tasks; profiles of rows; classes; and (token, doc_id, pivot a) of shared prefix shingles."""
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = spark.sparkContext.broadcast(shingle_counts(docs, k, bits))
-    profile = materialise(profiles(docs, k, percent, counts, bits))
+    profile = materialise(profiles(docs, k, percent, counts, bits, hot))
     classes = (
         profile.where("n > 0 and doc_id is not null").groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "n", "prefix", "outline")).alias("one")).select("one.*")
+        .agg(F.min(F.struct("doc_id", "n", "prefix", "crowd", "outline")).alias("one")).select("one.*")
     )
     classes = materialise(classes)
     by_token = W.partitionBy("token").orderBy("doc_id")
@@ -416,15 +432,60 @@ def _prepared(docs: DataFrame, k: int, percent: int, bits: int):
         .withColumn("next", F.lead("doc_id").over(by_token))
         .where("doc_id <> a or next is not null").select("token", "doc_id", "a")
     )
+    # A shingle of very many sets: its pivot is a minimum that tasks work out in part, and the join splits.
+    crowd = classes.where(F.size("crowd") > 0).select(F.explode("crowd").alias("token"), "doc_id")
+    if not crowd.isEmpty():
+        pivots = crowd.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("sets")).where("sets > 1").select("token", "a")
+        led = led.unionByName(crowd.join(pivots, "token").select("token", "doc_id", "a"))
     return counts, profile, classes, materialise(led)
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
+#: The number of a row where doc_ids repeat.
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame, differing: bool = False) -> tuple[DataFrame, str] | None:
+    """``docs`` with a written number for each row and that column's name, if a doc_id repeats (with ``differing`` texts), else None."""
+    named = docs.where("doc_id is not null").groupBy("doc_id")
+    if named.count().where("count > 1").isEmpty():
+        return None
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    if differing and named.agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").isEmpty():
+        return None
+    (row,) = free_names(docs.columns, ROW)
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _by_number(rows: DataFrame, row: str) -> DataFrame:
+    """doc_id and text with the number in place of each doc_id that isn't null."""
+    return rows.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), "text")
+
+
+def _heads(rows: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles and component (number), least (doc_id, row) of the component, of numbered rows with an id."""
+    named = found.where("doc_id is not null").select(F.col("doc_id").alias(row), "n_shingles", F.col("component_id").alias("_component"))
+    placed = materialise(named.join(rows.where("doc_id is not null").select(row, F.col("doc_id").cast("long").alias("doc_id")), row))
+    least = placed.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))).alias("_least"))
+    return placed.join(least, "_component")
+
+
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS, hot: int = HOT_CELL) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Only links that connect components are looked for; all_links() gives every one.
     """
-    counts, profile, classes, led = _prepared(docs, k, percent, bits)
+    numbered = _numbered(docs)
+    if numbered is None:
+        return _similar(docs, k, percent, bits, hot)
+    rows, row = numbered
+    found = materialise(_similar(_by_number(rows, row), k, percent, bits, hot))
+    named = _heads(rows, row, found).select("doc_id", "n_shingles", F.col("_least.doc_id").alias("component_id"))
+    return named.unionByName(found.where("doc_id is null"))
+
+
+def _similar(docs: DataFrame, k: int, percent: int, bits: int, hot: int) -> DataFrame:
+    """similar_documents() where no doc_id repeats."""
+    counts, profile, classes, led = _prepared(docs, k, percent, bits, hot)
     outlines = classes.select("doc_id", "n", "outline")
     # Each class is tried with the pivot that leads most of its shingles, so there is one pair a class.
     shared = led.where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("s"))
@@ -442,6 +503,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
         links = links.union(materialise(compare(docs, rest, k, percent, counts, bits)))
     if not (near.isEmpty() and rest.isEmpty()):
         labels = components(links)
+    discard(classes, led, chosen, near, rest)
     heads = profile.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"))
     found = heads.join(labels, heads["head"] == labels["node"], "left").select("cls", F.coalesce("component", "head").alias("component"))
     return profile.join(found, "cls", "left").select(
@@ -450,15 +512,30 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     )
 
 
-def all_links(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+def all_links(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH_BITS, hot: int = HOT_CELL) -> tuple[DataFrame, DataFrame]:
     """Every link: (a, b) with a < b of class representatives, and the membership (doc_id, n_shingles, class_id, n_links) of rows.
 
     Documents of one class have equal sets and link with each other. A document links with
     each other document of its own class and of the classes that its class links to; n_links
     counts these documents, each doc_id once. Rows without words or id have a null class and
     no links. The number of links grows with the square of a group of near copies.
+
+    Where a doc_id repeats with differing texts, each row counts as a document of its own:
+    a, b and class_id are then numbers of rows, and n_links counts rows.
     """
-    counts, profile, classes, led = _prepared(docs, k, percent, bits)
+    numbered = _numbered(docs, differing=True)
+    if numbered is None:
+        return _all_links(docs, k, percent, bits, hot)
+    rows, row = numbered
+    links, found = _all_links(_by_number(rows, row), k, percent, bits, hot)
+    ids = rows.where("doc_id is not null").select(F.col(row).alias("_number"), F.col("doc_id").cast("long").alias("id"))
+    named = found.join(ids, F.col("doc_id") == F.col("_number")).select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "n_links")
+    return links, named.unionByName(found.where("doc_id is null"))
+
+
+def _all_links(docs: DataFrame, k: int, percent: int, bits: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """all_links() where no doc_id has two texts."""
+    counts, profile, classes, led = _prepared(docs, k, percent, bits, hot)
     outlines = classes.select("doc_id", "n", "outline")
     alone = docs.sparkSession.createDataFrame([], "node long, component long")
     single = docs.sparkSession.createDataFrame([], "key long, doc_id long")
@@ -577,11 +654,12 @@ def _open_pairs(group: list[tuple], crossing: bool, percent: int):
         shelf.sort()
         made[b] = *(np.array([g[c] for g in shelf]) for c in range(5)), np.stack([_parts(g[5]) for g in shelf])
     for b, (n, ids, label, own, kin, x) in made.items():
-        for other in (b, b + 1):
-            if other not in made:
-                continue
-            m, y_ids, y_label, y_own, y_kin, y = made[other]
-            y_rows = _fold(y) if other != b else y
+        for other in sorted(c for c in made if c >= b):
+            m, y_ids, y_label, y_own, y_kin, y_rows = made[other]
+            if 100 * n.max() < percent * m.min():  # sizes too far apart, also for what follows
+                break
+            for _ in range(other - b):
+                y_rows = _fold(y_rows)
             for i in range(len(n)):
                 ok = (y_label != label[i]) & (y_kin != kin[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
                 if crossing:
@@ -598,12 +676,16 @@ def _open_pairs(group: list[tuple], crossing: bool, percent: int):
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that link, directly or not, to one of smaller doc_id.
 
-    Of rows that repeat a doc_id within a group one stays.
+    Rows without doc_id stay. Where a doc_id repeats, each row is judged by its own text: of
+    a group's rows of smallest doc_id one stays, and texts that link with nothing all stay.
     """
-    found = similar_documents(docs, k, percent)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    numbered = _numbered(docs)
+    if numbered is None:
+        first = _similar(docs, k, percent, SKETCH_BITS, HOT_CELL).where("doc_id = component_id").select("doc_id")
+        named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+        return named.unionByName(docs.where("doc_id is null"))
+    rows, row = numbered
+    found = materialise(_similar(_by_number(rows, row), k, percent, SKETCH_BITS, HOT_CELL))
+    heads = _heads(rows, row, found).where(F.col("_least.row") == F.col(row)).select(row)
+    named = rows.join(heads, row, "left_semi").select(*docs.columns)
+    return named.unionByName(rows.where("doc_id is null").select(*docs.columns))

@@ -54,7 +54,7 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (2, 60)])
+@pytest.mark.parametrize("k,percent", [(2, 60)])
 def test_all_links(docs_of, k, percent):
     """Every link between different sets, also inside a component, and the links of each document."""
     base = [f"w{i}" for i in range(200)]
@@ -79,10 +79,66 @@ def test_all_links(docs_of, k, percent):
         assert (r.class_id, r.n_links) == ((head.get(frozenset(sets[r.doc_id])), n_links[r.doc_id]) if r.doc_id is not None else (None, 0))
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80), (2, 60)])
-def test_similar_documents(docs_of, k, percent):
+def test_all_links_of_repeated_ids(docs_of):
+    """Two texts under one id are two documents, named by the numbers of their rows."""
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, "some other words that stand alone here"), (2, text + " i"), (2, text), (None, text), (3, None)]
+    links, members = ngram_join.all_links(docs_of(rows), 2, 60, bits=12)
+    pairs, found = links.collect(), members.collect()
+    assert len(pairs) == 1 and len(found) == len(rows)
+    assert sorted((r.doc_id or 0, r.n_links, r.class_id is None) for r in found) == [(0, 0, True), (1, 0, False), (1, 2, False), (2, 2, False), (2, 2, False), (3, 0, True)]
+
+
+@pytest.mark.parametrize("percent", [35, 80])
+def test_repeated_ids_with_differing_texts(docs_of, percent):
+    """Each row is judged by its own text; the component is the smallest id that links reach."""
+    rows = [(i % 40, t) for i, t in corpus(7, 80)] + EDGES + [(3, None), (3, "")]
+    sets = [(i, shingles(t, 3)) for i, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for b, (j, y) in enumerate(sets[:a]):
+            if None not in (i, j) and x and y and 100 * len(x & y) >= percent * len(x | y):
+                up[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(a)] = min(least.get(find(a), 1 << 60), i)
+    want = sorted(str((i, len(x), None if i is None else least[find(a)])) for a, (i, x) in enumerate(sets))
+    got = ngram_join.similar_documents(docs_of(rows, extra=True), 3, percent, bits=12, hot=4).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    kept = ngram_join.keep_first(docs_of(rows, extra=True), 3, percent)
+    groups_ = {find(a) for a, (i, _) in enumerate(sets) if i is not None}
+    assert kept.count() == len(groups_) + sum(i is None for i, _ in rows)
+    assert {(r.doc_id, r.text) for r in kept.collect()} <= set(rows)
+
+
+@pytest.mark.parametrize("percent", [20, 30, 45])
+def test_open_pairs_at_low_thresholds(percent):
+    """Sets whose sizes differ much still meet, whatever shelf their outlines are on."""
+    import numpy as np
+
+    rnd = np.random.default_rng(percent)
+    base = np.unique(rnd.integers(0, 1 << 63, 900).astype(np.uint64))
+    sets = [np.sort(rnd.choice(base, n, replace=False)) for n in (900, 700, 450, 300, 220, 200, 150, 90, 60, 30, 12)]
+    group = [(len(s), i, i, 0, i, ngram_join.outline(s)) for i, s in enumerate(sets)]
+    found = set(ngram_join._open_pairs(group, False, percent))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                assert (j, i) in found
+
+
+@pytest.mark.parametrize("k,percent,hot", [(4, 85, ngram_join.HOT_CELL), (5, 80, 3), (3, 20, 3)])
+def test_similar_documents(docs_of, k, percent, hot):
     rows = corpus(k) + EDGES
-    got = ngram_join.similar_documents(docs_of(rows, extra=True), k, percent, bits=12).collect()
+    got = ngram_join.similar_documents(docs_of(rows, extra=True), k, percent, bits=12, hot=hot).collect()
     want = groups(rows, k, percent)
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
