@@ -1,8 +1,9 @@
 """Line deduplication over a corpus by deletion neighbourhoods.
 
 A line (trimmed of ASCII white space) goes when the corpus has an earlier line, by doc_id
-and line number, that is equal or, for lines of MIN_CHARS code points or more, at most one
-edit away (a code point changed, added or dropped). The earliest line always stays.
+and line number, that is equal or, for lines of ``min_chars`` code points or more, at most
+one edit away (a code point changed, added or dropped). The earliest line always stays: of
+lines that tie, that of the smallest doc_id and line number.
 
 Lines are known by 64-bit hashes. Two lines one edit apart agree outside one quarter, so
 lines first meet under the hash of all but a quarter. Those that meet another line there
@@ -14,7 +15,8 @@ distance of each line and that neighbour is then verified on the texts.
 Blank lines are never compared and stay where they are. Null texts have no lines. Rows with
 a null doc_id are not compared and stay whole. Repeated rows have the same line numbers, so
 they are changed alike. Documents that lose every non-blank line can be told by n_left = 0.
-An empty table gives no rows.
+An empty table gives no rows. Other columns stay as they are, whatever their names, but for
+columns named like the three counts, which deduplicate() replaces.
 """
 
 from __future__ import annotations
@@ -28,16 +30,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bitmap import bitmap_of, holds
 from lectern.llm.words import text_column
-from lectern.session import bounded_batches, materialise
+from lectern.session import bounded_batches, discard, free_names, materialise
 
-#: Shorter lines must be equal: one edit makes another word of them.
+#: Shorter lines must be equal, as one edit makes another word of them; 1 compares lines of any length.
 MIN_CHARS = 16
 QUARTERS = 4
 _STRIP = " \t\n\x0b\f\r"
 
 
-def _hash(text: str, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode(), seed) - (1 << 63)
+def _hash(text: str, mark: int) -> int:
+    """The mark is hashed as text: seeds of the hash function don't keep short texts apart."""
+    return xxhash.xxh3_64_intdigest(b"%d\n" % mark + text.encode()) - (1 << 63)
 
 
 def line_key(line: str) -> int:
@@ -45,22 +48,22 @@ def line_key(line: str) -> int:
 
 
 def _meeting_key(line: str, j: int, short: int) -> int:
-    """The seed tells quarter and length, so it also tells where the two parts meet."""
+    """The mark tells quarter and length, so it also tells where the two parts meet."""
     a, b = j * short // QUARTERS, (j + 1) * short // QUARTERS
     return _hash(line[:a] + line[len(line) - (short - b) :], short * QUARTERS + j)
 
 
-def meeting_keys(line: str) -> list[int]:
+def meeting_keys(line: str, min_chars: int = MIN_CHARS) -> list[int]:
     """Hashes of all but one quarter, as the longer or the shorter of a pair."""
     n = len(line)
-    return [_meeting_key(line, j, short) for short in (n, n - 1) if short >= MIN_CHARS for j in range(QUARTERS)]
+    return [_meeting_key(line, j, short) for short in (n, n - 1) if short >= max(1, min_chars) for j in range(QUARTERS)]
 
 
-#: Seeds of whole lines, apart from those of masked places.
+#: Mark of whole lines, apart from those of masked places.
 _WHOLE = 1 << 40
 
 
-def variant_keys(line: str, met: set[int]) -> list[tuple[int, int]]:
+def variant_keys(line: str, met: set[int], min_chars: int = MIN_CHARS) -> list[tuple[int, int]]:
     """(key, role) of the line's variants in quarters where it met others.
 
     Role 0: a place is masked; equal keys are one change apart. Role 1: the whole line;
@@ -68,7 +71,7 @@ def variant_keys(line: str, met: set[int]) -> list[tuple[int, int]]:
     """
     n, out = len(line), set()
     for short in (n, n - 1):
-        if short < MIN_CHARS:
+        if short < max(1, min_chars):
             continue
         for j in range(QUARTERS):
             if _meeting_key(line, j, short) not in met:
@@ -82,7 +85,7 @@ def variant_keys(line: str, met: set[int]) -> list[tuple[int, int]]:
     return list(out)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """key, doc_id, line and the meeting keys of every non-blank line."""
 
     def split(batches):
@@ -94,7 +97,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 for i, raw in enumerate(text.split("\n")):
                     line = raw.strip(_STRIP)
                     if line:
-                        rows.append((line_key(line), doc_id, i, meeting_keys(line)))
+                        rows.append((line_key(line), doc_id, i, meeting_keys(line, min_chars)))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -109,7 +112,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(split, "key long, doc_id long, line int, meets array<bigint>")
 
 
-def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def _near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     """key, near: the earliest place of a line one edit away, for lines that have one.
 
     ``firsts`` has key, first (doc_id, line) and meets of each distinct line.
@@ -126,7 +129,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             for text in text_column(batch).to_pylist():
                 for raw in text.split("\n"):
                     line = raw.strip(_STRIP)
-                    if len(line) >= MIN_CHARS:
+                    if len(line) >= min_chars:
                         keys.append(line_key(line))
                         lines.append(line)
             keep = holds(wanted.value, np.array(keys, dtype=np.int64)) if keys else np.zeros(0, dtype=bool)
@@ -141,7 +144,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, met_, text, first in zip(*(batch.column(c).to_pylist() for c in ("key", "met", "text", "first")), strict=True):
-                rows += [(v, r, key, first["doc_id"], first["line"]) for v, r in variant_keys(text, set(met_))]
+                rows += [(v, r, key, first["doc_id"], first["line"]) for v, r in variant_keys(text, set(met_), min_chars)]
                 if len(rows) > 50_000:
                     yield out(rows)
                     rows = []
@@ -170,35 +173,57 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return checked.select("key", F.struct("near.doc_id", "near.line").alias("near"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and line of every line that an earlier one makes redundant."""
     bounded_batches(docs.sparkSession, 1000)
-    lines = materialise(lines_of(docs))
+    lines = materialise(lines_of(docs, min_chars))
     place = F.struct("doc_id", "line")
     firsts = materialise(
         lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "meets")).alias("one"), F.count("*").alias("n"))
         .select("key", F.struct("one.doc_id", "one.line").alias("first"), "n", "one.meets")
     )
-    near = materialise(_near_lines(docs, firsts))
+    near = materialise(_near_lines(docs, firsts, min_chars))
     stays = (
         firsts.select("key", "first", "n").join(near, "key", "left").where("n > 1 or near is not null")
         .select("key", F.least("first", F.coalesce("near", "first")).alias("earliest"))
     )
-    return lines.select("key", "doc_id", "line").join(stays, "key").where(F.col("earliest") < place).select("doc_id", "line")
+    gone = materialise(lines.select("key", "doc_id", "line").join(stays, "key").where(F.col("earliest") < place).select("doc_id", "line"))
+    discard(lines, firsts, near)
+    return gone
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, min_chars: int, counts: list[str]) -> DataFrame:
+    """``docs`` without redundant lines, and the columns ``counts``: non-blank lines, removed ones, those left."""
+    gone, doc_id, old = free_names([*docs.columns, *counts], "_gone", "_id", "_old")
+    places = removed_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("doc_id", doc_id)
+    # The places that are left, by set difference, so work is linear in the lines; F.transform names the lines once.
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone))
+    kept = F.transform(F.array(F.split(old, "\n")), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))[0]
+    solid = F.regexp_count(F.coalesce(old, F.lit("")), F.lit(r"(?md)^[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]")).cast("long")
+    removed = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    joined = docs.withColumnRenamed("text", old).join(places, F.col("doc_id") == F.col(doc_id), "left")
+    text = F.when(F.col(gone).isNull(), F.col(old)).otherwise(kept).alias("text")
+    columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    n_lines, n_removed, n_left = counts
+    return joined.select(*columns, solid.alias(n_lines), removed.alias(n_removed)).withColumn(n_left, F.col(n_lines) - F.col(n_removed))
+
+
+COUNTS = ["n_lines", "n_removed", "n_left"]
+
+
+def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with redundant lines taken out of text, and n_lines, n_removed and n_left (non-blank lines)."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    solid = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?md)^[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]")).cast("long")
-    joined = docs.alias("d").join(gone.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id") == F.col("_id"), "left")
-    columns = [c for c in docs.columns if c != "text"]
-    return (
-        joined.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n")))
-        .select(
-            *(F.col(f"d.`{c}`") for c in columns), F.col("_new").alias("text"),
-            solid(F.col("d.text")).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        )
-        .withColumn("n_left", F.col("n_lines") - F.col("n_removed"))
-    )
+    others = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in COUNTS])
+    return _without(others, min_chars, COUNTS)
+
+
+def drop_repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs``, with the columns they came with, without redundant lines and without documents that these leave empty.
+
+    A document that had no lines stays. A column n_chars follows the text where it changes.
+    """
+    n_lines, n_removed, n_left = free_names(docs.columns, *COUNTS)
+    done = _without(docs, min_chars, [n_lines, n_removed, n_left]).where((F.col(n_removed) == 0) | (F.col(n_left) > 0))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*[f"`{c}`" for c in docs.columns])

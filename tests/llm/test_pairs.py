@@ -216,11 +216,11 @@ def near(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def redundant(rows):
+def redundant(rows, min_chars=line_dedup.MIN_CHARS):
     lines = sorted({(d, i, x.strip(line_dedup._STRIP)) for d, t in rows if d is not None for i, x in enumerate((t or "").split("\n")) if x.strip(line_dedup._STRIP)})
     out, seen = set(), []
     for d, i, x in lines:
-        if any(y == x and at != (d, i) or (min(len(x), len(y)) >= line_dedup.MIN_CHARS and at != (d, i) and near(x, y)) for at, y in seen):
+        if any(y == x and at != (d, i) or (min(len(x), len(y)) >= min_chars and at != (d, i) and near(x, y)) for at, y in seen):
             out.add((d, i))
         seen.append(((d, i), x))
     return out
@@ -251,6 +251,33 @@ def test_line_dedup(docs_of):
     assert {r.text for r in made if r.doc_id is None} == {"null id text here"}
 
 
+@pytest.mark.parametrize("min_chars", [1, 5])
+def test_short_lines(docs_of, min_chars):
+    rnd = random.Random(min_chars)
+    rows = [(i, "\n".join("".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(0, 7))) for _ in range(4))) for i in range(60)]
+    got = {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs_of(rows), min_chars).collect()}
+    assert got == redundant(rows, min_chars) and got
+
+
+def test_ties_and_emptied_documents(docs_of):
+    line = "a line that is long enough"
+    rows = [(2, line + "x\n" + line + "y"), (1, line + "z\n\nother text"), (3, line), (4, None), (5, "\n"), (None, line)]
+    kept = {r.doc_id: r.text for r in line_dedup.drop_repeated(docs_of(rows, extra=True)).collect()}
+    assert kept == {1: line + "z\n\nother text", 4: None, 5: "\n", None: line}
+    df = docs_of(rows, extra=True)
+    assert line_dedup.drop_repeated(df).columns == df.columns
+
+
+def test_very_long_text_of_lines(docs_of):
+    """Removal is linear in the lines of a document."""
+    import time
+
+    rows = [(1, "\n".join(f"line number {i * i} of a long text" for i in range(30_000))), (2, "\n".join(f"line number {i * i} of a long text" for i in range(0, 60_000, 2)))]
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.deduplicate(docs_of(rows)).collect()}
+    assert got[1].n_lines == got[2].n_lines == 30_000 and got[2].n_removed >= 15_000 and time.time() - began < 120
+
+
 def test_bitmap(spark):
     import numpy as np
 
