@@ -9,7 +9,6 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, line_dedup, ngram_join, pieces, toxicity
 from lectern.session import materialise, table
@@ -25,10 +24,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document all of whose lines stand earlier goes; one that had no lines stays.
     """
-    done = line_dedup.deduplicate(docs).where("n_removed = 0 or n_left > 0")
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return line_dedup.drop_repeated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +50,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: The classifier, edit distances and piece ids are beyond SQL; tests compare run() with brute force.
+#: The classifier, edit distances and piece ids are beyond SQL; tests compare run() with a plain model of each stage.
 ORACLE_SQL = None
 
 
