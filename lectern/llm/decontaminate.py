@@ -9,6 +9,8 @@ Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 with fewer words than a window, but not none, is one window of its own length and is
 looked up at every word. Null and empty texts have no words and no hits; items without
 words occur nowhere; repeated rows each get a row; documents' other columns are ignored.
+Windows of items without an id are hit like others, and all such items count as one: a null
+among the items, first in their order. Items of one id count as one item, whatever their texts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.words import ALNUM, U64, Words, slices, text_column
-from lectern.session import bounded_batches, materialise
+from lectern.session import bounded_batches, free_names, materialise
 
 WINDOW = 10
 GRAM = 5
@@ -70,7 +72,7 @@ def _window_rows(batches, window, k):
                     for g in set(grams):
                         out["size"].append(size)
                         out["hash"].append(int(h.view(np.int64)))
-                        out["item_id"].append(str(ids[first + i]))
+                        out["item_id"].append(None if ids[first + i] is None else str(ids[first + i]))
                         out["gram"].append(g)
         yield pa.RecordBatch.from_pydict(
             out, schema=pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("item_id", pa.string()), ("gram", pa.int64())])
@@ -88,7 +90,7 @@ class Index:
 
     def __init__(self, rows, window, k):
         self.window, self.k = window, k
-        self.items: dict[tuple[int, int], set[str]] = {}
+        self.items: dict[tuple[int, int], set[str | None]] = {}
         grams = set()
         for r in rows:
             self.items.setdefault((r["size"], r["hash"]), set()).add(r["item_id"])
@@ -150,7 +152,7 @@ def _scan(batches, index):
                     else:
                         merged.append([at, at + size])
                 hit[first + i] = sum(b - a for a, b in merged)
-                items[first + i] = sorted(set().union(*(index.items[size, h] for _, size, h in places)))
+                items[first + i] = sorted(set().union(*(index.items[size, h] for _, size, h in places)), key=lambda x: (x is not None, x or ""))
                 spans[first + i] = merged
         yield pa.RecordBatch.from_arrays(
             [ids.cast(pa.int64()), pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
@@ -181,9 +183,9 @@ def contamination(
     return _by_join(_numbered(docs.select("doc_id", "text")), materialise(windows), window, k).drop(ROW)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
     """``docs`` with a number of its own for each row, written down so that it stays the same."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
@@ -235,8 +237,8 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
     hits = found.join(grams, ["size", "gram", "hash"]).select(ROW, "at", "size", "item_id").distinct()
     spans = hits.groupBy(ROW).agg(
         F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("places"),
-        F.sort_array(F.collect_set("item_id")).alias("items"),
-    )
+        F.sort_array(F.collect_set(F.struct("item_id"))).alias("items"),
+    ).withColumn("items", F.col("items.item_id"))
     merged = F.aggregate(
         "places",
         F.array().cast("array<array<bigint>>"),
@@ -290,9 +292,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows
     bounded_batches(spark)
     windows = benchmark_windows(benchmark)
     if windows.select("size", "hash", "item_id").limit(broadcast_windows + 1).count() > broadcast_windows:
-        rows = _numbered(docs)
-        hit = _by_join(rows, materialise(windows), WINDOW, GRAM).where("n_hit > 0")
-        return rows.join(hit.select(ROW), ROW, "left_anti").select(*docs.columns)
+        (row,) = free_names(docs.columns, ROW)
+        rows = _numbered(docs, row)
+        hit = _by_join(rows.select(F.col(row).alias(ROW), "doc_id", "text"), materialise(windows), WINDOW, GRAM).where("n_hit > 0")
+        return rows.join(hit.select(F.col(ROW).alias(row)), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
     index = spark.sparkContext.broadcast(Index(windows.toLocalIterator(), WINDOW, GRAM))
 
     def clean(batches):
