@@ -3,9 +3,10 @@
 A file holds, in ascending doc_id order, an independent zstandard frame per document (its
 ids as little-endian unsigned 32-bit integers), a skippable frame with the doc_ids, and
 the public seekable-zstandard seek table as last skippable frame: compressed size, size
-and checksum (low 32 bits of xxh64 of the content) of every frame. Any zstandard tool can
-decompress a file; a reader that wants some documents reads the table and decompresses
-only their frames.
+and checksum (low 32 bits of xxh64 of the content) of every frame. The doc_ids end with a
+checksum of themselves and of the seek table, so any damaged byte is noticed. Any
+zstandard tool can decompress a file; a reader that wants some documents reads the table
+and decompresses only their frames.
 
 A store is a folder with such files and a Parquet manifest of them (order, name, range of
 ids, documents, tokens). Tasks write under names of their own and the manifest lists the
@@ -13,15 +14,15 @@ files of the attempts that Spark committed, so retried tasks do no harm.
 
 Null texts count as empty, and each document gets the end id. A null doc_id is stored as
 the least integer and read back as null; repeated ids keep a frame each, ordered by text.
-An empty table gives a manifest without rows.
+An empty table gives a manifest without rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import bisect
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.encoder import shared_encoder
 from lectern.llm.words import slices, text_column
-from lectern.session import bounded_batches, fresh_path
+from lectern.session import bounded_batches, fresh_path, until_exit
 
 # Fixed values of the seekable format.
 SKIPPABLE_IDS = 0x184D2A50
@@ -44,8 +45,8 @@ SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 NO_ID = -(1 << 63)
-#: Files that a random read may look through; a store with more is read whole.
-MAX_FILES = 100_000
+#: Parts of the id line in which wanted ids look for their files.
+ID_SLOTS = 256
 
 _MANIFEST = "part int, file string, min_id long, max_id long, n_docs long, n_tokens long"
 
@@ -57,27 +58,29 @@ def _open(path: str):
 
 
 class FrameWriter:
-    """Writes frames one after the other; keeps only 20 bytes a document until close()."""
+    """Writes frames one after the other; keeps 24 bytes a document until close()."""
 
     def __init__(self, path: str, level: int = 3):
         self.fs, self.path = _open(path)
         self.out = self.fs.open_output_stream(self.path, compression=None)
         self.zip = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
-        self.table: list[tuple[int, int, int]] = []
-        self.ids: list[int] = []
+        self.table = array("I")  # compressed size, size, checksum of each frame
+        self.ids = array("q")
 
     def add(self, doc_id: int, content: bytes) -> None:
         frame = self.zip.compress(content)
         self.out.write(frame)
-        self.table.append((len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
+        self.table.extend((len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
         self.ids.append(doc_id)
 
     def close(self) -> None:
-        ids = zstandard.compress(np.array(self.ids, dtype="<i8").tobytes())
-        frame = struct.pack("<II", SKIPPABLE_IDS, len(ids)) + ids
+        table = np.frombuffer(self.table, dtype=np.uint32).astype("<u4").tobytes()
+        ids = zstandard.compress(np.frombuffer(self.ids, dtype=np.int64).astype("<i8").tobytes())
+        frame = struct.pack("<II", SKIPPABLE_IDS, len(ids) + 8) + ids
+        frame += struct.pack("<Q", xxhash.xxh64_intdigest(frame + table))
         self.out.write(frame)
-        self.table.append((len(frame), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
-        body = b"".join(struct.pack("<III", *x) for x in self.table) + struct.pack("<IBI", len(self.table), CHECKSUMS, SEEKABLE)
+        last = struct.pack("<III", len(frame), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)
+        body = table + last + struct.pack("<IBI", len(self.ids) + 1, CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, len(body)) + body)
         self.out.close()
 
@@ -89,13 +92,23 @@ class FrameReader:
         files, path = _open(path)
         self.file = files.open_input_file(path)
         size = self.file.size()
-        count, _, magic = struct.unpack("<IBI", self._at(size - 9, 9))
-        if magic != SEEKABLE:
-            raise ValueError(f"{path} has no seek table")
-        self.table = np.frombuffer(self._at(size - 9 - 12 * count, 12 * count), dtype="<u4").reshape(count, 3)
+        wrong = ValueError(f"{path} has no seek table, or a damaged one")
+        if size < 17:
+            raise wrong
+        count, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
+        body = 12 * count + 9
+        if (flags, magic) != (CHECKSUMS, SEEKABLE) or not count or body + 8 > size:
+            raise wrong
+        if self._at(size - body - 8, 8) != struct.pack("<II", SKIPPABLE_SEEK, body):
+            raise wrong
+        table = self._at(size - body, 12 * count)
+        self.table = np.frombuffer(table, dtype="<u4").reshape(count, 3)
         self.offsets = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
-        last = count - 1
-        self.ids = np.frombuffer(zstandard.decompress(self._at(self.offsets[last], self.table[last, 0])[8:]), dtype="<i8")
+        frame = self._at(self.offsets[-2], self.table[-1, 0]) if self.offsets[-1] + body + 8 == size else b""
+        end = struct.pack("<III", len(frame), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)
+        if len(frame) < 16 or table[-12:] != end or frame[-8:] != struct.pack("<Q", xxhash.xxh64_intdigest(frame[:-8] + table[:-12])):
+            raise wrong
+        self.ids = np.frombuffer(zstandard.decompress(frame[8:-8]), dtype="<i8")
         self.unzip = zstandard.ZstdDecompressor()
 
     def _at(self, offset, size) -> bytes:
@@ -103,8 +116,11 @@ class FrameReader:
         return self.file.read(int(size))
 
     def _content(self, i: int, frame) -> bytes:
-        content = self.unzip.decompress(frame) if self.table[i, 1] else b""
-        if xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.table[i, 2]:
+        try:
+            content = self.unzip.decompress(frame)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"frame {i} is damaged") from e
+        if len(content) != self.table[i, 1] or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.table[i, 2]:
             raise ValueError(f"frame {i} has another checksum")
         return content
 
@@ -194,22 +210,25 @@ def _documents(rows):
 
 
 def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the documents named in ``wanted`` (doc_id); other frames stay compressed."""
-    files = manifest(spark, path).select("file", "min_id", "max_id").orderBy("part").limit(MAX_FILES + 1).collect()
-    folder, names = f"{path}/files", [r["file"] for r in files]
-    ends, begins = [r["max_id"] for r in files], [r["min_id"] for r in files]
-    if len(files) > MAX_FILES:
-        return read_store(spark, path).select("doc_id", "ids").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-
-    def find(batches):
-        for batch in batches:
-            out = []
-            for doc_id in batch.column(0).to_pylist():
-                i = bisect.bisect_left(ends, doc_id) if doc_id is not None else len(ends)
-                while i < len(ends) and begins[i] <= doc_id:
-                    out.append((names[i], doc_id))
-                    i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["file", "doc_id"])
+    """doc_id and ids of the documents named in ``wanted`` (doc_id); other frames stay compressed.
+
+    An id is in one file only: the last that begins with it or a smaller one. Files and
+    wanted ids are dealt to slots of the id line, each with as many files as another, and
+    meet there in the order of ids, so neither side is collected.
+    """
+    folder = f"{path}/files"
+    files = manifest(spark, path).select("file", "min_id", "max_id")
+    bounds = sorted({int(x) for x in files.approxQuantile("min_id", [i / ID_SLOTS for i in range(1, ID_SLOTS)], 0.001)})
+    if not bounds:
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    slot = lambda c: F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col(c)))
+    begins = files.select(F.explode(F.sequence(slot("min_id"), slot("max_id"))).alias("slot"), F.col("min_id").alias("doc_id"), F.lit(0).alias("kind"), "file", "max_id")
+    ids = wanted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    none = F.lit(None)
+    ids = ids.select(slot("doc_id").alias("slot"), "doc_id", F.lit(1).alias("kind"), none.cast("string").alias("file"), none.cast("long").alias("max_id"))
+    before = W.partitionBy("slot").orderBy("doc_id", "kind")
+    last = lambda c: F.last(c, ignorenulls=True).over(before).alias(c)
+    places = begins.union(ids).select("doc_id", "kind", last("file"), last("max_id")).where("kind = 1 and doc_id <= max_id").select("file", "doc_id")
 
     def read(batches):
         reader, at = None, ""
@@ -222,11 +241,7 @@ def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
                 rows += [(doc_id, reader.frame(int(i))) for i in range(lo, hi)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["doc_id", "ids"])
 
-    return (
-        wanted.select(F.col("doc_id").cast("long")).distinct().mapInArrow(find, "file string, doc_id long")
-        .repartition("file").sortWithinPartitions("file", "doc_id")
-        .mapInArrow(read, "doc_id long, ids binary")
-    )
+    return places.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(read, "doc_id long, ids binary")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
@@ -234,4 +249,5 @@ def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 1) -> Da
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_store(docs, path, tokenizer, end_id)
+    until_exit(spark, path)
     return read_store(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -59,10 +59,36 @@ def test_damaged_frames_are_noticed(spark, docs_of, tokenizers):
     import zstandard
 
     assert zstandard.ZstdDecompressor().stream_reader(bytes(raw), read_across_frames=True).read()  # plain tools can read it
-    raw[-9 - 12 * 2 + 8] ^= 1  # the first frame's checksum
-    open(name, "wb").write(raw)
-    with pytest.raises(ValueError):
-        token_store.FrameReader(f"file://{name}").frame(0)
+    whole, target = bytes(raw), f"{folder}/damaged"
+    want = [bytes(x) for x in token_store.FrameReader(f"file://{name}").frames()]
+    for at in range(len(whole)):  # any damaged byte is noticed, wherever it is
+        for bit in (0, 3, 7):
+            bad = bytearray(whole)
+            bad[at] ^= 1 << bit
+            open(target, "wb").write(bad)
+            try:
+                reader = token_store.FrameReader(f"file://{target}")
+                same = (reader.ids.tolist(), [bytes(x) for x in reader.frames()]) == ([1], want)
+            except ValueError:
+                continue
+            assert same, (at, bit)  # bits of a frame header that no content depends on
+
+
+def test_random_reads_find_every_document(spark, docs_of, tokenizers):
+    """Ids far apart, negative and repeated ones, over many files."""
+    rows = [(i * i * (-1) ** i, f"text {i}") for i in range(80)] + [(7, "a"), (7, "b"), ((1 << 62), "far"), (None, "none")]
+    where = fresh_path(spark, "store")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    token_store.write_store(docs_of(rows).repartition(5), where, tokenizers.path("word_bpe_49k.json"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    every = {}
+    for r in token_store.read_store(spark, where).collect():
+        every.setdefault(r.doc_id, []).append(bytes(r.ids))
+    wanted = [i for i, _ in rows] + [5, -6, 1 << 61]
+    got = {}
+    for r in token_store.read_documents(spark, where, docs_of([(i, "") for i in wanted])).collect():
+        got.setdefault(r.doc_id, []).append(bytes(r.ids))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in every.items() if k is not None}
 
 
 def test_empty_store(spark, docs_of, tokenizers):
