@@ -3,16 +3,21 @@
 Every page is cut into containers, each with the generalised path of its tags and classes
 (digits in classes don't count). A container scores by the text it holds directly in
 blocks, less what stands in links; the pages of a host vote for the path of their best
-container, in Spark. Pages are then read again by their host's winning paths: a page takes
-the first of them that it has, and its own best container if it has none.
+container, in Spark. They also vote on containers whose class may or may not mean page
+furniture (related, form, search and the like): for leaving it out where half of its text
+stands in links. Pages are then read again by their host's votes: a page takes the path of
+most votes that it has (ties: the first in path order), and leaves out what most pages of
+the host want left out.
 
 Elements that never belong to an article (navigation, forms, scripts and the like, by tag,
-role or words in class and id) are left out wherever they stand. Character references are
-decoded, white space inside a block becomes one space, blocks are joined by one space.
+role or unambiguous words in class and id) are left out wherever they stand. Character
+references are decoded, white space inside a block becomes one space, blocks are joined by
+one space.
 
 Null, empty or unparsable html gives the empty text; html that ends early is read to its
 end. A page whose url names no host votes in a group of its own, with null urls. Repeated
-rows each get a row; an empty table gives none.
+rows each get a row and a vote; an empty table gives none. Other columns are ignored,
+whatever their names. Work is linear in the length of a page, also in its nesting.
 """
 
 from __future__ import annotations
@@ -22,13 +27,13 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.session import bounded_batches, materialise
 
-#: Paths that a host may choose among; votes for others fall back to the page's own best.
-PATHS_PER_HOST = 3
+#: Voted paths that are sent along with a host's pages; pages of hosts with more look their
+#: paths up by a join, with the same results.
+PATHS_IN_ROW = 64
 
 # Elements without content, elements that are dropped whole, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,55 +50,105 @@ RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title",
 CONTAINER = frozenset("article main section div body td html".split())
 #: Words in class, id or role that mark what is no article.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
-    r"nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|aside|widget\w*|related|recommend\w*|share|sharing|social|"
-    r"comments?|commentlist|replies|reply|respond|disqus|header|masthead|footer|foot|copyright|legal|login|signup|search|form|"
-    r"navigation|contentinfo|complementary|toolbar|skip\w*|hidden|tags?|byline-share)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscri\w+|"
+    r"nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|aside|widget\w*|comments?|commentlist|replies|reply|respond|disqus|"
+    r"header|masthead|footer|copyright|navigation|contentinfo|complementary|toolbar|hidden)(?:$|[\s_-])",
     re.I,
 )
-#: Words that overrule the former in the class of an element that holds the article.
+#: Words that may mean page furniture or the article's own subject: the host's pages decide.
+DOUBTFUL = re.compile(
+    r"(?:^|[\s_-])(?:related|recommend\w*|share|sharing|social|search|form|login|signup|legal|foot|skip\w*|tags?|alert|overlay|more|popular|links?)(?:$|[\s_-])", re.I
+)
+#: Words that overrule the former two in the class of an element that holds the article.
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body|text)(?:$|[\s_-])", re.I)
+#: Words that nothing overrules, and those that make no article of an element named so.
+NEVER = re.compile(r"comment|repl|\bads?\b|advert|sidebar|nav|footer|header|notice|cookie", re.I)
+OTHERS_ARTICLE = re.compile(
+    r"(?:^|\s)(?:comments?(?!-(?:open|closed|on|off|allowed|enabled))|commentlist|repl(?:y|ies)|ads?|advert\w*|sponsored|promo\w*)(?:$|[\s_-])", re.I
+)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# After an equals sign a quote opens a value; elsewhere it is a sign like others.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S
+)
+_ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_KNOWN = frozenset("class id role hidden aria-hidden style itemprop itemtype".split())
 _BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
+class Place:
+    """A container path: its last step, and the path above it; ``doubtful`` where the host decides."""
+
+    __slots__ = ("above", "step", "below", "number", "doubtful")
+
+    def __init__(self, above: Place | None, step: str, number: int, doubtful: bool):
+        self.above, self.step, self.number, self.doubtful, self.below = above, step, number, doubtful, {}
+
+    def path(self) -> str:
+        steps, at = [], self
+        while at.above is not None:
+            steps.append(at.step)
+            at = at.above
+        return "/".join(reversed(steps))
+
+
 class _Open:
-    __slots__ = ("tag", "path", "dropped", "link")
+    __slots__ = ("tag", "place", "dropped", "link")
 
-    def __init__(self, tag, path, dropped, link):
-        self.tag, self.path, self.dropped, self.link = tag, path, dropped, link
+    def __init__(self, tag, place, dropped, link):
+        self.tag, self.place, self.dropped, self.link = tag, place, dropped, link
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw and raw.strip() else {}
+    if not raw or not raw.strip():
+        return {}
+    found = {}
+    for m in _ATTR.finditer(raw):
+        if (name := m[1].lower()) in _KNOWN:
+            found.setdefault(name, html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
-    classes = sorted({_DIGITS.sub("", c).strip("-_") for c in attrs.get("class", "").lower().split()} - {""})
+    classes = sorted({_DIGITS.sub("", c).strip("-_").replace("/", "") for c in attrs.get("class", "").lower().split()} - {""})
     return ".".join([tag, *classes])
 
 
+def _words(attrs: dict[str, str]) -> str:
+    return " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", "")))
+
+
 def _is_unwanted(tag: str, attrs: dict[str, str]) -> bool:
     if tag in DROPPED:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    words = " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", "")))
-    return bool(UNWANTED.search(words)) and not (WANTED.search(words) and not re.search(r"(?i)comment|repl|\bads?\b|advert|sidebar|nav|footer|header|related|notice|cookie", words))
+    if "comment" in attrs.get("itemprop", "").lower() or attrs.get("itemtype", "").lower().rstrip("/").endswith("comment"):
+        return True
+    words = _words(attrs)
+    if tag in ("article", "main"):
+        return bool(OTHERS_ARTICLE.search(words))
+    return bool(UNWANTED.search(words)) and not (WANTED.search(words) and not NEVER.search(words))
+
 
+def _is_doubtful(tag: str, attrs: dict[str, str]) -> bool:
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    words = _words(attrs)
+    return bool(DOUBTFUL.search(words)) and not WANTED.search(words)
 
-def blocks(page: str):
-    """(container path, text, characters in links) of each block of text, in page order.
 
-    The container path names the enclosing containers from the root down; all text of
-    elements that are dropped is missing.
+def blocks(page: str) -> tuple[list[Place], list[tuple[Place, str, int]]]:
+    """The container places of a page, and (place, text, characters in links) of each block of text, in page order.
+
+    A place comes after the one above it; all text of elements that are dropped is missing.
     """
-    stack: list[_Open] = [_Open("", (), False, False)]
+    root = Place(None, "", 0, False)
+    places = [root]
+    stack: list[_Open] = [_Open("", root, False, False)]
     parts: list[str] = []
     links = 0
     at = 0
@@ -104,7 +159,7 @@ def blocks(page: str):
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((stack[-1].path, text, links))
+                out.append((stack[-1].place, text, links))
         parts, links = [], 0
 
     def add(raw):
@@ -116,15 +171,32 @@ def blocks(page: str):
                 links += len(raw.strip())
 
     def close(tag):
+        if not open_tags.get(tag):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
-                if any(x.tag in BLOCK for x in stack[i:]):
+                if any(x.tag in BLOCK for x in stack[i:]) or stack[i].place is not stack[i - 1].place:
                     flush()
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in ("article", "main", "body", "html", "table") and tag not in BLOCK:
                 return
 
+    open_tags: dict[str, int] = {}
+
+    def cut(i):
+        for x in stack[i:]:
+            open_tags[x.tag] -= 1
+        del stack[i:]
+
+    def imply(tags, limit):
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in limit:
+                return
+            if stack[i].tag in tags:
+                cut(i)
+                return
+
     size, find = len(page), _TAG.search
     while at < size:
         m = find(page, at)
@@ -146,35 +218,35 @@ def blocks(page: str):
             continue
         # Elements whose end tag may be missing.
         if tag == "li":
-            _imply(stack, ("li",), ("ul", "ol"))
+            imply(("li",), ("ul", "ol"))
         elif tag in ("td", "th", "tr"):
-            _imply(stack, ("td", "th") if tag != "tr" else ("td", "th", "tr"), ("table",))
+            imply(("td", "th") if tag != "tr" else ("td", "th", "tr"), ("table",))
         elif tag in ("dt", "dd"):
-            _imply(stack, ("dt", "dd"), ("dl",))
-        if tag in BLOCK:
+            imply(("dt", "dd"), ("dl",))
+        if tag in BLOCK and open_tags.get("p"):
             while stack[-1].tag == "p" or (stack[-1].tag not in BLOCK and _in_p(stack)):
-                stack.pop()
+                cut(len(stack) - 1)
         top = stack[-1]
         attrs = _attributes(m[3])
         dropped = top.dropped or _is_unwanted(tag, attrs)
-        path = (*top.path, _step(tag, attrs)) if tag in CONTAINER else top.path
+        place, doubtful = top.place, not dropped and tag in BLOCK and _is_doubtful(tag, attrs)
+        if tag in CONTAINER or doubtful:
+            step = _step(tag, attrs)
+            place = place.below.get((step, doubtful))
+            if place is None:
+                place = top.place.below[step, doubtful] = Place(top.place, step, len(places), doubtful)
+                places.append(place)
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}\\b", re.I).search(page, at)
             at = end.start() if end else size
-        stack.append(_Open(tag, path, dropped, top.link or tag == "a"))
+        if place is not top.place:
+            flush()
+        stack.append(_Open(tag, place, dropped, top.link or tag == "a"))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    return out
-
-
-def _imply(stack, tags, limit):
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in limit:
-            return
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
+    return places, out
 
 
 def _in_p(stack) -> bool:
@@ -186,72 +258,143 @@ def _in_p(stack) -> bool:
     return False
 
 
-def best_path(found) -> str | None:
-    """The path of the container with the most text of its own, links counted against it."""
-    score: dict[tuple, float] = {}
-    for path, text, links in found:
-        if path:
-            score[path] = score.get(path, 0.0) + len(text) - 2 * links
-    if not score:
-        return None
-    # A container also answers for what stands in containers inside it, at a discount.
-    total = dict(score)
-    for path, own in score.items():
-        for depth in range(1, len(path)):
-            if path[:depth] in total or path[depth - 1].split(".")[0] in ("article", "main"):
-                total[path[:depth]] = total.get(path[:depth], 0.0) + 0.8 * own
-    best = max(total.items(), key=lambda x: (x[1] + (50 if x[0][-1].split(".")[0] in ("article", "main") else 0), -len(x[0])))
-    return "/".join(best[0]) if best[1] > 0 else None
-
-
-def main_text(found, paths: list[str]) -> str:
-    """Text of the blocks inside the first of ``paths`` that the page has, or inside its own best."""
-    have = {"/".join(p[:i]) for p, _, _ in found for i in range(1, len(p) + 1)}
-    path = next((p for p in paths if p in have), None) or best_path(found)
-    if path is None:
-        return " ".join(t for _, t, _ in found)
-    steps = tuple(path.split("/"))
-    return " ".join(t for p, t, _ in found if p[: len(steps)] == steps)
+def _sums(places: list[Place], own: list[float]) -> list[float]:
+    """Each place's value and all those below it."""
+    total = list(own)
+    for p in reversed(places):
+        if p.above is not None:
+            total[p.above.number] += total[p.number]
+    return total
+
+
+def best_place(places: list[Place], found) -> Place | None:
+    """The container with the most text of its own, links counted against it.
+
+    A container also answers for what stands in containers inside it, at a discount.
+    """
+    own, holds = [0.0] * len(places), [False] * len(places)
+    for place, text, links in found:
+        own[place.number] += len(text) - 2 * links
+        holds[place.number] = True
+    below = _sums(places, own)
+    best, most = None, (0.0, 0)
+    depth = [0] * len(places)
+    for p in places[1:]:
+        depth[p.number] = depth[p.above.number] + 1
+        names_article = p.step.split(".")[0] in ("article", "main")
+        if not (holds[p.number] or names_article):
+            continue
+        total = own[p.number] + 0.8 * (below[p.number] - own[p.number])
+        rank = (total + 50 * names_article, -depth[p.number])
+        if total > 0 and (best is None or rank > most):
+            best, most = p, rank
+    return best
+
+
+def ballot(page: str) -> list[tuple[str, int, int]]:
+    """(path, 1 for the best container, 1 or -1 for leaving a doubtful container out or not) of a page."""
+    places, found = blocks(page)
+    out = []
+    if best := best_place(places, found):
+        out.append((best.path(), 1, 0))
+    if any(p.doubtful for p in places):
+        chars, links = [0] * len(places), [0] * len(places)
+        for place, text, linked in found:
+            chars[place.number] += len(text)
+            links[place.number] += linked
+        chars, links = _sums(places, chars), _sums(places, links)
+        out += [(p.path(), 0, 1 if 2 * links[p.number] >= chars[p.number] else -1) for p in places if p.doubtful and chars[p.number]]
+    return out
+
+
+def main_text(page: str, votes: list[tuple[str, int, int]]) -> str:
+    """Text of the blocks inside the most voted path that the page has, or inside its own best.
+
+    ``votes`` has (path, pages that found it best, pages for less pages against leaving it out).
+    """
+    places, found = blocks(page)
+    tree: dict = {}  # steps of voted paths; under "" the votes of the path that ends there
+    for path, main, side in votes:
+        at = tree
+        for step in path.split("/"):
+            at = at.setdefault(step, {})
+        at[""] = main, side
+    target, most, gone = None, 0, set()
+    node = {0: tree}
+    for p in places[1:]:
+        at = node.get(p.above.number, {}).get(p.step)
+        if at is None:
+            continue
+        node[p.number] = at
+        main, side = at.get("", (0, 0))
+        if main > most or (main and main == most and p.path() < target.path()):
+            target, most = p, main
+        if side > 0:
+            gone.add(p.number)
+    target = target or best_place(places, found)
+    inside, out = [target is None] + [False] * (len(places) - 1), [False] * len(places)
+    for p in places[1:]:
+        inside[p.number] = inside[p.above.number] or p is target or (target is not None and p.step == target.step and p.above is target.above)
+        out[p.number] = out[p.above.number] or p.number in gone
+    return " ".join(t for p, t, _ in found if inside[p.number] and not out[p.number])
 
 
 def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def host_paths(pages: DataFrame, per_host: int = PATHS_PER_HOST) -> DataFrame:
-    """host, paths: the containers that most pages of the host found best, most votes first."""
+def host_votes(pages: DataFrame) -> DataFrame:
+    """host, path, main (pages that found it best) and side (pages for leaving it out, less those against)."""
     bounded_batches(pages.sparkSession, 500)
 
     def vote(batches):
         for batch in batches:
-            path = [best_path(blocks(x)) if x else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(path, pa.string())], names=["host", "path"])
+            rows = [(h, *v) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for v in ballot(x)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "main", "side"])
 
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string").where("path is not null")
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), "path"))
-    return (
-        counts.withColumn("rank", rank).where(F.col("rank") <= per_host)
-        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("best"))
-        .select("host", F.col("best.path").alias("paths"))
-    )
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, main long, side long")
+    return votes.groupBy("host", "path").agg(F.sum("main").alias("main"), F.sum("side").alias("side")).where("main > 0 or side > 0")
 
 
-def extract(pages: DataFrame, per_host: int = PATHS_PER_HOST) -> DataFrame:
-    """Per row: page_id, url, text and n_chars."""
-    spark = pages.sparkSession
-    paths = materialise(host_paths(pages, per_host))
-    bounded_batches(spark, 500)
+_TEXT = "page_id long, url string, text string, n_chars long"
+
+
+def _read(batches):
+    """Text of rows with page_id, url, html and votes."""
+    for batch in batches:
+        rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        text = [main_text(h, [(v["path"], v["main"], v["side"]) for v in votes or []]) if h else "" for h, votes in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
+            names=["page_id", "url", "text", "n_chars"],
+        )
 
-    def read(batches):
-        for batch in batches:
-            text = [main_text(blocks(h), p or []) if h else "" for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
 
+def extract(pages: DataFrame, paths_in_row: int = PATHS_IN_ROW) -> DataFrame:
+    """Per row: page_id, url, text and n_chars."""
+    votes = materialise(host_votes(pages))
+    bounded_batches(pages.sparkSession, 500)
     whole = pages.select(F.col("page_id").cast("long"), "url", "html", host_of().alias("host"))
-    return whole.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(
-        read, "page_id long, url string, text string, n_chars long"
-    )
+    per_host = votes.groupBy("host").agg(F.count("*").alias("paths"))
+    few = votes.join(per_host.where(F.col("paths") <= paths_in_row), "host", "left_semi")
+    vote = F.collect_list(F.struct("path", "main", "side")).alias("votes")
+    many = per_host.where(F.col("paths") > paths_in_row).select("host")
+    plain = whole.join(many, "host", "left_anti").join(few.groupBy("host").agg(vote), "host", "left")
+    text = plain.select("page_id", "url", "html", "votes").mapInArrow(_read, _TEXT)
+    if many.isEmpty():
+        return text
+    # Pages of hosts with many paths ask for the votes on their own paths only.
+    rows = materialise(whole.join(many, "host", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+
+    def own_paths(batches):
+        for batch in batches:
+            out = [(row, host, p) for row, host, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if x for p in {p.path() for p in blocks(x)[0][1:]}]
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.string(), pa.string()], strict=True)], names=["row", "host", "path"])
+
+    asked = rows.select("row", "host", "html").mapInArrow(own_paths, "row long, host string, path string")
+    told = asked.join(votes, ["host", "path"]).groupBy("row").agg(vote)
+    crowded = rows.join(told, "row", "left").select("page_id", "url", "html", "votes").mapInArrow(_read, _TEXT)
+    return text.unionByName(crowded)

@@ -192,6 +192,47 @@ def test_host_vote_overrules_a_page(spark):
     assert got[9] == "w w w"
 
 
+ARTICLE = "<body><article><h1>T</h1><p>Some text of the article, long enough</p>{0}</article></body>"
+
+
+@pytest.mark.parametrize("inside,kept", [
+    ("<article class='comment'><p>a reader's opinion</p></article>", ""),
+    ("<div itemtype='https://schema.org/Comment'>a reader</div>", ""),
+    ("<p class='related-work'>Earlier work is cited here.</p>", "Earlier work is cited here."),
+    ("<div class='related'><a href='x'>one</a> <a href='y'>two</a></div>", ""),
+    ("<section class='search form'><p>How we searched and what form it took.</p></section>", "How we searched and what form it took."),
+    ("<p>see <a title=it's href=x>here</a> and it's fine</p>", "see here and it's fine"),
+    ("<p>5 > 4 <a title='x > y' href=\"a'b\">q</a></p>", "5 > 4 q"),
+    ("<div data-id='ad' data-class='comments'>plain</div>", "plain"),
+    ("<div class='cookie-notice'>We use cookies</div>", ""),
+    ("wo<span class='tag'>rd</span>", "word"),
+])
+def test_inside_an_article(spark, inside, kept):
+    page = ARTICLE.format(inside)
+    (r,) = html_text.extract(spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")).collect()
+    assert r.text == f"T Some text of the article, long enough {kept}".strip()
+
+
+def test_hosts_of_many_paths(spark):
+    """The join gives what the votes beside a page give; ties go to the first path."""
+    page = lambda c, n: f"<body><div class='{c}'><p>{'w ' * n}{c}</p></div><div class='box'><p>{'s ' * 9}</p><ul class='links'><li><a href='x'>l</a></ul></div></body>"
+    rows = [(i, f"http://h{i % 2}/", page("abcdef"[i % 6], i)) for i in range(40)] + [(None, None, page("z", 3)), (7, "http://h1/", None), (8, "http://h1/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(1)).withColumn("votes", F.lit(2))
+    texts = [sorted(map(str, html_text.extract(df, n).collect())) for n in (64, 1)]
+    assert texts[0] == texts[1] and len(texts[0]) == len(rows)
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    deep = "<div class='c'>" * 20_000 + "text" + "</div>" * 20_000
+    assert html_text.main_text(deep, html_text.ballot(deep)) == "text"
+    wide = "<body><article>" + "<p>some words here</p>" * 100_000 + "<a b=\"" * 1000
+    assert len(html_text.main_text(wide, html_text.ballot(wide))) >= 1_499_999
+    assert time.time() - began < 60
+
+
 def test_pages_table(spark, sf):
     import html
 
