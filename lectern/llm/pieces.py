@@ -2,10 +2,12 @@
 
 An Aho-Corasick automaton over all pieces reads a text once. At each position its output
 links name the pieces that end there, and each relaxes the best way to that position. In a
-unigram model the best way has the highest sum of scores. In a byte-pair model it is the
-one that merging would give: the last piece of a prefix is the one whose neighbour before
-it keeps it apart, as told by merging just these two; so the result equals the library's.
-Characters without a piece fall back to their bytes.
+unigram model the best way has the highest sum of scores. In a byte-pair model, where sums
+of scores don't tell what the library returns, the best way has the fewest faults: a piece
+is at fault if merging it with the piece before gives anything but these two, and a
+character that falls back to bytes though it needn't is one too. Merging a prefix of a text
+gives its one way without faults, so the result equals the library's. Characters without a
+piece fall back to their bytes.
 
 Texts are cut before each run of spaces, which no piece crosses (checked on load); a part
 is worked out once per worker and then known by its 64-bit hash, in a store of bounded
@@ -13,7 +15,7 @@ size. Decoding joins the pieces and drops the space put before each text.
 
 Null and empty texts have no ids. A literal word mark (U+2581) in a text decodes to a
 space, as in the library, and such texts are compared in that form. Repeated rows each get
-a row; an empty table gives none.
+a row; an empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from lectern.session import bounded_batches
 MARK = "▁"
 #: Neighbouring pieces whose merging is remembered.
 _KEPT_PAIRS = 200_000
+#: More faults than any text has characters.
+_WORST = 1 << 62
 _SPACES = separators([(0x20, 0x20)])
 _PARTS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -117,37 +121,34 @@ class Encoder:
 
     def _byte_pairs(self, text: str) -> list[int]:
         n = len(text)
-        last: list[tuple[int, int] | None] = [None] * (n + 1)  # (length, id) of the last piece; id -1: bytes
-        last[0] = (0, -1)
-        done = 0
+        # Of the best way to each position: its faults, and length and id (-1: bytes) of its last piece.
+        faults = [_WORST] * (n + 1)
+        length, last = [1] * (n + 1), [-1] * (n + 1)
+        faults[0] = done = 0
         apart = self.apart.get
-        for end, (length, i) in self.automaton.iter(text):
+        for end, (size, i) in self.automaton.iter(text):
             end += 1
-            while done < end - 1:  # nothing ended there: a character without a piece
+            while done < end - 1:  # what is behind is final; a place that no piece ends at is reached by bytes
                 done += 1
-                if last[done] is None:
-                    last[done] = (1, -1)
-            if last[end] is not None:
-                continue
-            before = last[end - length]
-            if before is None:
+                if faults[done] == _WORST:
+                    faults[done] = faults[done - 1]
+            if not faults[end]:  # no way is better
                 continue
-            ok = apart((before[1], i))
+            start = end - size
+            ok = apart((last[start], i))
             if ok is None:
-                ok = self._stay_apart(before[1], i)
-            if ok:
-                last[end] = (length, i)
-        for k in range(1, n + 1):
-            if last[k] is None:
-                last[k] = (1, -1)
+                ok = self._stay_apart(last[start], i)
+            got = faults[start] + (not ok)
+            if got < faults[end]:
+                faults[end], length[end], last[end] = got, size, i
         out, at = [], n
         while at:
-            length, i = last[at]
+            size, i = length[at], last[at]
             if i < 0:
-                out += self._fallback(text[at - length : at])[::-1]
+                out += self._fallback(text[at - size : at])[::-1]
             else:
                 out.append(i)
-            at -= length
+            at -= size
         return out[::-1]
 
     def _unigram(self, text: str) -> list[int]:

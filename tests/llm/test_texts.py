@@ -29,6 +29,26 @@ def test_word_encoder(tokenizers, limit):
         assert np.frombuffer(mine.encode(raw, np.array([0, len(raw)]))[0], "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("make", [lambda w: [["[^ ]+"], w], lambda w: [["."], w]])
+def test_other_tokenizers(tmp_path, make):
+    """A file that cuts or writes words otherwise is encoded its own way; one that keeps white space is refused."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    (cut,), words = make(["[UNK]", "The", "the", "word", "a", "b", ".", "'"])
+    tok = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    split = pre_tokenizers.Split(Regex(cut), "removed", invert=True)
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), split]) if cut != "." else split
+    tok.save(path := str(tmp_path / "tok.json"))
+    if cut == ".":
+        with pytest.raises(ValueError):
+            WordEncoder(path)
+        return
+    mine = WordEncoder(path)
+    raw = b"The word the. A b"
+    assert not mine.quick
+    assert np.frombuffer(mine.encode(raw, np.array([0, len(raw)]))[0], "<u4").tolist() == tok.encode(raw.decode(), add_special_tokens=False).ids
+
+
 def test_token_store(spark, docs_of, tokenizers):
     from tokenizers import Tokenizer
 
@@ -110,6 +130,66 @@ def test_pieces_equal_the_library(spark, docs_of, tokenizers):
     assert back == {i: t.replace("▁", " ") for i, t in enumerate(PIECE_ODD)}
 
 
+def test_pieces_over_a_whole_table(spark, sf, tokenizers):
+    """Every document of the table: the library's ids, and the text again."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.QUERIES["op5_sentencepiece"](spark, sf).collect()
+    assert len(got) == len(texts) and all(r.ids == sp.encode(texts[r.doc_id] or "") and r.round_trip for r in got)
+
+
+def test_token_ids_of_a_whole_table(spark, sf, tokenizers):
+    from tokenizers import Tokenizer
+
+    tok, start = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json")), 0
+    got = {r.doc_id: r for r in queries.QUERIES["op1_token_store"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        x = got.pop(r.doc_id)
+        assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert not got
+
+
+def test_byte_pairs_relax_to_the_way_without_faults(tokenizers):
+    """Against the plain definition: the fewest faults over all ways to cut a part."""
+    e = pieces.Encoder(pieces.Pieces.load(tokenizers.path("piece_bpe_32k.model")))
+    by = e.ids
+
+    def least(t):
+        best = {(0, -1): 0}  # (position, last piece)
+        for end in range(1, len(t) + 1):
+            for start in range(max(0, end - 16), end):
+                if (i := by.get(t[start:end])) is not None:
+                    for (at, last), f in list(best.items()):
+                        if at == start:
+                            got = f + (not e._stay_apart(last, i))
+                            best[end, i] = min(best.get((end, i), 99), got)
+        return min(f for (at, _), f in best.items() if at == len(t))
+
+    for w in ("▁internationalisation", "▁Wörterbücher", "▁1234567", "▁thethethe", "▁▁▁x", "▁aaaaaaaaaaa"):
+        ids = e.part(w)
+        assert least(w) == 0 and "".join(e.pieces.strings[i] for i in ids) == w
+        assert all(e._stay_apart(a, b) for a, b in zip([-1, *ids], ids, strict=False))
+
+
+def test_very_long_texts(spark, docs_of, tokenizers):
+    """Texts far beyond a slice, with and without spaces."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from tokenizers import Tokenizer
+
+    path, piece = tokenizers.path("word_bpe_49k.json"), tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "words and more words, " * 100_000), (2, "é" * 300_000), (3, "x1" * 150_000 + " end")]
+    df = docs_of(rows)
+    got = {r.doc_id: r for r in token_store.encode_and_read_back(df, path).collect()}
+    got_pieces = {r.doc_id: r for r in pieces.encode(df, piece).collect()}
+    tok, sp = Tokenizer.from_file(path), sentencepiece.SentencePieceProcessor(model_file=piece)
+    for i, t in rows:
+        assert got[i].n_tokens == len(tok.encode(t, add_special_tokens=False).ids) + 1
+        assert got_pieces[i].round_trip and (i != 1 or got_pieces[i].ids == sp.encode(t))
+
+
 def test_unigram_is_the_best_segmentation():
     import random
 
