@@ -17,15 +17,17 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where: Column | None = None) -> DataFrame:
     """text and label of at most ``limit`` labelled documents, those of smallest id hash.
 
-    Labels without id or value are left out; of several labels for an id the largest holds.
-    The chosen ids are bounded by ``limit``, so they are broadcast to the documents.
+    Labels without id or value are left out; of several labels for an id the largest holds,
+    of several texts the least. The chosen ids are bounded by ``limit``, so they are
+    broadcast to the documents.
     """
     rated = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if where is not None:
         rated = rated.where(where)
     one = rated.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 class Sparse:

@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams of the lower-cased UTF-8 text (4 to 8 bytes, white space
-as one sign), hashed into a fixed
-number of buckets. On a bounded sample of labelled rows the buckets' document counts per
-class give log-count ratios; the most telling buckets are kept, and a logistic regression
-is fitted on presence times ratio. Every whole text is then scored in one pass.
+Features are the distinct character n-grams of the lower-cased text (4 to 8 code points,
+white space as one sign, a space before the text), hashed into a fixed number of buckets.
+On a bounded sample of labelled rows the buckets' document counts per class give log-count
+ratios; the most telling buckets are kept (ties: the smaller bucket), and a logistic
+regression is fitted on presence times ratio. Every whole text is then scored in one pass.
 
 Null and empty texts have no n-grams and get the intercept's score. Without labels of both
-classes every score is 0.0. Repeated rows each get a row; labels, language, source and
-doc_id never enter a score.
+classes every score is 0.0. Repeated rows each get a row; an empty table gives none.
+Labels, language, source, doc_id and columns of other names never enter a score. Of several
+labels of an id the largest holds, and of several texts the least.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _PART = 1 << 16
 
 
 def slices(col: pa.Array):
-    """Short runs of texts: every byte starts an n-gram of each size."""
+    """Short runs of texts: every character starts an n-gram of each size."""
     return slices_of(col, 1 << 18)
 
 
@@ -48,16 +49,22 @@ def _distinct(found) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(data: bytes, offsets: np.ndarray):
-    """(bucket, document) arrays of the n-grams of consecutive texts, size by size."""
-    n, data = len(data), data.translate(_SPACE)
-    eight = np.ndarray((n + 1,), dtype="<u8", buffer=data + bytes(16), strides=(1,))[:n]
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    left = offsets[doc + 1] - np.arange(n)
-    for size in SIZES:
-        h = ((eight & U64((1 << 8 * size) - 1)) + U64(size)) * U64(0x9E3779B97F4A7C15)
-        h ^= h >> U64(29)
-        h *= U64(0xBF58476D1CE4E5B9)
-        yield (h >> U64(64 - BITS)).astype(np.int64), left >= size, doc
+    """(bucket, whether inside a text, document) arrays of the n-grams of consecutive UTF-8 texts, size by size."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    bounds = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]  # in code points
+    point = np.frombuffer(data.translate(_SPACE).decode().encode("utf-32-le"), dtype="<u4").astype(U64)
+    n = len(point)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    left = bounds[doc + 1] - np.arange(n)
+    padded = np.concatenate([point, np.zeros(SIZES[-1], dtype=U64)])
+    h = point
+    for size in range(2, SIZES[-1] + 1):
+        h = h * U64(0xD6E8FEB86659FD93) + padded[size - 1 : size - 1 + n]
+        if size in SIZES:
+            g = (h + U64(size)) * U64(0x9E3779B97F4A7C15)
+            g ^= g >> U64(29)
+            g *= U64(0xBF58476D1CE4E5B9)
+            yield (g >> U64(64 - BITS)).astype(np.int64), left >= size, doc
 
 
 _SPACE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -122,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, features:
     """Fit on labelled rows that are not held out; None without both classes."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sample = materialise(labelled_sample(docs, labels, "toxic", limit, remainder() != 1))
+    cores = spark.sparkContext.defaultParallelism
+    sample = materialise(labelled_sample(docs, labels, "toxic", limit, remainder() != 1).repartition(max(16, 4 * cores)))
     n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
