@@ -16,6 +16,11 @@ from lectern.llm.words import SPACED, U64, Words
 _KEPT_PIECES = 50_000
 #: Signs that stand for themselves behind a word.
 _SIGNS = frozenset(".,;:!?)")
+#: Words that the quick way for printable ASCII must encode as the tokenizer does, else it is not used.
+_PROBES = (
+    "the The THE word. Word, (word) \"quoted\" it's IT'S don't we're I'll they'd x's's 'tis a_b a-b a/b 12 1,234.5 2nd x2y3 -- ... !? @home #tag $5 50%"
+    " <b> <|x a|b [c] {d} e=f*g+h ~ ^ ` \\ C++ f(x) user@host.org http://a.b/c?d=e&f zzzqqx pneumonoultramicroscopic"
+).split()
 
 
 class WordEncoder:
@@ -23,8 +28,9 @@ class WordEncoder:
 
     It is made for tokenizers that drop white space and never look across it, which is
     checked on load. Texts are cut at ASCII white space; a word is known by its 64-bit
-    hash, and new words go to the tokenizer. The store of known words is emptied when it
-    is full, so memory stays bounded; results do not depend on it.
+    hash, and new words go to the tokenizer, or, if probes on load show that it does the
+    same, are lower-cased, cut and encoded piece by piece here. The store of known words is
+    emptied when it is full, so memory stays bounded; results do not depend on it.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -42,7 +48,21 @@ class WordEncoder:
         self.model = self.exact.model
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.limit = limit
+        self.quick = True
         self._forget()
+        texts = [*_PROBES, *(f"{a} \t{b}\n{a}" for a, b in zip(_PROBES, _PROBES[1:], strict=False)), "é\u3000\x1c x  y\r\n日本 z\x00"]
+        if not self._is_exact(texts):
+            self.quick = False
+            self._forget()
+            if not self._is_exact(texts):
+                raise ValueError("the tokenizer looks across white space")
+        self._forget()
+
+    def _is_exact(self, texts: list[str]) -> bool:
+        raw = [t.encode() for t in texts]
+        mine = self.encode(b"".join(raw), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        theirs = [np.array(self.exact.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        return mine == theirs
 
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=U64)  # sorted hashes of the words
@@ -61,7 +81,7 @@ class WordEncoder:
         get, add = self.pieces.get, ids.extend
         for i, raw in enumerate(words):
             before = len(ids)
-            if raw.isascii() and len(raw) <= 200 and b"<|" not in raw and (word := raw.decode()).isprintable():
+            if self.quick and raw.isascii() and len(raw) <= 200 and b"<|" not in raw and (word := raw.decode()).isprintable():
                 word = word.lower()
                 if word.isalpha():
                     add(get(word) or self._piece(word))
