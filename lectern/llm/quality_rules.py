@@ -1,29 +1,43 @@
 """Quality rules with DataFrame functions only: base counts and a hashed n-gram likelihood ratio.
 
-Words are runs without ASCII white space. Words and word pairs fall into a fixed number of
-buckets by hash. Two smoothed multinomials over the buckets, one of the whole raw corpus
-and one of trusted documents, give each bucket a log-likelihood ratio; a document's score
-is the mean ratio of its words and pairs, and it is kept when it passes the base rules and
-its score reaches the threshold. There is no sampling in that verdict.
+Words are runs without ASCII white space. Words and word pairs fall into buckets by hash,
+whose number grows with the square root of the corpus, about as its vocabulary does. Two
+smoothed multinomials over the buckets, one of the whole raw corpus and one of trusted
+documents, give each bucket a log-likelihood ratio; a document's score is the mean ratio
+of its words and pairs, and it is kept when it passes the base rules and its score reaches
+the threshold. There is no sampling in that verdict. Ratios are rounded to multiples of
+2**-20, so sums don't depend on their order and the same score always gives the same verdict.
+
+Both multinomials are smoothed by SMOOTHING target counts a bucket: their ratio is
+(target + SMOOTHING) / (raw * all target / all raw + SMOOTHING), 1 where nothing is known,
+so what a bucket saw once says little, and trusted documents gain little by their own words.
 
 Null texts have no words: their counts are 0, their score is 0.0 and they fail the base
 rules. An empty table gives no rows; without trusted documents every ratio is 0. Repeated
-rows each count. Only doc_id and text are read, and a null doc_id is never trusted.
+rows each count and each get a row. Only doc_id and text are read, whatever other columns
+are named, and a null doc_id is never trusted.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets for words and pairs, each; what the driver sees has this size at most.
-BUCKETS = 1 << 14
-SMOOTHING = 1.0
+from lectern.session import discard, materialise
+
+#: Least number of buckets for words and for pairs, and buckets per square root of a byte of text.
+LEAST_BUCKETS = 1 << 14
+GROWTH = 16
+#: Buckets whose ratios travel in one row, and so many of those rows that are sent to every
+#: task (40 MB at most); larger tables are joined, with the same results.
+PACKED = 16
+BROADCAST_ROWS = 1 << 19
+SMOOTHING = 5.0
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.2
+_UNIT = 1 << 20
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -58,7 +72,8 @@ def _covered(windows: Column) -> Column:
 
 def with_words(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text, the columns ``more`` and the hashes of words and of word pairs."""
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    solid = F.btrim("text", F.lit(_SPACE))
+    words = F.when(solid == "", F.array().cast("array<string>")).otherwise(F.split(solid, r"[\x20\x09-\x0D]+"))
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
         .withColumn("word", F.transform(words, lambda w: F.xxhash64(w)))
@@ -66,32 +81,39 @@ def with_words(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _bucket(h: Column, buckets: int) -> Column:
-    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+def _bucket(buckets: int) -> Column:
+    """Bucket of an exploded gram (n words, pos, h): pairs come after all words."""
+    kind = F.when(F.col("pos") < F.col("n"), 0).otherwise(buckets)
+    return (F.col("h").bitwiseAND(F.lit(buckets - 1)) + kind).cast("int")
+
+
+def bucket_number(docs: DataFrame) -> int:
+    """A power of two that grows with the square root of the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(GROWTH * math.sqrt(size) + 1)))
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[list[float]]:
-    """Log-likelihood ratios of the buckets of words and of pairs.
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> DataFrame:
+    """slot and ratios: log-likelihood ratios of PACKED buckets a row, in units of 1 / _UNIT.
 
     ``trusted`` (doc_id) may be of any size: ids and texts meet in a shuffle. The raw counts
     cover every document, the target ones every trusted document.
     """
     good = trusted.select("doc_id", F.lit(1).alias("good")).hint("shuffle_hash")
     marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left"), "good")
-    one = lambda h, kind: F.transform(h, lambda x: _bucket(x, buckets) + F.lit(kind * buckets))
-    counts = (
-        marked.select("good", F.explode(F.concat(one(F.col("word"), 0), one(F.col("pair"), 1))).alias("bucket"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
-    )
-    raw, target = [0] * (2 * buckets), [0] * (2 * buckets)
-    for r in counts.collect():  # 2 * buckets rows at most
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    out = []
-    for a in (0, buckets):
-        r, t = raw[a : a + buckets], target[a : a + buckets]
-        r_all, t_all = sum(r) + smoothing * buckets, sum(t) + smoothing * buckets
-        out.append([math.log((y + smoothing) / t_all) - math.log((x + smoothing) / r_all) if sum(t) else 0.0 for x, y in zip(r, t, strict=True)])
-    return out
+    grams = marked.select("good", F.size("word").alias("n"), F.posexplode(F.concat("word", "pair")).alias("pos", "h"))
+    counts = materialise(grams.groupBy(_bucket(buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target")))
+    totals = {r["pairs"]: (r["target"], r["raw"]) for r in counts.groupBy((F.col("bucket") >= buckets).alias("pairs")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()}
+    share = lambda pairs: F.lit(totals[pairs][0] / totals[pairs][1] if pairs in totals else 0.0)
+    expected = F.col("raw") * F.when(F.col("bucket") >= buckets, share(True)).otherwise(share(False))
+    known = F.when(F.col("bucket") >= buckets, share(True) > 0).otherwise(share(False) > 0)
+    ratio = F.when(known, F.round(F.ln((F.col("target") + smoothing) / (expected + smoothing)) * _UNIT).cast("int")).otherwise(0)
+    place = F.col("bucket") % PACKED
+    each = [F.coalesce(F.max(F.when(place == i, F.col("ratio"))), F.lit(0)) for i in range(PACKED)]
+    packed = counts.withColumn("ratio", ratio).groupBy(F.shiftright("bucket", int(math.log2(PACKED))).alias("slot")).agg(F.array(*each).alias("ratios"))
+    table = materialise(packed)
+    discard(counts)
+    return table
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
@@ -99,34 +121,41 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+_BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score."""
-    ratios = bucket_ratios(docs, trusted, buckets)
-    table = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in ratios]
-    add = lambda h, t: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(t, _bucket(x, buckets)))
-    blank = lambda t: F.translate(t, _SPACE, "")
-    lines = F.filter(F.split("text", "\n"), lambda x: blank(x) != "")
-    n_grams = F.size("word") + F.size("pair")
+    buckets = buckets or bucket_number(docs)
+    table = bucket_ratios(docs, trusted, buckets)
+    if 2 * buckets // PACKED <= broadcast_rows:
+        table = F.broadcast(table)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     base = (
         with_words(docs)
         .withColumn("four", _following(F.col("pair"), 2))
-        .withColumn("windows", _following(F.col("four"), 4))
         .withColumn("lines", lines)
         .select(
-            "doc_id",
+            F.monotonically_increasing_id().alias("row"), "doc_id",
             F.size("word").cast("long").alias("n_words"),
-            F.length(blank(F.col("text"))).cast("long").alias("word_chars"),
-            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+            F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows")))
+            # A window that comes twice holds four words that do.
+            F.when(F.size(F.array_distinct("four")) < F.size("four"), _covered(_following(F.col("four"), 4)))
             .otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-            F.when(n_grams > 0, (add(F.col("word"), table[0]) + add(F.col("pair"), table[1])) / n_grams)
-            .otherwise(F.lit(0.0)).alias("score"),
+            F.concat("word", "pair").alias("grams"),
         )
     )
+    # A row's grams stay together, so they are summed where they are and one row a document is shuffled.
+    grams = base.select("row", *_BASE, F.col("n_words").alias("n"), F.posexplode_outer("grams").alias("pos", "h")).withColumn("bucket", _bucket(buckets))
+    found = grams.join(table, F.shiftright("bucket", int(math.log2(PACKED))) == F.col("slot"), "left")
+    ratio = F.get("ratios", F.col("bucket") % PACKED).cast("long")
+    summed = found.groupBy("row").agg(*[F.first(c).alias(c) for c in _BASE], F.sum(ratio).alias("sum"), F.count("h").alias("grams"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    score = F.when(F.col("grams") > 0, F.col("sum") / (F.col("grams") * F.lit(float(_UNIT)))).otherwise(F.lit(0.0))
     return (
-        base.withColumn("base_failed", failed)
+        summed.withColumn("score", score).withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+        .select(*_BASE, "base_failed", "kept", "score")
     )

@@ -340,7 +340,6 @@ def test_quality_rules(spark, sf, docs_of):
     rows += EDGES + [(910, "a b c d e f g h " * 9), (911, "\n".join(["x", " x", "x", "", ""])), (912, "é #|<" * 30), (913, "q\x0bw\x0ce\rr")]
     trusted = docs_of([(i, "") for i, _ in rows if i is not None and i % 3 == 0]).select("doc_id").distinct()
     buckets = 256
-    got = quality_rules.judge(docs_of(rows, extra=True), trusted, -0.05, buckets).collect()
 
     def grams(t):
         w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in words(t)]
@@ -353,9 +352,13 @@ def test_quality_rules(spark, sf, docs_of):
             raw[kind].update(g)
             if i is not None and i % 3 == 0:
                 target[kind].update(g)
-    ratio = [
-        {b: np.log((target[k][b] + 1) / (target[k].total() + buckets)) - np.log((raw[k][b] + 1) / (raw[k].total() + buckets)) for b in range(buckets)} for k in (0, 1)
-    ]
+    # Two multinomials, each smoothed by the same share of its mass.
+    ratio, five = [], 5.0
+    for k in (0, 1):
+        t_all, r_all = target[k].total(), raw[k].total()
+        mine = lambda b, k=k, t_all=t_all: (target[k][b] + five) / (t_all + five * buckets)
+        theirs = lambda b, k=k, t_all=t_all, r_all=r_all: (raw[k][b] + five * r_all / t_all) / (r_all + five * buckets * r_all / t_all)
+        ratio.append({b: np.log(mine(b) / theirs(b)) for b in range(buckets)})
     want = []
     for i, t in rows:
         g = grams(t)
@@ -363,8 +366,13 @@ def test_quality_rules(spark, sf, docs_of):
         score = sum(ratio[k][b] for k in (0, 1) for b in g[k]) / n if n else 0.0
         c = base_counts(t)
         failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
-        want.append((i, *c, failed, bool(not failed and score >= -0.05), round(float(score), 9)))
-    assert sorted(map(str, ((*r[:8], round(r.score, 9) + 0.0) for r in got))) == sorted(map(str, ((*x[:8], x[8] + 0.0) for x in want)))
+        want.append((i, *c, failed, score))
+    for limit in (1 << 19, 0):  # sent to all tasks, or joined
+        got = quality_rules.judge(docs_of(rows, extra=True), trusted, -0.05, buckets, limit).collect()
+        order = lambda x: (str(x[:7]), round(x[-1], 4))
+        for r, x in zip(sorted(((*r[:7], r.kept, r.score) for r in got), key=order), sorted(want, key=order), strict=True):
+            assert r[:7] == x[:7] and r[-1] == pytest.approx(x[-1], abs=2e-6)
+            assert r[7] == (not x[6] and r[-1] >= -0.05)
 
 
 def test_quality_rules_trust_every_good_document(spark):
@@ -374,7 +382,23 @@ def test_quality_rules_trust_every_good_document(spark):
     assert good.count() == 30_000
     docs = spark.range(30_000).selectExpr("id as doc_id", "concat('w', id % 5) as text")
     ratios = quality_rules.bucket_ratios(docs, good, 64)
-    assert max(abs(x) for part in ratios for x in part) < 1e-12  # every document is trusted: both distributions are one
+    assert all(x == 0 for r in ratios.collect() for x in r.ratios)  # every document is trusted: both distributions are one
+
+
+def test_quality_rules_tell_good_from_bad(spark):
+    """Ratings that the trusted documents don't include: nearly all good ones are kept, and nearly no bad ones."""
+    where = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    good = quality_rules.trusted_documents(labels.where(~held))
+    got = quality_rules.judge(docs, good).join(labels.where(held), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    rates = {r.quality: r.kept for r in got.collect()}
+    assert rates[1] > 0.98 and rates[0] < 0.05, rates
+
+
+def test_quality_rules_buckets_grow(spark, docs_of):
+    small, large = docs_of([(1, "a b")]), spark.range(3000).selectExpr("id as doc_id", "repeat('word ', 3000) as text")
+    assert quality_rules.bucket_number(docs_of([])) == quality_rules.bucket_number(small) == quality_rules.LEAST_BUCKETS < quality_rules.bucket_number(large)
 
 
 def test_quality_rules_without_trust(spark, docs_of):
