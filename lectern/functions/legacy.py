@@ -114,7 +114,9 @@ def _latex(e) -> str:
     if tag == "msqrt":
         return r"\sqrt" + _group(_row(e))
     if tag == "mfenced":
-        return e.get("open", "(") + e.get("separators", ",")[:1].join(_latex(c) for c in kids) + e.get("close", ")")
+        marks = "".join(e.get("separators", ",").split())
+        glue = [marks[min(i, len(marks) - 1)] if marks else "" for i in range(len(kids) - 1)] + [""]
+        return e.get("open", "(") + "".join(_latex(c) + g for c, g in zip(kids, glue, strict=False)) + e.get("close", ")")
     if tag == "mtext":
         return r"\text" + _group(e.text or "")
     if tag == "mspace":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names
 from lectern.functions.legacy import is_clean
+from lectern.session import materialise
 
 
 def unknown_topics(files: DataFrame) -> DataFrame:
@@ -54,19 +55,44 @@ def house_style(questions: DataFrame, by: str = "subject") -> DataFrame:
     )
 
 
-def ancestors(concepts: DataFrame, depth: int = 8) -> DataFrame:
-    """concept_id, ancestor and level for parents up to ``depth`` levels up; one join a level."""
+def ancestors(concepts: DataFrame, depth: int | None = None) -> DataFrame:
+    """concept_id, ancestor and level for all parents, or those up to ``depth`` levels up; one join a level.
+
+    Raises where concepts are their own ancestors, which a tree rules out.
+    """
     parent = concepts.where("parent is not null").select("concept_id", "parent")
     out = level = parent.select("concept_id", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
-    for n in range(2, depth + 1):
+    n = 1
+    while depth is None or n < depth:
+        n += 1
         up = parent.select(F.col("concept_id").alias("ancestor"), F.col("parent").alias("above"))
         level = level.join(up, "ancestor").select("concept_id", F.col("above").alias("ancestor"), F.lit(n).alias("level"))
+        level = materialise(level)
         if level.isEmpty():
             break
+        if not level.where("concept_id = ancestor").isEmpty():
+            raise ValueError("a concept is its own ancestor")
         out = out.unionByName(level)
     return out
 
 
+def citations(ranked: DataFrame, concepts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(concept_id, chunk_id, book, page_start, page_end) of the source chunks of ranked concepts, and the concepts without any.
+
+    ``concepts`` has concept_id and section_ids; ``chunks`` a section_no.
+    """
+    wanted = ranked.select("concept_id").distinct()
+    sections = concepts.join(wanted, "concept_id").select("concept_id", F.explode("section_ids").alias("section_no")).distinct()
+    found = sections.join(chunks.select("section_no", "chunk_id", "book", "page_start", "page_end"), "section_no").drop("section_no")
+    return found, wanted.join(found, "concept_id", "left_anti")
+
+
+def disagreements(labels: DataFrame, files: DataFrame) -> DataFrame:
+    """Labels (qid, doc_id, subject) whose subject isn't the one their file's name tells (``files``: doc_id, subject_hint)."""
+    told = files.select("doc_id", F.col("subject_hint").alias("filename_subject")).where("filename_subject <> ''")
+    return labels.join(told, "doc_id").where("subject <> filename_subject").select("qid", "doc_id", "subject", "filename_subject")
+
+
 def log_outcomes(outcomes: DataFrame, path: str) -> None:
     """Append a week's outcomes (week, concept_id, n_questions, subject) to the log, once per week and concept."""
     from lectern.sources.files import append_new

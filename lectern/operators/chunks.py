@@ -242,8 +242,11 @@ def chunk_pages(
     return sorted_.mapInPandas(run, schema)
 
 
-def chunk_books(pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False) -> DataFrame:
-    """Numbered chunks of books, by chapter where ``chapters`` has some and else over the whole book."""
+def chunk_books(pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False) -> DataFrame:
+    """Numbered chunks of books, by chapter where ``chapters`` has some and else over the whole book.
+
+    All chunks are theory, unless ``typed``: then chunk_type() tells.
+    """
     bounds = pages.groupBy("book").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
     whole = bounds.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
     if chapters is not None:
@@ -259,7 +262,7 @@ def chunk_books(pages: DataFrame, chapters: DataFrame | None = None, max_tokens:
     anchor = F.when(F.col("chapter_idx") == 0, F.col("book")).otherwise(F.concat_ws(" ", "book", F.coalesce(section, F.lit(""))))
     return made.join(ranges, ["book", "chapter_idx"]).select(
         T.chunk_id(F.col("book"), index).alias("chunk_id"), "book", F.lit("").alias("section_no"),
-        F.coalesce(section, F.lit("")).alias("section_title"), "page_start", "page_end", F.lit("theory").alias("chunk_type"),
+        F.coalesce(section, F.lit("")).alias("section_title"), "page_start", "page_end", (chunk_type(F.col("text")) if typed else F.lit("theory")).alias("chunk_type"),
         T.estimate_tokens("text").alias("token_count"), "text", anchor.alias("anchor_text"),
     )
 

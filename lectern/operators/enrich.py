@@ -54,6 +54,21 @@ def report(enriched: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def ocr_report(pages: DataFrame, chunks: DataFrame | None = None, low: float = 0.6, blank: int = 20) -> tuple[DataFrame, DataFrame | None]:
+    """Per book: pages, mean confidence, pages of low confidence and near-blank pages; and per book and section: chunks and tokens."""
+    books = pages.groupBy("book").agg(
+        F.count("*").alias("pages"), F.avg("avg_confidence").alias("avg_confidence"), F.count_if(F.col("avg_confidence") < low).alias("low_confidence"),
+        F.count_if(F.length("text") < blank).alias("near_blank"),
+    )
+    if chunks is None:
+        return books, None
+    tokens = lambda f, name: f("token_count").alias(name)
+    sections = chunks.groupBy("book", "section_title").agg(
+        F.count("*").alias("chunks"), tokens(F.sum, "tokens"), tokens(F.min, "least"), tokens(F.max, "most"), tokens(F.avg, "mean")
+    )
+    return books, sections
+
+
 def cooccurrence(words: DataFrame, key: str, word: str = "word") -> DataFrame:
     """Number of texts that hold both words of each pair, for distinct words of bounded number a text."""
     w = words.select(key, word).distinct()

@@ -117,6 +117,66 @@ def scorecard_text(card: dict) -> str:
     return "\n".join(parts)
 
 
+def selftest() -> dict:
+    """A scorecard without data, which shows that the harness runs."""
+    return scorecard(0, dict.fromkeys(CURVE, 0.0), 0.0, 0.0, 0.0, warnings=["selftest: no data loaded"])
+
+
+def question_hits(ranked: DataFrame, real: DataFrame, generated: DataFrame, k: int = HEADLINE) -> DataFrame:
+    """list_id, questions, hits and question_hit: real questions that a generated one of a concept ranked in the top k matches.
+
+    ``ranked`` has list_id, id and rank; ``real`` list_id and qid; ``generated`` list_id, id
+    (its concept), qid (the real question compared with) and match.
+    """
+    top = ranked.where(F.col("rank") <= k).select("list_id", "id").distinct()
+    matched = generated.where("match").join(top, ["list_id", "id"], "left_semi").select("list_id", "qid").distinct().withColumn("hit", F.lit(1))
+    questions = real.select("list_id", "qid").distinct().join(matched, ["list_id", "qid"], "left")
+    return questions.groupBy("list_id").agg(F.count("*").alias("questions"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("question_hit"))
+
+
+def solvability_pass(generated: DataFrame) -> DataFrame:
+    """Generated questions, and the share that an independent solver answers as stated."""
+    agrees = F.coalesce(F.col("solvable") & (F.col("solver_answer") == F.col("stated_answer")), F.lit(False))
+    return generated.agg(F.count("*").alias("generated"), F.avg(agrees.cast("double")).alias("solvability_pass"))
+
+
+def decoding_metrics(questions: DataFrame) -> DataFrame:
+    """decode_clean_rate, decode_cer, math_conversion_rate and option_completeness.
+
+    ``questions`` has clean, decoded, reference (null where nobody transcribed it), math_ok,
+    math_total and options (letter, text).
+    """
+    from lectern.functions.text import cer
+
+    full = F.size(F.filter("options", lambda o: F.trim(o["text"]) != "")) == 4
+    return questions.agg(
+        F.avg(F.col("clean").cast("double")).alias("decode_clean_rate"), F.avg(cer(F.col("decoded"), F.col("reference"))).alias("decode_cer"),
+        F.try_divide(F.sum("math_ok"), F.sum("math_total")).alias("math_conversion_rate"), F.avg(full.cast("double")).alias("option_completeness"),
+    )
+
+
+def leakage_checklist(features: DataFrame, bank: DataFrame, daily: DataFrame, taxonomy: DataFrame, prompts: DataFrame, held_out: DataFrame) -> DataFrame:
+    """rule, and the number of rows that break it, for each rule of a held-out exam.
+
+    ``held_out`` has qid and week; ``features`` qid, week (target) and last_week_used; ``bank`` source;
+    ``daily`` source, week and target_week; ``taxonomy`` source; ``prompts`` key_parts (names
+    of what the cache key is made of).
+    """
+    count = lambda df, rule: df.agg(F.lit(rule).alias("rule"), F.count("*").alias("broken"))
+    rules = [
+        count(features.join(held_out.select("qid").distinct(), "qid", "left_semi"), "held-out questions in the features"),
+        count(bank.where("source is null or source <> 'bank'"), "bank frequency from more than the bank"),
+        count(daily.where("source is null or source <> 'daily' or week is null or week <> target_week"), "daily signal from more than the week's dailies"),
+        count(features.where("last_week_used is not null and last_week_used <> week - 1"), "last week isn't the one before the target"),
+        count(taxonomy.where("source is null or source <> 'books'"), "taxonomy from more than books"),
+        count(prompts.where(~F.coalesce(F.array_contains("key_parts", "week"), F.lit(False))), "cache keys without the week"),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def leaks(features: DataFrame, labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """rule and the number of rows that break it: nothing may use the target week or later."""
     count = lambda df, name: df.agg(F.lit(name).alias("rule"), F.count("*").alias("rows"))

@@ -167,6 +167,69 @@ def calibrate(scores: DataFrame, least_weeks: int = 8):
     return IsotonicRegression(featuresCol="p", labelCol="y").fit(scores.select(F.col("p").cast("double"), F.col("y").cast("double"), F.lit(1.0).alias("weight")))
 
 
+def form_diversity(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct question forms seen of each concept."""
+    return labels.groupBy(*(by or ["concept_id"])).agg(F.count_distinct("question_form").alias("form_diversity"))
+
+
+def assemble_features(
+    hist: DataFrame, bank: DataFrame, daily: DataFrame, diff_sets: DataFrame, syllabus: DataFrame, prerequisites: DataFrame, labels: DataFrame
+) -> DataFrame:
+    """One row per concept and week with all signals of the model, without nulls.
+
+    ``hist`` is history() with subject; ``bank`` has concept_id and n; ``daily`` subject,
+    week, concept_id and n; ``diff_sets`` week and concept_id; ``syllabus`` week and
+    concept_id (a week without rows is unknown); ``prerequisites`` concept_id and needs;
+    ``labels`` concept_id and question_form. A prerequisite is covered once its concept was
+    hit in an earlier week; concepts without prerequisites are covered.
+    """
+    key = ["concept_id", "week"]
+    flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(1))
+    told = daily.groupBy("subject", "week", "concept_id").agg(F.sum("n").alias("n"))
+    shares = told.withColumn("daily", share(told, ["subject", "week"])).select(*key, "daily")
+    per_bank = bank.groupBy("concept_id").agg(F.sum("n").alias("bank_frequency"))
+    seen = hist.where("y = 1").groupBy("concept_id").agg(F.min("week").alias("first_week"))
+    needs = prerequisites.select("concept_id", "needs").distinct().join(seen.select(F.col("concept_id").alias("needs"), "first_week"), "needs", "left")
+    ready = needs.groupBy("concept_id").agg(F.max(F.coalesce("first_week", F.lit((1 << 31) - 1))).alias("ready"))
+    known = syllabus.select("week").distinct().withColumn("syllabus_known", F.lit(True))
+    joined = (
+        hist.join(per_bank, "concept_id", "left").join(shares, key, "left").join(flag(diff_sets, "diff_set"), key, "left")
+        .join(flag(syllabus, "syllabus"), key, "left").join(known, "week", "left").join(ready, "concept_id", "left")
+        .join(form_diversity(labels), "concept_id", "left")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select(
+        *key, "subject", "y", "n_hits", "n_weeks", F.col("appeared_last").alias("repeat"), "weeks_since", zero("bank_frequency"),
+        F.coalesce("daily", F.lit(0.0)).alias("daily"), zero("diff_set"), zero("syllabus"), F.coalesce("syllabus_known", F.lit(False)).alias("syllabus_known"),
+        (F.coalesce("ready", F.lit(-1)) < F.col("week")).cast("int").alias("prereq"), zero("form_diversity"),
+    )
+
+
+#: Folds that are compared in place; more are joined.
+MAX_FOLDS = 1000
+
+
+def history_sizes(rows: DataFrame, folds: DataFrame, ts: str = "captured_at", concept: str = "concept_id") -> DataFrame:
+    """fold, rows_before and concepts: what each fold may learn from, as rows strictly older than its held-out time.
+
+    Rows and first sights of concepts are counted by the first fold that may see them, and
+    those counts are summed up over the folds in order, so no row is repeated per fold.
+    """
+    times = sorted({r[0] for r in folds.select(F.unix_micros(F.col("held_out_at").cast("timestamp"))).distinct().limit(MAX_FOLDS + 1).collect() if r[0] is not None})
+    if not times or len(times) > MAX_FOLDS:
+        return before(rows, folds, ts).groupBy("fold").agg(F.count("*").alias("rows_before"), F.count_distinct(concept).alias("concepts"))
+    slot = lambda c: F.size(F.filter(F.lit(times).cast("array<bigint>"), lambda t: t <= F.unix_micros(c.cast("timestamp"))))
+    n = rows.where(F.col(ts).isNotNull()).groupBy(slot(F.col(ts)).alias("slot")).agg(F.count("*").alias("r"))
+    first = rows.where(F.col(ts).isNotNull() & F.col(concept).isNotNull()).groupBy(concept).agg(F.min(ts).alias("at"))
+    c = first.groupBy(slot(F.col("at")).alias("slot")).agg(F.count("*").alias("c"))
+    counted = n.join(c, "slot", "left")
+    upto = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)  # a row per fold at most
+    summed = counted.select("slot", F.sum("r").over(upto).alias("rows_before"), F.sum(F.coalesce("c", F.lit(0))).over(upto).alias("concepts"))
+    placed = folds.where("held_out_at is not null").withColumn("_slot", slot(F.col("held_out_at")) - 1)
+    last = placed.join(summed, F.col("slot") <= F.col("_slot")).groupBy("fold", "held_out_at")
+    return last.agg(F.max("rows_before").alias("rows_before"), F.max("concepts").alias("concepts")).select("fold", "rows_before", "concepts")
+
+
 def before(rows: DataFrame, folds: DataFrame, ts: str = "captured_at") -> DataFrame:
     """Rows strictly older than each fold's held-out time; ``folds`` (fold, held_out_at) is a handful of rows."""
     return rows.join(F.broadcast(folds), F.col(ts) < F.col("held_out_at"))

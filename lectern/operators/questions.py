@@ -69,6 +69,30 @@ def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("valid").drop("valid"), found.where("not valid").drop("valid")
 
 
+def file_report(files: DataFrame, found: DataFrame, enough: int = 4) -> DataFrame:
+    """path, status (skipped, failed or ok), questions and with_options of each of ``files`` (path, text; null text: unreadable).
+
+    ``found`` are the questions of ingest(). Left-out names and performance reports are skipped.
+    """
+    name = names.basename(F.col("path"))
+    skipped = ~names.is_ingested(name) | F.coalesce(names.is_report(F.col("text")), F.lit(False))
+    status = F.when(skipped, "skipped").when(F.col("text").isNull(), "failed").otherwise("ok")
+    per = found.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("questions"), F.count_if(F.size("options") >= enough).alias("with_options"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return files.select("path", status.alias("status")).join(per, "path", "left").select("path", "status", zero("questions"), zero("with_options"))
+
+
+def ingest_totals(report: DataFrame) -> DataFrame:
+    """One row: files_seen (without skipped ones), files_ok, files_failed and the sums over questions of file_report()."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return report.agg(
+        F.count_if(F.col("status") != "skipped").alias("files_seen"), n("ok").alias("files_ok"), n("failed").alias("files_failed"),
+        total("questions").alias("total_questions"), total("with_options").alias("questions_with_options"),
+        (total("questions") - total("with_options")).alias("questions_missing_options"),
+    )
+
+
 def ingest_report(questions: DataFrame, by: list[str], enough: int = 4) -> DataFrame:
     """Questions with and without enough options, for each prefix of ``by`` and in total (nulls)."""
     full = F.size("options") >= enough

@@ -1,10 +1,14 @@
-"""Cosine retrieval, deduplication and repeat matching over vector columns."""
+"""Cosine retrieval, deduplication and repeat matching over vector columns.
+
+Rows that have to be compared are dealt into blocks of bounded size, and each pair of blocks
+meets in one task, which multiplies them tile by tile. Nothing but counts reaches the driver.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,68 +17,94 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions import text as T
 from lectern.operators.graph import components
+from lectern.session import materialise
 
-#: A block of query vectors that is sent to every task holds at most so many numbers (32 MB).
-BLOCK_NUMBERS = 4_000_000
-#: Pairs of new and earlier questions that are compared at once.
-TILE_CELLS = 1 << 18
-
-
-def _blocks(queries: DataFrame, qid: str, vector: str, dim: int):
-    """Query ids and unit vectors, block by block, each of bounded size."""
-    per = max(1, BLOCK_NUMBERS // dim)
-    ids, rows = [], []
-    for r in queries.select(qid, vector).toLocalIterator():
-        if r[1] is None:
-            continue
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(rows) == per:
-            yield ids, _unit(np.array(rows, dtype=np.float64))
-            ids, rows = [], []
-    if rows:
-        yield ids, _unit(np.array(rows, dtype=np.float64))
+#: Rows of one block, and products worked on at once (8 MB).
+BLOCK_ROWS = 2048
+TILE_CELLS = 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, qid: str = "q_id", cid: str = "vec_id", vector: str = "embedding", dim: int = 64, where=None) -> DataFrame:
+def _dealt(rows: DataFrame, other: DataFrame, own: str, key: str, block_rows: int) -> DataFrame:
+    """``rows`` (key, id, ...) with its block in column ``own`` and one copy for each block of ``other`` under the same key.
+
+    ``rows`` are on side ``own`` (p or q) of the pairs of blocks; keys that ``other`` lacks drop out.
+    """
+    there = "q" if own == "p" else "p"
+    blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    shaped = rows.join(blocks(rows, "_mine"), key).join(blocks(other, "_theirs"), key)
+    return shaped.withColumn(own, F.pmod(F.xxhash64("id", "_salt"), F.col("_mine")).cast("int")).withColumn(
+        there, F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))
+    ).drop("_mine", "_theirs", "_salt")
+
+
+def _cells(left: DataFrame, right: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """Rows of both frames by key and pair of blocks (p, q), those of ``left`` (side 0) before those of ``right`` (side 1)."""
+    salted = lambda df: df.withColumn("_salt", F.lit(7))
+    x = _dealt(salted(left), right, "p", key, block_rows).withColumn("side", F.lit(0))
+    y = _dealt(salted(right), left, "q", key, block_rows).withColumn("side", F.lit(1))
+    return x.unionByName(y).repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", "side")
+
+
+def _groups(batches, fields: list[str], key: str):
+    """(key, rows of side 0, rows of side 1) of each cell of sorted batches."""
+    at, sides = None, ([], [])
+    for batch in batches:
+        columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in {*fields, key, "p", "q", "side"}}
+        for i in range(batch.num_rows):
+            here = columns[key][i], columns["p"][i], columns["q"][i]
+            if here != at:
+                if at is not None:
+                    yield at[0], *sides
+                at, sides = here, ([], [])
+            sides[columns["side"][i]].append(tuple(columns[c][i] for c in fields))
+    if at is not None:
+        yield at[0], *sides
+
+
+def _vectors(df: DataFrame, vid: str, vector: str) -> DataFrame:
+    """id, v and the length of v, which is the key under which vectors can be compared; null vectors are left out."""
+    v = F.col(vector).cast("array<double>")
+    return df.where(F.col(vector).isNotNull()).select(F.col(vid).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"))
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, qid: str = "q_id", cid: str = "vec_id", vector: str = "embedding", where=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """qid, cid, cosine and rank of the k nearest corpus vectors of each query, ties by cid.
 
-    Queries go out in blocks of bounded size; each task keeps its k best per query, so what
-    is shuffled is k rows per query and task, and the corpus never moves. Null vectors are
-    left out; ``where`` filters the corpus first.
+    Every query meets every corpus vector of its length; each task keeps the k best of its
+    block for a query. Null vectors are left out; ``where`` filters the corpus first.
     """
-    spark = corpus.sparkSession
-    rows = corpus.where(F.col(vector).isNotNull())
-    rows = rows.where(where) if where is not None else rows
-    types = f"{qid} long, {cid} long, cosine double"
-    out = None
-    for ids, unit in _blocks(queries, qid, vector, dim):
-        block = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), unit))
-
-        def best(batches, block=block):
-            q_ids, q = block.value
-            top_s = np.full((len(q_ids), 0), -np.inf)
-            top_c = np.zeros((len(q_ids), 0), dtype=np.int64)
-            for b in batches:
-                if not len(b):
-                    continue
-                c = b[cid].to_numpy(np.int64)
-                s = np.concatenate([top_s, q @ _unit(np.array(b[vector].tolist(), dtype=np.float64)).T], axis=1)
-                c = np.concatenate([top_c, np.broadcast_to(c, (len(q_ids), len(c)))], axis=1)
-                order = np.lexsort((c, -s))[:, :k]
-                top_s, top_c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-            yield pd.DataFrame({qid: np.repeat(q_ids, top_s.shape[1]), cid: top_c.ravel(), "cosine": top_s.ravel()})
-
-        part = rows.select(cid, vector).mapInPandas(best, types)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], types + ", rank int")
+    rows = corpus.where(where) if where is not None else corpus
+    types = "id long, other long, cosine double"
+
+    def best(batches):
+        for _, asked, held in _groups(batches, ["id", "v"], "dim"):
+            if not (asked and held):
+                continue
+            q, x = (_unit(np.array([v for _, v in side], dtype=np.float64)) for side in (asked, held))
+            q_ids, ids = (np.array([i for i, _ in side], dtype=np.int64) for side in (asked, held))
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            step, n = max(1, TILE_CELLS // len(ids)), min(k, len(ids))
+            for a in range(0, len(q_ids), step):
+                s = q[a : a + step] @ x.T
+                near = np.argpartition(-s, n - 1, axis=1)[:, n - 1]  # the n-th best value; ties with it are all looked at
+                least = s[np.arange(len(s)), near]
+                row, col = np.nonzero(s >= least[:, None])
+                at = np.lexsort((ids[col], -s[row, col], row))
+                row, col = row[at], col[at]
+                first = np.searchsorted(row, row)
+                keep = np.arange(len(row)) - first < n
+                row, col = row[keep], col[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + row]), pa.array(ids[col]), pa.array(s[row, col])], names=["id", "other", "cosine"])
+
+    cells = _cells(_vectors(queries, qid, vector), _vectors(rows, cid, vector), "dim", block_rows)
+    found = cells.mapInArrow(best, types).select(F.col("id").alias(qid), F.col("other").alias(cid), "cosine")
     rank = F.row_number().over(W.partitionBy(qid).orderBy(F.desc("cosine"), cid))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def retrieval_ceiling(neighbours: DataFrame, truth: DataFrame, labels: DataFrame, qid: str = "q_id", cid: str = "vec_id") -> DataFrame:
@@ -89,92 +119,107 @@ def retrieval_ceiling(neighbours: DataFrame, truth: DataFrame, labels: DataFrame
     return hits.agg(F.count("*").alias("queries"), F.avg("hit").alias("ceiling"), F.avg("first").alias("first_rate"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", dim: int = 64) -> DataFrame:
-    """(a, b, cosine) with a < b above the threshold; every vector is compared with every block of vectors."""
-    spark = vectors.sparkSession
-    out = None
-    types = "a long, b long, cosine double"
-    for ids, unit in _blocks(vectors, vid, vector, dim):
-        block = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), unit))
+def _buckets(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """Each vector once per table, keyed by the signs of its products with ``bits`` fixed random directions."""
+
+    def sign(batches):
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dim in set(batch.column(2).to_pylist()):
+                part = batch.filter(pa.compute.equal(batch.column(2), dim))
+                at = planes.get(dim)
+                if at is None:
+                    at = planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, tables * bits))
+                x = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
+                key = ((x @ at).reshape(len(x), tables, bits) > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                for t in range(tables):
+                    keys = (key[:, t] * tables + t) * (1 << 20) + dim
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys)], names=["id", "v", "dim"])
 
-        def pairs(batches, block=block):
-            a_ids, a = block.value
-            for b in batches:
-                if not len(b):
-                    continue
-                b_ids = b[vid].to_numpy(np.int64)
-                s = a @ _unit(np.array(b[vector].tolist(), dtype=np.float64)).T
-                i, j = np.nonzero((s > threshold) & (a_ids[:, None] < b_ids[None, :]))
-                yield pd.DataFrame({"a": a_ids[i], "b": b_ids[j], "cosine": s[i, j]})
+    return vectors.mapInArrow(sign, "id long, v array<double>, dim long")
 
-        part = vectors.where(F.col(vector).isNotNull()).select(vid, vector).mapInPandas(pairs, types)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], types)
 
+def similar_pairs(
+    vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", tables: int = 0, bits: int = 12, seed: int = 11, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(a, b, cosine) with a < b above the threshold.
+
+    By default exact: each vector meets every other of its length. With ``tables`` only vectors
+    that share a sign bucket in one of so many tables meet: work then grows with the buckets,
+    and pairs whose signs differ in every table are missed. Two vectors at angle t share a
+    bucket of one table with probability (1 - t / pi) ** bits.
+    """
+    rows = _vectors(vectors, vid, vector)
+    rows = _buckets(rows, tables, bits, seed) if tables else rows
 
-def deduplicate(vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vid and canonical: the smallest id that similar pairs lead to; ids without pairs stand for themselves."""
-    found = components(similar_pairs(vectors, threshold, vid, vector))
-    return vectors.join(found, F.col(vid) == F.col("node"), "left").select(vid, F.coalesce("component", vid).alias("canonical"))
+    def pairs(batches):
+        for _, left, right in _groups(batches, ["id", "v"], "dim"):
+            if not (left and right):
+                continue
+            x, y = (_unit(np.array([v for _, v in side], dtype=np.float64)) for side in (left, right))
+            a, b = (np.array([i for i, _ in side], dtype=np.int64) for side in (left, right))
+            step = max(1, TILE_CELLS // len(b))
+            for at in range(0, len(a), step):
+                s = x[at : at + step] @ y.T
+                i, j = np.nonzero((s > threshold) & (a[at : at + step, None] < b[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[at + i]), pa.array(b[j]), pa.array(s[i, j])], names=["a", "b", "cosine"])
+
+    found = _cells(rows, rows, "dim", block_rows).mapInArrow(pairs, "a long, b long, cosine double")
+    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")) if tables else found
+
+
+def deduplicate(vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", tables: int = 0, bits: int = 12) -> DataFrame:
+    """vid and canonical: the smallest id that similar pairs lead to; ids without pairs stand for themselves.
+
+    Equal vectors are one class: classes are compared, and their members follow them.
+    """
+    key = F.sha2(F.to_json(F.struct(F.col(vector))), 256)
+    classed = vectors.where(F.col(vector).isNotNull()).select(vid, vector, key.alias("_class"))
+    heads = classed.groupBy("_class").agg(F.min(vid).alias("_head"))
+    members = materialise(classed.select(vid, "_class").join(heads, "_class").select(vid, "_head"))
+    distinct = classed.join(heads, (classed["_class"] == heads["_class"]) & (F.col(vid) == F.col("_head"))).select(vid, vector).dropDuplicates([vid])
+    found = components(similar_pairs(distinct, threshold, vid, vector, tables, bits))
+    placed = members.join(found, F.col("_head") == F.col("node"), "left").select(vid, F.coalesce("component", "_head").alias("canonical"))
+    return placed.unionByName(vectors.where(F.col(vector).isNull()).select(vid, F.col(vid).alias("canonical")))
 
 
 def same_numbers(a: Column, b: Column) -> Column:
     return T.number_list(a) == T.number_list(b)
 
 
-def repeats(new: DataFrame, bank: DataFrame, structural: float = 0.85, exact: float = 0.92, form: bool = False) -> DataFrame:
+def repeats(new: DataFrame, bank: DataFrame, structural: float = 0.85, exact: float = 0.92, form: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Best match tier of each new question against earlier ones of its concept.
 
     Both have qid, concept_id, embedding and text (and form). Tiers: verbatim (equal text),
     exact (cosine of ``exact`` or more and the same numbers), structural (``structural`` or
     more; with ``form`` the same form and other numbers), conceptual (the concept only), none.
 
-    New questions go out in blocks of bounded size; each task keeps their best tier among its
-    rows of the bank, so the bank never moves, however many rows one concept has.
+    A concept's questions are dealt into blocks, so one with a third of all rows is spread over
+    many tasks; each task puts out the best tier of its new questions.
     """
-    spark = bank.sparkSession
-    fields = ["qid", "concept_id", "embedding", "text", "numbers", "form"]
+    fields = ["id", "concept_id", "embedding", "text", "numbers", "form"]
     shape = lambda df: df.select(
-        "qid", "concept_id", F.col("embedding").cast("array<double>").alias("embedding"), T.strip("text").alias("text"),
+        F.col("qid").alias("id"), "concept_id", F.col("embedding").cast("array<double>").alias("embedding"), T.strip("text").alias("text"),
         F.array_join(T.number_list("text"), " ").alias("numbers"), (F.col("form") if form else F.lit(None)).cast("string").alias("form"),
     )
-    keys = shape(new).select("qid", "concept_id")
+    fresh, earlier = (shape(df).where("id is not null and concept_id is not null") for df in (new, bank))
+    keys = new.select("qid", "concept_id")
     types = StructType([StructField(f.name, f.dataType) for f in keys.schema] + [StructField("tier_no", IntegerType())])
-    earlier = shape(bank).where("qid is not null and concept_id is not null")
-    out = keys.withColumn("tier_no", F.lit(0))
-    for block in _question_blocks(shape(new).where("qid is not null and concept_id is not null"), fields):
-        sent = spark.sparkContext.broadcast(block)
-
-        def best(batches, sent=sent):
-            tiers = {c: np.zeros(len(rows["qid"]), dtype=np.int8) for c, rows in sent.value.items()}
-            for batch in batches:
-                found: dict = {}
-                for r in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
-                    if r[1] in tiers:
-                        found.setdefault(r[1], []).append(r)
-                for concept, rows in found.items():
-                    _raise_tiers(tiers[concept], sent.value[concept], _columns(rows, fields), structural, exact, form)
-            hits = [(q, c, t) for c, rows in sent.value.items() for q, t in zip(rows["qid"], tiers[c].tolist(), strict=True) if t]
-            names = ["qid", "concept_id", "tier_no"]
-            kinds = to_arrow_schema(types)
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], kinds.field(i).type) for i in range(3)], names=names)
-
-        out = out.unionByName(earlier.mapInArrow(best, types))
+    kinds = to_arrow_schema(types)
+
+    def best(batches):
+        for concept, asked, held in _groups(batches, fields, "concept_id"):
+            if not (asked and held):
+                continue
+            tiers = np.zeros(len(asked), dtype=np.int8)
+            _raise_tiers(tiers, _columns(asked, fields), _columns(held, fields), structural, exact, form)
+            hits = [(r[0], concept, t) for r, t in zip(asked, tiers.tolist(), strict=True) if t]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], kinds.field(i).type) for i in range(3)], names=kinds.names)
+
+    found = _cells(fresh, earlier, "concept_id", block_rows).mapInArrow(best, types)
     names = F.array(*[F.lit(x) for x in ("none", "conceptual", "structural", "exact", "verbatim")])
-    return out.groupBy("qid", "concept_id").agg(F.max("tier_no").alias("tier_no")).withColumn("tier", F.element_at(names, F.col("tier_no") + 1))
-
-
-def _question_blocks(questions: DataFrame, fields: list[str]):
-    """Questions by concept, as columns, in blocks of bounded size."""
-    rows, size = {}, 0
-    for r in questions.select(*fields).toLocalIterator():
-        rows.setdefault(r[1], []).append(tuple(r))
-        size += len(r["embedding"] or ()) + len(r["text"] or "") + len(r["numbers"] or "") + 8
-        if size >= BLOCK_NUMBERS:
-            yield {c: _columns(x, fields) for c, x in rows.items()}
-            rows, size = {}, 0
-    if rows:
-        yield {c: _columns(x, fields) for c, x in rows.items()}
+    every = keys.withColumn("tier_no", F.lit(0)).unionByName(found)
+    return every.groupBy("qid", "concept_id").agg(F.max("tier_no").alias("tier_no")).withColumn("tier", F.element_at(names, F.col("tier_no") + 1))
 
 
 def _columns(rows: list[tuple], fields: list[str]) -> dict:
@@ -191,8 +236,8 @@ def _columns(rows: list[tuple], fields: list[str]) -> dict:
 
 def _raise_tiers(tiers: np.ndarray, new: dict, bank: dict, structural: float, exact: float, form: bool) -> None:
     """Raise the tiers of new questions to what rows of the bank of their concept give, in tiles of bounded size."""
-    code = {c: _codes(new[c], bank[c]) for c in ("qid", "text", "numbers", "form")}
-    m = len(bank["qid"])
+    code = {c: _codes(new[c], bank[c]) for c in ("id", "text", "numbers", "form")}
+    m = len(bank["id"])
     step = max(1, TILE_CELLS // m)
     for a in range(0, len(tiers), step):
         n = min(step, len(tiers) - a)
@@ -208,7 +253,7 @@ def _raise_tiers(tiers: np.ndarray, new: dict, bank: dict, structural: float, ex
             x, y = code["numbers"]
             alike &= same["form"] & ~same["numbers"] & (x[a : a + n, None] >= 0) & (y[None, :] >= 0)
         tier = np.where(same["text"], 4, np.where((sim >= exact) & same["numbers"], 3, np.where(alike, 2, 1)))
-        np.maximum(tiers[a : a + n], np.where(same["qid"], 0, tier).max(axis=1).astype(np.int8), out=tiers[a : a + n])
+        np.maximum(tiers[a : a + n], np.where(same["id"], 0, tier).max(axis=1).astype(np.int8), out=tiers[a : a + n])
 
 
 def _codes(x: list, y: list) -> tuple[np.ndarray, np.ndarray]:

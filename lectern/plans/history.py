@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.operators import metrics, model
@@ -101,10 +100,9 @@ def features(spark, sf):
     bank = rows.groupBy("concept_id").agg(F.count("*").alias("bank"))
     u = F.element_at(F.split("concept_id", r"\."), 2).cast("long")
     h = model.history(grid(spark, sf)).join(bank, "concept_id").withColumn("u", u).withColumn("subject", F.substring_index("concept_id", ".", 1))
-    # model.prior_mean() mixes shares; these made-up ones are mixed per subject and week.
-    mix = h.withColumn("mix", 0.6 * (F.col("u") % 7 + 1) + 0.4 * F.col("bank"))
-    prior = F.least(F.greatest(F.col("mix") / F.sum("mix").over(W.partitionBy("subject", "week")) * 10.0, F.lit(model.LOW)), F.lit(1 - model.LOW))
-    return mix.withColumn("prior", prior).withColumns({
+    subject_week = F.struct("subject", "week")
+    prior = model.prior_mean((F.col("u") % 7 + 1).cast("double"), F.col("bank").cast("double"), subject_week, F.lit(10.0))
+    return h.withColumn("prior", prior).withColumns({
         "posterior": model.posterior(F.col("prior"), F.col("n_hits"), F.col("n_weeks")), "syllabus": (F.col("u") % 5 != 0).cast("int"), "daily": F.col("u") % 3,
         "repeat": F.col("appeared_last"), "diff_set": F.col("u") % 2, "prereq": (F.col("u") % 4 == 0).cast("int"), "syllabus_known": F.col("u") % 2 == 0, "label": F.col("y"),
     })
@@ -193,4 +191,4 @@ def strict_history(spark, sf):
     """What each fold may learn from: rows older than its first event."""
     ev = concept_events(spark, sf).join(table(spark, sf, "events").select("event_id", F.col("ts").alias("captured_at")), "event_id")
     folds = ev.groupBy(F.col("week").alias("fold")).agg(F.min("captured_at").alias("held_out_at"))
-    return model.before(ev, folds).groupBy("fold").agg(F.count("*").alias("rows_before"), F.count_distinct("concept_id").alias("concepts"))
+    return model.history_sizes(ev, folds)

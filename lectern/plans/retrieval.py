@@ -66,10 +66,10 @@ def dedup_components(spark, sf):
     return retrieve.deduplicate(table(spark, sf, "embeddings"), 0.45)
 
 
-_REPEAT = """q AS (SELECT vec_id AS qid, 'c' || label AS concept_id, CAST(embedding AS DOUBLE[]) AS embedding, 'item ' || (vec_id % 6) || ' of 9' AS text FROM embeddings),
+_REPEAT = """q AS (SELECT vec_id AS qid, 'c' || label AS concept_id, CAST(embedding AS DOUBLE[]) AS embedding, 'item ' || CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE vec_id % 40 END || ' of ' || vec_id % 4 AS text FROM embeddings),
  m AS (SELECT n.qid, n.concept_id, max(CASE WHEN b.qid IS NULL THEN 0 WHEN n.text = b.text THEN 4 WHEN list_cosine_similarity(n.embedding, b.embedding) >= 0.45 AND n.text = b.text THEN 3
   WHEN list_cosine_similarity(n.embedding, b.embedding) >= 0.2 THEN 2 ELSE 1 END) AS tier_no
-  FROM (SELECT * FROM q WHERE qid % 20 = 0) n LEFT JOIN (SELECT * FROM q WHERE qid % 9 = 1) b ON n.concept_id = b.concept_id AND n.qid <> b.qid GROUP BY 1, 2)"""
+  FROM (SELECT * FROM q WHERE qid % 50 = 0) n LEFT JOIN q b ON n.concept_id = b.concept_id AND n.qid <> b.qid GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_REPEAT} SELECT qid, concept_id, CAST(tier_no AS INTEGER) AS tier_no FROM m")
@@ -87,6 +87,7 @@ def repeat_rate(spark, sf):
 
 
 def _repeats(spark, sf):
-    text = F.concat(F.lit("item "), (F.col("vec_id") % 6).cast("string"), F.lit(" of 9"))
+    number = F.when(F.col("vec_id") % 3 == 0, F.col("vec_id")).otherwise(F.col("vec_id") % 40)
+    text = F.concat_ws(" ", F.lit("item"), number.cast("string"), F.lit("of"), (F.col("vec_id") % 4).cast("string"))
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("concept_id"), "embedding", text.alias("text"))
-    return retrieve.repeats(rows.where("qid % 20 = 0"), rows.where("qid % 9 = 1"), 0.2, 0.45)
+    return retrieve.repeats(rows.where("qid % 50 = 0"), rows, 0.2, 0.45)

@@ -94,23 +94,23 @@ def math_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.math_lines("text")).alias("line"))
 
 
-@query("""WITH parts AS (SELECT item_id, 'Question ' || (item_id % 7) || chr(10) || substr(text, 1, 60) || chr(10) || 'A' || chr(10) || substr(text, 61, 20) || chr(10) || 'B' || chr(10) || 'x = ' || item_id || chr(10)
+@query("""WITH parts AS (SELECT item_id, 'Question ' || (item_id % 7) || chr(10) || left(text, length(text) // 2) || chr(10) || 'A' || chr(10) || substr(text, length(text) // 2 + 1) || chr(10) || 'B' || chr(10) || 'x = ' || item_id || chr(10)
  || CASE WHEN item_id % 3 = 0 THEN 'C' || chr(10) || 'c' || chr(10) || 'D' || chr(10) || 'd' || chr(10) ELSE '' END || 'Solution: done' AS raw, text FROM benchmark)
- SELECT item_id, CAST(item_id % 7 AS INTEGER) AS q_index, trim(regexp_replace(substr(text, 1, 60), '\\s+$', '')) AS question_text,
- CAST((CASE WHEN trim(substr(text, 61, 20)) <> '' THEN 1 ELSE 0 END) + 1 + CASE WHEN item_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_options,
+ SELECT item_id, CAST(item_id % 7 AS INTEGER) AS q_index, regexp_replace(trim(left(text, length(text) // 2), ' ' || chr(9) || chr(10) || chr(13)), '\\n{3,}', chr(10) || chr(10), 'g') AS question_text, trim(substr(text, length(text) // 2 + 1), ' ' || chr(9) || chr(10) || chr(13)) AS first_option,
+ CAST((CASE WHEN trim(substr(text, length(text) // 2 + 1), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 1 ELSE 0 END) + 1 + CASE WHEN item_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_options,
  'x = ' || item_id AS math, item_id % 7 >= 1 AS valid FROM parts""")
 def question_extract(spark, sf):
     """Questions from exam-like texts made of the benchmark items: number, stem, options, math."""
     return _questions(spark, sf).select(
-        "item_id", "q_index", "question_text", F.size("options").alias("n_options"), F.element_at("math_expressions", 1).alias("math"), "valid"
+        "item_id", "q_index", "question_text", F.get("options", F.lit(0))["text"].alias("first_option"), F.size("options").alias("n_options"), F.element_at("math_expressions", -1).alias("math"), "valid"
     )
 
 
 def _questions(spark, sf):
-    nl = F.lit("\n")
+    nl, half = F.lit("\n"), F.expr("int(length(text) div 2)")
     four = F.when(F.col("item_id") % 3 == 0, F.lit("C\nc\nD\nd\n")).otherwise("")
     raw = F.concat(
-        F.lit("preamble\nQuestion "), (F.col("item_id") % 7).cast("string"), nl, F.substring("text", 1, 60), nl, F.lit("A"), nl, F.substring("text", 61, 20), nl,
+        F.lit("preamble\nQuestion "), (F.col("item_id") % 7).cast("string"), nl, F.left("text", half), nl, F.lit("A"), nl, F.expr("substring(text, int(length(text) div 2) + 1)"), nl,
         F.lit("B\nx = "), F.col("item_id").cast("string"), nl, four, F.lit("Solution: done"),
     )
     return questions.extract_questions(table(spark, sf, "benchmark").select("item_id", raw.alias("text")))

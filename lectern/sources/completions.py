@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.messages import json_reply
@@ -76,6 +77,44 @@ def batches(rows: DataFrame, size: int = 5, by: str = "book", order: str = "chun
     return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size))
 
 
+# Fields of the replies.
+CONCEPTS = "concepts array<struct<label_en: string, aliases_bn: array<string>, typical_forms: array<string>, difficulty_1_5: int, grounding_quote_bn: string>>"
+QUESTIONS = (
+    "questions array<struct<question_bn: string, options_bn: array<string>, answer: string, worked_solution_bn: string,"
+    " distractor_logic: map<string, string>, question_form: string>>"
+)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """``template`` with each {name} replaced by a column; nulls become empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def concepts(replies: DataFrame, key: str = "section_id", source: str = "section_text") -> tuple[DataFrame, DataFrame]:
+    """(concepts, dropped ones): a row per concept of ``replies`` (key, json, source), those with a quote that their section lacks apart."""
+    one = replies.select(key, source, F.explode(F.from_json("json", CONCEPTS)["concepts"]).alias("c")).select(key, source, "c.*")
+    stands = F.coalesce(F.contains(F.col(source), F.col("grounding_quote_bn")), F.lit(False)) & (F.trim("label_en") != "")
+    return one.where(stands).drop(source), one.where(~F.coalesce(stands, F.lit(False))).drop(source)
+
+
+def generated_questions(replies: DataFrame, key: str = "concept_id") -> tuple[DataFrame, DataFrame]:
+    """(questions, malformed ones): a row per question of ``replies`` (key, json); a fine one has a stem, four options and a letter for an answer."""
+    one = replies.select(key, F.posexplode(F.from_json("json", QUESTIONS)["questions"]).alias("place", "q")).select(key, "place", "q.*")
+    fine = F.coalesce((F.trim("question_bn") != "") & (F.size(F.filter("options_bn", lambda o: F.trim(o) != "")) == 4) & F.col("answer").isin(*"ABCD"), F.lit(False))
+    return one.where(fine), one.where(~fine)
+
+
+def store_cache(new: DataFrame, path: str) -> None:
+    """Append new replies (key, reply) to the cache at ``path``, which read_cache() reads."""
+    new.select("key", "reply").write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """key and reply of a stored cache, one row a key."""
+    return spark.read.schema("key string, reply string").parquet(path).groupBy("key").agg(F.min("reply").alias("reply"))
+
+
 def grounded(found: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:
     """Rows whose quote stands in their source."""
     return found.where(F.contains(F.col(source), F.col(quote)))

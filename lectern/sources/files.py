@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -75,7 +76,7 @@ def pdf_pages(files: DataFrame, max_pages: int | None = None, open_pdf: Callable
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     texts = list(opener(bytes(content)))
-                    rows = [(path, i + 1, len(texts), t, None) for i, t in enumerate(texts[:max_pages])]
+                    rows = [(path, i + 1, len(texts), t, None) for i, t in enumerate(texts[: max_pages or None])]
                 except Exception as e:  # a broken file is a result here, not a failure
                     rows = [(path, 0, 0, None, str(e)[:500])]
                 yield pd.DataFrame(rows, columns=["path", "page_num", "page_count", "text", "error"])
@@ -118,9 +119,27 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: str | Non
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def low_confidence_counts(pages: DataFrame, confidence: float = 0.5) -> DataFrame:
+    """Per book: pages, and those whose mean confidence is below ``confidence``."""
+    return pages.groupBy("book").agg(F.count("*").alias("pages"), F.count_if(F.col("avg_confidence") < confidence).alias("low"))
+
+
+def write_document(df: DataFrame, path: str, report: dict | None = None) -> None:
+    """One JSON document: {"documents": [rows in order of all columns], "report": ...}.
+
+    For results that people open as one file; the rows pass one task, so tables of any size
+    belong into write_jsonl() or write_table().
+    """
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
+    body = rows.agg(F.array_join(F.array_sort(F.collect_list("row")), ",").alias("rows"))
+    text = F.concat(F.lit('{"documents":['), F.col("rows"), F.lit('],"report":' + json.dumps(report or {}) + "}"))
+    body.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_new(df: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key the JSON-lines table at ``path`` lacks."""
+    """Append the rows whose key the JSON-lines table at ``path`` lacks; of rows with one key one goes in."""
     spark = df.sparkSession
+    df = df.dropDuplicates(key)
     try:
         known = spark.read.schema(df.schema).json(path).select(*key).distinct()
         df = df.join(known, key, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import html.parser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Classes of the archived exam pages.
 BLOCK, SERIAL, STEM, OPTION = "questionBlock", "questionSerial", "questionText", "optionText"
+OPTION_BLOCK, LETTER, MATH = "questionOption", "input-group-text", "math-tex"
 LEGACY_SPAN = "pt-0000"
 
 
@@ -116,6 +118,86 @@ def questions(archives: DataFrame) -> DataFrame:
     return rows.select("path", number.alias("q_index"), F.col("q.stem").alias("question_text"), "q.options", "q.legacy")
 
 
+class _Nodes(html.parser.HTMLParser):
+    """Text and formula nodes of question stems and options, in document order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.stack: list[tuple[str, str]] = []
+        self.rows: list[dict] = []
+        self.block, self.math, self.option = -1, None, -1
+
+    def _classes(self) -> list[str]:
+        return [c for _, cls in self.stack for c in cls.split()]
+
+    def handle_starttag(self, tag, attrs):
+        cls = dict(attrs).get("class") or ""
+        if self.math is not None:
+            self.math += self.get_starttag_text()
+        elif tag == "math" and MATH in self._classes():
+            self.math = self.get_starttag_text()
+        if tag in _Blocks.VOID:
+            return
+        self.stack.append((tag, cls))
+        if BLOCK in cls.split():
+            self.block, self.option = self.block + 1, -1
+        if OPTION_BLOCK in cls.split():
+            self.option += 1
+
+    def handle_endtag(self, tag):
+        if self.math is not None:
+            self.math += f"</{tag}>"
+            if tag == "math":
+                self._put("math", self.math)
+                self.math = None
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                return
+
+    def _put(self, kind, value):
+        where = self._classes()
+        part = "option" if OPTION_BLOCK in where else "stem" if STEM in where else None
+        if self.block >= 0 and part:
+            cls = next((c for _, c in reversed(self.stack) if c), "")
+            letter = LETTER in where
+            self.rows.append({"block": self.block, "part": "letter" if letter else part, "option": self.option if part == "option" else None, "kind": kind, "value": value, "cls": cls})
+
+    def _text(self, raw):
+        if self.math is not None:
+            self.math += raw
+        elif not any(t in ("mjx-math", "script", "style") for t, _ in self.stack) and MATH not in self._classes():
+            self._put("text", raw)
+
+    handle_data = _text
+
+    def handle_entityref(self, name):
+        self._text(f"&{name};" if self.math is not None else unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self._text(f"&#{name};" if self.math is not None else unescape(f"&#{name};"))
+
+
+def raw_nodes(archives: DataFrame) -> DataFrame:
+    """path, block, part (stem, letter or option), option, place, kind (text or math), value and cls of every node, in document order.
+
+    Formulas are the assistive MathML inside; their visual rendering is skipped.
+    """
+    kind = "array<struct<block: int, part: string, option: int, kind: string, value: string, cls: string>>"
+
+    @F.pandas_udf(kind)
+    def walk(page: pd.Series) -> pd.Series:
+        def one(x):
+            p = _Nodes()
+            p.feed(x or "")
+            p.close()
+            return p.rows
+
+        return page.map(one)
+
+    return archives.select("path", F.posexplode(walk("html")).alias("place", "n")).select("path", "n.block", "n.part", "n.option", "place", "n.kind", "n.value", "n.cls")
+
+
 def legacy_strings(found: DataFrame) -> DataFrame:
     """Distinct places of spans in the legacy encoding: text in ASCII only, with 100 code points of context."""
     rows = found.select("path", "q_index", F.substring("question_text", 1, 100).alias("context"), F.explode("legacy").alias("raw_bijoy"))

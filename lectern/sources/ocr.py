@@ -19,18 +19,18 @@ def pick_device(available: list[str], wanted: bool = True) -> str:
 
 
 def page_images(files: DataFrame, open_pdf: Callable[[bytes, int], list[bytes]], dpi: int = 200, max_pages: int | None = None) -> DataFrame:
-    """path, page_num (from 1) and png of PDF contents; broken files give no rows."""
+    """path, page_num (from 1), png and error of PDF contents; a broken file gives one row with error and no image."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    images = open_pdf(bytes(content), dpi)
-                except Exception:  # counted as failed by the caller, which knows the paths
-                    images = []
-                for i, png in enumerate(images[: max_pages or None]):
-                    yield pd.DataFrame([(path, i + 1, png)], columns=["path", "page_num", "png"])
+                    rows = [(path, i + 1, png, None) for i, png in enumerate(open_pdf(bytes(content), dpi)[: max_pages or None])]
+                except Exception as e:  # a broken file is a result here, not a failure
+                    rows = [(path, 0, None, str(e)[:500])]
+                for row in rows:
+                    yield pd.DataFrame([row], columns=["path", "page_num", "png", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_num int, png binary")
+    return files.select("path", "content").mapInPandas(run, "path string, page_num int, png binary, error string")
 
 
 def recognise(images: DataFrame, make_engine: Callable[[], Callable[[bytes], list[tuple[str, float]]]], name: str = "ocr", min_confidence: float = 0.3) -> DataFrame:
@@ -44,7 +44,7 @@ def recognise(images: DataFrame, make_engine: Callable[[], Callable[[bytes], lis
             blocks = [[{"text": t, "confidence": float(c)} for t, c in engine(bytes(png))] for png in b["png"]]
             yield pd.DataFrame({"path": b["path"], "page_num": b["page_num"], "blocks": blocks})
 
-    found = images.mapInPandas(run, "path string, page_num int, blocks array<struct<text: string, confidence: double>>")
+    found = images.where("png is not null").select("path", "page_num", "png").mapInPandas(run, "path string, page_num int, blocks array<struct<text: string, confidence: double>>")
     return found.withColumn("o", ocr_text(F.col("blocks"), min_confidence)).select("path", "page_num", "o.*", F.length("o.text").alias("char_count"))
 
 

@@ -60,17 +60,40 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_top_k_against_numpy(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_top_k_against_numpy(spark, block):
     x = np.random.default_rng(0).normal(size=(60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
     q = df.where("vec_id < 5").withColumnRenamed("vec_id", "q_id")
     got = {}
-    for r in retrieve.top_k(q, df, 4, dim=8).orderBy("q_id", "rank").collect():
+    for r in retrieve.top_k(q, df, 4, block_rows=block).orderBy("q_id", "rank").collect():
         got.setdefault(r.q_id, []).append(r.vec_id)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert got == {i: np.argsort(-(u @ u[i]), kind="stable")[:4].tolist() for i in range(5)}
 
 
+def test_equal_scores_go_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [1.0, 1.0]) for i in range(40)] + [(50, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = retrieve.top_k(df.where("vec_id = 1").withColumnRenamed("vec_id", "q_id"), df, 3, block_rows=6).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 3, 5]
+    assert retrieve.top_k(df.limit(0).withColumnRenamed("vec_id", "q_id"), df, 3).count() == 0
+
+
+def test_similar_pairs_exact_and_by_buckets(spark):
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(40, 16))
+    x = np.concatenate([base, base + 0.08 * rnd.normal(size=base.shape), base[:5]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if u[i] @ u[j] > 0.92}
+    exact = retrieve.similar_pairs(df, 0.92, block_rows=16).collect()
+    assert len(exact) == len(want) and {(r.a, r.b) for r in exact} == want
+    near = retrieve.similar_pairs(df, 0.92, tables=16, bits=8, block_rows=16).collect()
+    assert {(r.a, r.b) for r in near} <= want and len(near) >= 0.9 * len(want)
+    found = {r.vec_id: r.canonical for r in retrieve.deduplicate(df, 0.92).collect()}
+    assert len(found) == len(x) + 2 and all(found[j] <= i for i, j in want) and found[80] == 0 and found[900] == 900
+
+
 def test_repeats(spark):
     new = spark.createDataFrame([(1, "c", [1.0, 0.0], "add 2"), (2, "d", [0.0, 1.0], "x")], "qid int, concept_id string, embedding array<double>, text string")
     bank = spark.createDataFrame([(7, "c", [1.0, 0.1], "sum 2"), (8, "c", [0.0, 1.0], "no")], "qid int, concept_id string, embedding array<double>, text string")
@@ -80,8 +103,8 @@ def test_repeats(spark):
 
 @pytest.mark.parametrize("form", [False, True])
 def test_repeats_within_one_large_concept(spark, monkeypatch, form):
-    """Against every earlier row, in several blocks and tiles; the bank meets no join on the concept."""
-    monkeypatch.setattr(retrieve, "BLOCK_NUMBERS", 300)
+    """Against every earlier row, in several blocks and tiles."""
+    monkeypatch.setattr(retrieve, "TILE_CELLS", 40)
     rnd = np.random.default_rng(5)
     texts = ["add 2", " add 2 ", "sum 2", "sum 3", "no", None]
     rows = [
@@ -89,8 +112,7 @@ def test_repeats_within_one_large_concept(spark, monkeypatch, form):
         for i in range(200)
     ]
     bank = spark.createDataFrame(rows, "qid long, concept_id string, embedding array<double>, text string, form string")
-    got = retrieve.repeats(bank.where("qid % 4 = 0 or qid in (7, 11, 13)"), bank, 0.85, 0.92, form)
-    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = retrieve.repeats(bank.where("qid % 4 = 0 or qid in (7, 11, 13)"), bank, 0.85, 0.92, form, block_rows=16)
 
     def tier(x, y):
         u, v = x[2], y[2]
