@@ -14,7 +14,8 @@ distance of each line and that neighbour is then verified on the texts.
 
 Blank lines are never compared and stay where they are. Null texts have no lines. Rows with
 a null doc_id are not compared and stay whole. Repeated rows have the same line numbers, so
-they are changed alike. Documents that lose every non-blank line can be told by n_left = 0.
+they are changed alike; where texts differ under one doc_id, each row loses what makes sense
+by its own lines. Documents that lose every non-blank line can be told by n_left = 0.
 An empty table gives no rows. Other columns stay as they are, whatever their names, but for
 columns named like the three counts, which deduplicate() replaces.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.bitmap import bitmap_of, holds
+from lectern.llm.rows import numbered
 from lectern.llm.words import text_column
 from lectern.session import bounded_batches, discard, free_names, materialise
 
@@ -85,19 +87,20 @@ def variant_keys(line: str, met: set[int], min_chars: int = MIN_CHARS) -> list[t
     return list(out)
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """key, doc_id, line and the meeting keys of every non-blank line."""
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> DataFrame:
+    """key, doc_id, line and the meeting keys of every non-blank line, and the row from the column ``row`` if given."""
 
     def split(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = text_column(batch).to_pylist()
+            numbers = [(n,) for n in batch.column(2).to_pylist()] if row else [()] * len(ids)
             rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
+            for doc_id, text, own in zip(ids, texts, numbers, strict=True):
                 for i, raw in enumerate(text.split("\n")):
                     line = raw.strip(_STRIP)
                     if line:
-                        rows.append((line_key(line), doc_id, i, meeting_keys(line, min_chars)))
+                        rows.append((line_key(line), doc_id, i, meeting_keys(line, min_chars), *own))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -105,11 +108,12 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc_id", "line", "meets"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())] + [pa.int64()] * bool(row)
+        names = ["key", "doc_id", "line", "meets"] + ["row"] * bool(row)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return named.mapInArrow(split, "key long, doc_id long, line int, meets array<bigint>")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", *([F.col(row)] if row else []))
+    return named.mapInArrow(split, "key long, doc_id long, line int, meets array<bigint>" + ", row long" * bool(row))
 
 
 def _near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
@@ -173,10 +177,10 @@ def _near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame
     return checked.select("key", F.struct("near.doc_id", "near.line").alias("near"))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and line of every line that an earlier one makes redundant."""
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> DataFrame:
+    """doc_id (or row, from the column ``row``) and line of every line that an earlier one makes redundant."""
     bounded_batches(docs.sparkSession, 1000)
-    lines = materialise(lines_of(docs, min_chars))
+    lines = materialise(lines_of(docs, min_chars, row))
     place = F.struct("doc_id", "line")
     firsts = materialise(
         lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "meets")).alias("one"), F.count("*").alias("n"))
@@ -187,21 +191,25 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         firsts.select("key", "first", "n").join(near, "key", "left").where("n > 1 or near is not null")
         .select("key", F.least("first", F.coalesce("near", "first")).alias("earliest"))
     )
-    gone = materialise(lines.select("key", "doc_id", "line").join(stays, "key").where(F.col("earliest") < place).select("doc_id", "line"))
+    own = "row" if row else "doc_id"
+    gone = materialise(lines.drop("meets").join(stays, "key").where(F.col("earliest") < place).select(own, "line"))
     discard(lines, firsts, near)
     return gone
 
 
 def _without(docs: DataFrame, min_chars: int, counts: list[str]) -> DataFrame:
     """``docs`` without redundant lines, and the columns ``counts``: non-blank lines, removed ones, those left."""
-    gone, doc_id, old = free_names([*docs.columns, *counts], "_gone", "_id", "_old")
-    places = removed_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("doc_id", doc_id)
+    repeated = numbered(docs, differing=True)
+    rows, own = repeated or (docs, "doc_id")
+    gone, key, old = free_names([*rows.columns, *counts], "_gone", "_id", "_old")
+    found = removed_lines(rows, min_chars, own) if repeated else removed_lines(rows, min_chars)
+    places = found.groupBy(F.col("row" if repeated else "doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
     # The places that are left, by set difference, so work is linear in the lines; F.transform names the lines once.
     left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone))
     kept = F.transform(F.array(F.split(old, "\n")), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))[0]
     solid = F.regexp_count(F.coalesce(old, F.lit("")), F.lit(r"(?md)^[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]")).cast("long")
     removed = F.coalesce(F.size(gone), F.lit(0)).cast("long")
-    joined = docs.withColumnRenamed("text", old).join(places, F.col("doc_id") == F.col(doc_id), "left")
+    joined = rows.withColumnRenamed("text", old).join(places, F.col(own) == F.col(key), "left")
     text = F.when(F.col(gone).isNull(), F.col(old)).otherwise(kept).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     n_lines, n_removed, n_left = counts

@@ -37,9 +37,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.bitmap import bitmap_of, holds
+from lectern.llm.rows import numbered
 from lectern.llm.words import SPACED, U64, Words, slices, text_column
 from lectern.operators.graph import components
-from lectern.session import bounded_batches, discard, free_names, materialise
+from lectern.session import bounded_batches, discard, materialise
 
 #: Cells of the shingle counts that give the global order: 4 bytes each, whatever the corpus.
 SKETCH_BITS = 20
@@ -440,22 +441,6 @@ def _prepared(docs: DataFrame, k: int, percent: int, bits: int, hot: int):
     return counts, profile, classes, materialise(led)
 
 
-#: The number of a row where doc_ids repeat.
-ROW = "_row"
-
-
-def _numbered(docs: DataFrame, differing: bool = False) -> tuple[DataFrame, str] | None:
-    """``docs`` with a written number for each row and that column's name, if a doc_id repeats (with ``differing`` texts), else None."""
-    named = docs.where("doc_id is not null").groupBy("doc_id")
-    if named.count().where("count > 1").isEmpty():
-        return None
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    if differing and named.agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").isEmpty():
-        return None
-    (row,) = free_names(docs.columns, ROW)
-    return materialise(docs.withColumn(row, F.monotonically_increasing_id())), row
-
-
 def _by_number(rows: DataFrame, row: str) -> DataFrame:
     """doc_id and text with the number in place of each doc_id that isn't null."""
     return rows.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), "text")
@@ -474,10 +459,10 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
 
     Only links that connect components are looked for; all_links() gives every one.
     """
-    numbered = _numbered(docs)
-    if numbered is None:
+    repeated = numbered(docs)
+    if repeated is None:
         return _similar(docs, k, percent, bits, hot)
-    rows, row = numbered
+    rows, row = repeated
     found = materialise(_similar(_by_number(rows, row), k, percent, bits, hot))
     named = _heads(rows, row, found).select("doc_id", "n_shingles", F.col("_least.doc_id").alias("component_id"))
     return named.unionByName(found.where("doc_id is null"))
@@ -523,10 +508,10 @@ def all_links(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = SKETCH
     Where a doc_id repeats with differing texts, each row counts as a document of its own:
     a, b and class_id are then numbers of rows, and n_links counts rows.
     """
-    numbered = _numbered(docs, differing=True)
-    if numbered is None:
+    repeated = numbered(docs, differing=True)
+    if repeated is None:
         return _all_links(docs, k, percent, bits, hot)
-    rows, row = numbered
+    rows, row = repeated
     links, found = _all_links(_by_number(rows, row), k, percent, bits, hot)
     ids = rows.where("doc_id is not null").select(F.col(row).alias("_number"), F.col("doc_id").cast("long").alias("id"))
     named = found.join(ids, F.col("doc_id") == F.col("_number")).select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "n_links")
@@ -679,12 +664,12 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows without doc_id stay. Where a doc_id repeats, each row is judged by its own text: of
     a group's rows of smallest doc_id one stays, and texts that link with nothing all stay.
     """
-    numbered = _numbered(docs)
-    if numbered is None:
+    repeated = numbered(docs)
+    if repeated is None:
         first = _similar(docs, k, percent, SKETCH_BITS, HOT_CELL).where("doc_id = component_id").select("doc_id")
         named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
         return named.unionByName(docs.where("doc_id is null"))
-    rows, row = numbered
+    rows, row = repeated
     found = materialise(_similar(_by_number(rows, row), k, percent, SKETCH_BITS, HOT_CELL))
     heads = _heads(rows, row, found).where(F.col("_least.row") == F.col(row)).select(row)
     named = rows.join(heads, row, "left_semi").select(*docs.columns)

@@ -8,7 +8,9 @@ Features of a text are its words, the words' last two bytes and how much it repe
 with damped counts scaled to length 1. The model is fitted on a bounded sample of rated
 rows; every whole text is scored. Null and empty texts have no words and get the score of
 an empty text. With fewer than two grades the expected grade is the only grade there is
-(0.0 without any) and every document is kept. Repeated rows each get a row.
+(0.0 without any) and every document is kept. Repeated rows each get a row; an empty table
+gives none, and other columns are ignored, whatever their names. Of several ratings of an id
+the largest holds, and of several texts the least.
 """
 
 from __future__ import annotations
@@ -73,6 +75,30 @@ class Model:
         return self.grades[0] + tail @ steps, tail[:, (len(self.grades) - 1) // 2]
 
 
+def cuts(z: np.ndarray, width: int) -> np.ndarray:
+    """Thresholds of parameters: after the weights come the first one and logarithms of the positive steps after it."""
+    return z[width] + np.concatenate([[0.0], np.cumsum(np.exp(z[width + 1 :]))])
+
+
+def gradient(z: np.ndarray, x: Sparse, at: np.ndarray, l2: float) -> np.ndarray:
+    """Of the mean negative log-likelihood of the places ``at`` of the rows' grades, and l2 / 2 times the squared weights."""
+    width = x.width
+    s, t = x.dot(z[:width]), cuts(z, width)
+    # The likelihood of a grade is the difference of neighbouring tails.
+    tail = np.concatenate([np.ones((x.n, 1)), sigmoid(s[:, None] - t[None, :]), np.zeros((x.n, 1))], axis=1)
+    rows = np.arange(x.n)
+    p = np.maximum(tail[rows, at] - tail[rows, at + 1], 1e-9)
+    slope = tail * (1 - tail)
+    hi, lo = slope[rows, at] / p, slope[rows, at + 1] / p
+    gs = -(hi - lo) / x.n
+    gt = np.zeros(len(t) + 2)
+    np.add.at(gt, at, hi / x.n)
+    np.add.at(gt, at + 1, -lo / x.n)
+    gt = gt[1:-1]
+    later = np.cumsum(gt[::-1])[::-1]
+    return np.concatenate([x.back(gs) + l2 * z[:width], [gt.sum()], later[1:] * np.exp(z[width + 1 :])])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS, l2: float = 1e-5) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -95,33 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     above = (got["label"].to_numpy()[:, None] > np.asarray(grades[:-1])[None, :]).astype(np.float64)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
     first = -np.log(share / (1 - share))
-    k = len(grades) - 1
     start = np.concatenate([np.zeros(WIDTH), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
 
-    def cuts(z):  # the first threshold, and logarithms of the positive steps after it
-        return z[WIDTH] + np.concatenate([[0.0], np.cumsum(np.exp(z[WIDTH + 1 :]))])
-
-    def gradient(z):
-        s = x.dot(z[:WIDTH])
-        t = cuts(z)
-        # Negative log-likelihood of each grade as difference of neighbouring tails.
-        tail = np.concatenate([np.ones((x.n, 1)), sigmoid(s[:, None] - t[None, :]), np.zeros((x.n, 1))], axis=1)
-        at = above.sum(axis=1).astype(int)
-        rows = np.arange(x.n)
-        p = np.maximum(tail[rows, at] - tail[rows, at + 1], 1e-9)
-        slope = tail * (1 - tail)
-        hi, lo = slope[rows, at] / p, slope[rows, at + 1] / p
-        gs = -(hi - lo) / x.n
-        gt = np.zeros(k + 2)
-        np.add.at(gt, at, hi / x.n)
-        np.add.at(gt, at + 1, -lo / x.n)
-        gt = gt[1:-1]
-        steps = np.exp(z[WIDTH + 1 :])
-        later = np.cumsum(gt[::-1])[::-1]
-        return np.concatenate([x.back(gs) + l2 * z[:WIDTH], [gt.sum()], later[1:] * steps])
-
-    z = descend(gradient, start, steps=150, rate=0.1)
-    return Model(z[:WIDTH], cuts(z), grades)
+    at = above.sum(axis=1).astype(int)
+    z = descend(lambda z: gradient(z, x, at, l2), start, steps=150, rate=0.1)
+    return Model(z[:WIDTH], cuts(z, WIDTH), grades)
 
 
 def rate(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:

@@ -268,6 +268,13 @@ def test_ties_and_emptied_documents(docs_of):
     assert line_dedup.drop_repeated(df).columns == df.columns
 
 
+def test_lines_of_repeated_ids(docs_of):
+    """Each row loses lines by its own text, whatever stands at that place of another row of its id."""
+    rows = [(1, "first line of a text\nand then another one"), (2, "first line of a text\nkept by this row"), (2, "this other row keeps it\nand then another one"), (2, None)]
+    got = sorted(str(r.text) for r in line_dedup.deduplicate(docs_of(rows, extra=True)).collect())
+    assert got == sorted(["first line of a text\nand then another one", "kept by this row", "this other row keeps it", "None"])
+
+
 def test_very_long_text_of_lines(docs_of):
     """Removal is linear in the lines of a document."""
     import time
