@@ -68,11 +68,14 @@ def has_bengali(c: Column | str) -> Column:
     return F.rlike(c, F.lit("[\\u0980-\\u09FF]"))
 
 
-def difficulty(c: Column | str) -> Column:
-    """easy below 200 code points; medium with math or a question word; hard above 800."""
+def difficulty(c: Column | str, signals: Column | None = None) -> Column:
+    """easy below 200 code points; medium with math or a question word; hard above 800.
+
+    ``signals`` may tell that there is math or a question word, where that is known already.
+    """
     return (
         F.when(F.length(c) < 200, "easy")
-        .when(has_math(c) | has_questions(c), "medium")
+        .when(has_math(c) | has_questions(c) if signals is None else signals, "medium")
         .when(F.length(c) > 800, "hard")
         .otherwise("medium")
     )

@@ -33,10 +33,9 @@ def tf_idf(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
 
 
 def flags(df: DataFrame, body: str = "text") -> DataFrame:
-    """``df`` with has_math, has_questions, difficulty and char_count."""
-    return df.withColumns({
-        "has_math": T.has_math(body), "has_questions": T.has_questions(body), "difficulty": T.difficulty(body), "char_count": F.length(body),
-    })
+    """``df`` with has_math, has_questions, difficulty and char_count; each pattern runs once over a text."""
+    found = df.withColumns({"has_math": T.has_math(body), "has_questions": T.has_questions(body)})
+    return found.withColumns({"difficulty": T.difficulty(body, F.col("has_math") | F.col("has_questions")), "char_count": F.length(body)})
 
 
 def enrich(chunks: DataFrame, key: str = "chunk_id", top_n: int = 10) -> DataFrame:

@@ -192,3 +192,30 @@ def classify_report(spark, sf):
     """Labels and those that need a review."""
     docs = table(spark, sf, "documents").select("doc_id")
     return checks.classify_report(docs, docs.where("doc_id % 6 = 0")).withColumn("review_rate", F.round("review_rate", 6))
+
+
+@query(f"""WITH {history._FEATURES}, g AS (SELECT round(probability, 1) AS p, sum(y) AS s, count(*) AS n FROM final GROUP BY 1),
+ span AS (SELECT lo.p AS lo, hi.p AS hi, sum(m.s) / sum(m.n) AS mean FROM g lo JOIN g hi ON hi.p >= lo.p JOIN g m ON m.p BETWEEN lo.p AND hi.p GROUP BY 1, 2)
+ SELECT p, round(max(least_), 6) AS calibrated FROM (SELECT g.p, lo, min(mean) AS least_ FROM g JOIN span ON lo <= g.p AND hi >= g.p GROUP BY 1, 2) GROUP BY p""")
+def isotonic(spark, sf):
+    """Probabilities calibrated by the monotonous step function nearest to what came."""
+    scores = model.score(history.features(spark, sf)).select("week", F.round("probability", 1).alias("p"), "y")
+    steps = model.calibrate(scores, 1).transform(scores.select("p").distinct())
+    return steps.select("p", F.round("prediction", 6).alias("calibrated"))
+
+
+@query(f"""WITH {history._RECALL}, b AS (SELECT week, avg((probability - y) * (probability - y)) AS brier FROM final GROUP BY week),
+ l AS (SELECT week, unnest(['concept_recall@10', 'concept_recall@20', 'concept_recall@30', 'concept_recall@50', 'weighted_recall@30', 'brier', 'MRR']) AS name,
+  unnest([h10 / actual, h20 / actual, hits / actual, h50 / actual, coalesce(hit_weight, 0) / weight, brier, rr / actual]) AS value FROM r JOIN b USING (week) WHERE week = 2)
+ SELECT '  ' || rpad(name, 20, ' ') || ' ' || format('{{:.4f}}', round(value, 4)) || CASE name WHEN 'concept_recall@30' THEN '   <- HEADLINE' ELSE '' END AS line FROM l
+ UNION ALL SELECT unnest(['SCORECARD -- target week 2', 'PREDICTION', 'STAGE HEALTH', '  retrieval_ceiling              0.9', 'WARNINGS', '  ! few weeks'])""")
+def scorecard_lines(spark, sf):
+    """The lines of the scorecard of one week."""
+    ranked, actual = history._ranked(spark, sf)
+    ranked, actual = ranked.where("list_id = 2"), actual.where("list_id = 2")
+    m = metrics.ranking_metrics(ranked.select("list_id", "id", "rank"), actual, 30, actual).first()
+    curve = {r["k"]: r["recall"] for r in metrics.recall_curve(ranked.select("list_id", "id", "rank"), actual).collect()}
+    b = metrics.brier(ranked.select("list_id", "id", "p", F.col("rank").alias("pos")), actual).first()
+    card = metrics.scorecard(2, curve, m["weighted_recall"], b["brier"], m["mrr"], {"retrieval_ceiling": 0.9}, ["few weeks"])
+    lines = [(x,) for x in metrics.scorecard_text(card).split("\n") if x]
+    return spark.createDataFrame(lines, "line string")

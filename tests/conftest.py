@@ -13,7 +13,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 def spark():
     from lectern.session import local_session
 
-    return local_session("4")
+    session = local_session("4")
+    session.conf.set("spark.sql.shuffle.partitions", "3")  # small tables: fewer tasks
+    return session
 
 
 @pytest.fixture(scope="session")
