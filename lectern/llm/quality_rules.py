@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from lectern.session import discard, materialise
 
 #: Least number of buckets for words and for pairs, and buckets per square root of a byte of text.
-LEAST_BUCKETS = 1 << 14
-GROWTH = 16
+LEAST_BUCKETS = 1 << 17
+GROWTH = 8
+#: Masks of 64 ids each that are sent to every task (40 MB at most) to tell trusted documents
+#: where they are; with more of them ids and texts meet in a shuffle, with the same results.
+MASK_ROWS = 1 << 20
 #: Buckets whose ratios travel in one row, and so many of those rows that are sent to every
 #: task (40 MB at most); larger tables are joined, with the same results.
 PACKED = 16
@@ -93,14 +96,27 @@ def bucket_number(docs: DataFrame) -> int:
     return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(GROWTH * math.sqrt(size) + 1)))
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> DataFrame:
+def _marked(docs: DataFrame, trusted: DataFrame, mask_rows: int) -> DataFrame:
+    """doc_id, text and good: 1 for trusted documents, else null."""
+    texts = docs.select("doc_id", "text")
+    bit = F.col("doc_id").bitwiseAND(F.lit(63)).cast("int")
+    masks = trusted.where("doc_id is not null").groupBy(F.shiftright(F.col("doc_id").cast("long"), 6).alias("ids"))
+    masks = materialise(masks.agg(F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 as int))")).alias("mask")))
+    if masks.count() > mask_rows:
+        good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("shuffle_hash")
+        return texts.join(good, "doc_id", "left")
+    found = texts.join(F.broadcast(masks), F.shiftright(F.col("doc_id").cast("long"), 6) == F.col("ids"), "left")
+    set_ = F.call_function("shiftrightunsigned", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1
+    return found.select("doc_id", "text", F.when(set_, 1).alias("good"))
+
+
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = SMOOTHING, mask_rows: int = MASK_ROWS) -> DataFrame:
     """slot and ratios: log-likelihood ratios of PACKED buckets a row, in units of 1 / _UNIT.
 
-    ``trusted`` (doc_id) may be of any size: ids and texts meet in a shuffle. The raw counts
-    cover every document, the target ones every trusted document.
+    ``trusted`` (doc_id) may be of any size. The raw counts cover every document, the target
+    ones every trusted document.
     """
-    good = trusted.select("doc_id", F.lit(1).alias("good")).hint("shuffle_hash")
-    marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left"), "good")
+    marked = with_words(_marked(docs, trusted, mask_rows), "good")
     grams = marked.select("good", F.size("word").alias("n"), F.posexplode(F.concat("word", "pair")).alias("pos", "h"))
     counts = materialise(grams.groupBy(_bucket(buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target")))
     totals = {r["pairs"]: (r["target"], r["raw"]) for r in counts.groupBy((F.col("bucket") >= buckets).alias("pairs")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()}
@@ -124,10 +140,10 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
 _BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, broadcast_rows: int = BROADCAST_ROWS, mask_rows: int = MASK_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score."""
     buckets = buckets or bucket_number(docs)
-    table = bucket_ratios(docs, trusted, buckets)
+    table = bucket_ratios(docs, trusted, buckets, mask_rows=mask_rows)
     if 2 * buckets // PACKED <= broadcast_rows:
         table = F.broadcast(table)
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")

@@ -100,7 +100,7 @@ def test_random_reads_find_every_document(spark, docs_of, tokenizers):
     where = fresh_path(spark, "store")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     token_store.write_store(docs_of(rows).repartition(5), where, tokenizers.path("word_bpe_49k.json"))
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
     every = {}
     for r in token_store.read_store(spark, where).collect():
         every.setdefault(r.doc_id, []).append(bytes(r.ids))
@@ -368,7 +368,7 @@ def test_quality_rules(spark, sf, docs_of):
         failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
         want.append((i, *c, failed, score))
     for limit in (1 << 19, 0):  # sent to all tasks, or joined
-        got = quality_rules.judge(docs_of(rows, extra=True), trusted, -0.05, buckets, limit).collect()
+        got = quality_rules.judge(docs_of(rows, extra=True), trusted, -0.05, buckets, limit, limit).collect()
         order = lambda x: (str(x[:7]), round(x[-1], 4))
         for r, x in zip(sorted(((*r[:7], r.kept, r.score) for r in got), key=order), sorted(want, key=order), strict=True):
             assert r[:7] == x[:7] and r[-1] == pytest.approx(x[-1], abs=2e-6)
@@ -397,10 +397,20 @@ def test_quality_rules_tell_good_from_bad(spark):
 
 
 def test_quality_rules_buckets_grow(spark, docs_of):
-    small, large = docs_of([(1, "a b")]), spark.range(3000).selectExpr("id as doc_id", "repeat('word ', 3000) as text")
+    small, large = docs_of([(1, "a b")]), spark.range(30_000).selectExpr("id as doc_id", "repeat('word ', 4000) as text")
     assert quality_rules.bucket_number(docs_of([])) == quality_rules.bucket_number(small) == quality_rules.LEAST_BUCKETS < quality_rules.bucket_number(large)
 
 
+def test_trusted_ids_of_any_kind(spark, docs_of):
+    """Masks and the shuffle mark the same documents: negative, huge and repeated ids."""
+    ids = [0, 1, 63, 64, -1, -64, -65, (1 << 62) + 5, -(1 << 63), 127, 127]
+    docs = docs_of([(i, "x") for i in [*ids, 2, 62, 65, -2, None]])
+    trusted = docs_of([(i, "") for i in [*ids, None]]).select("doc_id")
+    for limit in (1 << 20, 0):
+        got = quality_rules._marked(docs, trusted, limit).collect()
+        assert len(got) == len(ids) + 5 and {r.doc_id for r in got if r.good} == set(ids)
+
+
 def test_quality_rules_without_trust(spark, docs_of):
     labels = spark.createDataFrame([(None, 1), (1, 0)], "doc_id long, quality int")
     good = quality_rules.trusted_documents(labels)
