@@ -30,3 +30,30 @@ CHAT_FORMAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, c
  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
  CAST(sum(20 + length(role) + length(text) + {_MARKS.format("role")} + {_MARKS.format("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+EXACT_DEDUP = r"""WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)"""
+
+
+def _rounds(rounds: int) -> str:
+    """Rounds of assignment and update as one table of distances and one of codebooks each."""
+    far = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    mean = ", ".join(f"CAST(floor(sum(x[{i}]) / count(*)) AS BIGINT)" for i in range(1, 9))
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, min({far} * 16 + e) AS m FROM parts JOIN c{r} USING (p) GROUP BY 1, 2)")
+        if r < rounds:
+            new = f"SELECT p, m % 16 AS e, [{mean}] AS c FROM a{r} JOIN parts USING (vec_id, p) GROUP BY 1, 2"
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT old.p, old.e, coalesce(new.c, old.c) AS c FROM c{r} old LEFT JOIN ({new}) new ON old.p = new.p AND old.e = new.e)")
+    return ",\n ".join(out)
+
+
+VECTOR_CODES = f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ parts AS MATERIALIZED (SELECT vec_id, p, v[8 * p + 1:8 * p + 8] AS x FROM kept, range(8) t(p)),
+ c0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16) USING (vec_id)),
+ {_rounds(6)},
+ coded AS (SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY 1)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c6) AS codebooks_sha256 FROM coded JOIN kept USING (vec_id)"""

@@ -6,8 +6,10 @@ import importlib
 
 import corpus_pipeline
 from lectern.llm import (
+    alignment,
     chat,
     decontaminate,
+    exact_dedup,
     html_text,
     line_dedup,
     ngram_join,
@@ -17,6 +19,7 @@ from lectern.llm import (
     quality_rules,
     token_store,
     toxicity,
+    vector_codes,
 )
 from lectern.session import table
 
@@ -72,6 +75,18 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs, quality_rules.trusted_documents(labels))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_join": op2_ngram_join,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 #: The others train, hash, parse or compare beyond what SQL can do on whole tables; tests hold them against brute force.
@@ -90,4 +108,6 @@ ORACLES: dict[str, str] = {
     "op2_ngram_join": oracles.NGRAM_JOIN,
     "op7_chat_format": oracles.CHAT_FORMAT,
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op11_exact_dedup": oracles.EXACT_DEDUP,
+    "op12_vector_codes": oracles.VECTOR_CODES,
 }

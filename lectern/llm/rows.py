@@ -11,9 +11,12 @@ from lectern.session import free_names, materialise
 ROW = "_row"
 
 
-def numbered(docs: DataFrame, differing: bool = False) -> tuple[DataFrame, str] | None:
-    """``docs`` with a written number for each row and that column's name, if a doc_id repeats (with ``differing`` texts), else None."""
-    named = docs.where("doc_id is not null").groupBy("doc_id")
+def numbered(docs: DataFrame, differing: bool = False, nulls: bool = False) -> tuple[DataFrame, str] | None:
+    """``docs`` with a written number for each row and that column's name, if a doc_id repeats (with ``differing`` texts), else None.
+
+    With ``nulls`` a missing id counts as an id.
+    """
+    named = (docs if nulls else docs.where("doc_id is not null")).groupBy("doc_id")
     if named.count().where("count > 1").isEmpty():
         return None
     text = F.xxhash64(F.coalesce("text", F.lit("")))
