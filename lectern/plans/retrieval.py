@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import retrieve
+from lectern.operators import nearest, retrieve
 from lectern.session import table
 
 QUERIES: dict = {}
@@ -91,3 +91,51 @@ def _repeats(spark, sf):
     text = F.concat_ws(" ", F.lit("item"), number.cast("string"), F.lit("of"), (F.col("vec_id") % 4).cast("string"))
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("concept_id"), "embedding", text.alias("text"))
     return retrieve.repeats(rows.where("qid % 50 = 0"), rows, 0.2, 0.45)
+
+
+@query(f"WITH {_TOP} SELECT q_id, vec_id, round(cosine, 5) AS cosine, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 8")
+def ivf_exact_top8(spark, sf):
+    """Eight nearest vectors of every fiftieth by the inverted file, with every cell that could hold a nearer one."""
+    return _indexed(spark, sf, exact=True).select("q_id", "vec_id", F.round("cosine", 5).alias("cosine"), "rank")
+
+
+@query("SELECT count_if(vec_id % 50 = 0) AS queries, 8 * count_if(vec_id % 50 = 0) AS neighbours, true AS enough FROM embeddings")
+def ivf_top8(spark, sf):
+    """Whether probing some cells of the inverted file finds nine in ten of the eight nearest, for every fiftieth vector against all."""
+    r = nearest.recall(_indexed(spark, sf, exact=False), _neighbours(spark, sf))
+    return r.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def _indexed(spark, sf, exact):
+    """Neighbours by the index; a query's own row is found too, so one more is asked for."""
+    from pyspark.sql import Window as W
+
+    vectors = table(spark, sf, "embeddings")
+    index = nearest.build(vectors)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    near = nearest.search(asked, index, 9, probes=max(1, 3 * len(index.centres) // 4), exact=exact).where("q_id <> vec_id")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 8")
+
+
+_HISTORY = """q AS (SELECT vec_id AS qid, 's' || label % 3 AS subject, 'c' || label AS concept_id, CAST(embedding AS DOUBLE[]) AS embedding, vec_id // 4 % 9 AS week,
+  CASE WHEN vec_id % 3 = 0 THEN 'bank' WHEN vec_id % 3 = 1 THEN 'daily' ELSE 'weekly' END AS kind, 'item ' || CASE WHEN vec_id % 7 = 0 THEN vec_id ELSE vec_id % 40 END || ' of ' || vec_id % 4 || CASE WHEN vec_id % 5 = 0 THEN ' again' ELSE '' END AS text FROM embeddings),
+ n AS (SELECT q.*, history FROM q, (SELECT unnest(['bank', 'daily', 'weekly']) AS history) WHERE qid % 50 = 0),
+ m AS (SELECT n.qid, n.subject, n.history, max(CASE WHEN b.qid IS NULL THEN 0 WHEN n.text = b.text THEN 4 WHEN list_cosine_similarity(n.embedding, b.embedding) >= 0.2 AND regexp_extract_all(n.text, '[0-9]+') = regexp_extract_all(b.text, '[0-9]+') THEN 3
+  WHEN list_cosine_similarity(n.embedding, b.embedding) >= 0.1 THEN 2 ELSE 1 END) AS tier_no
+  FROM n LEFT JOIN q b ON n.concept_id = b.concept_id AND n.qid <> b.qid AND b.kind = n.history AND (n.history = 'bank' OR n.history = 'daily' AND b.week = n.week OR n.history = 'weekly' AND b.week < n.week) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_HISTORY} SELECT subject, history, count(*) AS questions, round(avg(CAST(tier_no = 4 AS INTEGER)), 6) AS verbatim, round(avg(CAST(tier_no = 3 AS INTEGER)), 6) AS same_numbers,
+ round(avg(CAST(tier_no = 2 AS INTEGER)), 6) AS same_structure FROM m GROUP BY 1, 2""")
+def repeat_history(spark, sf):
+    """How often questions repeat the bank, the dailies of their week and earlier weeklies, by subject."""
+    number = F.when(F.col("vec_id") % 7 == 0, F.col("vec_id")).otherwise(F.col("vec_id") % 40)
+    more = F.when(F.col("vec_id") % 5 == 0, F.lit(" again")).otherwise(F.lit(""))
+    kind = F.element_at(F.array(F.lit("bank"), F.lit("daily"), F.lit("weekly")), (F.col("vec_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("qid"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("subject"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("concept_id"),
+        "embedding", F.expr("cast(vec_id div 4 % 9 as int)").alias("week"), kind.alias("kind"),
+        F.concat(F.lit("item "), number.cast("string"), F.lit(" of "), (F.col("vec_id") % 4).cast("string"), more).alias("text"),
+    )
+    rates = retrieve.history_rates(retrieve.repeat_history(rows, F.col("qid") % 50 == 0, 0.1, 0.2))
+    return rates.select("subject", "history", "questions", *[F.round(c, 6).alias(c) for c in ("verbatim", "same_numbers", "same_structure")])
