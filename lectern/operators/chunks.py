@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lectern.functions import text as T
+from lectern.session import materialise
 
 MAX_TOKENS = 500
 OVERLAP_TOKENS = 100
@@ -106,7 +110,7 @@ def pages_in_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def chunk_column(c: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> Column:
     """Chunks of a text column, JVM-side. Its cost grows with the square of the number of chunks
-    of one text, so it is for rows of bounded size; chunk_pages() streams books of any size."""
+    of one text, so it is for rows of bounded size; chunk_pages() takes books of any size."""
     size = T.estimate_tokens
     flush = lambda a: F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"])
     state = lambda out, cur: F.struct(out.alias("out"), cur.alias("cur"))
@@ -137,115 +141,201 @@ def _tail(previous: Column, overlap_tokens: int) -> Column:
 
 _PARAGRAPH = regex.compile(r"\n{2,}")
 _SENTENCE = regex.compile(r"(?<=[.!?।\n])\s+")
-
-
-class _Fold:
-    """Greedy chunks of one group whose pages arrive in order."""
-
-    def __init__(self, max_tokens: int, overlap_tokens: int):
-        self.limit, self.overlap = max_tokens, overlap_tokens * T.CHARS_PER_TOKEN
-        self.head: list[str] | None = []  # whole pages, while they fit one chunk
-        self.head_size, self.cur, self.before = -2, "", None
-
-    def _tokens(self, s: str) -> int:
-        return max(1, len(s) // T.CHARS_PER_TOKEN)
-
-    def page(self, page: str) -> Iterator[str]:
-        if self.head is not None:
-            self.head.append(page)
-            self.head_size += len(page) + 2
-            if max(1, self.head_size // T.CHARS_PER_TOKEN) <= self.limit:
-                return
-            held, self.head = self.head, None
-            for p in held:
-                yield from self._paragraphs(p)
-        else:
-            yield from self._paragraphs(page)
-
-    def _paragraphs(self, page: str) -> Iterator[str]:
-        for p in _PARAGRAPH.split(page):
-            p = p.strip()
-            if not p:
-                continue
-            if self._tokens(p) > self.limit:
-                yield from self._flush()
-                for s in _SENTENCE.split(p):
-                    yield from self._add(s, " ")
-            else:
-                yield from self._add(p, "\n\n")
-
-    def _add(self, piece: str, glue: str) -> Iterator[str]:
-        if self._tokens(self.cur) + self._tokens(piece) <= self.limit:
-            self.cur = self.cur + glue + piece if self.cur else piece
-        else:
-            yield from self._flush()
-            self.cur = piece
-
-    def _flush(self) -> Iterator[str]:
-        if self.cur:
-            yield self._overlapped(self.cur)
-            self.before, self.cur = self.cur, ""
-
-    def _overlapped(self, chunk: str) -> str:
-        if not self.overlap or self.before is None or len(self.before) <= self.overlap:
-            return chunk
-        tail = self.before[-self.overlap :]
-        cut = next((i for i in map(tail.find, "\n ।") if i > 0), -1)
-        return tail[cut + 1 :] + " " + chunk
-
-    def end(self) -> Iterator[str]:
-        if self.head is not None:
-            yield "\n\n".join(self.head)
-        else:
-            yield from self._flush()
+#: How a worked example or an exercise begins, and how paragraphs begin that still belong to it.
+EXAMPLE = r"(?i)^\s*(?:(?:worked\s+)?example\b|exercises?\b|উদাহরণ|অনুশীলনী)"
+CONTINUES = r"(?i)^\s*(?:(?:solution|answer|hence|therefore|thus)\b|সমাধান|উত্তর|[=∴∵⇒→])"
+_EXAMPLE, _CONTINUES = regex.compile(EXAMPLE), regex.compile(CONTINUES)
+#: Pages of a group that are folded together.
+RANGE_PAGES = 128
+
+
+def _tokens(s: str) -> int:
+    return max(1, len(s) // T.CHARS_PER_TOKEN)
+
+
+class _Piece(NamedTuple):
+    """What the fold adds at once: ``hard`` begins a new chunk, ``close`` ends it."""
+
+    text: str
+    glue: str = "\n\n"
+    hard: bool = False
+    close: bool = False
+
+
+def _pieces(page: str, limit: int, atomic: bool) -> Iterator[_Piece]:
+    """Paragraphs, or the sentences of too long ones; if ``atomic`` an example and what belongs to it is one piece, or on its own if too long."""
+    paragraphs = [p for p in map(str.strip, _PARAGRAPH.split(page)) if p]
+    at = 0
+    while at < len(paragraphs):
+        block, at = [paragraphs[at]], at + 1
+        whole = atomic and _EXAMPLE.match(block[0])
+        while whole and at < len(paragraphs) and _CONTINUES.match(paragraphs[at]):
+            block.append(paragraphs[at])
+            at += 1
+        if _tokens(text := "\n\n".join(block)) <= limit:
+            yield _Piece(text)
+            continue
+        cut = [(s, " " if i else "\n\n") for p in block for i, s in enumerate(_SENTENCE.split(p))]
+        for i, (s, glue) in enumerate(cut):
+            yield _Piece(s, glue, i == 0, bool(whole) and i == len(cut) - 1)
+
+
+def _exits(pages: list[str], limit: int, atomic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each length with which a chunk can be open on entry: the length on exit, and the chunks ended on the way.
+
+    A chunk of the limit takes nothing more, so longer ones count as that. Where all entries
+    come to the same, which a new chunk at a hard break or soon by itself brings about, one value stands for all.
+    """
+    most = limit * T.CHARS_PER_TOKEN
+    size, ended = np.arange(most + 1), np.zeros(most + 1, dtype=np.int64)
+    for page in pages:
+        for text, glue, hard, close in _pieces(page, limit, atomic):
+            fits = (np.maximum(1, size // T.CHARS_PER_TOKEN) + _tokens(text) <= limit) & (not hard)
+            ended = ended + (~fits & (size > 0)) + close
+            size = np.minimum(np.where(fits & (size > 0), size + len(glue), 0) * fits + len(text), most) * (not close)
+            if len(size) > 1 and (size == size[0]).all():
+                size = size[:1]
+    return size, ended if len(size) > 1 or (ended != ended[0]).any() else ended[:1]
+
+
+def _folded(pages: list[str], limit: int, atomic: bool, entry: int, number: int) -> Iterator[tuple[int, bool, str, bool]]:
+    """(number, whether it began before, text, whether it ends here) of each chunk that has text in ``pages``."""
+    size, foreign, parts = entry, entry > 0, []
+    for page in pages:
+        for text, glue, hard, close in _pieces(page, limit, atomic):
+            fits = not hard and max(1, size // T.CHARS_PER_TOKEN) + _tokens(text) <= limit
+            if not fits and size:
+                yield number, foreign, "".join(parts), True
+                number, size, foreign, parts = number + 1, 0, False, []
+            parts += [glue, text] if size else [text]
+            size += len(text) + (len(glue) if size else 0)
+            if close:
+                yield number, foreign, "".join(parts), True
+                number, size, foreign, parts = number + 1, 0, False, []
+    if parts:
+        yield number, foreign, "".join(parts), False
+
+
+def _starts(maps: DataFrame) -> DataFrame:
+    """_g, _r, entry and number of each range: the maps of a group's ranges, a row each, are walked in order."""
+
+    def walk(batches):
+        at, entry, number = None, 0, 0
+        for batch in batches:
+            keys, exits, ended = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            entries, numbers = [], []
+            for key, x, n in zip(keys, exits, ended, strict=True):
+                if key != at:
+                    at, entry, number = key, 0, 0
+                entries.append(entry)
+                numbers.append(number)
+                number += n[entry if len(n) > 1 else 0]
+                entry = x[entry if len(x) > 1 else 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.int32()), pa.array(numbers, pa.int64())], names=["_g", "_r", "entry", "number"])
+
+    schema = StructType([*maps.select("_g", "_r").schema, StructField("entry", IntegerType()), StructField("number", LongType())])
+    return maps.repartition("_g").sortWithinPartitions("_g", "_r").mapInArrow(walk, schema)
+
+
+def _with_moved_examples(rows: DataFrame, order: str) -> DataFrame:
+    """Leading paragraphs that may belong to an example move to the end of the page before, in the same group; the order of paragraphs stays."""
+    parts = T.paragraphs("text")
+    goes_on = F.transform(parts, lambda p: F.rlike(p, F.lit(CONTINUES)))
+    lead = F.coalesce(F.nullif(F.array_position(goes_on, False), F.lit(0)) - 1, F.size(parts)).cast("int")
+    counted = rows.withColumn("_lead", F.when(T.strip("text") == "", 0).otherwise(lead)).withColumn("_all", F.col("_lead") == F.size(parts))
+    past = W.partitionBy("_g").orderBy(order).rowsBetween(W.unboundedPreceding, -1)  # rows without texts
+    home = F.last(F.when(~F.col("_all"), F.col(order)), ignorenulls=True).over(past)
+    homes = counted.select("_g", order, "_lead", "_all").withColumn("_home", home).where("_lead > 0 and _home is not null").select("_g", order, "_home")
+    moving = counted.join(homes, ["_g", order])
+    taken = moving.groupBy("_g", F.col("_home").alias(order)).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.slice(parts, 1, F.col("_lead")).alias("ps")))).alias("more"))
+    text = lambda ps: F.array_join(ps, "\n\n")
+    kept = counted.join(homes, ["_g", order], "left").withColumn("text", F.when(F.col("_home").isNull(), F.col("text")).otherwise(text(F.slice(parts, F.col("_lead") + 1, F.greatest(F.size(parts), F.lit(1))))))
+    joined = kept.join(taken, ["_g", order], "left")
+    return joined.select("_g", order, F.when(F.col("more").isNull(), F.col("text")).otherwise(F.concat(F.col("text"), F.lit("\n\n"), text(F.flatten(F.col("more.ps"))))).alias("text"))
 
 
 def chunk_pages(
-    pages: DataFrame, group: list[str], order: str = "page_num", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, skip_blank: bool = False
+    pages: DataFrame, group: list[str], order: str = "page_num", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, skip_blank: bool = False,
+    atomic: bool = False, range_pages: int = RANGE_PAGES,
 ) -> DataFrame:
-    """Group columns, piece (0-based) and text of the chunks of each group's pages.
+    """Group columns, piece (0-based) and text of the chunks of each group's pages. Null texts count as empty.
 
-    One shuffle on the group; each task streams its sorted pages and keeps one chunk, so a
-    book of any length needs the memory of a chunk. Null texts count as empty.
-    """
-    kept = [*group]
-    fields = {f.name: f.dataType.simpleString() for f in pages.schema if f.name in kept}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", piece int, text string"
+    A group that fits one chunk is one as it is. Others are cut into ranges of ``range_pages``
+    pages, which are folded apart: first as a map from the length with which a chunk may be open on entry to
+    that on exit, then, when a walk over these maps has told each range's true entry, into
+    chunks. Only chunks that cross ranges, and those next to them, are put together by a shuffle.
+    No task holds a group. Pages of one number stay together.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, fold, piece, out = None, None, 0, []
+    If ``atomic``, worked examples and exercises with their solutions (EXAMPLE, CONTINUES) are
+    not cut unless they are longer than a chunk, and then they share no chunk with other text.
+    """
+    rows = pages.select(F.struct(*group).alias("_g"), order, F.coalesce("text", F.lit("")).alias("text"))
+    if atomic:
+        rows = _with_moved_examples(rows, order)
+    ranged = materialise(rows.groupBy("_g", F.floor(F.col(order) / range_pages).alias("_r")).agg(
+        F.array_sort(F.collect_list(F.struct(order, "text"))).alias("pages"), F.sum(F.length("text") + 2).alias("chars"),
+    ).select("_g", "_r", F.col("pages.text").alias("texts"), "chars"))
+    total = F.greatest(F.lit(1), F.floor((F.sum("chars") - 2) / T.CHARS_PER_TOKEN))
+    short = ranged.groupBy("_g").agg((total <= max_tokens).alias("short")).where("short").drop("short")
+    whole = ranged.join(short, "_g").groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "texts"))).alias("rs"))
+    whole = whole.select("_g", F.lit(0).cast("long").alias("piece"), F.array_join(F.flatten(F.col("rs.texts")), "\n\n").alias("text"))
+    long = ranged.join(short, "_g", "left_anti")
+
+    def exits(batches):
+        for batch in batches:
+            made = [_exits(t, max_tokens, atomic) for t in batch.column(2).to_pylist()]
+            lists = [pa.array([list(m[i]) for m in made], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["_g", "_r", "exits", "ended"])
 
-        def put(made):
-            nonlocal piece
-            for x in made:
-                if skip_blank and not x.strip():
-                    continue
-                out.append((*key, piece, x))
-                piece += 1
+    head = [*ranged.select("_g", "_r").schema]
+    ints = ArrayType(IntegerType())
+    maps = long.select("_g", "_r", "texts").mapInArrow(exits, StructType([*head, StructField("exits", ints), StructField("ended", ints)]))
+    keep = overlap_tokens * T.CHARS_PER_TOKEN + 1
 
+    def fold(batches):
         for batch in batches:
-            for *k, body in batch[[*kept, "text"]].itertuples(index=False, name=None):
-                k = tuple(None if x != x else x for x in k)
-                if fold is None or k != key:
-                    if fold is not None:
-                        put(fold.end())
-                    key, fold, piece = k, _Fold(max_tokens, overlap_tokens), 0
-                put(fold.page(body or ""))
-            if out:
-                yield pd.DataFrame(out, columns=[*kept, "piece", "text"])
-                out.clear()
-        if fold is not None:
-            put(fold.end())
-            yield pd.DataFrame(out, columns=[*kept, "piece", "text"])
-
-    sorted_ = pages.select(*kept, order, "text").repartition(*kept).sortWithinPartitions(*kept, order)
-    return sorted_.mapInPandas(run, schema)
-
-
-def chunk_books(pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False) -> DataFrame:
+            out = []
+            for i, (texts, entry, number) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                before = None
+                for n, foreign, text, ends in _folded(texts, max_tokens, atomic, entry, number):
+                    if foreign or not ends:
+                        out.append((i, n, "part", text, None))
+                        if before is not None:
+                            out.append((i, n - 1, "tail", before[-keep:], None))
+                    else:
+                        out.append((i, n, "chunk", text, None if before is None else before[-keep:]))
+                    before = None if foreign else text
+                if before is not None and ends:
+                    out.append((i, n, "tail", before[-keep:], None))
+            at = pa.array([o[0] for o in out], pa.int32())
+            columns = [pa.array([o[c] for o in out], k) for c, k in ((1, pa.int64()), (2, pa.string()), (3, pa.string()), (4, pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["_g", "_r", "piece", "kind", "text", "before"])
+
+    types = StructType([*head, StructField("piece", LongType()), *[StructField(c, StringType()) for c in ("kind", "text", "before")]])
+    made = materialise(long.join(_starts(maps), ["_g", "_r"]).select("_g", "_r", "texts", "entry", "number").mapInArrow(fold, types))
+    # A chunk is known with its predecessor, or is put together, or follows one that another range knows.
+    known = made.where("kind = 'chunk' and (before is not null or piece = 0)").select("_g", "piece", "text", "before")
+    edges = made.where("kind <> 'chunk' or (before is null and piece > 0)").groupBy("_g", "piece").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "part", F.struct("_r", "text")))).alias("parts"),
+        F.max(F.when(F.col("kind") == "chunk", F.col("text"))).alias("one"), F.max(F.when(F.col("kind") == "tail", F.col("text"))).alias("tail"),
+    )
+    text = F.coalesce("one", F.when(F.size("parts") > 0, F.array_join(F.col("parts.text"), "")))
+    edges = edges.select("_g", "piece", text.alias("text"), F.coalesce("tail", text).alias("tail"))
+    before = edges.select("_g", (F.col("piece") + 1).alias("piece"), F.col("tail").alias("before"))
+    stitched = edges.where("text is not null").drop("tail").join(before, ["_g", "piece"], "left")
+    overlapped = F.concat(F.when(F.col("before").isNull(), "").otherwise(_tail(F.col("before"), overlap_tokens)), F.col("text")) if overlap_tokens else F.col("text")
+    out = known.unionByName(stitched).select("_g", "piece", overlapped.alias("text"))
+    out = out.unionByName(whole.where(T.strip("text") != "") if skip_blank else whole)
+    return out.select(*[F.col("_g")[c].alias(c) for c in group], F.col("piece").cast("int").alias("piece"), "text")
+
+
+def chunk_books(
+    pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False, atomic: bool = False, range_pages: int = RANGE_PAGES
+) -> DataFrame:
     """Numbered chunks of books, by chapter where ``chapters`` has some and else over the whole book.
 
-    All chunks are theory, unless ``typed``: then chunk_type() tells.
+    All chunks are theory, unless ``typed``: then chunk_type() tells. ``atomic`` keeps examples
+    whole, as in chunk_pages(). A chapter's chunks are numbered on from the counts of those before it.
     """
     bounds = pages.groupBy("book").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
     whole = bounds.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
@@ -255,13 +345,15 @@ def chunk_books(pages: DataFrame, chapters: DataFrame | None = None, max_tokens:
     else:
         ranges = whole
     placed = pages_in_ranges(pages.select("book", "page_num", "text"), ranges.select("book", "chapter_idx", "page_start", "page_end"))
-    made = chunk_pages(placed.select("book", "chapter_idx", "page_num", "text"), ["book", "chapter_idx"], "page_num", max_tokens)
-    made = made.where((F.col("chapter_idx") == 0) | (T.strip("text") != ""))
-    index = F.row_number().over(W.partitionBy("book").orderBy("chapter_idx", "piece")) - 1
+    made = chunk_pages(placed.select("book", "chapter_idx", "page_num", "text"), ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages)
+    made = made.where((F.col("chapter_idx") == 0) | (F.col("piece") > 0) | (T.strip("text") != ""))
+    upto = W.partitionBy("book").orderBy("chapter_idx").rowsBetween(W.unboundedPreceding, -1)  # a row a chapter
+    counts = made.groupBy("book", "chapter_idx").agg(F.count("*").alias("_n"))
+    ranges = ranges.join(counts.withColumn("_from", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n"), ["book", "chapter_idx"])
     section = F.col("title") if title_from_chapter else F.lit("")
     anchor = F.when(F.col("chapter_idx") == 0, F.col("book")).otherwise(F.concat_ws(" ", "book", F.coalesce(section, F.lit(""))))
     return made.join(ranges, ["book", "chapter_idx"]).select(
-        T.chunk_id(F.col("book"), index).alias("chunk_id"), "book", F.lit("").alias("section_no"),
+        T.chunk_id(F.col("book"), F.col("_from") + F.col("piece")).alias("chunk_id"), "book", F.lit("").alias("section_no"),
         F.coalesce(section, F.lit("")).alias("section_title"), "page_start", "page_end", (chunk_type(F.col("text")) if typed else F.lit("theory")).alias("chunk_type"),
         T.estimate_tokens("text").alias("token_count"), "text", anchor.alias("anchor_text"),
     )

@@ -150,6 +150,12 @@ def book_pages(spark, sf) -> DataFrame:
 
 
 _PAGES = "pages_ AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_num, text, doc_id, lang FROM documents)"
+_RAW = """raw AS (SELECT book, pos, done AS chunk FROM steps WHERE done IS NOT NULL
+   UNION ALL SELECT book, pos + 1, cur FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos DESC) AS r FROM steps) WHERE r = 1 AND cur <> ''),
+ tails AS (SELECT book, chunk, row_number() OVER (PARTITION BY book ORDER BY pos) - 1 AS idx, lag(chunk) OVER (PARTITION BY book ORDER BY pos) AS prev FROM raw),
+ cuts AS (SELECT *, right(prev, 400) AS tail FROM tails),
+ chunks_ AS (SELECT book, idx, CASE WHEN prev IS NULL OR length(prev) <= 400 THEN chunk ELSE
+   substr(tail, 1 + CASE WHEN instr(tail, chr(10)) > 1 THEN instr(tail, chr(10)) WHEN instr(tail, ' ') > 1 THEN instr(tail, ' ') WHEN instr(tail, '।') > 1 THEN instr(tail, '।') ELSE 0 END) || ' ' || chunk END AS text FROM cuts)"""
 _UNITS = f"""{_PAGES},
  units AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY page_num, i) AS pos, kind, piece FROM (
    SELECT book, page_num, 1 AS i, 'p' AS kind, t AS piece FROM (SELECT book, page_num, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM pages_) WHERE greatest(1, length(t) // 4) <= 500 AND t <> ''
@@ -165,12 +171,7 @@ _UNITS = f"""{_PAGES},
        CASE WHEN s.cur = '' THEN u.piece ELSE s.cur || CASE WHEN u.kind = 'p' THEN chr(10) || chr(10) ELSE ' ' END || u.piece END ELSE u.piece END,
      CASE WHEN u.kind <> 'f' AND greatest(1, length(s.cur) // 4) + greatest(1, length(u.piece) // 4) <= 500 THEN NULL ELSE nullif(s.cur, '') END
    FROM steps s JOIN units u ON u.book = s.book AND u.pos = s.pos + 1),
- raw AS (SELECT book, pos, done AS chunk FROM steps WHERE done IS NOT NULL
-   UNION ALL SELECT book, pos + 1, cur FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos DESC) AS r FROM steps) WHERE r = 1 AND cur <> ''),
- tails AS (SELECT book, chunk, row_number() OVER (PARTITION BY book ORDER BY pos) - 1 AS idx, lag(chunk) OVER (PARTITION BY book ORDER BY pos) AS prev FROM raw),
- cuts AS (SELECT *, right(prev, 400) AS tail FROM tails),
- chunks_ AS (SELECT book, idx, CASE WHEN prev IS NULL OR length(prev) <= 400 THEN chunk ELSE
-   substr(tail, 1 + CASE WHEN instr(tail, chr(10)) > 1 THEN instr(tail, chr(10)) WHEN instr(tail, ' ') > 1 THEN instr(tail, ' ') WHEN instr(tail, '।') > 1 THEN instr(tail, '।') ELSE 0 END) || ' ' || chunk END AS text FROM cuts)"""
+ {_RAW}"""
 
 
 @query(f"""WITH RECURSIVE {_UNITS} SELECT replace(replace(book, '/', '_'), ' ', '_') || '_chunk_' || lpad(CAST(idx AS VARCHAR), 4, '0') AS chunk_id, book,
@@ -192,6 +193,37 @@ def chunk_books_report(spark, sf):
     )
 
 
+_ATOMS = f"""{_PAGES},
+ ps AS (SELECT book, page_num, i, CASE WHEN i % 6 = 3 THEN 'Example ' || i || '. ' || line WHEN i % 6 = 4 OR i = 1 AND page_num % 3 = 0 THEN 'Solution: ' || line ELSE line END AS p, i % 6 = 3 AS opens, i % 6 = 4 OR i = 1 AND page_num % 3 = 0 AS goes_on FROM
+   (SELECT book, page_num, line, row_number() OVER (PARTITION BY book, page_num ORDER BY j) AS i FROM (SELECT book, page_num, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM pages_) WHERE line <> '')),
+ flat AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_num, i) AS pos FROM ps),
+ headed AS (SELECT *, max(CASE WHEN NOT goes_on THEN pos END) OVER (PARTITION BY book ORDER BY pos) AS head FROM flat),
+ placed AS (SELECT h.*, CASE WHEN h.goes_on AND f.opens THEN h.head ELSE h.pos END AS block FROM headed h LEFT JOIN flat f ON f.book = h.book AND f.pos = h.head),
+ blocks AS (SELECT book, block, string_agg(p, chr(10) || chr(10) ORDER BY pos) AS t, list(p ORDER BY pos) AS ps, bool_or(opens) AS atom FROM placed GROUP BY 1, 2),
+ raw_units AS (SELECT book, block, 1 AS a, 1 AS b, 'p' AS kind, chr(10) || chr(10) AS glue, t AS piece, false AS atom FROM blocks WHERE greatest(1, length(t) // 4) <= 500
+   UNION ALL SELECT book, block, a, b, CASE WHEN a = 1 AND b = 1 THEN 'f' ELSE 's' END, CASE WHEN b = 1 THEN chr(10) || chr(10) ELSE ' ' END, ss[b], atom FROM
+    (SELECT book, block, a, ss, unnest(range(1, len(ss) + 1)) AS b, atom FROM (SELECT book, block, a, string_split(regexp_replace(ps[a], '([.!?।\n])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss, atom FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS a FROM blocks WHERE greatest(1, length(t) // 4) > 500)))),
+ units AS MATERIALIZED (SELECT book, row_number() OVER o AS pos, kind = 'f' OR coalesce(lag(atom) OVER o AND lag(block) OVER o <> block, false) AS hard, glue, piece FROM raw_units WINDOW o AS (PARTITION BY book ORDER BY block, a, b)),
+ steps(book, pos, cur, done) AS (
+   SELECT DISTINCT book, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR) FROM units
+   UNION ALL
+   SELECT s.book, u.pos, CASE WHEN NOT u.hard AND greatest(1, length(s.cur) // 4) + greatest(1, length(u.piece) // 4) <= 500 THEN CASE WHEN s.cur = '' THEN u.piece ELSE s.cur || u.glue || u.piece END ELSE u.piece END,
+     CASE WHEN NOT u.hard AND greatest(1, length(s.cur) // 4) + greatest(1, length(u.piece) // 4) <= 500 THEN NULL ELSE nullif(s.cur, '') END
+   FROM steps s JOIN units u ON u.book = s.book AND u.pos = s.pos + 1),
+ {_RAW}"""
+
+
+@query(f"""WITH RECURSIVE {_ATOMS} SELECT replace(replace(book, '/', '_'), ' ', '_') || '_chunk_' || lpad(CAST(idx AS VARCHAR), 4, '0') AS chunk_id, book, CAST({_TOKENS} AS INTEGER) AS token_count, md5(text) AS text_md5,
+ CASE WHEN regexp_matches(text, '(?i)^\\s*example\\b') THEN 'example' ELSE 'theory' END AS chunk_type FROM chunks_""")
+def atomic_chunks(spark, sf):
+    """Chunks that keep worked examples whole; lines of documents are paragraphs, every sixth begins an example."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
+    goes_on = lambda i: (i % 6 == 3) | ((i == 0) & (F.col("page_num") % 3 == 0))
+    named = F.transform(lines, lambda x, i: F.when(i % 6 == 2, F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(". "), x)).when(goes_on(i), F.concat(F.lit("Solution: "), x)).otherwise(x))
+    made = chunks.chunk_books(book_pages(spark, sf).withColumn("text", F.array_join(named, "\n\n")), typed=True, atomic=True)
+    return made.select("chunk_id", "book", "token_count", F.md5("text").alias("text_md5"), "chunk_type")
+
+
 _CHAPTERS = f"""{_PAGES}, marked AS (SELECT *, lang <> coalesce(lag(lang) OVER (PARTITION BY book ORDER BY page_num), lang) AS opens FROM pages_),
  numbered AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY book ORDER BY page_num) AS idx FROM marked),
  spans AS (SELECT book, idx, min(page_num) AS page_start, max(page_num) AS last FROM numbered GROUP BY 1, 2),

@@ -140,6 +140,80 @@ def test_chunks_match_model(spark, limit):
     assert streamed == want
 
 
+def atoms(text, limit):
+    """Units of a text whose examples stay whole: (text, glue, begins a chunk, ends it)."""
+    size = lambda s: max(1, len(s) // 4)
+    ps = [x.strip() for x in re.split(r"\n{2,}", text) if x.strip()]
+    blocks = []
+    for p in ps:
+        goes_on = re.match(r"(?i)\s*(solution\b|answer\b|=)", p)
+        if blocks and blocks[-1][0] and goes_on:
+            blocks[-1][1].append(p)
+        else:
+            blocks.append((bool(re.match(r"(?i)\s*(example|exercises?)\b", p)), [p]))
+    out = []
+    for example, block in blocks:
+        if size("\n\n".join(block)) <= limit:
+            out.append(("\n\n".join(block), "\n\n", False, False))
+            continue
+        cut = [(s, " " if i else "\n\n") for p in block for i, s in enumerate(re.split(r"(?<=[.!?।\n])\s+", p))]
+        out += [(s, g, i == 0, example and i == len(cut) - 1) for i, (s, g) in enumerate(cut)]
+    return out
+
+
+def brute_atoms(text, limit):
+    size = lambda s: max(1, len(s) // 4)
+    if size(text) <= limit:
+        return [text]
+    out, cur = [], ""
+    for piece, glue, breaks, ends in atoms(text, limit):
+        if not breaks and cur and size(cur) + size(piece) <= limit:
+            cur += glue + piece
+        else:
+            out += [cur] if cur else []
+            cur = piece
+        if ends:
+            out, cur = [*out, cur], ""
+    return out + ([cur] if cur else [])
+
+
+@pytest.mark.parametrize("limit,range_pages,atomic", [(5, 1, False), (40, 1, False), (40, 3, True), (12, 1, True), (500, 7, False), (40, 1000, True)])
+def test_ranges_fold_as_one(spark, limit, range_pages, atomic):
+    """Chunks don't depend on how pages are dealt into ranges, and examples stay whole, also over pages."""
+    rnd = random.Random(limit + range_pages)
+    starts = ["", "", "", "Example 1. ", "Solution: ", "Exercise ", "= ", "ANSWER ", "exam "]
+    books = {}
+    for b in range(12):
+        pages = []
+        for _ in range(rnd.choice([0, 1, 2, 9, 40])):
+            ps = [rnd.choice(starts) + " ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) + rnd.choice(["", "", ".", "\n"]) for _ in range(rnd.choice([1, 5, 30, 60]))) for _ in range(rnd.choice([0, 1, 2, 5]))]
+            pages.append("\n\n".join(ps))
+        books[None if b == 3 else f"b{b}"] = pages
+    rows = [(b, i + 1, t if t or i % 2 else None) for b, pages in books.items() for i, t in enumerate(pages)]
+    df = spark.createDataFrame(rows, "book string, page_num int, text string").repartition(4)
+    got = {}
+    for r in chunks.chunk_pages(df, ["book"], "page_num", limit, 10, atomic=atomic, range_pages=range_pages).orderBy("piece").collect():
+        got.setdefault(r.book, []).append(r.text)
+        assert r.piece == len(got[r.book]) - 1
+    for b, pages in books.items():
+        if not pages:
+            continue
+        text = "\n\n".join(pages)
+        if max(1, len(text) // 4) <= limit and atomic:
+            assert re.sub(r"\s+", " ", got[b][0]).strip() == re.sub(r"\s+", " ", text).strip()
+            continue
+        if not atomic:
+            assert got[b] == brute(text, limit, 10), b
+            continue
+        raw = brute_atoms(text, limit)
+        want = raw[:1]
+        for before, chunk in zip(raw, raw[1:]):
+            tail = before[-40:]
+            cut = next((tail.find(s) for s in "\n ।" if tail.find(s) > 0), -1)
+            want.append(tail[cut + 1 :] + " " + chunk if len(before) > 40 else chunk)
+        assert got[b] == want, b
+
+
 def test_keywords(spark):
     df = spark.createDataFrame([(1, "Beta alpha beta gamma এবং alpha বাংলা abc"), (2, "")], "k int, text string")
     got = {r.chunk: r.keywords for r in enrich.enrich(df.withColumnRenamed("k", "chunk"), "chunk").collect()}
