@@ -53,6 +53,8 @@ CROWDED = 4
 #: Sets in one trie.
 TRIE_SETS = 256
 #: Members of a group whose outlines are compared in one task, with as many others.
+#: Rows that a task collects before it hands them on.
+PUT_ROWS = 20_000
 GROUP_BLOCK = 2048
 #: Sets, and shingles in them, of one block of a family.
 FAMILY_SETS = 256
@@ -578,19 +580,24 @@ def _per_block(blocks: DataFrame, put, names: list[str], kinds: list, schema: st
 
     def run(batches):
         at, group, out = None, [], set()
+
+        def full(last=False):
+            """What was put out since, in bounded lots: one pair of blocks may give millions of rows."""
+            for row in put(at[0], group, at[1] != at[2]) if at else ():
+                out.add(row)
+                if len(out) >= PUT_ROWS:
+                    yield _rows(list(out), names, kinds)
+                    out.clear()
+            if last:
+                yield _rows(list(out), names, kinds)
+
         for batch in batches:
             for key, p, q, own, doc_id, label, family, n, raw in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
                 if (key, p, q) != at:
-                    if at:
-                        out.update(put(at[0], group, at[1] != at[2]))
+                    yield from full()
                     at, group = (key, p, q), []
                 group.append((n, doc_id, label, own, family, raw))
-            if len(out) > 100_000:
-                yield _rows(list(out), names, kinds)
-                out = set()
-        if at:
-            out.update(put(at[0], group, at[1] != at[2]))
-        yield _rows(list(out), names, kinds)
+        yield from full(last=True)
 
     return blocks.select(*fields).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, schema)
 
