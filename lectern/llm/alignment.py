@@ -7,9 +7,8 @@ is linked with every token of B in it. Pairs of ids are counted by the documents
 linked, over the whole corpus, and each document is measured by those counts.
 
 Arrow partitions hand blocks of bounded size to an in-process DuckDB: interval tables on
-one byte axis, a join of ends for the cuts, a window sum that numbers the groups, ASOF joins that place
-tokens in groups, a range join that places groups in documents, and counts of a pair in a
-document. A text of many tokens is cut into several blocks at cuts of its own. One pass
+one byte axis, a join of ends for the cuts, a window sum that numbers the groups, ASOF joins
+that place tokens in groups and groups in documents, and counts of a pair in a document. A text of many tokens is cut into several blocks at cuts of its own. One pass
 writes, per document, its pairs and times, and per partition how many of its documents hold a
 pair. Spark sums these partial counts. The most frequent pairs, at most TOP_PAIRS, are sent to the
 tasks that measure documents; other pairs meet their counts in a join.
@@ -42,6 +41,8 @@ BLOCK_TOKENS, HELD_PAIRS = 1 << 18, 500_000
 #: Most frequent pairs that are sent to every task, 20 bytes each.
 TOP_PAIRS = 1 << 20
 _DUCKDB_MEMORY = "512MB"
+#: Links a token on average up to which a block's links are paired one by one, which is cheaper for small groups.
+FEW_LINKS = 4
 #: Pairs of a row of partial counts.
 _CHUNK = 20_000
 #: The pattern by which byte-level tokenizers of this family cut text, a fixed value.
@@ -119,16 +120,20 @@ class _Intervals:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": _DUCKDB_MEMORY, "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
 
-    def links(self, a: pa.Table, b: pa.Table, d: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """The cuts in order, and doc, a, b, n (times) of the linked pairs of each document."""
+    def cuts(self, a: pa.Table, b: pa.Table, d: pa.Table) -> np.ndarray:
+        """Where tokens of both sides end together, in order; the groups that end there are numbered from 1."""
         for name, rows in (("a", a), ("b", b), ("d", d)):
             self.db.register(name, rows)
-        self.db.execute("CREATE OR REPLACE TEMP TABLE cut AS SELECT hi, sum(1) OVER (ORDER BY hi ROWS UNBOUNDED PRECEDING) AS g FROM a SEMI JOIN b USING (hi)")
+        self.db.execute("CREATE OR REPLACE TEMP TABLE cut AS SELECT hi, (count(*) OVER (ORDER BY hi ROWS UNBOUNDED PRECEDING))::INT AS g FROM a SEMI JOIN b USING (hi)")
+        return self.db.sql("SELECT hi FROM cut ORDER BY g").fetchnumpy()["hi"]
+
+    def links(self, few: bool) -> dict[str, np.ndarray]:
+        """doc, a, b, n (times) of the linked pairs of each document; unless links are ``few``, equal ids of a group are counted before they are paired."""
+        what, by = ("count(*)", "") if few else ("sum(in_a.n * in_b.n)::BIGINT", "GROUP BY ALL")
         for name in "ab":
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE in_{name} AS SELECT g, id, count(*) AS n FROM {name} ASOF JOIN cut ON {name}.hi <= cut.hi GROUP BY ALL")
-        self.db.execute("CREATE OR REPLACE TEMP TABLE in_d AS SELECT g, doc FROM cut JOIN d ON cut.hi > d.lo AND cut.hi <= d.hi")
-        pairs = self.db.sql("SELECT doc::INT AS doc, in_a.id AS a, in_b.id AS b, sum(in_a.n * in_b.n)::BIGINT AS n FROM in_a JOIN in_b USING (g) JOIN in_d USING (g) GROUP BY ALL").fetchnumpy()
-        return self.db.sql("SELECT hi FROM cut ORDER BY hi").fetchnumpy()["hi"], pairs
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE in_{name} AS SELECT g, id {'' if few else ', count(*) AS n'} FROM {name} ASOF JOIN cut ON {name}.hi <= cut.hi {by}")
+        self.db.execute("CREATE OR REPLACE TEMP TABLE in_d AS SELECT g, doc FROM cut ASOF JOIN d ON cut.hi > d.lo")
+        return self.db.sql(f"SELECT doc, in_a.id AS a, in_b.id AS b, {what} AS n FROM in_a JOIN in_b USING (g) JOIN in_d USING (g) GROUP BY ALL").fetchnumpy()
 
 
 def _pieces(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> Iterator[tuple[slice, slice]]:
@@ -191,12 +196,15 @@ class _Block:
         last = ends[0][upto[0] - 1]
         begin = np.concatenate([[0], last[:-1]])
         tables = [pa.table({"id": i.astype(np.int32), "hi": e}) for i, e in zip(ids, ends, strict=True)]
-        cuts, found = self.db.links(*tables, pa.table({"doc": np.arange(len(self.pieces), dtype=np.int32), "lo": begin, "hi": last}))
+        cuts = self.db.cuts(*tables, pa.table({"doc": np.arange(len(self.pieces), dtype=np.int32), "lo": begin}))
+        group = [np.searchsorted(cuts, e) for e in ends]
+        number = np.prod([np.bincount(g, minlength=len(cuts)) for g in group], axis=0).sum()
+        found = self.db.links(number <= FEW_LINKS * self.tokens)
         order = np.argsort(found["doc"], kind="stable")
         doc, a, b, n = (np.asarray(found[k])[order] for k in ("doc", "a", "b", "n"))
         bounds = np.searchsorted(doc, np.arange(len(self.pieces) + 1))
         groups = np.searchsorted(cuts, np.concatenate([begin, last[-1:]]), side="right")
-        texts = self._texts(ids, ends, cuts, upto)
+        texts = self._texts(ids, group, [cuts[g] == e for g, e in zip(group, ends, strict=True)], upto)
         for i, (d, own_a, own_b) in enumerate(self.pieces):
             at = slice(bounds[i], bounds[i + 1])
             d.n_a, d.n_b = d.n_a + len(own_a), d.n_b + len(own_b)
@@ -206,10 +214,8 @@ class _Block:
             d.add(texts[i])
         self.clear()
 
-    def _texts(self, ids: list[np.ndarray], ends: list[np.ndarray], cuts: np.ndarray, upto: list[np.ndarray]) -> list[str]:
-        """For each piece its groups as ``a1,a2|b1;a3|b2,b3;``."""
-        group = [np.searchsorted(cuts, e) for e in ends]
-        stops = [cuts[g] == e for g, e in zip(group, ends, strict=True)]
+    def _texts(self, ids: list[np.ndarray], group: list[np.ndarray], stops: list[np.ndarray], upto: list[np.ndarray]) -> list[str]:
+        """For each piece its groups as ``a1,a2|b1;a3|b2,b3;``; ``stops`` marks the last tokens of groups."""
         n_a, n_b = (len(s) for s in self.sizes)
         code = [ids[0] + n_a * stops[0], ids[1] + 2 * n_a + n_b * stops[1]]
         order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
