@@ -52,6 +52,32 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     )
 
 
+def merge_components(known: DataFrame, links: DataFrame, src: str = "a", dst: str = "b") -> tuple[DataFrame, DataFrame]:
+    """``known`` (node, component) with the ``links`` of new rows worked in, and the aliases (alias, component) that this makes.
+
+    Only the components that new links touch are joined with one another; what was known
+    isn't gone through again. The result is that of components() over all links so far, and
+    each component's old ids that it no longer has are its aliases. Ends of links that
+    ``known`` lacks are new nodes, components of their own before.
+    """
+    end = lambda c: links.select(F.col(c).alias("node")).where("node is not null")
+    fresh = end(src).union(end(dst)).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
+    before = materialise(known.select("node", "component").unionByName(fresh))
+    at = lambda c: before.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    edges = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").join(at("a"), "a").join(at("b"), "b")
+    # A component's name is the smallest of its nodes, so the smallest of the joined names is that of the whole.
+    moved = components(edges, "a_component", "b_component").where("node <> component").select(F.col("node").alias("alias"), F.col("component").alias("now"))
+    moved = materialise(moved)
+    after = before.join(moved, before["component"] == moved["alias"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    return after, moved.select("alias", F.col("now").alias("component"))
+
+
+def merge_aliases(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases (alias, component) of earlier merges with those of a ``new`` one: each leads to the component of today."""
+    led = known.join(new.select(F.col("alias").alias("component"), F.col("component").alias("now")), "component", "left")
+    return led.select("alias", F.coalesce("now", "component").alias("component")).unionByName(new)
+
+
 def _mark(pairs: DataFrame) -> tuple:
     """Row count and content sums, equal when a round changed nothing."""
     h = F.xxhash64("lo", "hi")

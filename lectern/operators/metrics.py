@@ -70,6 +70,30 @@ def by_subject(rows: DataFrame, value: str) -> DataFrame:
     return rows.rollup("subject").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
+def metric_rollup(rows: DataFrame, by: str = "list_id", subject: str = "subject", k: int = HEADLINE) -> DataFrame:
+    """All metrics of each list by subject and, with a null subject, of the whole list, from one aggregation.
+
+    ``rows`` has a row for each id that is ranked or real: its list and subject, rank (null if
+    not ranked), y (1 if real), weight, p, and correct (null if not labelled). Every metric is a
+    quotient of counts and sums, so subjects add up to lists. Ranks are those of the whole list; a
+    subject without name is one of its own, told from the whole by ``whole``.
+    """
+    real, ranked = F.coalesce(F.col("y"), F.lit(0)) == 1, F.col("rank").isNotNull()
+    hit, err = real & (F.col("rank") <= k), F.coalesce("p", F.lit(0.0)) - F.coalesce(F.col("y").cast("double"), F.lit(0.0))
+    weight = F.when(real, F.coalesce("weight", F.lit(1.0)))
+    sums = {
+        "ids": F.count("*"), "real": F.count_if(real), "hits": F.count_if(hit), "top": F.count_if(ranked & (F.col("rank") <= k)), "hit_weight": F.coalesce(F.sum(F.when(hit, weight)), F.lit(0.0)),
+        "all_weight": F.sum(weight), "reciprocal": F.sum(F.when(real & ranked, 1.0 / F.col("rank"))), "squares": F.sum(err * err),
+        "labelled": F.count("correct"), "right": F.count_if(F.col("correct")),
+    }
+    per = rows.groupingSets([[F.col(by), F.col(subject)], [F.col(by)]], F.col(by), F.col(subject)).agg(F.grouping(subject).cast("boolean").alias("whole"), *[v.alias(c) for c, v in sums.items()])
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return per.select(
+        by, subject, "whole", "ids", "real", part("hits", "real").alias("recall"), part("hits", "top").alias("precision"), part("hit_weight", "all_weight").alias("weighted_recall"),
+        part("reciprocal", "real").alias("mrr"), (F.col("squares") / F.col("ids")).alias("brier"), F.try_divide("right", "labelled").alias("accuracy"),
+    )
+
+
 def label_accuracy(predicted: DataFrame, truth: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Subject, concept and parent accuracy of labels joined on qid; ``parents`` has concept_id and parent."""
     t = truth.select("qid", F.col("subject").alias("t_subject"), F.col("concept_id").alias("t_concept"))

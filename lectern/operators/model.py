@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,16 +82,23 @@ def logit(p: Column) -> Column:
     return F.ln(q / (1 - q))
 
 
-def score(features: DataFrame, weights: dict[str, float] | None = None, gate: float = GATE) -> DataFrame:
+def _terms() -> dict[str, Column]:
+    """The values that the weights of TERMS multiply, in that order, without nulls."""
+    value = {"gap": F.log1p("weeks_since")}
+    return {t: F.coalesce(value.get(t, F.col(t)).cast("double"), F.lit(0.0)) for t in TERMS}
+
+
+def score(features: DataFrame, weights: Mapping[str, float | Column] | None = None, gate: float = GATE) -> DataFrame:
     """features with contributions (which sum to the logit), p_ungated, gate_factor and probability.
 
+    ``weights`` are numbers, or columns where rows differ in them.
+
     ``features`` has posterior, syllabus, daily, repeat, weeks_since, diff_set, prereq and
     syllabus_known. The gate multiplies the probability where the syllabus is known and
     lacks the concept, so it is no term of the logit.
     """
     w = weights or WEIGHTS
-    value = {"syllabus": F.col("syllabus"), "daily": F.col("daily"), "repeat": F.col("repeat"), "gap": F.log1p("weeks_since"), "diff_set": F.col("diff_set"), "prereq": F.col("prereq")}
-    terms = {"posterior": logit(F.col("posterior"))} | {k: F.lit(float(w[k])) * F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in value.items()}
+    terms = {"posterior": logit(F.col("posterior"))} | {k: (w[k] if isinstance(w[k], Column) else F.lit(float(w[k]))) * v for k, v in _terms().items()}
     total = sum(terms.values(), F.lit(0.0))
     shut = F.col("syllabus_known") & (F.coalesce(F.col("syllabus").cast("double"), F.lit(0.0)) == 0)
     return (
@@ -110,52 +121,104 @@ def expected_count(p: Column, questions: Column, distinct: Column) -> Column:
 
 
 TERMS = ("syllabus", "daily", "repeat", "gap", "diff_set", "prereq")
+#: Newton steps of a fit, and the most that a weight moves in one.
+STEPS, MOST_STEP = 6, 2.0
+#: Products worked on at once: rows times folds.
+_CELLS = 1 << 20
 
 
-def fit(training: DataFrame, reg: float = 0.1) -> dict[str, float]:
-    """Weights of the terms by ridge logistic regression with the posterior's logit as offset.
+def _moments(rows: DataFrame, coefficients: np.ndarray, held_out: list, balance: np.ndarray) -> np.ndarray:
+    """For each fold, over the rows of other weeks: gradient and second moments of its weighted log-likelihood.
 
-    ``training`` has the columns of score() and label; rarer labels weigh more.
+    One pass over the rows serves all folds; what is shuffled is a matrix for each task and fold.
+    """
+    folds, size = coefficients.shape
+    weeks = np.array([np.iinfo(np.int64).min if w is None else w for w in held_out], dtype=np.int64)
+
+    def run(batches):
+        total = np.zeros((folds, size + size * size))
+        step = max(1, _CELLS // folds)
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            x, offset, y, week = np.column_stack([column(t) for t in TERMS]), column("offset"), column("label"), column("week")
+            for a in range(0, len(x), step):
+                own, label = x[a : a + step], y[a : a + step, None]
+                p = 1 / (1 + np.exp(-np.clip(offset[a : a + step, None] + own @ coefficients.T, -500, 500)))
+                w = np.where(label == 1, balance[:, 1], balance[:, 0]) * (week[a : a + step, None] != weeks)
+                pairs = (own[:, :, None] * own[:, None, :]).reshape(len(own), -1)
+                total += np.hstack([(w * (label - p)).T @ own, (w * p * (1 - p)).T @ pairs])
+        fold, at = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(fold.ravel()), pa.array(at.ravel()), pa.array(total.ravel())], names=["fold", "at", "value"])
+
+    out = np.zeros((folds, size + size * size))
+    for r in rows.mapInArrow(run, "fold long, at long, value double").groupBy("fold", "at").agg(F.sum("value").alias("value")).collect():
+        out[r["fold"], r["at"]] = r["value"]
+    return out
+
+
+def fit_folds(training: DataFrame, reg: float = 0.1, steps: int = STEPS) -> dict[int | None, tuple[dict[str, float], bool]]:
+    """By held-out week, and for None over all weeks: the weights of the terms, and whether they were fitted.
+
+    Ridge logistic regression with the posterior's logit as offset and no intercept: Newton
+    steps from zero on the mean log-likelihood, in which rarer labels weigh more, less
+    reg / 2 times the squared weights; a step in which a weight would move by more than
+    MOST_STEP is shortened. Each step is one aggregation for all folds, and the driver solves
+    one small system a week. Where a fold's labels are all alike the published weights stand.
+
+    ``training`` has week, the columns of score() and label; rows without label are left out,
+    and rows without week are never held out.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    n = training.agg(F.sum("label").alias("one"), F.count("*").alias("all")).first()
-    one, rows = float(n["one"] or 0), float(n["all"])
-    if not rows or not one or one == rows:
-        return dict(WEIGHTS)
-    ready = training.withColumns({
-        "offset": logit(F.col("posterior")), "gap": F.log1p("weeks_since"), "label": F.col("label").cast("double"),
-        "w": F.when(F.col("label") == 1, rows / (2 * one)).otherwise(rows / (2 * (rows - one))),
-    }).na.fill(0.0, list(TERMS))
-    ready = VectorAssembler(inputCols=list(TERMS), outputCol="x").transform(ready.select(*[F.col(t).cast("double") for t in TERMS], "offset", "label", "w"))
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="label", offsetCol="offset", weightCol="w", regParam=reg, fitIntercept=False)
-    return dict(zip(TERMS, map(float, glm.fit(ready).coefficients), strict=True))
-
-
-def backtest(features: DataFrame, actual: DataFrame, k: int = 30, reg: float = 0.1) -> tuple[DataFrame, dict[str, float], list[str]]:
-    """Leave-one-week-out recall per week, the weights to use, and warnings.
-
-    Weeks are few; each fold fits on the others. A spread of recall above SPREAD falls
-    back to the published weights.
+    rows = training.where("label is not null").select(
+        F.coalesce(F.col("week").cast("long"), F.lit(-(1 << 62))).alias("week"), *[v.alias(t) for t, v in _terms().items()],
+        F.coalesce(logit(F.col("posterior")), F.lit(0.0)).alias("offset"), F.col("label").cast("double").alias("label"),
+    )
+    found = {r["week"]: (r["n"], r["one"]) for r in rows.groupBy("week").agg(F.count("*").alias("n"), F.sum("label").alias("one")).collect()}
+    weeks = [None, *sorted(w for w in found if w > -(1 << 62))]
+    n = np.array([sum(v[0] for w, v in found.items() if w != week) for week in weeks], dtype=float)
+    one = np.array([sum(v[1] for w, v in found.items() if w != week) for week in weeks], dtype=float)
+    fitted = (one > 0) & (one < n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        balance = np.where(fitted[:, None], np.column_stack([n / (2 * (n - one)), n / (2 * one)]), 0.0)
+    beta = np.zeros((len(weeks), len(TERMS)))
+    for _ in range(steps if fitted.any() else 0):
+        m = _moments(rows, beta, weeks, balance) / np.maximum(n, 1)[:, None]
+        gradient = m[:, : len(TERMS)] - reg * beta
+        curve = m[:, len(TERMS) :].reshape(len(weeks), len(TERMS), -1) + reg * np.eye(len(TERMS))
+        move = np.linalg.solve(curve, gradient[..., None])[..., 0]
+        beta += move * np.minimum(1, MOST_STEP / np.maximum(np.abs(move).max(axis=1, keepdims=True), 1e-300))
+    made = lambda b: {t: round(float(x), 9) for t, x in zip(TERMS, b, strict=True)}
+    return {w: (made(b), True) if f else (dict(WEIGHTS), False) for w, b, f in zip(weeks, beta, fitted, strict=True)}
+
+
+def fit(training: DataFrame, reg: float = 0.1) -> dict[str, float]:
+    """Weights of the terms over all rows of ``training``, as of fit_folds()."""
+    rows = training if "week" in training.columns else training.withColumn("week", F.lit(None).cast("int"))
+    return fit_folds(rows, reg)[None][0]
+
+
+def backtest(features: DataFrame, actual: DataFrame, k: int = 30, reg: float = 0.1, steps: int = STEPS) -> tuple[DataFrame, dict[str, float], list[str]]:
+    """Leave-one-week-out metrics at k of each week, the weights to use, and warnings.
+
+    Each week is scored by the weights fitted on the others, which go to its rows by a map of one
+    entry a week. A spread of recall above SPREAD, or fewer than two weeks, falls back to the published weights.
     """
     from lectern.operators.metrics import ranking_metrics
 
-    weeks = sorted(r[0] for r in features.select("week").distinct().collect())
-    rows, warnings = [], []
-    for week in weeks:
-        weights = fit(features.where(F.col("week") != week), reg)
-        ranked = rank(score(features.where(F.col("week") == week), weights)).select(F.col("week").alias("list_id"), F.col("concept_id").alias("id"), "rank")
-        got = ranking_metrics(ranked, actual.where(F.col("week") == week).select(F.col("week").alias("list_id"), F.col("concept_id").alias("id")), k).first()
-        rows.append((week, float(got["recall"]) if got else 0.0))
-    folds = features.sparkSession.createDataFrame(rows, "week int, recall double")
-    low, high = min((r for _, r in rows), default=0.0), max((r for _, r in rows), default=0.0)
+    fitted = fit_folds(features, reg, steps)
+    weeks = [w for w in fitted if w is not None]
+    of = lambda t: F.create_map(*[F.lit(x) for w in weeks for x in (w, fitted[w][0][t])])[F.col("week").cast("long")] if weeks else F.lit(WEIGHTS[t])
+    scored = score(features.where("week is not null"), {t: of(t) for t in TERMS}).withColumn("probability", F.round("probability", 9))
+    ranked = rank(scored, ["week"]).select(F.col("week").alias("list_id"), F.col("concept_id").alias("id"), "rank")
+    real = actual.join(features.select("week").distinct(), "week", "left_semi").select(F.col("week").alias("list_id"), F.col("concept_id").alias("id"))
+    folds = ranking_metrics(ranked, real, k).withColumnRenamed("list_id", "week")
+    spread = folds.agg(F.max("recall") - F.min("recall"), F.count("*")).first()
+    warnings = []
     if len(TERMS) > features.count() / 2:
         warnings.append("more features than half the observations")
-    if high - low > SPREAD or len(weeks) < 2:
+    if (spread[0] or 0.0) > SPREAD or spread[1] < 2:
         warnings.append("unfitted: folds disagree, published weights are used")
         return folds, dict(WEIGHTS), warnings
-    return folds, fit(features, reg), warnings
+    return folds, fitted[None][0], warnings
 
 
 def calibrate(scores: DataFrame, least_weeks: int = 8):

@@ -271,6 +271,25 @@ def similar_pairs(
     return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")) if tables else found
 
 
+def similar_to(new: DataFrame, known: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, cosine) with a < b above the threshold of pairs with a ``new`` row: among these, and with the ``known`` ones, which don't meet each other."""
+
+    def pairs(batches):
+        for _, left, right in _runs(batches, "dim"):
+            if not (left.num_rows and right.num_rows):
+                continue
+            (a, x), (b, y) = _matrix(left), _matrix(right)
+            step = max(1, TILE_CELLS // len(b))
+            for at in range(0, len(a), step):
+                s = x[at : at + step] @ y.T
+                i, j = np.nonzero((s > threshold) & (a[at : at + step, None] != b[None, :]))
+                one, two = a[at + i], b[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s[i, j])], names=["a", "b", "cosine"])
+
+    across = _cells(_vectors(new, vid, vector), _vectors(known, vid, vector), "dim", block_rows).mapInArrow(pairs, "a long, b long, cosine double")
+    return across.unionByName(similar_pairs(new, threshold, vid, vector, block_rows=block_rows))
+
+
 def deduplicate(vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", tables: int = 0, bits: int = 12) -> DataFrame:
     """vid and canonical: the smallest id that similar pairs lead to; ids without pairs stand for themselves.
 

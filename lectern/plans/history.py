@@ -185,6 +185,69 @@ def subject_split(spark, sf):
     return metrics.by_subject(model.score(features(spark, sf)), "probability").withColumn("mean", F.round("mean", 6))
 
 
+def _fit_sql(steps: int, reg: float = 0.1) -> str:
+    """Newton steps of the offset model in plain SQL: fold -1 leaves no week out, fold w leaves out week w."""
+    n = range(1, 7)
+    x = ", ".join(f"{v} AS x{i}" for i, v in zip(n, ("(u % 5 <> 0)::INT", "u % 3", "appeared_last", "ln(1 + weeks_since)", "u % 2", "(u % 4 = 0)::INT"), strict=True))
+    out = [
+        f"x AS MATERIALIZED (SELECT week, concept_id, y, n AS times, u, base_logit AS off, {x} FROM lg)",
+        "cnt AS MATERIALIZED (SELECT fold, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS one FROM x JOIN (SELECT DISTINCT week AS fold FROM x UNION ALL SELECT -1) ON week <> fold GROUP BY 1)",
+        "tr AS MATERIALIZED (SELECT fold, n, x.* EXCLUDE (u), CASE WHEN y = 1 THEN n / (2 * one) ELSE n / (2 * (n - one)) END AS w FROM x JOIN cnt ON week <> fold)",
+        f"b0 AS (SELECT fold, {', '.join(f'0.0 AS b{i}' for i in n)} FROM cnt)",
+    ]
+    bs = ", ".join(f"b{i}" for i in n)
+    for t in range(1, steps + 1):
+        z = " + ".join(f"b{i} * x{i}" for i in n)
+        g = ", ".join(f"sum(w * (y - p) * x{i}) / n - {reg} * b{i} AS g{i}" for i in n)
+        h = ", ".join(f"sum(w * p * (1 - p) * x{i} * x{j}) / n + {reg if i == j else 0} AS h{i}{j}" for i in n for j in n if i <= j)
+        q = f"SELECT fold, {bs}, {g}, {h} FROM (SELECT tr.*, {bs}, 1 / (1 + exp(-(off + {z}))) AS p FROM tr JOIN b{t - 1} USING (fold)) GROUP BY fold, n, {bs}"
+        for k in range(1, 6):  # elimination; the matrix is symmetric, so its upper half is kept
+            at = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+            rest = range(k + 1, 7)
+            cut = [f"{at(i, j)} - {at(k, i)} * {at(k, j)} / h{k}{k} AS {at(i, j)}" for i in rest for j in rest if i <= j] + [f"g{i} - {at(k, i)} * g{k} / h{k}{k} AS g{i}" for i in rest]
+            q = f"SELECT * REPLACE ({', '.join(cut)}) FROM ({q})"
+        for i in range(6, 0, -1):  # and back
+            q = f"SELECT *, (g{i}{''.join(f' - h{i}{j} * d{j}' for j in range(i + 1, 7))}) / h{i}{i} AS d{i} FROM ({q})"
+        most = f"greatest({', '.join(f'abs(d{i})' for i in n)}, 1e-300)"
+        out.append(f"b{t} AS MATERIALIZED (SELECT fold, {', '.join(f'b{i} + d{i} * least(1, 2.0 / {most}) AS b{i}' for i in n)} FROM ({q}))")
+    return ", ".join(out)
+
+
+_FIT = f"{_FEATURES}, {_fit_sql(model.STEPS)}"
+
+
+@query(f"""WITH {_FIT} SELECT CAST(fold AS INTEGER) AS fold, term, round(value, 4) AS value FROM (SELECT fold, unnest(['syllabus', 'daily', 'repeat', 'gap', 'diff_set', 'prereq']) AS term, unnest([b1, b2, b3, b4, b5, b6]) AS value FROM b{model.STEPS})""")
+def offset_fit(spark, sf):
+    """Weights of the terms fitted on all weeks (fold -1) and with each week left out."""
+    fitted = model.fit_folds(features(spark, sf))
+    rows = [(-1 if week is None else week, term, value) for week, (weights, _) in fitted.items() for term, value in weights.items()]
+    return spark.createDataFrame(rows, "fold int, term string, value double").withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {_FIT}, pr AS (SELECT x.*, round(1 / (1 + exp(-(off + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4 + b5 * x5 + b6 * x6))) * CASE WHEN u % 5 = 0 AND u % 2 = 0 THEN 0.08 ELSE 1.0 END, 9) AS p FROM x JOIN b{model.STEPS} ON fold = week),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY p DESC, concept_id) AS rank FROM pr),
+ r AS (SELECT week, count_if(y = 1 AND rank <= 30) / count_if(y = 1) AS recall, count_if(y = 1 AND rank <= 30) / 30 AS precision, sum(CASE WHEN y = 1 THEN 1.0 / rank ELSE 0 END) / count_if(y = 1) AS mrr FROM rk GROUP BY 1)
+ SELECT week, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6) AS mrr, (SELECT max(recall) - min(recall) > 0.25 OR count(*) < 2 FROM r) AS published FROM r""")
+def backtest_weeks(spark, sf):
+    """Each week ranked by weights fitted on the others, and whether the folds disagree so that published weights are used."""
+    rows = features(spark, sf)
+    folds, weights, _ = model.backtest(rows, rows.where("label = 1").select("week", "concept_id"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return folds.select("week", r("recall"), r("precision"), r("mrr"), F.lit(weights == model.WEIGHTS).alias("published"))
+
+
+@query(f"""WITH {_FEATURES} SELECT week, subject, grouping(subject) = 1 AS whole, count(*) AS ids, CAST(count_if(y = 1) AS BIGINT) AS real, round(coalesce(count_if(y = 1 AND rank <= 30) / nullif(count_if(y = 1), 0), 0), 6) AS recall,
+ round(coalesce(count_if(y = 1 AND rank <= 30) / nullif(count_if(rank <= 30), 0), 0), 6) AS precision, round(coalesce(sum(CASE WHEN y = 1 AND rank <= 30 THEN n END) / sum(CASE WHEN y = 1 THEN n END), 0), 6) AS weighted_recall,
+ round(coalesce(sum(CASE WHEN y = 1 THEN 1.0 / rank END) / nullif(count_if(y = 1), 0), 0), 6) AS mrr, round(avg((probability - y) * (probability - y)), 6) AS brier, round(avg(CAST((probability >= 0.5) = (y = 1) AS INTEGER)), 6) AS accuracy
+ FROM ranked GROUP BY GROUPING SETS ((week, subject), (week))""")
+def metric_rollup(spark, sf):
+    """All metrics of each week, by subject and overall."""
+    scored = model.rank(model.score(features(spark, sf)), ["week"])
+    rows = scored.select("week", "subject", "rank", "y", F.col("n").cast("double").alias("weight"), F.col("probability").alias("p"), ((F.col("probability") >= 0.5) == (F.col("y") == 1)).alias("correct"))
+    m = metrics.metric_rollup(rows, "week")
+    return m.select("week", "subject", "whole", "ids", "real", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "weighted_recall", "mrr", "brier", "accuracy")])
+
+
 @query(f"""WITH ev AS (SELECT event_type || '.' || user_id AS concept_id, {_WEEK} AS week, ts FROM events), folds AS (SELECT week AS fold, min(ts) AS held_out_at FROM ev GROUP BY 1)
  SELECT fold, count(*) AS rows_before, count(DISTINCT concept_id) AS concepts FROM ev JOIN folds ON ts < held_out_at GROUP BY 1""")
 def strict_history(spark, sf):

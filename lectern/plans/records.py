@@ -315,9 +315,30 @@ def json_document(spark, sf):
 @query("SELECT item_id, text FROM benchmark")
 def json_array(spark, sf):
     """Items from a JSON array."""
-    items = table(spark, sf, "benchmark").select(F.to_json(F.struct("item_id", "text")).alias("row"))
-    one = items.agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
-    return files.read_array(spark, _written(spark, one, lambda d, p: d.write.text(p)), "item_id long, text string")
+    return files.read_array(spark, _written(spark, table(spark, sf, "benchmark").repartition(3), files.write_array), "item_id long, text string")
+
+
+@query("SELECT lang, doc_id FROM documents")
+def append_by_book(spark, sf):
+    """A log kept by book and appended to twice, once with rows it has."""
+    docs = table(spark, sf, "documents").select("lang", "doc_id")
+    path = _written(spark, docs.where("doc_id % 2 = 0"), lambda d, p: files.append_new(d, p, ["doc_id", "lang"], by="lang"))
+    files.append_new(docs.where("doc_id % 3 <> 0").unionByName(docs), path, ["doc_id", "lang"], by="lang")
+    return spark.read.schema(docs.schema).json(path)
+
+
+@query("""SELECT source AS book, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'a' END AS state, md5(text) AS text_md5 FROM documents WHERE CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 <> 0 ELSE doc_id % 3 <> 0 END""")
+def merge_increments(spark, sf):
+    """A table by book after two increments with changes and deletions, the second worked in twice."""
+    docs = table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", F.md5("text").alias("text_md5"))
+    part = F.floor(F.col("doc_id") / 1000)
+    first = docs.where("doc_id % 3 <> 0").withColumn("state", F.lit("a"))
+    second = docs.where("doc_id % 2 = 0").withColumns({"state": F.lit("b"), "deleted": F.col("doc_id") % 10 == 0})
+    merge = lambda d, p: files.merge_increment(d, p, ["book", "doc_id"], place=part)
+    path = _written(spark, first, merge)
+    merge(second, path)
+    merge(second, path)
+    return files.read_merged(spark, path, "book string, doc_id long, text_md5 string, state string").select("book", "doc_id", "state", "text_md5")
 
 
 @query("SELECT lang, doc_id FROM documents")
@@ -573,13 +594,41 @@ def glyph_search(spark, sf):
     return checks.glyph_search(q, ["e", "q"])
 
 
-@query("""SELECT subject, round(least, 6) AS least, round(most, 6) AS most, CAST(options AS INTEGER) AS options FROM (SELECT item_id % 3 AS subject, CAST(min(item_id) AS DOUBLE) AS least, CAST(max(item_id) AS DOUBLE) + 0.5 AS most, 4 AS options FROM benchmark GROUP BY 1)""")
+@query("""WITH RECURSIVE up AS (SELECT doc_id AS concept_id, doc_id // 2 AS root, 1 AS depth FROM documents WHERE doc_id >= 2 UNION ALL SELECT concept_id, root // 2, depth + 1 FROM up WHERE root >= 2)
+ SELECT concept_id, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY 1""")
+def concept_roots(spark, sf):
+    """The root and the depth of every concept of a binary tree."""
+    tree = table(spark, sf, "documents").select(F.col("doc_id").alias("concept_id"), F.when(F.col("doc_id") >= 2, F.expr("doc_id div 2")).alias("parent"))
+    return checks.roots(tree)
+
+
+_STYLE = """q AS (SELECT doc_id, lang AS subject, regexp_replace(text, '[0-9]', '', 'g') || ' ' || doc_id || ' and ' || doc_id || '.5' AS stem FROM documents),
+ o AS (SELECT subject, unnest(CASE doc_id % 3 WHEN 0 THEN ['negated', 'shifted point', 'other number'] WHEN 1 THEN ['doubled or halved', 'next to it', 'other text'] ELSE ['negated', 'same digits', 'other number'] END) AS pattern FROM q),
+ c AS (SELECT subject, pattern, count(*) AS n, row_number() OVER (PARTITION BY subject ORDER BY count(*) DESC, pattern) AS place FROM o GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_STYLE}, s AS (SELECT subject, array_to_string(list_transform(quantile_disc(length(stem), [0.1, 0.5, 0.9]), lambda x: CAST(x AS VARCHAR)), ',') AS stems, CAST(min(doc_id) AS DOUBLE) AS least, max(doc_id) + 0.5 AS most, 4 AS options FROM q GROUP BY 1)
+ SELECT subject, stems, least, CAST(most AS DOUBLE) AS most, CAST(options AS INTEGER) AS options, distractors FROM s JOIN (SELECT subject, string_agg(pattern, ', ' ORDER BY place) AS distractors FROM c WHERE place <= 3 GROUP BY 1) USING (subject)""")
 def house_style(spark, sf):
-    """Numeric ranges and numbers of options of each subject's questions."""
-    words = F.regexp_replace("text", "[0-9]", "")
-    stem = F.concat(words, F.lit(" "), F.col("item_id").cast("string"), F.lit(" and "), F.col("item_id").cast("string"), F.lit(".5"))
-    q = table(spark, sf, "benchmark").select((F.col("item_id") % 3).alias("subject"), stem.alias("question_text"), F.array(*[F.lit(x) for x in "abcd"]).alias("options"))
-    return checks.house_style(q).select("subject", "least", "most", "options")
+    """Stem lengths, numeric ranges, numbers of options and usual distractors of each subject's questions."""
+    made = checks.house_style(_styled(spark, sf), accuracy=1_000_000)
+    return made.select("subject", F.array_join(F.transform("stem_length", lambda x: x.cast("string")), ",").alias("stems"), "least", "most", "options", F.array_join("distractors", ", ").alias("distractors"))
+
+
+@query(f"WITH {_STYLE} SELECT subject, pattern, n, round(n / sum(n) OVER (PARTITION BY subject), 6) AS share FROM c")
+def distractor_patterns(spark, sf):
+    """How wrong options are made of right ones, by subject."""
+    return checks.distractor_patterns(_styled(spark, sf), top=len(checks.DISTRACTORS)).select("subject", "pattern", "n", F.round("share", 6).alias("share"))
+
+
+def _styled(spark, sf):
+    """Documents as stems with a number, and options of known making: answer 420 or 210."""
+    docs = table(spark, sf, "documents")
+    stem = F.concat(F.regexp_replace("text", "[0-9]", ""), F.lit(" "), F.col("doc_id").cast("string"), F.lit(" and "), F.col("doc_id").cast("string"), F.lit(".5"))
+    sets = [("420", "-420", "4.2", "77"), ("210", "105", "211", "none"), ("420", "-420", "204", "99")]
+    one = lambda texts: F.array(*[F.struct(F.lit(x).alias("letter"), F.lit(t).alias("text")) for x, t in zip("ABCD", texts, strict=True)])
+    options = F.when(F.col("doc_id") % 3 == 0, one(sets[0])).when(F.col("doc_id") % 3 == 1, one(sets[1])).otherwise(one(sets[2]))
+    return docs.select(F.col("lang").alias("subject"), stem.alias("question_text"), options.alias("options"), F.lit("A").alias("correct_letter"))
 
 
 def _sections(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import nearest, retrieve
+from lectern.operators.graph import components, merge_components
 from lectern.session import table
 
 QUERIES: dict = {}
@@ -66,6 +67,16 @@ def dedup_components(spark, sf):
     return retrieve.deduplicate(table(spark, sf, "embeddings"), 0.45)
 
 
+@query(ORACLES["dedup_components"])
+def alias_merge(spark, sf):
+    """The same groups from two increments: the links of the second half of the vectors are merged into the components of the first."""
+    vectors = table(spark, sf, "embeddings")
+    first, second = vectors.where("vec_id % 2 = 0"), vectors.where("vec_id % 2 <> 0")
+    known = components(retrieve.similar_pairs(first, 0.45))
+    merged, _ = merge_components(known, retrieve.similar_to(second, first, 0.45))
+    return vectors.select("vec_id").join(merged, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("canonical"))
+
+
 _REPEAT = """q AS (SELECT vec_id AS qid, 'c' || label AS concept_id, CAST(embedding AS DOUBLE[]) AS embedding, 'item ' || CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE vec_id % 40 END || ' of ' || vec_id % 4 AS text FROM embeddings),
  m AS (SELECT n.qid, n.concept_id, max(CASE WHEN b.qid IS NULL THEN 0 WHEN n.text = b.text THEN 4 WHEN list_cosine_similarity(n.embedding, b.embedding) >= 0.45 AND n.text = b.text THEN 3
   WHEN list_cosine_similarity(n.embedding, b.embedding) >= 0.2 THEN 2 ELSE 1 END) AS tier_no

@@ -56,7 +56,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of ``path`` and the path as its kind of object."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -64,7 +64,7 @@ def _file_system(spark: SparkSession, path: str):
 
 def until_exit(spark: SparkSession, path: str) -> None:
     """Have the files at ``path`` deleted when the session's process ends."""
-    files, where = _file_system(spark, path)
+    files, where = file_system(spark, path)
     files.deleteOnExit(where)
 
 
@@ -86,7 +86,7 @@ def discard(*stages: DataFrame) -> None:
     """Delete the files of materialised frames that nothing will read again."""
     for df in stages:
         if path := _stages.pop(df, None):
-            files, where = _file_system(df.sparkSession, path)
+            files, where = file_system(df.sparkSession, path)
             files.delete(where, True)
 
 

@@ -6,8 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lectern.session import discard, file_system, materialise
 
 PAGE = "book string, page_num int, text string, char_count int, avg_confidence double, has_bengali boolean, block_count int"
 SECTION = "section_no string, section_title string, page_start int, page_end int"
@@ -124,29 +128,90 @@ def low_confidence_counts(pages: DataFrame, confidence: float = 0.5) -> DataFram
     return pages.groupBy("book").agg(F.count("*").alias("pages"), F.count_if(F.col("avg_confidence") < confidence).alias("low"))
 
 
-def write_document(df: DataFrame, path: str, report: dict | None = None) -> None:
-    """One JSON document: {"documents": [rows in order of all columns], "report": ...}.
+def write_document(df: DataFrame, path: str, report: dict | None = None, indent: int | None = None) -> None:
+    """One JSON document: {"documents": [rows in order of all columns], "report": ...}, with ``indent`` over several lines.
 
     For results that people open as one file; the rows pass one task, so tables of any size
     belong into write_jsonl() or write_table().
     """
-    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
-    body = rows.agg(F.array_join(F.array_sort(F.collect_list("row")), ",").alias("rows"))
-    text = F.concat(F.lit('{"documents":['), F.col("rows"), F.lit('],"report":' + json.dumps(report or {}) + "}"))
-    body.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    options = {"ignoreNullFields": "false"} | ({"pretty": "true"} if indent else {})
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), lambda r: F.to_json(r, options))
+    text = F.concat(F.lit('{"documents":['), F.array_join(rows, ",\n" if indent else ","), F.lit('],"report":' + json.dumps(report or {}, indent=indent, ensure_ascii=False) + "}"))
+    df.agg(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever store."""
+    files, where = file_system(spark, path)
+    return bool(files.exists(where))
+
+
+def write_array(df: DataFrame, path: str) -> None:
+    """JSON arrays of the rows, one file a task, which read_array() reads: rows keep their place in a partition, and none pass one task."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+
+    def wrap(batches):
+        first = True
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first and i == 0 else ",") + v for i, v in enumerate(values)], pa.string())], names=["value"])
+            first = first and not values
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+    df.select(row.alias("value")).mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
 
 
-def append_new(df: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key the JSON-lines table at ``path`` lacks; of rows with one key one goes in."""
+def append_new(df: DataFrame, path: str, key: list[str], by: str | None = None) -> None:
+    """Append the rows whose key the JSON-lines table at ``path`` lacks; of rows with one key one goes in.
+
+    With ``by``, a column of the key, the log is kept by its values, and only the folders of those that ``df`` has are read.
+    """
     spark = df.sparkSession
     df = df.dropDuplicates(key)
-    try:
-        known = spark.read.schema(df.schema).json(path).select(*key).distinct()
+    if exists(spark, path):
+        known = spark.read.schema(df.schema).json(path).select(*key)
+        if by:
+            known = known.join(F.broadcast(df.select(by).distinct()), by, "left_semi")
         df = df.join(known, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.mode("append").json(path)
+    writer = df.write.mode("append")
+    (writer.partitionBy(by) if by else writer).json(path)
+
+
+def merge_increment(changes: DataFrame, path: str, key: list[str], book: str = "book", order: str | None = None, place: Column | None = None) -> None:
+    """Work ``changes`` into the Parquet table at ``path``: rows replace those of their key, new keys are added.
+
+    The table is kept in folders by ``book`` (a column of the key) and ``place``, a whole number made of the key that
+    deals a book into ranges (by default one of 64 by hash). Only folders that the changes touch
+    are read, and Spark's dynamic overwrite replaces these as a whole when the job ends, so a
+    run that breaks off before leaves the table as it was, and a repeated one changes nothing.
+    A change whose ``deleted`` is true takes its key out; it stays as a mark, which read_merged() leaves out. Of changes of one key
+    the one of greatest ``order`` holds, and of those that tie the greatest row.
+    """
+    spark = changes.sparkSession
+    place = F.pmod(F.xxhash64(*key), F.lit(64)) if place is None else place
+    rows = changes if "deleted" in changes.columns else changes.withColumn("deleted", F.lit(False))
+    rows = rows.withColumn("deleted", F.coalesce("deleted", F.lit(False))).withColumn("_place", place.cast("int"))
+    whole = F.struct(*[F.col(c) for c in ([order] if order else []) + [c for c in rows.columns if c not in key]])
+    last = rows.groupBy(*key).agg(F.max(F.struct(whole.alias("_w"), F.struct(*rows.columns).alias("_row"))).alias("_m")).select("_m._row.*")
+    last = materialise(last)
+    out = last
+    if exists(spark, path):
+        touched = last.select(book, "_place").distinct()
+        held = spark.read.schema(last.schema).parquet(path)
+        match = (held[book].eqNullSafe(touched[book])) & (held["_place"] == touched["_place"])
+        same = F.lit(True)
+        for c in key:
+            same = same & held[c].eqNullSafe(last[c])
+        out = held.join(F.broadcast(touched), match, "left_semi").join(last, same, "left_anti").unionByName(last)
+    dealt = out.repartition(book, "_place").sortWithinPartitions(book, "_place", *key)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book, "_place").parquet(path)
+    discard(last)
+
+
+def read_merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a table that merge_increment() keeps, without deleted ones."""
+    columns = [f.name for f in StructType.fromDDL(schema)]
+    return spark.read.schema(f"{schema}, deleted boolean").parquet(path).where("not deleted").select(*columns)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
