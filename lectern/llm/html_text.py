@@ -4,15 +4,18 @@ Every page is cut into containers, each with the generalised path of its tags an
 (digits in classes don't count). A container scores by the text it holds directly in
 blocks, less what stands in links; the pages of a host vote for the path of their best
 container, in Spark. They also vote on containers whose class may or may not mean page
-furniture (related, form, search and the like): for leaving it out where half of its text
-stands in links. Pages are then read again by their host's votes: a page takes the path of
-most votes that it has (ties: the first in path order), and leaves out what most pages of
-the host want left out.
-
-Elements that never belong to an article (navigation, forms, scripts and the like, by tag,
-role or unambiguous words in class and id) are left out wherever they stand. Character
-references are decoded, white space inside a block becomes one space, blocks are joined by
-one space.
+furniture (related, form, search and the like, or a furniture word beside a word of another
+kind, as in menu-planning): for leaving it out where half of its text stands in links. Pages
+are then read again by their host's votes: a page takes the path of most votes under which it
+has text (ties: the first in path order), and leaves out what most pages of the host want
+left out. Where that path holds less than a fifth of what the page's own best container
+does, the page takes its own, unless most pages that have such a container chose another.
+
+Navigation, forms, scripts and the like are left out wherever they stand, by tag or role, and
+so are elements whose class or id is made of furniture words alone, or of these and words
+for parts of pages (promo-content, modal-body). The header of an article is no furniture
+by its tag, so headlines stay. Character references are decoded, white space (no-break
+spaces too, but not U+200B) inside a block becomes one space, blocks are joined by one space.
 
 Null, empty or unparsable html gives the empty text; html that ends early is read to its
 end. A page whose url names no host votes in a group of its own, with null urls. Repeated
@@ -26,9 +29,11 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.groups import join_groups
 from lectern.session import bounded_batches, materialise
 
 #: Voted paths that are sent along with a host's pages; pages of hosts with more look their
@@ -48,24 +53,30 @@ BLOCK = frozenset(
 RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "iframe"])
 #: Elements that a text block of theirs may be counted for.
 CONTAINER = frozenset("article main section div body td html".split())
-#: Words in class, id or role that mark what is no article.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscri\w+|"
-    r"nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|aside|widget\w*|comments?|commentlist|replies|reply|respond|disqus|"
-    r"header|masthead|footer|copyright|navigation|contentinfo|complementary|toolbar|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words for page furniture in class, id or role.
+FURNITURE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored sponsorship promo promos promotion promotions banner banners cookie cookies consent gdpr"
+    " notice notices popup popups modal newsletter newsletters subscribe subscription subscriptions nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars"
+    " aside widget widgets comment comments commentlist reply replies respond disqus header masthead footer copyright contentinfo complementary toolbar hidden".split()
+)
+#: Furniture that no other class makes an article of.
+OTHERS_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos comment comments commentlist reply replies".split())
+#: Words for the article, and for parts and places of pages: beside furniture they don't make another meaning.
+ARTICLE_WORDS = frozenset("article post entry story main content body text".split())
+PART_WORDS = ARTICLE_WORDS | frozenset(
+    "wrapper wrap container box block area section inner outer item items list row col column slot unit group panel holder bar top bottom left right center first last primary secondary title"
+    " heading message label info inline fixed sticky mobile desktop small large page site global module component image link links script style overlay dialog form button region zone".split()
 )
+#: What tells that a page or element has or allows furniture, not that it is some.
+STATE_WORDS = frozenset("open closed on off allowed enabled disabled has with no without not is".split())
 #: Words that may mean page furniture or the article's own subject: the host's pages decide.
 DOUBTFUL = re.compile(
     r"(?:^|[\s_-])(?:related|recommend\w*|share|sharing|social|search|form|login|signup|legal|foot|skip\w*|tags?|alert|overlay|more|popular|links?)(?:$|[\s_-])", re.I
 )
-#: Words that overrule the former two in the class of an element that holds the article.
+#: Words that overrule these in the class of an element that holds the article.
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body|text)(?:$|[\s_-])", re.I)
-#: Words that nothing overrules, and those that make no article of an element named so.
-NEVER = re.compile(r"comment|repl|\bads?\b|advert|sidebar|nav|footer|header|notice|cookie", re.I)
-OTHERS_ARTICLE = re.compile(
-    r"(?:^|\s)(?:comments?(?!-(?:open|closed|on|off|allowed|enabled))|commentlist|repl(?:y|ies)|ads?|advert\w*|sponsored|promo\w*)(?:$|[\s_-])", re.I
-)
+#: A page takes its own best container where the voted one holds less than this part of it.
+LEAST_SHARE = 0.2
 
 # After an equals sign a quote opens a value; elsewhere it is a sign like others.
 _TAG = re.compile(
@@ -78,12 +89,16 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Place:
-    """A container path: its last step, and the path above it; ``doubtful`` where the host decides."""
+    """A container path: its last step, and the path above it; ``doubtful`` where the host decides.
+
+    Pages know a path by ``key``, a 64-bit hash of its steps, so that work doesn't grow with nesting.
+    """
 
-    __slots__ = ("above", "step", "below", "number", "doubtful")
+    __slots__ = ("above", "step", "below", "number", "doubtful", "key")
 
     def __init__(self, above: Place | None, step: str, number: int, doubtful: bool):
         self.above, self.step, self.number, self.doubtful, self.below = above, step, number, doubtful, {}
+        self.key = xxhash.xxh3_64_intdigest(above.key.to_bytes(8, "little", signed=True) + step.encode()) - (1 << 63) if above else 0
 
     def path(self) -> str:
         steps, at = [], self
@@ -94,10 +109,10 @@ class Place:
 
 
 class _Open:
-    __slots__ = ("tag", "place", "dropped", "link")
+    __slots__ = ("tag", "place", "dropped", "link", "article")
 
-    def __init__(self, tag, place, dropped, link):
-        self.tag, self.place, self.dropped, self.link = tag, place, dropped, link
+    def __init__(self, tag, place, dropped, link, article):
+        self.tag, self.place, self.dropped, self.link, self.article = tag, place, dropped, link, article
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -119,26 +134,42 @@ def _words(attrs: dict[str, str]) -> str:
     return " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", "")))
 
 
-def _is_unwanted(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+_PARTS = re.compile(r"[^\W\d_]+")
+_KEEP, _ASK, _DROP = 0, 1, 2
+
+
+def _token_kind(token: str) -> tuple[int, bool]:
+    """Whether a class or id is furniture, may be, or isn't, and whether nothing overrules that."""
+    parts = [x for x in _PARTS.findall(token.lower()) if len(x) > 1]
+    found = [x for x in parts if x in FURNITURE]
+    if not found or any(x in STATE_WORDS for x in parts):
+        return _KEEP, False
+    if any(x not in FURNITURE and x not in PART_WORDS for x in parts) or set(found) == {"header"} and any(x in ARTICLE_WORDS for x in parts):
+        return _ASK, False
+    return _DROP, any(x in OTHERS_WORDS for x in found)
+
+
+def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """Whether an element is left out, kept, or left to the votes of its host."""
+    if tag in DROPPED and not (tag == "header" and in_article):
+        return _DROP
+    if tag in ("html", "body"):
+        return _KEEP
+    words = _words(attrs) if attrs else ""
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return _DROP
     if "comment" in attrs.get("itemprop", "").lower() or attrs.get("itemtype", "").lower().rstrip("/").endswith("comment"):
-        return True
-    words = _words(attrs)
+        return _DROP
+    kinds = [_token_kind(t) for t in words.split()]
     if tag in ("article", "main"):
-        return bool(OTHERS_ARTICLE.search(words))
-    return bool(UNWANTED.search(words)) and not (WANTED.search(words) and not NEVER.search(words))
-
-
-def _is_doubtful(tag: str, attrs: dict[str, str]) -> bool:
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    words = _words(attrs)
-    return bool(DOUBTFUL.search(words)) and not WANTED.search(words)
+        return _DROP if (_DROP, True) in kinds else _KEEP
+    most = max(kinds, default=(_KEEP, False))
+    names_article = any(k == _KEEP and (p := _PARTS.findall(t.lower())) and all(x in PART_WORDS for x in p) and not ARTICLE_WORDS.isdisjoint(p) for t, (k, _) in zip(words.split(), kinds, strict=True))
+    if most[0] == _DROP:
+        return _ASK if names_article and not most[1] else _DROP
+    if most[0] == _ASK or tag == "header":
+        return _ASK
+    return _ASK if DOUBTFUL.search(words) and not WANTED.search(words) else _KEEP
 
 
 def blocks(page: str) -> tuple[list[Place], list[tuple[Place, str, int]]]:
@@ -148,7 +179,7 @@ def blocks(page: str) -> tuple[list[Place], list[tuple[Place, str, int]]]:
     """
     root = Place(None, "", 0, False)
     places = [root]
-    stack: list[_Open] = [_Open("", root, False, False)]
+    stack: list[_Open] = [_Open("", root, False, False, False)]
     parts: list[str] = []
     links = 0
     at = 0
@@ -228,8 +259,8 @@ def blocks(page: str) -> tuple[list[Place], list[tuple[Place, str, int]]]:
                 cut(len(stack) - 1)
         top = stack[-1]
         attrs = _attributes(m[3])
-        dropped = top.dropped or _is_unwanted(tag, attrs)
-        place, doubtful = top.place, not dropped and tag in BLOCK and _is_doubtful(tag, attrs)
+        kind = _DROP if top.dropped else _kind(tag, attrs, top.article)
+        place, dropped, doubtful = top.place, kind == _DROP, kind == _ASK and tag in BLOCK
         if tag in CONTAINER or doubtful:
             step = _step(tag, attrs)
             place = place.below.get((step, doubtful))
@@ -243,7 +274,7 @@ def blocks(page: str) -> tuple[list[Place], list[tuple[Place, str, int]]]:
             at = end.start() if end else size
         if place is not top.place:
             flush()
-        stack.append(_Open(tag, place, dropped, top.link or tag == "a"))
+        stack.append(_Open(tag, place, dropped, top.link or tag == "a", top.article or tag in ("article", "main")))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return places, out
@@ -291,52 +322,50 @@ def best_place(places: list[Place], found) -> Place | None:
     return best
 
 
-def ballot(page: str) -> list[tuple[str, int, int]]:
-    """(path, 1 for the best container, 1 or -1 for leaving a doubtful container out or not) of a page."""
+def ballot(page: str) -> list[tuple[str, int, int, int]]:
+    """(path key, 1 for the best container, 1 or -1 for leaving a doubtful container out or not, 1 for having text) of a page's containers with text."""
     places, found = blocks(page)
-    out = []
-    if best := best_place(places, found):
-        out.append((best.path(), 1, 0))
-    if any(p.doubtful for p in places):
-        chars, links = [0] * len(places), [0] * len(places)
-        for place, text, linked in found:
-            chars[place.number] += len(text)
-            links[place.number] += linked
-        chars, links = _sums(places, chars), _sums(places, links)
-        out += [(p.path(), 0, 1 if 2 * links[p.number] >= chars[p.number] else -1) for p in places if p.doubtful and chars[p.number]]
-    return out
-
-
-def main_text(page: str, votes: list[tuple[str, int, int]]) -> str:
-    """Text of the blocks inside the most voted path that the page has, or inside its own best.
-
-    ``votes`` has (path, pages that found it best, pages for less pages against leaving it out).
+    chars, links = [0] * len(places), [0] * len(places)
+    for place, text, linked in found:
+        chars[place.number] += len(text)
+        links[place.number] += linked
+    chars, links = _sums(places, chars), _sums(places, links)
+    best = best_place(places, found)
+    side = lambda p: (1 if 2 * links[p.number] >= chars[p.number] else -1) if p.doubtful else 0
+    return [(p.key, int(p is best), side(p), 1) for p in places[1:] if chars[p.number]]
+
+
+def main_text(page: str, votes: list[tuple[str, int, int, int]]) -> str:
+    """Text of the blocks inside the most voted path under which the page has text, or inside its own best.
+
+    ``votes`` has (path key, pages that found it best, pages for less pages against leaving it
+    out, pages that have text there).
     """
     places, found = blocks(page)
-    tree: dict = {}  # steps of voted paths; under "" the votes of the path that ends there
-    for path, main, side in votes:
-        at = tree
-        for step in path.split("/"):
-            at = at.setdefault(step, {})
-        at[""] = main, side
-    target, most, gone = None, 0, set()
-    node = {0: tree}
+    counts = {key: x for key, *x in votes}
+    told, gone = [(0, 0, 0)] * len(places), [False] * len(places)
     for p in places[1:]:
-        at = node.get(p.above.number, {}).get(p.step)
-        if at is None:
-            continue
-        node[p.number] = at
-        main, side = at.get("", (0, 0))
-        if main > most or (main and main == most and p.path() < target.path()):
+        told[p.number] = counts.get(p.key, (0, 0, 0))
+        gone[p.number] = gone[p.above.number] or told[p.number][1] > 0
+    chars = [0] * len(places)
+    for place, text, _ in found:
+        chars[place.number] += 0 if gone[place.number] else len(text)
+    chars = _sums(places, chars)
+    target, most = None, 0
+    for p in places[1:]:
+        main = told[p.number][0]
+        if chars[p.number] and (main > most or (main and main == most and p.path() < target.path())):
             target, most = p, main
-        if side > 0:
-            gone.add(p.number)
-    target = target or best_place(places, found)
-    inside, out = [target is None] + [False] * (len(places) - 1), [False] * len(places)
+    own = best_place(places, found)
+    if target is None:
+        target = own
+    elif own is not None and chars[target.number] < LEAST_SHARE * chars[own.number]:
+        main, _, seen = told[own.number]
+        target = own if 2 * main >= seen else target
+    inside = [target is None] + [False] * (len(places) - 1)
     for p in places[1:]:
         inside[p.number] = inside[p.above.number] or p is target or (target is not None and p.step == target.step and p.above is target.above)
-        out[p.number] = out[p.above.number] or p.number in gone
-    return " ".join(t for p, t, _ in found if inside[p.number] and not out[p.number])
+    return " ".join(t for p, t, _ in found if inside[p.number] and not gone[p.number])
 
 
 def host_of(url: str = "url"):
@@ -344,18 +373,21 @@ def host_of(url: str = "url"):
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """host, path, main (pages that found it best) and side (pages for leaving it out, less those against)."""
+    """host, key (of a path), main (pages that found it best), side (pages for leaving it out, less those against) and seen (pages with text there).
+
+    Only paths that some page found best or that most want left out are told.
+    """
     bounded_batches(pages.sparkSession, 500)
 
     def vote(batches):
         for batch in batches:
             rows = [(h, *v) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for v in ballot(x)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "main", "side"])
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "key", "main", "side", "seen"])
 
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, main long, side long")
-    return votes.groupBy("host", "path").agg(F.sum("main").alias("main"), F.sum("side").alias("side")).where("main > 0 or side > 0")
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, key long, main long, side long, seen long")
+    return votes.groupBy("host", "key").agg(*[F.sum(c).alias(c) for c in ("main", "side", "seen")]).where("main > 0 or side > 0")
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"
@@ -365,7 +397,7 @@ def _read(batches):
     """Text of rows with page_id, url, html and votes."""
     for batch in batches:
         rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        text = [main_text(h, [(v["path"], v["main"], v["side"]) for v in votes or []]) if h else "" for h, votes in rows]
+        text = [main_text(h, [(v["key"], v["main"], v["side"], v["seen"]) for v in votes or []]) if h else "" for h, votes in rows]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -379,9 +411,11 @@ def extract(pages: DataFrame, paths_in_row: int = PATHS_IN_ROW) -> DataFrame:
     whole = pages.select(F.col("page_id").cast("long"), "url", "html", host_of().alias("host"))
     per_host = votes.groupBy("host").agg(F.count("*").alias("paths"))
     few = votes.join(per_host.where(F.col("paths") <= paths_in_row), "host", "left_semi")
-    vote = F.collect_list(F.struct("path", "main", "side")).alias("votes")
+    vote = F.collect_list(F.struct("key", "main", "side", "seen")).alias("votes")
     many = per_host.where(F.col("paths") > paths_in_row).select("host")
-    plain = whole.join(many, "host", "left_anti").join(few.groupBy("host").agg(vote), "host", "left")
+    # Hosts with a thousandth of all pages or more are few: their paths are sent to every task, and no key of the join is hot.
+    hosts = whole.groupBy("host").agg(F.count("*").alias("host_rows")).join(few.groupBy("host").agg(vote), "host", "left")
+    plain = join_groups(whole, hosts.join(many, "host", "left_anti"), ["host"], "host_rows")
     text = plain.select("page_id", "url", "html", "votes").mapInArrow(_read, _TEXT)
     if many.isEmpty():
         return text
@@ -390,11 +424,11 @@ def extract(pages: DataFrame, paths_in_row: int = PATHS_IN_ROW) -> DataFrame:
 
     def own_paths(batches):
         for batch in batches:
-            out = [(row, host, p) for row, host, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if x for p in {p.path() for p in blocks(x)[0][1:]}]
+            out = [(row, host, p) for row, host, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if x for p in {p.key for p in blocks(x)[0][1:]}]
             columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.string(), pa.string()], strict=True)], names=["row", "host", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.string(), pa.int64()], strict=True)], names=["row", "host", "key"])
 
-    asked = rows.select("row", "host", "html").mapInArrow(own_paths, "row long, host string, path string")
-    told = asked.join(votes, ["host", "path"]).groupBy("row").agg(vote)
+    asked = rows.select("row", "host", "html").mapInArrow(own_paths, "row long, host string, key long")
+    told = asked.join(votes, ["host", "key"]).groupBy("row").agg(vote)
     crowded = rows.join(told, "row", "left").select("page_id", "url", "html", "votes").mapInArrow(_read, _TEXT)
     return text.unionByName(crowded)

@@ -286,6 +286,15 @@ ARTICLE = "<body><article><h1>T</h1><p>Some text of the article, long enough</p>
     ("<div data-id='ad' data-class='comments'>plain</div>", "plain"),
     ("<div class='cookie-notice'>We use cookies</div>", ""),
     ("wo<span class='tag'>rd</span>", "word"),
+    *[(f"<div class='{c}'>Buy or accept this</div>", "") for c in (
+        "promo-content", "sponsored-post", "banner-text", "newsletter-text", "modal-body", "popup-content", "menu-content", "widget-body", "breadcrumb-main", "gdpr-text", "consent-text",
+        "pagination-content", "toolbar-main", "copyright-text", "ad", "ad-slot-2", "article-ad", "comments-area", "post ad", "cookies")],
+    *[(f"<section class='{c}'><p>A part of the article.</p></section>", "A part of the article.") for c in (
+        "menu-planning", "widget-theory", "promoted-growth", "reply-all-explained", "comments-open", "has-sidebar", "advertising-history", "elementor-widget-theme", "content notice")],
+    ("<header><h2>A headline</h2></header>", "A headline"),
+    ("<header class='entry-header'><h2>A headline</h2></header>", "A headline"),
+    ("<footer>about the author</footer>", ""),
+    ("<div class='menu-planning'><a href=x>One</a> <a href=y>Two</a></div>", ""),
 ])
 def test_inside_an_article(spark, inside, kept):
     page = ARTICLE.format(inside)
@@ -293,6 +302,20 @@ def test_inside_an_article(spark, inside, kept):
     assert r.text == f"T Some text of the article, long enough {kept}".strip()
 
 
+@pytest.mark.parametrize("teaser", ["", "<p>Read on</p>"])
+def test_an_article_outside_the_voted_path(spark, teaser):
+    """A page without text, or with a line of it, under its host's path keeps its own article."""
+    page = lambda i: f"<body><div class='content'><p>{'w ' * 50}</p></div></body>"
+    odd = f"<body><div class='content'>{teaser}</div><section class='longread'><p>{'s ' * 300}</p></section></body>"
+    rows = [(i, "http://h/", page(i)) for i in range(5)] + [(9, "http://h/", odd)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == ("s " * 300).strip() and got[0] == ("w " * 50).strip()
+
+
+def test_no_pages(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_hosts_of_many_paths(spark):
     """The join gives what the votes beside a page give; ties go to the first path."""
     page = lambda c, n: f"<body><div class='{c}'><p>{'w ' * n}{c}</p></div><div class='box'><p>{'s ' * 9}</p><ul class='links'><li><a href='x'>l</a></ul></div></body>"
