@@ -299,7 +299,7 @@ def windows(text, n=10):
     return w, [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [(decontaminate.BROADCAST_WINDOWS, 1), (0, decontaminate.SENT_WINDOWS), (0, 0)])
 def test_decontamination(spark, docs_of, limit):
     rnd = random.Random(8)
     text = lambda n: " ".join("".join(rnd.choice("abC1é") for _ in range(rnd.randint(1, 3))) for _ in range(n))
@@ -319,7 +319,7 @@ def test_decontamination(spark, docs_of, limit):
         w, _ = windows(t)
         for x in windows(t, min(10, len(w)))[1] if w else []:
             known[x].add(str(i))
-    got = decontaminate.digest(decontaminate.contamination(docs_of(rows, extra=True), bench, broadcast_windows=limit)).collect()
+    got = decontaminate.digest(decontaminate.contamination(docs_of(rows, extra=True), bench, 10, 5, *limit)).collect()
     want = []
     for i, t in rows:
         w, _ = windows(t)
@@ -345,12 +345,26 @@ def test_decontamination_forms_agree(spark, docs_of):
     bench = spark.createDataFrame([(1, passage), (2, "rare pair"), (None, passage + " end"), (None, "of no id")], "item_id long, text string")
     rows = [(4, "it is of no id"), (1, "x " + passage), (1, "clean"), (None, "y " + passage), (None, "clean too"), (2, "a rare pair"), (2, "a rare pair"), (3, None)]
     docs = docs_of(rows + EDGES, extra=True)
-    reports = [sorted(map(str, decontaminate.contamination(docs, bench, broadcast_windows=n).collect())) for n in (1000, 0)]
-    assert reports[0] == reports[1]
+    limits = [(1000, 1000), (0, 1000), (0, 0)]
+    reports = [sorted(map(str, decontaminate.contamination(docs, bench, 10, 5, *n).collect())) for n in limits]
+    assert reports[0] == reports[1] == reports[2]
     by_id = {(r.doc_id, tuple(r.items)) for r in decontaminate.contamination(docs, bench, broadcast_windows=0).collect()}
     assert {(4, (None,)), (1, (None, "1")), (1, ()), (2, ("2",))} <= by_id
-    kept = [sorted(map(str, decontaminate.remove_contaminated(docs, bench, n).collect())) for n in (1000, 0)]
-    assert kept[0] == kept[1] and len(kept[0]) == 3 + len(EDGES)
+    kept = [sorted(map(str, decontaminate.remove_contaminated(docs, bench, *n).collect())) for n in limits]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3 + len(EDGES)
+
+
+def test_a_large_benchmark(spark, docs_of):
+    """20,000 items: hashes alone are sent, and only true hits meet the items."""
+    rnd = random.Random(12)
+    items = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(14))) for i in range(20_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(40)) + (" " + items[i * 7][1] if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(1000, " ".join(t for _, t in items[:9000]))]  # a very long text
+    for limits in ((decontaminate.BROADCAST_WINDOWS, decontaminate.SENT_WINDOWS), (0, 0)):
+        got = {r.doc_id: r for r in decontaminate.contamination(docs_of(rows), bench, 10, 5, *limits).collect()}
+        assert all(got[i]["items"] == ([str(i * 7)] if i % 3 == 0 else []) and got[i].n_hit == 14 * (i % 3 == 0) for i in range(300))
+        assert got[1000].n_hit == 14 * 9000 and len(got[1000]["items"]) == 9000
 
 
 @pytest.mark.parametrize("name", ["op2_ngram_join", "op9_decontamination", "op4_line_dedup"])
