@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.bitmap import bitmap_of, holds
+from lectern.llm.bitmap import bitmap_of, bits_for, holds
 from lectern.llm.rows import numbered
 from lectern.llm.words import text_column
 from lectern.session import bounded_batches, discard, free_names, materialise
@@ -125,7 +125,8 @@ def _near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame
     meets = firsts.select("key", F.explode("meets").alias("meet"))
     full = meets.groupBy("meet").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("meet")
     met = materialise(meets.join(full, "meet").groupBy("key").agg(F.collect_set("meet").alias("met")))
-    wanted = spark.sparkContext.broadcast(bitmap_of(met.select("key")))
+    bits = bits_for(met.count())
+    wanted = spark.sparkContext.broadcast(bitmap_of(met.select("key"), bits))
 
     def texts(batches):
         for batch in batches:
@@ -136,7 +137,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame
                     if len(line) >= min_chars:
                         keys.append(line_key(line))
                         lines.append(line)
-            keep = holds(wanted.value, np.array(keys, dtype=np.int64)) if keys else np.zeros(0, dtype=bool)
+            keep = holds(wanted.value, np.array(keys, dtype=np.int64), bits) if keys else np.zeros(0, dtype=bool)
             chosen = dict.fromkeys((k, x) for k, x, ok in zip(keys, lines, keep, strict=True) if ok)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chosen], pa.int64()), pa.array([x for _, x in chosen], pa.string())], names=["key", "text"])
 

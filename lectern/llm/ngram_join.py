@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.bitmap import bitmap_of, holds
+from lectern.llm.bitmap import bitmap_of, bits_for, holds
 from lectern.llm.rows import numbered
 from lectern.llm.words import SPACED, U64, Words, slices, text_column
 from lectern.operators.graph import components
@@ -274,11 +274,12 @@ def _with_sets(docs: DataFrame, wants: DataFrame, k: int, counts, bits: int) ->
 
     Texts of needed documents only are moved; where a doc_id repeats in ``docs`` its texts are equal.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(wants.select("doc_id")))
+    size = bits_for(wants.count())
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(wants.select("doc_id"), size))
 
     def only_needed(batches):
         for batch in batches:
-            keep = holds(wanted.value, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            keep = holds(wanted.value, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), size)
             batch = batch.filter(pa.array(keep))
             if batch.num_rows:
                 yield batch

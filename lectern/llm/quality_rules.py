@@ -91,9 +91,12 @@ def _bucket(buckets: int) -> Column:
 
 
 def bucket_number(docs: DataFrame) -> int:
-    """A power of two that grows with the square root of the bytes of all texts."""
+    """A power of two that grows with the square root of the bytes of all texts, up to the largest table that is sent to tasks.
+
+    Another number is another model, so verdicts near the threshold may move where a corpus passes a power of two.
+    """
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(GROWTH * math.sqrt(size) + 1)))
+    return min(BROADCAST_ROWS * PACKED // 2, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(GROWTH * math.sqrt(size) + 1))))
 
 
 def _marked(docs: DataFrame, trusted: DataFrame, mask_rows: int) -> DataFrame:
@@ -144,15 +147,18 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score."""
     buckets = buckets or bucket_number(docs)
     table = bucket_ratios(docs, trusted, buckets, mask_rows=mask_rows)
-    if 2 * buckets // PACKED <= broadcast_rows:
+    sent = 2 * buckets // PACKED <= broadcast_rows
+    if sent:
         table = F.broadcast(table)
+    else:  # a table asked for that is too large to send: grams are shuffled by row number, which is written so that it stays
+        docs = materialise(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     base = (
-        with_words(docs)
+        with_words(docs, *([] if sent else ["row"]))
         .withColumn("four", _following(F.col("pair"), 2))
         .withColumn("lines", lines)
         .select(
-            F.monotonically_increasing_id().alias("row"), "doc_id",
+            (F.monotonically_increasing_id() if sent else F.col("row")).alias("row"), "doc_id",
             F.size("word").cast("long").alias("n_words"),
             (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
             F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
@@ -164,10 +170,11 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
         )
     )
     # A row's grams stay together, so they are summed where they are and one row a document is shuffled.
-    grams = base.select("row", *_BASE, F.col("n_words").alias("n"), F.posexplode_outer("grams").alias("pos", "h")).withColumn("bucket", _bucket(buckets))
+    grams = base.select("row", *(_BASE if sent else []), F.col("n_words").alias("n"), F.posexplode_outer("grams").alias("pos", "h")).withColumn("bucket", _bucket(buckets))
     found = grams.join(table, F.shiftright("bucket", int(math.log2(PACKED))) == F.col("slot"), "left")
     ratio = F.get("ratios", F.col("bucket") % PACKED).cast("long")
-    summed = found.groupBy("row").agg(*[F.first(c).alias(c) for c in _BASE], F.sum(ratio).alias("sum"), F.count("h").alias("grams"))
+    sums = F.sum(ratio).alias("sum"), F.count("h").alias("grams")
+    summed = found.groupBy("row").agg(*[F.first(c).alias(c) for c in _BASE], *sums) if sent else base.select("row", *_BASE).join(found.groupBy("row").agg(*sums), "row")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     score = F.when(F.col("grams") > 0, F.col("sum") / (F.col("grams") * F.lit(float(_UNIT)))).otherwise(F.lit(0.0))
     return (
