@@ -176,12 +176,30 @@ def rescore(log: DataFrame, rankings: DataFrame, k: int = 30) -> DataFrame:
     return ranking_metrics(ranked, real, k, real)
 
 
-def diverse(questions: DataFrame, k: int, score: str = "score", vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """The best-scored question of each of ``k`` clusters of vectors."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    ready = questions.withColumn("_v", array_to_vector(vector))
-    placed = BisectingKMeans(k=k, featuresCol="_v", predictionCol="cluster", seed=seed).fit(ready).transform(ready).drop("_v")
-    best = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc(score), "qid"))
-    return placed.withColumn("_r", best).where("_r = 1").drop("_r")
+def diverse(questions: DataFrame, k: int, score: str = "score", vector: str = "embedding", by: str | None = None) -> DataFrame:
+    """Up to ``k`` unlike questions of each group ``by`` (or of all): the best-scored one, then each time the one farthest from those chosen.
+
+    The farthest is the one whose greatest cosine to the chosen is least (to nine places), ties
+    by score and qid. Each round is one aggregation, and only chosen vectors are sent
+    along. Questions without vector, or with one of zeros, are never chosen; ``place`` tells the order.
+    """
+    from lectern.functions.text import cosine
+
+    group = F.col(by) if by else F.lit(0)
+    v = F.col(vector).cast("array<double>")
+    rows = questions.withColumn("_g", F.struct(group)).where(v.isNotNull() & F.exists(v, lambda x: x != 0))
+    better = lambda far: F.max_by("qid", F.struct(far, F.col(score), F.struct(_descending("qid"))))
+    chosen = materialise(rows.groupBy("_g").agg(better(F.lit(0.0)).alias("qid")).withColumn("place", F.lit(1)))
+    for place in range(2, k + 1):
+        held = rows.join(chosen.select("_g", "qid"), ["_g", "qid"], "left_semi").dropDuplicates(["_g", "qid"]).groupBy("_g").agg(F.collect_list(v).alias("_held"))
+        left = rows.join(chosen.select("_g", "qid"), ["_g", "qid"], "left_anti").join(held, "_g")
+        near = F.array_max(F.transform("_held", lambda c: cosine(c, v)))
+        picked = left.groupBy("_g").agg(better(-F.round(near, 9)).alias("qid")).withColumn("place", F.lit(place))
+        before, chosen = chosen, materialise(chosen.unionByName(picked))
+        discard(before)
+    return rows.dropDuplicates(["_g", "qid"]).join(chosen, ["_g", "qid"]).drop("_g")
+
+
+def _descending(c: str) -> Column:
+    """A whole number whose greatest value is that of the smallest id."""
+    return -F.col(c).cast("long")

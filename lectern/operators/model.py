@@ -82,23 +82,23 @@ def logit(p: Column) -> Column:
     return F.ln(q / (1 - q))
 
 
-def _terms() -> dict[str, Column]:
-    """The values that the weights of TERMS multiply, in that order, without nulls."""
-    value = {"gap": F.log1p("weeks_since")}
-    return {t: F.coalesce(value.get(t, F.col(t)).cast("double"), F.lit(0.0)) for t in TERMS}
+def _terms(names) -> dict[str, Column]:
+    """The values that the weights of terms multiply, in that order, without nulls."""
+    value = {"gap": F.log1p("weeks_since"), "recency": 1 / (1 + F.col("weeks_since"))}
+    return {t: F.coalesce((value[t] if t in value else F.col(t)).cast("double"), F.lit(0.0)) for t in names}
 
 
 def score(features: DataFrame, weights: Mapping[str, float | Column] | None = None, gate: float = GATE) -> DataFrame:
     """features with contributions (which sum to the logit), p_ungated, gate_factor and probability.
 
-    ``weights`` are numbers, or columns where rows differ in them.
+    ``weights`` are numbers, or columns where rows differ in them; their names are the terms, by default those of TERMS.
 
     ``features`` has posterior, syllabus, daily, repeat, weeks_since, diff_set, prereq and
     syllabus_known. The gate multiplies the probability where the syllabus is known and
     lacks the concept, so it is no term of the logit.
     """
     w = weights or WEIGHTS
-    terms = {"posterior": logit(F.col("posterior"))} | {k: (w[k] if isinstance(w[k], Column) else F.lit(float(w[k]))) * v for k, v in _terms().items()}
+    terms = {"posterior": logit(F.col("posterior"))} | {k: (w[k] if isinstance(w[k], Column) else F.lit(float(w[k]))) * v for k, v in _terms(w).items()}
     total = sum(terms.values(), F.lit(0.0))
     shut = F.col("syllabus_known") & (F.coalesce(F.col("syllabus").cast("double"), F.lit(0.0)) == 0)
     return (
@@ -121,13 +121,15 @@ def expected_count(p: Column, questions: Column, distinct: Column) -> Column:
 
 
 TERMS = ("syllabus", "daily", "repeat", "gap", "diff_set", "prereq")
+#: The terms of the revised model: also daily_frequency, recency (1 / (1 + weeks_since)) and bridge_score. They have no published weights, only fitted ones.
+REVISED = (*TERMS, "daily_frequency", "recency", "bridge_score")
 #: Newton steps of a fit, and the most that a weight moves in one.
 STEPS, MOST_STEP = 6, 2.0
 #: Products worked on at once: rows times folds.
 _CELLS = 1 << 20
 
 
-def _moments(rows: DataFrame, coefficients: np.ndarray, held_out: list, balance: np.ndarray) -> np.ndarray:
+def _moments(rows: DataFrame, terms, coefficients: np.ndarray, held_out: list, balance: np.ndarray) -> np.ndarray:
     """For each fold, over the rows of other weeks: gradient and second moments of its weighted log-likelihood.
 
     One pass over the rows serves all folds; what is shuffled is a matrix for each task and fold.
@@ -140,7 +142,7 @@ def _moments(rows: DataFrame, coefficients: np.ndarray, held_out: list, balance:
         step = max(1, _CELLS // folds)
         for batch in batches:
             column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            x, offset, y, week = np.column_stack([column(t) for t in TERMS]), column("offset"), column("label"), column("week")
+            x, offset, y, week = np.column_stack([column(t) for t in terms]), column("offset"), column("label"), column("week")
             for a in range(0, len(x), step):
                 own, label = x[a : a + step], y[a : a + step, None]
                 p = 1 / (1 + np.exp(-np.clip(offset[a : a + step, None] + own @ coefficients.T, -500, 500)))
@@ -156,20 +158,20 @@ def _moments(rows: DataFrame, coefficients: np.ndarray, held_out: list, balance:
     return out
 
 
-def fit_folds(training: DataFrame, reg: float = 0.1, steps: int = STEPS) -> dict[int | None, tuple[dict[str, float], bool]]:
+def fit_folds(training: DataFrame, reg: float = 0.1, steps: int = STEPS, terms: tuple[str, ...] = TERMS) -> dict[int | None, tuple[dict[str, float], bool]]:
     """By held-out week, and for None over all weeks: the weights of the terms, and whether they were fitted.
 
     Ridge logistic regression with the posterior's logit as offset and no intercept: Newton
     steps from zero on the mean log-likelihood, in which rarer labels weigh more, less
     reg / 2 times the squared weights; a step in which a weight would move by more than
     MOST_STEP is shortened. Each step is one aggregation for all folds, and the driver solves
-    one small system a week. Where a fold's labels are all alike the published weights stand.
+    one small system a week. Where a fold's labels are all alike the published weights stand (0 for terms without).
 
     ``training`` has week, the columns of score() and label; rows without label are left out,
     and rows without week are never held out.
     """
     rows = training.where("label is not null").select(
-        F.coalesce(F.col("week").cast("long"), F.lit(-(1 << 62))).alias("week"), *[v.alias(t) for t, v in _terms().items()],
+        F.coalesce(F.col("week").cast("long"), F.lit(-(1 << 62))).alias("week"), *[v.alias(t) for t, v in _terms(terms).items()],
         F.coalesce(logit(F.col("posterior")), F.lit(0.0)).alias("offset"), F.col("label").cast("double").alias("label"),
     )
     found = {r["week"]: (r["n"], r["one"]) for r in rows.groupBy("week").agg(F.count("*").alias("n"), F.sum("label").alias("one")).collect()}
@@ -179,15 +181,15 @@ def fit_folds(training: DataFrame, reg: float = 0.1, steps: int = STEPS) -> dict
     fitted = (one > 0) & (one < n)
     with np.errstate(divide="ignore", invalid="ignore"):
         balance = np.where(fitted[:, None], np.column_stack([n / (2 * (n - one)), n / (2 * one)]), 0.0)
-    beta = np.zeros((len(weeks), len(TERMS)))
+    beta = np.zeros((len(weeks), len(terms)))
     for _ in range(steps if fitted.any() else 0):
-        m = _moments(rows, beta, weeks, balance) / np.maximum(n, 1)[:, None]
-        gradient = m[:, : len(TERMS)] - reg * beta
-        curve = m[:, len(TERMS) :].reshape(len(weeks), len(TERMS), -1) + reg * np.eye(len(TERMS))
+        m = _moments(rows, terms, beta, weeks, balance) / np.maximum(n, 1)[:, None]
+        gradient = m[:, : len(terms)] - reg * beta
+        curve = m[:, len(terms) :].reshape(len(weeks), len(terms), -1) + reg * np.eye(len(terms))
         move = np.linalg.solve(curve, gradient[..., None])[..., 0]
         beta += move * np.minimum(1, MOST_STEP / np.maximum(np.abs(move).max(axis=1, keepdims=True), 1e-300))
-    made = lambda b: {t: round(float(x), 9) for t, x in zip(TERMS, b, strict=True)}
-    return {w: (made(b), True) if f else (dict(WEIGHTS), False) for w, b, f in zip(weeks, beta, fitted, strict=True)}
+    made = lambda b: {t: round(float(x), 9) for t, x in zip(terms, b, strict=True)}
+    return {w: (made(b), True) if f else ({t: WEIGHTS.get(t, 0.0) for t in terms}, False) for w, b, f in zip(weeks, beta, fitted, strict=True)}
 
 
 def fit(training: DataFrame, reg: float = 0.1) -> dict[str, float]:

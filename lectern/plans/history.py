@@ -185,10 +185,14 @@ def subject_split(spark, sf):
     return metrics.by_subject(model.score(features(spark, sf)), "probability").withColumn("mean", F.round("mean", 6))
 
 
-def _fit_sql(steps: int, reg: float = 0.1) -> str:
+_TERMS = ("(u % 5 <> 0)::INT", "u % 3", "appeared_last", "ln(1 + weeks_since)", "u % 2", "(u % 4 = 0)::INT")
+
+
+def _fit_sql(steps: int, terms: tuple[str, ...] = _TERMS, reg: float = 0.1) -> str:
     """Newton steps of the offset model in plain SQL: fold -1 leaves no week out, fold w leaves out week w."""
-    n = range(1, 7)
-    x = ", ".join(f"{v} AS x{i}" for i, v in zip(n, ("(u % 5 <> 0)::INT", "u % 3", "appeared_last", "ln(1 + weeks_since)", "u % 2", "(u % 4 = 0)::INT"), strict=True))
+    last = len(terms)
+    n = range(1, last + 1)
+    x = ", ".join(f"{v} AS x{i}" for i, v in zip(n, terms, strict=True))
     out = [
         f"x AS MATERIALIZED (SELECT week, concept_id, y, n AS times, u, base_logit AS off, {x} FROM lg)",
         "cnt AS MATERIALIZED (SELECT fold, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS one FROM x JOIN (SELECT DISTINCT week AS fold FROM x UNION ALL SELECT -1) ON week <> fold GROUP BY 1)",
@@ -201,13 +205,13 @@ def _fit_sql(steps: int, reg: float = 0.1) -> str:
         g = ", ".join(f"sum(w * (y - p) * x{i}) / n - {reg} * b{i} AS g{i}" for i in n)
         h = ", ".join(f"sum(w * p * (1 - p) * x{i} * x{j}) / n + {reg if i == j else 0} AS h{i}{j}" for i in n for j in n if i <= j)
         q = f"SELECT fold, {bs}, {g}, {h} FROM (SELECT tr.*, {bs}, 1 / (1 + exp(-(off + {z}))) AS p FROM tr JOIN b{t - 1} USING (fold)) GROUP BY fold, n, {bs}"
-        for k in range(1, 6):  # elimination; the matrix is symmetric, so its upper half is kept
+        for k in range(1, last):  # elimination; the matrix is symmetric, so its upper half is kept
             at = lambda i, j: f"h{min(i, j)}{max(i, j)}"
-            rest = range(k + 1, 7)
+            rest = range(k + 1, last + 1)
             cut = [f"{at(i, j)} - {at(k, i)} * {at(k, j)} / h{k}{k} AS {at(i, j)}" for i in rest for j in rest if i <= j] + [f"g{i} - {at(k, i)} * g{k} / h{k}{k} AS g{i}" for i in rest]
             q = f"SELECT * REPLACE ({', '.join(cut)}) FROM ({q})"
-        for i in range(6, 0, -1):  # and back
-            q = f"SELECT *, (g{i}{''.join(f' - h{i}{j} * d{j}' for j in range(i + 1, 7))}) / h{i}{i} AS d{i} FROM ({q})"
+        for i in range(last, 0, -1):  # and back
+            q = f"SELECT *, (g{i}{''.join(f' - h{i}{j} * d{j}' for j in range(i + 1, last + 1))}) / h{i}{i} AS d{i} FROM ({q})"
         most = f"greatest({', '.join(f'abs(d{i})' for i in n)}, 1e-300)"
         out.append(f"b{t} AS MATERIALIZED (SELECT fold, {', '.join(f'b{i} + d{i} * least(1, 2.0 / {most}) AS b{i}' for i in n)} FROM ({q}))")
     return ", ".join(out)
@@ -224,6 +228,16 @@ def offset_fit(spark, sf):
     return spark.createDataFrame(rows, "fold int, term string, value double").withColumn("value", F.round("value", 4))
 
 
+@query(f"""WITH {_FEATURES}, {_fit_sql(model.STEPS, (*_TERMS, "u % 4 * 0.5", "1 / (1 + weeks_since)", "u % 7 / 6"))} SELECT CAST(fold AS INTEGER) AS fold, term, round(value, 4) AS value
+ FROM (SELECT fold, unnest([{', '.join(f"'{t}'" for t in model.REVISED)}]) AS term, unnest([b1, b2, b3, b4, b5, b6, b7, b8, b9]) AS value FROM b{model.STEPS})""")
+def revised_fit(spark, sf):
+    """Fitted weights of the revised model's terms."""
+    rows = features(spark, sf).withColumns({"daily_frequency": F.col("u") % 4 * 0.5, "bridge_score": F.col("u") % 7 / 6})
+    fitted = model.fit_folds(rows, terms=model.REVISED)
+    made = [(-1 if week is None else week, term, value) for week, (weights, _) in fitted.items() for term, value in weights.items()]
+    return spark.createDataFrame(made, "fold int, term string, value double").withColumn("value", F.round("value", 4))
+
+
 @query(f"""WITH {_FIT}, pr AS (SELECT x.*, round(1 / (1 + exp(-(off + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4 + b5 * x5 + b6 * x6))) * CASE WHEN u % 5 = 0 AND u % 2 = 0 THEN 0.08 ELSE 1.0 END, 9) AS p FROM x JOIN b{model.STEPS} ON fold = week),
  rk AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY p DESC, concept_id) AS rank FROM pr),
  r AS (SELECT week, count_if(y = 1 AND rank <= 30) / count_if(y = 1) AS recall, count_if(y = 1 AND rank <= 30) / 30 AS precision, sum(CASE WHEN y = 1 THEN 1.0 / rank ELSE 0 END) / count_if(y = 1) AS mrr FROM rk GROUP BY 1)

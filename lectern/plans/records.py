@@ -222,6 +222,15 @@ def archive_pages(spark, sf):
     return mhtml.pages(given).select(F.col("path").cast("long").alias("page_id"), F.md5("html").alias("html_md5"))
 
 
+@query("SELECT page_id, md5(html) AS html_md5 FROM pages")
+def quoted_archives(spark, sf):
+    """The html part of saved pages in quoted-printable: every byte escaped, lines broken softly."""
+    escaped = F.regexp_replace(F.regexp_replace(F.hex(F.col("html").cast("binary")), "(..)", "=$1"), "((?:=..){24})", "$1=\r\n")
+    raw = F.concat(F.lit(_ARCHIVE.replace("base64", "quoted-printable")), escaped, F.lit("\r\n--b--\r\n")).cast("binary")
+    given = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), raw.alias("content"))
+    return mhtml.pages(given).select(F.col("path").cast("long").alias("page_id"), F.md5(F.regexp_replace("html", "\n$", "")).alias("html_md5"))
+
+
 @query("""SELECT page_id, md5(replace(html, '</head>', '<style>p {}</style></head>')) AS html_md5 FROM pages""")
 def archive_styles(spark, sf):
     """Saved pages with their style sheets put inside."""
@@ -491,6 +500,48 @@ def example_counts(spark, sf):
     return chunks.example_counts(_typed(spark, sf), ["source"])
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Daily' ELSE 'WEEKLY' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'written' ELSE 'MCQ' END AS form, doc_id AS week, doc_id % 7 AS set_no, trim(split_part(text, chr(10), 1)) AS section
+ FROM documents WHERE trim(split_part(text, chr(10), 1)) <> ''""")
+def header_fields(spark, sf):
+    """Exam, set and section named in headers put before whole texts."""
+    docs = table(spark, sf, "documents").where(F.trim(F.substring_index("text", "\n", 1)) != "")
+    kind, form = F.when(F.col("doc_id") % 2 == 0, "Daily").otherwise("WEEKLY"), F.when(F.col("doc_id") % 3 == 0, "written").otherwise("MCQ")
+    head = F.concat(F.lit("EAP "), kind, F.lit(" "), form, F.lit(" Exam W-"), F.col("doc_id").cast("string"), F.lit("\nMCQ Master Set: "), (F.col("doc_id") % 7).cast("string"), F.lit("\n বিশেষ : "))
+    texts = docs.select("doc_id", F.concat(head, "text").alias("text"))
+    one = lambda pattern, group: F.get(T.extract("text", pattern, group), F.lit(0))
+    return texts.select(
+        "doc_id", one(T.HEADER_EXAM, 1).alias("kind"), one(T.HEADER_EXAM, 2).alias("form"), one(T.HEADER_EXAM, 3).cast("long").alias("week"),
+        one(T.HEADER_SET, 1).cast("long").alias("set_no"), F.trim(one(T.BENGALI_SECTION, 1)).alias("section"),
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE '{"id":' || doc_id || '}' END AS json, doc_id % 3 = 2 AS needs_review FROM documents""")
+def repaired_replies(spark, sf):
+    """Replies that are no JSON are asked for once more; what still is none needs review."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id").cast("string").alias("prompt"))
+    body = F.concat(F.lit('{"id":'), "key", F.lit("}"))
+    reply = F.when(F.col("key").cast("long") % 3 == 0, body).otherwise(F.lit("no"))
+    given = docs.withColumn("reply", reply).withColumn("json", messages.json_reply("reply"))
+    again = completions.repair(given, lambda prompt: '{"id":%s}' % prompt if int(prompt) % 3 == 1 else "still no")
+    return again.select(F.col("key").cast("long").alias("doc_id"), "json", "needs_review")
+
+
+@query("""WITH o AS (SELECT event_type AS subject, event_type || '.' || user_id AS concept_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 604800) AS INTEGER) AS week, count(*) AS n FROM events GROUP BY ALL),
+ r AS (SELECT week, concept_id, row_number() OVER (PARTITION BY week ORDER BY hash_, concept_id) AS rank, n FROM (SELECT *, md5(concept_id || week) AS hash_ FROM o))
+ SELECT week, round(count_if(rank <= 30) / count(*), 6) AS recall, round(sum(CASE WHEN rank <= 30 THEN n END) / sum(n), 6) AS weighted_recall FROM r GROUP BY 1""")
+def outcome_log(spark, sf):
+    """Stored rankings scored against outcomes that are logged week by week, some of them twice."""
+    week = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 604800).cast("int")
+    events = table(spark, sf, "events").select(F.concat_ws(".", "event_type", F.col("user_id").cast("string")).alias("concept_id"), F.col("event_type").alias("subject"), week.alias("week"))
+    outcomes = events.groupBy("week", "concept_id", "subject").agg(F.count("*").cast("int").alias("n_questions")).select("week", "concept_id", "n_questions", "subject")
+    path = _written(spark, outcomes.where("week < 2"), checks.log_outcomes)
+    checks.log_outcomes(outcomes, path)
+    log = spark.read.schema(outcomes.schema).json(path)
+    order = W.partitionBy("week").orderBy(F.md5(F.concat("concept_id", F.col("week").cast("string"))), "concept_id")
+    scored = checks.rescore(log, outcomes.select("week", "concept_id", F.row_number().over(order).alias("rank")))
+    return scored.select(F.col("list_id").alias("week"), F.round("recall", 6).alias("recall"), F.round("weighted_recall", 6).alias("weighted_recall"))
+
+
 @query("""SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents WHERE text IS NOT NULL""")
 def line_slice(spark, sf):
     """The second and third line of every text."""

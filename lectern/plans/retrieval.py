@@ -150,3 +150,19 @@ def repeat_history(spark, sf):
     )
     rates = retrieve.history_rates(retrieve.repeat_history(rows, F.col("qid") % 50 == 0, 0.1, 0.2))
     return rates.select("subject", "history", "questions", *[F.round(c, 6).alias(c) for c in ("verbatim", "same_numbers", "same_structure")])
+
+
+_COS = "round(list_cosine_similarity(x.v, {0}), 9)"
+
+
+@query(f"""WITH x AS (SELECT vec_id AS qid, label, CAST(embedding AS DOUBLE[]) AS v, vec_id % 17 AS score FROM embeddings),
+ a AS (SELECT label, arg_max(v, score * 1000000000 - qid) AS v1, arg_max(qid, score * 1000000000 - qid) AS q1 FROM x GROUP BY 1),
+ b AS (SELECT DISTINCT ON (label) label, qid AS q2, x.v AS v2, v1, q1 FROM x JOIN a USING (label) WHERE qid <> q1 ORDER BY label, {_COS.format("v1")}, score DESC, qid),
+ c AS (SELECT DISTINCT ON (label) label, qid AS q3, q1, q2 FROM x JOIN b USING (label) WHERE qid NOT IN (q1, q2) ORDER BY label, greatest({_COS.format("v1")}, {_COS.format("v2")}), score DESC, qid)
+ SELECT label, CAST(place AS INTEGER) AS place, qid FROM (SELECT label, unnest([1, 2, 3]) AS place, unnest([q1, q2, q3]) AS qid FROM c)""")
+def diverse_questions(spark, sf):
+    """Three unlike questions of each concept, the best-scored first."""
+    from lectern.operators import checks
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), "label", "embedding", (F.col("vec_id") % 17).alias("score"))
+    return checks.diverse(rows, 3, by="label").select("label", "place", "qid")

@@ -156,8 +156,7 @@ _RAW = """raw AS (SELECT book, pos, done AS chunk FROM steps WHERE done IS NOT N
  cuts AS (SELECT *, right(prev, 400) AS tail FROM tails),
  chunks_ AS (SELECT book, idx, CASE WHEN prev IS NULL OR length(prev) <= 400 THEN chunk ELSE
    substr(tail, 1 + CASE WHEN instr(tail, chr(10)) > 1 THEN instr(tail, chr(10)) WHEN instr(tail, ' ') > 1 THEN instr(tail, ' ') WHEN instr(tail, '।') > 1 THEN instr(tail, '।') ELSE 0 END) || ' ' || chunk END AS text FROM cuts)"""
-_UNITS = f"""{_PAGES},
- units AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY page_num, i) AS pos, kind, piece FROM (
+_FOLD = f""" units AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY page_num, i) AS pos, kind, piece FROM (
    SELECT book, page_num, 1 AS i, 'p' AS kind, t AS piece FROM (SELECT book, page_num, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM pages_) WHERE greatest(1, length(t) // 4) <= 500 AND t <> ''
    UNION ALL
    SELECT book, page_num, i, CASE WHEN i = 1 THEN 'f' ELSE 's' END, s FROM (SELECT book, page_num, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM
@@ -172,6 +171,7 @@ _UNITS = f"""{_PAGES},
      CASE WHEN u.kind <> 'f' AND greatest(1, length(s.cur) // 4) + greatest(1, length(u.piece) // 4) <= 500 THEN NULL ELSE nullif(s.cur, '') END
    FROM steps s JOIN units u ON u.book = s.book AND u.pos = s.pos + 1),
  {_RAW}"""
+_UNITS = f"{_PAGES},\n{_FOLD}"
 
 
 @query(f"""WITH RECURSIVE {_UNITS} SELECT replace(replace(book, '/', '_'), ' ', '_') || '_chunk_' || lpad(CAST(idx AS VARCHAR), 4, '0') AS chunk_id, book,
@@ -230,6 +230,19 @@ _CHAPTERS = f"""{_PAGES}, marked AS (SELECT *, lang <> coalesce(lag(lang) OVER (
  chapters AS (SELECT book, idx, page_start, coalesce(lead(page_start) OVER (PARTITION BY book ORDER BY idx) - 1, last) AS page_end, count(*) OVER (PARTITION BY book) = 1 AND idx = 0 AS whole FROM spans)"""
 
 
+@query(f"""WITH RECURSIVE {_CHAPTERS.replace("pages_ AS", "all_ AS").replace("FROM pages_", "FROM all_")},
+ pages_ AS (SELECT n.book || '#' || lpad(CAST(n.idx AS VARCHAR), 9, '0') AS book, n.page_num, n.text FROM numbered n JOIN chapters c ON c.book = n.book AND c.idx = n.idx WHERE n.idx > 0 OR c.whole),
+ {_FOLD}, named AS (SELECT split_part(book, '#', 1) AS name, book, idx, text FROM chunks_)
+ SELECT replace(replace(name, '/', '_'), ' ', '_') || '_chunk_' || lpad(CAST(row_number() OVER (PARTITION BY name ORDER BY book, idx) - 1 AS VARCHAR), 4, '0') AS chunk_id, CAST({_TOKENS} AS INTEGER) AS token_count, md5(text) AS text_md5 FROM named""")
+def chunk_sessions(spark, sf):
+    """Chunks of all chapters, of any length, numbered on through each book."""
+    pages = book_pages(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    before = F.coalesce(F.lag("lang").over(W.partitionBy("book").orderBy("page_num")), F.col("lang"))
+    marked = pages.withColumn("_opens", F.col("lang") != before)
+    made = chunks.chunk_books(pages, chunks.detect_chapters(marked, F.col("_opens")))
+    return made.select("chunk_id", "token_count", F.md5("text").alias("text_md5"))
+
+
 @query(f"""WITH {_CHAPTERS} SELECT book, CAST(greatest(idx, 1) AS INTEGER) AS chapter_idx, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end FROM chapters WHERE idx > 0 OR whole""")
 def chapter_sessions(spark, sf):
     """Chapters as sessions: a page in another language than the one before opens one."""
