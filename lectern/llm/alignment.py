@@ -79,13 +79,16 @@ class ByteLevel:
         self.bytes = [decoded(i, vocab[i]) if i in vocab else b"" for i in range(max(vocab) + 1)]
         #: Where merges rank as ids do, a faster encoder gives the same; probes decide.
         self.quick = tiktoken.Encoding("own", pat_str=_CUT, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if i not in special}, special_tokens={})
-        if [self.quick.encode_ordinary(p) for p in _PROBES] != [self.exact.encode(p, add_special_tokens=False).ids for p in _PROBES]:
+        if any(self.encode(p).tolist() != self.exact.encode(p, add_special_tokens=False).ids for p in _PROBES):
             self.quick = None
 
-    def encode(self, text: str) -> list[int]:
-        if self.quick is None or _LONG_SPACE.search(text):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.quick.encode_ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        if self.quick is None or (len(text) > 500 and _LONG_SPACE.search(text)):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.quick.decode_bytes(ids.tolist()) if self.quick is not None else b"".join([self.bytes[i] for i in ids.tolist()])
 
 
 class PieceModel:
@@ -124,16 +127,17 @@ class _Intervals:
         """Where tokens of both sides end together, in order; the groups that end there are numbered from 1."""
         for name, rows in (("a", a), ("b", b), ("d", d)):
             self.db.register(name, rows)
-        self.db.execute("CREATE OR REPLACE TEMP TABLE cut AS SELECT hi, (count(*) OVER (ORDER BY hi ROWS UNBOUNDED PRECEDING))::INT AS g FROM a SEMI JOIN b USING (hi)")
+        numbered = "SELECT hi, (count(*) OVER (ORDER BY hi ROWS UNBOUNDED PRECEDING))::INT AS g FROM a SEMI JOIN b USING (hi)"
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE cut AS SELECT c.hi, g, doc FROM ({numbered}) c ASOF JOIN d ON c.hi > d.lo")
         return self.db.sql("SELECT hi FROM cut ORDER BY g").fetchnumpy()["hi"]
 
     def links(self, few: bool) -> dict[str, np.ndarray]:
         """doc, a, b, n (times) of the linked pairs of each document; unless links are ``few``, equal ids of a group are counted before they are paired."""
-        what, by = ("count(*)", "") if few else ("sum(in_a.n * in_b.n)::BIGINT", "GROUP BY ALL")
-        for name in "ab":
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE in_{name} AS SELECT g, id {'' if few else ', count(*) AS n'} FROM {name} ASOF JOIN cut ON {name}.hi <= cut.hi {by}")
-        self.db.execute("CREATE OR REPLACE TEMP TABLE in_d AS SELECT g, doc FROM cut ASOF JOIN d ON cut.hi > d.lo")
-        return self.db.sql(f"SELECT doc, in_a.id AS a, in_b.id AS b, {what} AS n FROM in_a JOIN in_b USING (g) JOIN in_d USING (g) GROUP BY ALL").fetchnumpy()
+        what, n, by = ("count(*)", "", "") if few else ("sum(in_a.n * in_b.n)::BIGINT", ", count(*) AS n", "GROUP BY ALL")
+        placed = lambda side, more: f"SELECT g, id {more} {n} FROM {side} ASOF JOIN cut ON {side}.hi <= cut.hi {by}"
+        return self.db.sql(
+            f"SELECT doc, in_a.id AS a, in_b.id AS b, {what} AS n FROM ({placed('a', ', doc')}) in_a JOIN ({placed('b', '')}) in_b USING (g) GROUP BY ALL"
+        ).fetchnumpy()
 
 
 def _pieces(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> Iterator[tuple[slice, slice]]:
@@ -192,10 +196,11 @@ class _Block:
             return
         ids = [np.concatenate([p[k] for p in self.pieces]) for k in (1, 2)]
         ends = [np.cumsum(size[i]) for i, size in zip(ids, self.sizes, strict=True)]
+        ends = [e.astype(np.int32) for e in ends] if ends[0][-1] < 1 << 31 else ends
         upto = [np.cumsum([len(p[k]) for p in self.pieces]) for k in (1, 2)]
         last = ends[0][upto[0] - 1]
         begin = np.concatenate([[0], last[:-1]])
-        tables = [pa.table({"id": i.astype(np.int32), "hi": e}) for i, e in zip(ids, ends, strict=True)]
+        tables = [pa.table({"id": i, "hi": e}) for i, e in zip(ids, ends, strict=True)]
         cuts = self.db.cuts(*tables, pa.table({"doc": np.arange(len(self.pieces), dtype=np.int32), "lo": begin}))
         group = [np.searchsorted(cuts, e) for e in ends]
         number = np.prod([np.bincount(g, minlength=len(cuts)) for g in group], axis=0).sum()
@@ -301,13 +306,13 @@ def links(docs: DataFrame, model_a: str, model_b: str, block_tokens: int = BLOCK
             yield _arrow([r], _LINKED)
 
     def _tokens(text, first, second):
-        none = np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int32)
         if not text:
             return none, none
         a, b, raw = first.encode(" " + text), second.encode(text), (" " + text).encode()
-        if any(b"".join([t.bytes[i] for i in ids]) != raw for t, ids in ((first, a), (second, b))):
+        if first.decode(a) != raw or b"".join(map(second.bytes.__getitem__, b)) != raw:
             return none, none
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return a, np.array(b, dtype=np.int32)
 
     def _closed(d):
         out = {"kind": "doc", "row": d.row, "doc_id": d.doc_id} | {k: getattr(d, k) for k in ("n_a", "n_b", "n_groups", "n_links")}
