@@ -207,3 +207,23 @@ def test_documents_in_row_order(spark, tmp_path):
     assert Counter(map(tuple, back)) == Counter(map(tuple, rows.collect()))
     files.write_array(rows.limit(0), str(tmp_path / "e"))
     assert files.read_array(spark, str(tmp_path / "e"), "i long, t string").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_history_sizes(spark, monkeypatch, limit):
+    """Few folds and many are counted alike: rows strictly older than the held-out time."""
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(model, "MAX_FOLDS", limit)
+    rnd = random.Random(limit)
+    at = lambda n: None if n is None else datetime(2024, 1, 1) + timedelta(hours=n)
+    rows = [(at(rnd.choice([None, *range(50)])), rnd.choice([None, *"abcdef"])) for _ in range(120)]
+    folds = [(i, at(n)) for i, n in enumerate([0, 5, 5, 17, 30, 49, 90, None, 200])]
+    df, held = spark.createDataFrame(rows, "captured_at timestamp, concept_id string"), spark.createDataFrame(folds, "fold int, held_out_at timestamp")
+    got = {r.fold: (r.rows_before, r.concepts) for r in model.history_sizes(df, held).collect()}
+    want = {}
+    for i, t in folds:
+        if t and (older := [r for r in rows if r[0] and r[0] < t]):
+            want[i] = len(older), len({c for _, c in older} - {None})
+    assert got == want
+    assert model.history_sizes(df, held.limit(0)).count() == 0
