@@ -342,9 +342,10 @@ def chunk_books(
     if chapters is not None:
         found = chapters.where("not whole").select("book", "page_start", "page_end", "chapter_idx", F.col("chapter_title").alias("title"))
         ranges = found.unionByName(whole.join(found.select("book").distinct(), "book", "left_anti"))
+        placed = pages_in_ranges(pages.select("book", "page_num", "text"), ranges.select("book", "chapter_idx", "page_start", "page_end"))
     else:
         ranges = whole
-    placed = pages_in_ranges(pages.select("book", "page_num", "text"), ranges.select("book", "chapter_idx", "page_start", "page_end"))
+        placed = pages.where("book is not null and page_num is not null").withColumn("chapter_idx", F.lit(0))
     made = chunk_pages(placed.select("book", "chapter_idx", "page_num", "text"), ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages)
     made = made.where((F.col("chapter_idx") == 0) | (F.col("piece") > 0) | (T.strip("text") != ""))
     upto = W.partitionBy("book").orderBy("chapter_idx").rowsBetween(W.unboundedPreceding, -1)  # a row a chapter
