@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
+#: Entries of a sparse matrix that are multiplied at once (8 MB).
+_CHUNK = 1 << 20
+
+
 class Sparse:
     """Rows of (feature, value) with products in both directions."""
 
@@ -39,11 +45,27 @@ class Sparse:
         self.val = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
         self.n, self.width = len(rows), width
 
+    @classmethod
+    def of_lists(cls, lists: pa.Array, values: np.ndarray) -> Sparse:
+        """Rows of an Arrow array of feature lists, each feature with its value."""
+        out = cls([], len(values))
+        out.n, out.col = len(lists), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        out.row = np.repeat(np.arange(out.n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        out.val = values[out.col]
+        return out
+
+    def _summed(self, to: np.ndarray, by: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for a in range(0, len(self.val), _CHUNK):
+            at = slice(a, a + _CHUNK)
+            out += np.bincount(to[at], self.val[at] * x[by[at]], minlength=size)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], minlength=self.n)
+        return self._summed(self.row, self.col, w, self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], minlength=self.width)
+        return self._summed(self.col, self.row, g, self.width)
 
 
 def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, rate: float) -> np.ndarray:

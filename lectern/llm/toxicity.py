@@ -144,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, features:
     gain[(toxic + clean < 3) | (p >= 1) | (q >= 1)] = -1
     top = np.argsort(-gain, kind="stable")[:features]
     top = np.sort(top[gain[top] > 0])
+    scaled = ratio[top]
+    del clean, toxic, p, q, ratio, pooled, gain
     place = spark.sparkContext.broadcast(top)
 
     def rows(batches):
@@ -158,10 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, features:
             label = batch.column(batch.schema.get_field_index("label"))
             yield pa.RecordBatch.from_arrays([pa.array([sorted(set(x)) for x in kept], pa.list_(pa.int32())), label], names=["f", "label"])
 
-    got = sample.select("text", "label").mapInArrow(rows, "f array<int>, label int").toPandas()
-    scaled = ratio[top]
-    x = Sparse([(np.asarray(f, dtype=np.int64), scaled[np.asarray(f, dtype=np.int64)]) for f in got["f"]], len(top))
+    got = sample.select("text", "label").mapInArrow(rows, "f array<int>, label int").toArrow()
+    x = Sparse.of_lists(got["f"].combine_chunks(), scaled)
     y = (got["label"].to_numpy() > 0).astype(np.float64)
+    del got
 
     def gradient(w):
         g = (sigmoid(x.dot(w[:-1]) + w[-1]) - y) / x.n
