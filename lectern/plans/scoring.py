@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.operators import checks, metrics, model
@@ -136,12 +137,16 @@ def leaks(spark, sf):
     )
 
 
-@query("""SELECT target_week, part, value FROM (SELECT 0 AS target_week, unnest(['brier', 'concept_recall@10', 'concept_recall@20', 'concept_recall@30', 'concept_recall@50', 'mrr', 'weighted_recall@30']) AS part, 0.0 AS value)""")
+@query(f"""WITH {_EV}, a AS (SELECT week, count(DISTINCT concept_id) AS n FROM ev GROUP BY 1)
+ SELECT week AS target_week, ranking, round(CASE ranking WHEN 'none' THEN 0 ELSE least(30, n) / n END, 6) AS recall, round(CASE ranking WHEN 'none' THEN 0 ELSE least(30, n) / 30 END, 6) AS precision,
+ round(CASE ranking WHEN 'none' THEN 0 ELSE list_sum(list_transform(range(1, n + 1), lambda i: 1.0 / i)) / n END, 6) AS mrr FROM a, (SELECT unnest(['none', 'ideal']) AS ranking)""")
 def selftest(spark, sf):
-    """A scorecard without data."""
-    card = metrics.selftest()
-    rows = [*((f"concept_recall{k}", v) for k, v in card["concept_recall"].items()), *((k, card[k]) for k in ("weighted_recall@30", "brier", "mrr"))]
-    return spark.createDataFrame([(card["target_week"], k, float(v)) for k, v in rows], "target_week int, part string, value double")
+    """The harness on each week's outcomes: all zeros for an empty ranking, what is possible at most for the ideal one."""
+    counts = history.concept_events(spark, sf).groupBy("week", "concept_id").agg(F.count("*").alias("n"))
+    actual = counts.select(F.col("week").alias("list_id"), F.col("concept_id").alias("id"))
+    ideal = counts.select(F.col("week").alias("list_id"), F.col("concept_id").alias("id"), F.row_number().over(W.partitionBy("week").orderBy(F.desc("n"), "concept_id")).alias("rank"))
+    made = [metrics.ranking_metrics(ranked, actual).withColumn("ranking", F.lit(name)) for name, ranked in (("none", ideal.where("rank < 0")), ("ideal", ideal))]
+    return made[0].unionByName(made[1]).select(F.col("list_id").alias("target_week"), "ranking", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr")])
 
 
 @query("""SELECT doc_id AS concept_id, count(*) AS chunks, min(c) AS first_chunk FROM (SELECT doc_id, unnest([doc_id % 7, doc_id % 11]) AS s FROM documents), (SELECT item_id % 4 AS section, item_id AS c FROM benchmark) WHERE s = section AND doc_id % 7 <> doc_id % 11 GROUP BY 1
