@@ -51,6 +51,21 @@ _LONG_SPACE = regex.compile(r"\s{500}")
 _PROBES = (" The quick, brown fox's 12 tails don't  jump...\n\n \tÉté naïve 日本語 🙂 x_y <|endoftext|> a\u0000b   ", " 1234567 !?!? 'S 'll\r\n end ", " " + "ab" * 400)
 
 
+class Bytes:
+    """The bytes of every id of a tokenizer, in one array."""
+
+    def __init__(self, table: list[bytes]):
+        self.size = np.array([len(x) for x in table], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        """The joined bytes of some ids."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -87,9 +102,6 @@ class ByteLevel:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.int32)
         return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return self.quick.decode_bytes(ids.tolist()) if self.quick is not None else b"".join([self.bytes[i] for i in ids.tolist()])
-
 
 class PieceModel:
     """Tokenizer B: ids of whole texts, to which it adds a space, and the bytes of every id."""
@@ -107,11 +119,11 @@ class PieceModel:
 
 @lru_cache(maxsize=2)
 def _loaded(a: str, b: str):
-    """Both tokenizers of this worker process and their tables of lengths and of digest text."""
+    """Both tokenizers of this worker process, the bytes of their ids, and the table of digest text."""
     pair = ByteLevel(a), PieceModel(b)
-    sizes = [np.array([len(x) for x in t.bytes], dtype=np.int64) for t in pair]
+    tables = [Bytes(t.bytes) for t in pair]
     ends = [[f"{i}{e}" for e in both for i in range(len(t.bytes))] for t, both in zip(pair, (",|", ",;"), strict=True)]
-    return (*pair, *sizes, ends[0] + ends[1])
+    return (*pair, *tables, ends[0] + ends[1])
 
 
 class _Intervals:
@@ -230,7 +242,9 @@ class _Block:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one or several pieces, each once, in order."""
+    """Pairs of one or several pieces, each once."""
+    if len(parts) == 1:
+        return parts[0]
     key = np.concatenate([a.astype(np.int64) << 32 | b for a, b, _ in parts])
     keys, place = np.unique(key, return_inverse=True)
     times = np.zeros(len(keys), dtype=np.int64)
@@ -245,7 +259,7 @@ class _Counts:
         self.keys, self.counts, self.new, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.new.append(a << 32 | b)
+        self.new.append(a.astype(np.int64) << 32 | b)
         self.size += len(a)
 
     def merge(self) -> None:
@@ -265,14 +279,23 @@ class _Counts:
 def _arrow(rows: list[dict], schema: str) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
     names = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in names], names=[n for n, _ in names])
+    column = lambda n, k: _lists([r.get(n) for r in rows], kinds[k]) if k.startswith("array") else pa.array([r.get(n) for r in rows], kinds[k])
+    return pa.RecordBatch.from_arrays([column(n, k) for n, k in names], names=[n for n, _ in names])
+
+
+def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """Arrays as lists; none is an empty one."""
+    offsets = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32)
+    flat = [v for v in values if v is not None]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)).cast(kind.value_type))
 
 
 def links(docs: DataFrame, model_a: str, model_b: str, block_tokens: int = BLOCK_TOKENS, held_pairs: int = HELD_PAIRS) -> DataFrame:
     """Rows of kind ``doc``, one a document with its pairs and their times, and of kind ``count``, partial numbers of documents by pair."""
 
     def run(batches):
-        first, second, size_a, size_b, strings = _loaded(model_a, model_b)
+        first, second, bytes_a, bytes_b, strings = _loaded(model_a, model_b)
+        size_a, size_b = bytes_a.size, bytes_b.size
         block, counts = _Block((size_a, size_b), strings), _Counts()
         row, open_docs = TaskContext.get().partitionId() << 40, []
 
@@ -293,8 +316,12 @@ def links(docs: DataFrame, model_a: str, model_b: str, block_tokens: int = BLOCK
             for doc_id, text in zip(batch.column(0).to_pylist(), text_column(batch).to_pylist(), strict=True):
                 doc, row = _Document(doc_id, row), row + 1
                 open_docs.append(doc)
-                a, b = _tokens(text, first, second)
-                if len(a):
+                a, b = _tokens(text, first, second, bytes_a, bytes_b)
+                if len(a) and max(len(a), len(b)) <= block_tokens:
+                    block.put(doc, a, b)
+                    if block.tokens >= block_tokens:
+                        block.solve()
+                elif len(a):
                     for s, t in _pieces(np.cumsum(size_a[a]), np.cumsum(size_b[b]), block_tokens):
                         block.put(doc, a[s], b[t])
                         if block.tokens >= block_tokens:
@@ -305,14 +332,12 @@ def links(docs: DataFrame, model_a: str, model_b: str, block_tokens: int = BLOCK
         for r in counts.rows():
             yield _arrow([r], _LINKED)
 
-    def _tokens(text, first, second):
+    def _tokens(text, first, second, bytes_a, bytes_b):
         none = np.zeros(0, dtype=np.int32)
         if not text:
             return none, none
-        a, b, raw = first.encode(" " + text), second.encode(text), (" " + text).encode()
-        if first.decode(a) != raw or b"".join(map(second.bytes.__getitem__, b)) != raw:
-            return none, none
-        return a, np.array(b, dtype=np.int32)
+        a, b, raw = first.encode(" " + text), np.array(second.encode(text), dtype=np.int32), (" " + text).encode()
+        return (a, b) if bytes_a.of(a) == raw == bytes_b.of(b) else (none, none)
 
     def _closed(d):
         out = {"kind": "doc", "row": d.row, "doc_id": d.doc_id} | {k: getattr(d, k) for k in ("n_a", "n_b", "n_groups", "n_links")}
