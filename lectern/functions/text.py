@@ -33,6 +33,12 @@ HEADER_SET = r"MCQ Master Set:\s*(\d+)"
 BENGALI_SECTION = r"(?:^|\n)\s*(?:নির্বাচন|বিশেষ)\s*[:.]\s*(.+)"
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 
+# Letters with a capital of one code point for which Java writes several, or titles them, and their capitals.
+_ONE_CAPITAL = "ß" + "".join(map(chr, [*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8), 0x1FB3, 0x1FC3, 0x1FF3]))
+_CAPITALS = "ẞ" + "".join(map(chr, [*range(0x1F88, 0x1F90), *range(0x1F98, 0x1FA0), *range(0x1FA8, 0x1FB0), 0x1FBC, 0x1FCC, 0x1FFC]))
+# Letters that got capitals in Unicode 16, which databases lack.
+_NEW_CAPITALS = r"[\x{19B}\x{264}\x{1C8A}\x{A7CD}\x{A7DB}\x{10D70}-\x{10D85}]"
+
 CHARS_PER_TOKEN = 4
 
 
@@ -41,6 +47,14 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def upper_simple(c: Column) -> Column:
+    """Upper case code point by code point, as SQL databases do: ß becomes ẞ, ligatures stay. For short texts."""
+    def one(x: Column) -> Column:
+        return F.when((F.length(F.upper(x)) > 1) | F.rlike(x, F.lit(_NEW_CAPITALS)), F.translate(x, _ONE_CAPITAL, _CAPITALS)).otherwise(F.upper(x))
+
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
 def collapse(c: Column | str) -> Column:
     """Runs of three and more line feeds become two."""
     return F.regexp_replace(c, r"\n{3,}", "\n\n")

@@ -133,7 +133,7 @@ def section_tokens(spark, sf):
 def page_overrides(spark, sf):
     """Page texts with those that people corrected."""
     docs = table(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page_num"), "text")
-    by_hand = docs.where("page_num % 10 = 3").select("book", "page_num", F.upper(F.left("text", F.lit(5))).alias("override"))
+    by_hand = docs.where("page_num % 10 = 3").select("book", "page_num", T.upper_simple(F.left("text", F.lit(5))).alias("override"))
     return files.with_overrides(docs, by_hand).select(F.col("page_num").alias("doc_id"), "text")
 
 
