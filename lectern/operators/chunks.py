@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lectern.functions import text as T
-from lectern.session import materialise
+from lectern.session import bounded_batches, materialise
 
 MAX_TOKENS = 500
 OVERLAP_TOKENS = 100
@@ -222,15 +222,15 @@ def _starts(maps: DataFrame) -> DataFrame:
     def walk(batches):
         at, entry, number = None, 0, 0
         for batch in batches:
-            keys, exits, ended = (batch.column(i).to_pylist() for i in (0, 2, 3))
             entries, numbers = [], []
-            for key, x, n in zip(keys, exits, ended, strict=True):
+            for i in range(batch.num_rows):  # a map at a time, as arrays
+                key, x, n = batch.column(0)[i].as_py(), batch.column(2)[i].values, batch.column(3)[i].values
                 if key != at:
                     at, entry, number = key, 0, 0
                 entries.append(entry)
                 numbers.append(number)
-                number += n[entry if len(n) > 1 else 0]
-                entry = x[entry if len(x) > 1 else 0]
+                number += n[entry if len(n) > 1 else 0].as_py()
+                entry = x[entry if len(x) > 1 else 0].as_py()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.int32()), pa.array(numbers, pa.int64())], names=["_g", "_r", "entry", "number"])
 
     schema = StructType([*maps.select("_g", "_r").schema, StructField("entry", IntegerType()), StructField("number", LongType())])
@@ -269,6 +269,7 @@ def chunk_pages(
     If ``atomic``, worked examples and exercises with their solutions (EXAMPLE, CONTINUES) are
     not cut unless they are longer than a chunk, and then they share no chunk with other text.
     """
+    bounded_batches(pages.sparkSession, size="4m")
     rows = pages.select(F.struct(*group).alias("_g"), order, F.coalesce("text", F.lit("")).alias("text"))
     if atomic:
         rows = _with_moved_examples(rows, order)
@@ -283,9 +284,10 @@ def chunk_pages(
 
     def exits(batches):
         for batch in batches:
-            made = [_exits(t, max_tokens, atomic) for t in batch.column(2).to_pylist()]
-            lists = [pa.array([list(m[i]) for m in made], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["_g", "_r", "exits", "ended"])
+            for i in range(batch.num_rows):  # a range at a time, so that a task holds few texts twice
+                made = _exits(batch.column(2)[i].as_py(), max_tokens, atomic)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(m)], pa.int32()), pa.array(m, pa.int32())) for m in made]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *lists], names=["_g", "_r", "exits", "ended"])
 
     head = [*ranged.select("_g", "_r").schema]
     ints = ArrayType(IntegerType())
@@ -294,22 +296,22 @@ def chunk_pages(
 
     def fold(batches):
         for batch in batches:
-            out = []
-            for i, (texts, entry, number) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                before = None
+            for i in range(batch.num_rows):
+                texts, entry, number = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                out, before = [], None
                 for n, foreign, text, ends in _folded(texts, max_tokens, atomic, entry, number):
                     if foreign or not ends:
-                        out.append((i, n, "part", text, None))
+                        out.append((n, "part", text, None))
                         if before is not None:
-                            out.append((i, n - 1, "tail", before[-keep:], None))
+                            out.append((n - 1, "tail", before[-keep:], None))
                     else:
-                        out.append((i, n, "chunk", text, None if before is None else before[-keep:]))
+                        out.append((n, "chunk", text, None if before is None else before[-keep:]))
                     before = None if foreign else text
                 if before is not None and ends:
-                    out.append((i, n, "tail", before[-keep:], None))
-            at = pa.array([o[0] for o in out], pa.int32())
-            columns = [pa.array([o[c] for o in out], k) for c, k in ((1, pa.int64()), (2, pa.string()), (3, pa.string()), (4, pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["_g", "_r", "piece", "kind", "text", "before"])
+                    out.append((n, "tail", before[-keep:], None))
+                at = pa.array([i] * len(out), pa.int32())
+                columns = [pa.array([o[c] for o in out], k) for c, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["_g", "_r", "piece", "kind", "text", "before"])
 
     types = StructType([*head, StructField("piece", LongType()), *[StructField(c, StringType()) for c in ("kind", "text", "before")]])
     made = materialise(long.join(_starts(maps), ["_g", "_r"]).select("_g", "_r", "texts", "entry", "number").mapInArrow(fold, types))
