@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from lectern.functions import text as T
+from lectern.session import bounded_batches
+
+
+_WORD, _STOP = re.compile("[\u0980-\u09FF]{3,}|[a-zA-Z]{4,}"), frozenset(T.STOPWORDS)
+
+
+def _texts(df: DataFrame, key: list[str]) -> tuple[int, bool]:
+    """Number of texts, and whether each has a key of its own without nulls."""
+    n, own = df.agg(F.count("*"), F.count_distinct(*key)).first()
+    return n, n == own
+
+
+def _counted(df: DataFrame, key: list[str], body: str, top_n: int | None = None) -> DataFrame:
+    """key, word, n, first_pos and rank of the words of T.words() in each text, where every key has one: no text leaves its task."""
+    bounded_batches(df.sparkSession, size="2m")
+    rows = df.select(*key, body)
+
+    def count(batches):
+        for batch in batches:
+            at, words, numbers, places, ranks = [], [], [], [], []
+            for i, text in enumerate(batch.column(len(key)).to_pylist()):
+                found = [w for w in map(str.lower, _WORD.findall(text or "")) if w not in _STOP]
+                first = {w: j for j, w in reversed(list(enumerate(found)))}
+                best = Counter(found).most_common(top_n)  # ties in order of first occurrence
+                at += [i] * len(best)
+                words += [w for w, _ in best]
+                numbers += [n for _, n in best]
+                places += [first[w] for w, _ in best]
+                ranks += range(1, len(best) + 1)
+            own = [batch.column(c).take(pa.array(at, pa.int32())) for c in range(len(key))]
+            made = [pa.array(words, pa.string()), pa.array(numbers, pa.int64()), pa.array(places, pa.int32()), pa.array(ranks, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*key, "word", "n", "first_pos", "rank"])
+
+    kinds = (("word", StringType()), ("n", LongType()), ("first_pos", IntegerType()), ("rank", IntegerType()))
+    return rows.mapInArrow(count, StructType([*rows.schema.fields[:-1], *[StructField(c, k) for c, k in kinds]]))
 
 
 def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
-    """key, word, n and the word's first place; empty where a text has no words."""
+    """key, word, n and the word's first place; empty where a text has no words.
+
+    Keys are counted first. Where each has one text, words are counted in place; else a shuffle brings those of a key together.
+    """
+    if _texts(df, key)[1]:
+        return _counted(df, key, body).drop("rank")
     return (
         df.select(*key, F.posexplode(T.words(body)).alias("pos", "word"))
         .groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
@@ -19,6 +64,8 @@ def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
 
 def top_keywords(df: DataFrame, key: list[str], body: str = "text", top_n: int = 10, by: str = "n") -> DataFrame:
     """The most frequent words of each text with their rank; ties by first occurrence."""
+    if by == "n" and _texts(df, key)[1]:
+        return _counted(df, key, body, top_n)
     order = W.partitionBy(*key).orderBy(F.desc(by), "first_pos")
     counts = word_counts(df, key, body) if by == "n" else tf_idf(df, key, body)
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
@@ -32,6 +79,21 @@ def tf_idf(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
     return counts.join(with_word, "word").crossJoin(F.broadcast(total)).withColumn("weight", F.col("n") * F.ln(F.col("texts") / F.col("texts_with")))
 
 
+def tf_idf_totals(df: DataFrame, key: list[str], by: str, body: str = "text") -> DataFrame:
+    """``by``, words (rows of tf_idf()) and the sum of their weights.
+
+    Weights are sums, so where each key has one text they are taken from counts by ``by`` and word, and no row of a text and word travels.
+    """
+    texts, own = _texts(df, key)
+    if not own:
+        scored = tf_idf(df, key, body).join(df.select(*key, by), key)
+        return scored.groupBy(by).agg(F.count("*").alias("words"), F.sum("weight").alias("weight"))
+    sums = _counted(df, [*key, by], body).groupBy(by, "word").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+    with_word = F.sum("words").over(W.partitionBy("word"))  # a row for each value of by
+    weight = F.col("n") * F.ln(F.lit(texts) / with_word)
+    return sums.withColumn("weight", weight).groupBy(by).agg(F.sum("words").alias("words"), F.sum("weight").alias("weight"))
+
+
 def flags(df: DataFrame, body: str = "text") -> DataFrame:
     """``df`` with has_math, has_questions, difficulty and char_count; each pattern runs once over a text."""
     found = df.withColumns({"has_math": T.has_math(body), "has_questions": T.has_questions(body)})

@@ -42,3 +42,15 @@ def test_chunks_are_folded_in_small_batches(spark):
     assert spark.conf.get(BYTES) == "4m"
     # Each page is too long for a chunk and has no sentence end, so it is one.
     assert [r.chunk_id for r in made] == [f"b_chunk_{i:04d}" for i in range(300)]
+
+
+REPEATED = [(1, "alpha beta Alpha", "s"), (1, "beta gamma", "s"), (None, "gamma delta", "t"), (2, None, "t"), (3, "", "s")]
+
+
+def test_totals_by_source_are_sums_of_weights(spark):
+    own = [(i, *r[1:]) for i, r in enumerate(REPEATED)]
+    for rows in (own, REPEATED):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        plain = enrich.tf_idf(df, ["doc_id"]).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("words"), F.sum("weight").alias("weight"))
+        want, got = ({r.source: (r.words, round(r.weight, 9)) for r in x.collect()} for x in (plain, enrich.tf_idf_totals(df, ["doc_id"], "source")))
+        assert got == want
