@@ -54,3 +54,11 @@ def test_totals_by_source_are_sums_of_weights(spark):
         plain = enrich.tf_idf(df, ["doc_id"]).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("words"), F.sum("weight").alias("weight"))
         want, got = ({r.source: (r.words, round(r.weight, 9)) for r in x.collect()} for x in (plain, enrich.tf_idf_totals(df, ["doc_id"], "source")))
         assert got == want
+
+
+def test_archives_are_read_in_small_batches(spark):
+    spark.conf.set(BYTES, "64m")
+    raw = b"Content-Type: text/html\r\n\r\n<p>x"
+    df = spark.createDataFrame([("a", bytearray(raw)), ("b", None)], "path string, content binary")
+    assert {r.path: r.html for r in mhtml.pages(df).collect()} == {"a": "<p>x", "b": None}
+    assert spark.conf.get(BYTES) == "2m"
