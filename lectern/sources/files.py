@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.session import discard, file_system, materialise
+from lectern.session import bounded_batches, discard, file_system, materialise
 
 PAGE = "book string, page_num int, text string, char_count int, avg_confidence double, has_bengali boolean, block_count int"
 SECTION = "section_no string, section_title string, page_start int, page_end int"
@@ -75,17 +74,36 @@ def pdf_pages(files: DataFrame, max_pages: int | None = None, open_pdf: Callable
 
     opener = open_pdf or default
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path, content in zip(b.column(0), b.column(1), strict=True):
                 try:
-                    texts = list(opener(bytes(content)))
-                    rows = [(path, i + 1, len(texts), t, None) for i, t in enumerate(texts[: max_pages or None])]
+                    texts = list(opener(bytes(content.as_py())))
+                    made = [(path.as_py(), i + 1, len(texts), t, None) for i, t in enumerate(texts[: max_pages or None])]
                 except Exception as e:  # a broken file is a result here, not a failure
-                    rows = [(path, 0, 0, None, str(e)[:500])]
-                yield pd.DataFrame(rows, columns=["path", "page_num", "page_count", "text", "error"])
+                    made = [(path.as_py(), 0, 0, None, str(e)[:500])]
+                yield from made
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_num int, page_count int, text string, error string")
+    kinds = pa.schema([("path", pa.string()), ("page_num", pa.int32()), ("page_count", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+    bounded_batches(files.sparkSession, size="4m")
+    return files.select("path", "content").mapInArrow(lambda batches: row_batches(rows(batches), kinds), "path string, page_num int, page_count int, text string, error string")
+
+
+def row_batches(rows: Iterator[tuple], kinds: pa.Schema, most: int = 5000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of up to ``most`` rows, each ended by the row with which its texts and contents reach ``size``."""
+    made, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=kinds.names)
+
+    for row in rows:
+        made.append(row)
+        held += sum(len(v) for v in row if isinstance(v, str | bytes))
+        if len(made) >= most or held >= size:
+            yield batch()
+            made, held = [], 0
+    if made:
+        yield batch()
 
 
 def document_text(pages: DataFrame) -> DataFrame:

@@ -62,3 +62,10 @@ def test_archives_are_read_in_small_batches(spark):
     df = spark.createDataFrame([("a", bytearray(raw)), ("b", None)], "path string, content binary")
     assert {r.path: r.html for r in mhtml.pages(df).collect()} == {"a": "<p>x", "b": None}
     assert spark.conf.get(BYTES) == "2m"
+
+
+def test_rows_of_many_files_share_batches():
+    kinds = pa.schema([("path", pa.string()), ("page_num", pa.int32())])
+    sizes = [b.num_rows for b in files.row_batches(((str(i), 1) for i in range(12_000)), kinds)]
+    assert sizes == [5000, 5000, 2000]
+    assert [b.num_rows for b in files.row_batches((("x" * 60, 1) for _ in range(5)), kinds, size=100)] == [2, 2, 1]
