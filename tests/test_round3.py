@@ -56,6 +56,13 @@ def test_totals_by_source_are_sums_of_weights(spark):
         assert got == want
 
 
+def test_enriched_texts_travel_with_their_keywords_only(spark):
+    df = spark.createDataFrame([(1, "beta alpha Beta"), (2, None)], "doc_id long, text string")
+    made = enrich.enrich(df, "doc_id").select("doc_id", "keywords", "char_count")
+    assert "explode" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.keywords for r in made.collect()} == {1: ["beta", "alpha"], 2: []}
+
+
 def test_archives_are_read_in_small_batches(spark):
     spark.conf.set(BYTES, "64m")
     raw = b"Content-Type: text/html\r\n\r\n<p>x"
