@@ -56,6 +56,15 @@ def test_totals_by_source_are_sums_of_weights(spark):
         assert got == want
 
 
+def test_keywords_of_texts_with_own_keys_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "beta alpha Beta gamma alpha delta"), (2, None)], "doc_id long, text string")
+    top = enrich.top_keywords(df, ["doc_id"], top_n=3)
+    assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in top.orderBy("rank").collect()] == [(1, "beta", 2, 0, 1), (1, "alpha", 2, 1, 2), (1, "gamma", 1, 3, 3)]
+    twice = enrich.top_keywords(df.unionByName(df), ["doc_id"], top_n=3)
+    assert sorted((r.word, r.n) for r in twice.collect()) == [("alpha", 4), ("beta", 4), ("gamma", 2)]
+
+
 def test_enriched_texts_travel_with_their_keywords_only(spark):
     df = spark.createDataFrame([(1, "beta alpha Beta"), (2, None)], "doc_id long, text string")
     made = enrich.enrich(df, "doc_id").select("doc_id", "keywords", "char_count")
