@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources.files import ocr_text
+from lectern.session import bounded_batches
+from lectern.sources.files import ocr_text, row_batches
 
 _engines: dict[str, object] = {}
 
@@ -20,17 +22,17 @@ def pick_device(available: list[str], wanted: bool = True) -> str:
 
 def page_images(files: DataFrame, open_pdf: Callable[[bytes, int], list[bytes]], dpi: int = 200, max_pages: int | None = None) -> DataFrame:
     """path, page_num (from 1), png and error of PDF contents; a broken file gives one row with error and no image."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path, content in zip(b.column(0), b.column(1), strict=True):
                 try:
-                    rows = [(path, i + 1, png, None) for i, png in enumerate(open_pdf(bytes(content), dpi)[: max_pages or None])]
+                    yield from [(path.as_py(), i + 1, png, None) for i, png in enumerate(open_pdf(bytes(content.as_py()), dpi)[: max_pages or None])]
                 except Exception as e:  # a broken file is a result here, not a failure
-                    rows = [(path, 0, None, str(e)[:500])]
-                for row in rows:
-                    yield pd.DataFrame([row], columns=["path", "page_num", "png", "error"])
+                    yield path.as_py(), 0, None, str(e)[:500]
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_num int, png binary, error string")
+    kinds = pa.schema([("path", pa.string()), ("page_num", pa.int32()), ("png", pa.binary()), ("error", pa.string())])
+    bounded_batches(files.sparkSession, size="4m")
+    return files.select("path", "content").mapInArrow(lambda batches: row_batches(rows(batches), kinds), "path string, page_num int, png binary, error string")
 
 
 def recognise(images: DataFrame, make_engine: Callable[[], Callable[[bytes], list[tuple[str, float]]]], name: str = "ocr", min_confidence: float = 0.3) -> DataFrame:

@@ -85,3 +85,14 @@ def test_rows_of_many_files_share_batches():
     sizes = [b.num_rows for b in files.row_batches(((str(i), 1) for i in range(12_000)), kinds)]
     assert sizes == [5000, 5000, 2000]
     assert [b.num_rows for b in files.row_batches((("x" * 60, 1) for _ in range(5)), kinds, size=100)] == [2, 2, 1]
+
+
+def test_images_of_many_files_and_broken_ones(spark):
+    def render(content, dpi):
+        if not content:
+            raise ValueError("empty")
+        return [content, b"two", b"three"]
+
+    df = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray()), ("c", None)], "path string, content binary")
+    made = sorted(tuple(r) for r in ocr.page_images(df, render, max_pages=2).select("path", "page_num", F.col("png").cast("string"), F.col("error").isNotNull()).collect())
+    assert made == [("a", 1, "one", False), ("a", 2, "two", False), ("b", 0, None, True), ("c", 0, None, True)]
