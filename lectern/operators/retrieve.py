@@ -23,8 +23,10 @@ from lectern.functions import text as T
 from lectern.operators.graph import components
 from lectern.session import materialise
 
-#: Rows of one block, and products worked on at once (8 MB).
+#: Rows that always fit one block, and products worked on at once (8 MB).
 BLOCK_ROWS = 2048
+#: Blocks into which vectors to be paired are dealt, and so copies of a row, until a block has this many numbers (32 MB).
+BLOCKS, BLOCK_NUMBERS = 16, 1 << 22
 TILE_CELLS = 1 << 20
 #: Most numbers of all query vectors together that are sent to every task (32 MB); more queries are dealt into blocks.
 SENT_NUMBERS = 1 << 22
@@ -35,7 +37,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _block_counts(rows: DataFrame, key: str, name: str, block_rows: int) -> DataFrame:
-    return rows.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    """Blocks of each key. Those of vectors (v) grow with the rows, so that the copies that pairs of blocks take do not."""
+    most = F.lit(block_rows)
+    if "v" in rows.columns:
+        most = F.greatest(most, F.least(F.count("*") / BLOCKS, F.lit(BLOCK_NUMBERS) / F.max(F.size("v"))))
+    return rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
 
 
 def _own_block(blocks: str) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunks, enrich
+from lectern.operators import chunks, enrich, graph, retrieve
 from lectern.plans import catalog
 from lectern.sources import files, mhtml, ocr
 
@@ -96,3 +96,10 @@ def test_images_of_many_files_and_broken_ones(spark):
     df = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray()), ("c", None)], "path string, content binary")
     made = sorted(tuple(r) for r in ocr.page_images(df, render, max_pages=2).select("path", "page_num", F.col("png").cast("string"), F.col("error").isNotNull()).collect())
     assert made == [("a", 1, "one", False), ("a", 2, "two", False), ("b", 0, None, True), ("c", 0, None, True)]
+
+
+def test_copies_of_a_row_do_not_grow_with_rows(spark):
+    df = spark.range(400).selectExpr("id as vec_id", "array(1.0D, id) as embedding")
+    cells = retrieve._own_cells(retrieve._vectors(df, "vec_id", "embedding"), "dim", 4)
+    assert cells.count() == 400 * retrieve.BLOCKS  # 100 copies before
+    assert retrieve.similar_pairs(df, -2.0, block_rows=4).count() == 400 * 399 // 2
