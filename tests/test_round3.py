@@ -98,6 +98,13 @@ def test_images_of_many_files_and_broken_ones(spark):
     assert made == [("a", 1, "one", False), ("a", 2, "two", False), ("b", 0, None, True), ("c", 0, None, True)]
 
 
+def test_components_of_equal_and_near_vectors_in_many_blocks(spark):
+    df = spark.createDataFrame([(i, [1.0, (i % 7) * 10.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    rows = retrieve._vectors(df, "vec_id", "embedding")
+    assert retrieve._cells(rows, rows, "dim", 2).count() == 2 * 100 * retrieve.BLOCKS  # 50 copies before
+    assert {r.vec_id: r.canonical for r in retrieve.deduplicate(df, 0.99999).collect()} == {i: min(i % 7, 5) for i in range(100)}
+
+
 def test_copies_of_a_row_do_not_grow_with_rows(spark):
     df = spark.range(400).selectExpr("id as vec_id", "array(1.0D, id) as embedding")
     cells = retrieve._own_cells(retrieve._vectors(df, "vec_id", "embedding"), "dim", 4)
