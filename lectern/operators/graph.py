@@ -60,6 +60,7 @@ def merge_components(known: DataFrame, links: DataFrame, src: str = "a", dst: st
     each component's old ids that it no longer has are its aliases. Ends of links that
     ``known`` lacks are new nodes, components of their own before.
     """
+    links = materialise(links.select(src, dst))  # read several times, and made once
     end = lambda c: links.select(F.col(c).alias("node")).where("node is not null")
     fresh = end(src).union(end(dst)).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
     before = materialise(known.select("node", "component").unionByName(fresh))
@@ -68,6 +69,7 @@ def merge_components(known: DataFrame, links: DataFrame, src: str = "a", dst: st
     # A component's name is the smallest of its nodes, so the smallest of the joined names is that of the whole.
     moved = components(edges, "a_component", "b_component").where("node <> component").select(F.col("node").alias("alias"), F.col("component").alias("now"))
     moved = materialise(moved)
+    discard(links)
     after = before.join(moved, before["component"] == moved["alias"], "left").select("node", F.coalesce("now", "component").alias("component"))
     return after, moved.select("alias", F.col("now").alias("component"))
 

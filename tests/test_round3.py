@@ -98,6 +98,21 @@ def test_images_of_many_files_and_broken_ones(spark):
     assert made == [("a", 1, "one", False), ("a", 2, "two", False), ("b", 0, None, True), ("c", 0, None, True)]
 
 
+def test_links_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(3, 1), (5, 6), (6, None)], "a long, b long").mapInArrow(count, "a long, b long")
+    known = spark.createDataFrame([(3, 2), (2, 2)], "node long, component long")
+    after, _ = graph.merge_components(known, links)
+    assert sorted(map(tuple, after.collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
+    assert made.value == 3
+
+
 def test_components_of_equal_and_near_vectors_in_many_blocks(spark):
     df = spark.createDataFrame([(i, [1.0, (i % 7) * 10.0]) for i in range(100)], "vec_id long, embedding array<double>")
     rows = retrieve._vectors(df, "vec_id", "embedding")
