@@ -195,18 +195,19 @@ def append_new(df: DataFrame, path: str, key: list[str], by: str | None = None)
     (writer.partitionBy(by) if by else writer).json(path)
 
 
-def merge_increment(changes: DataFrame, path: str, key: list[str], book: str = "book", order: str | None = None, place: Column | None = None) -> None:
+def merge_increment(changes: DataFrame, path: str, key: list[str], book: str = "book", order: str | None = None, place: Column | None = None, places: int = 64) -> None:
     """Work ``changes`` into the Parquet table at ``path``: rows replace those of their key, new keys are added.
 
     The table is kept in folders by ``book`` (a column of the key) and ``place``, a whole number made of the key that
-    deals a book into ranges (by default one of 64 by hash). Only folders that the changes touch
+    deals a book into ranges (by default one of ``places`` by hash); ranges whose numbers are equal modulo ``places`` share a
+    folder, so that folders, which a commit moves one by one, stay bounded in number. Only folders that the changes touch
     are read, and Spark's dynamic overwrite replaces these as a whole when the job ends, so a
     run that breaks off before leaves the table as it was, and a repeated one changes nothing.
     A change whose ``deleted`` is true takes its key out; it stays as a mark, which read_merged() leaves out. Of changes of one key
     the one of greatest ``order`` holds, and of those that tie the greatest row.
     """
     spark = changes.sparkSession
-    place = F.pmod(F.xxhash64(*key), F.lit(64)) if place is None else place
+    place = F.pmod(F.xxhash64(*key) if place is None else place, F.lit(places))
     rows = changes if "deleted" in changes.columns else changes.withColumn("deleted", F.lit(False))
     rows = rows.withColumn("deleted", F.coalesce("deleted", F.lit(False))).withColumn("_place", place.cast("int"))
     whole = F.struct(*[F.col(c) for c in ([order] if order else []) + [c for c in rows.columns if c not in key]])
@@ -216,6 +217,8 @@ def merge_increment(changes: DataFrame, path: str, key: list[str], book: str = "
     if exists(spark, path):
         touched = last.select(book, "_place").distinct()
         held = spark.read.schema(last.schema).parquet(path)
+        if not held.where(~F.col("_place").between(0, places - 1)).isEmpty():
+            raise ValueError(f"the table at {path} was written with more places than {places}")
         match = (held[book].eqNullSafe(touched[book])) & (held["_place"] == touched["_place"])
         same = F.lit(True)
         for c in key:

@@ -125,3 +125,14 @@ def test_copies_of_a_row_do_not_grow_with_rows(spark):
     cells = retrieve._own_cells(retrieve._vectors(df, "vec_id", "embedding"), "dim", 4)
     assert cells.count() == 400 * retrieve.BLOCKS  # 100 copies before
     assert retrieve.similar_pairs(df, -2.0, block_rows=4).count() == 400 * 399 // 2
+
+
+def test_folders_of_a_merged_table_stay_bounded(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(40).selectExpr("'b' as book", "id as k", "'x' as v")
+    for change in (rows, rows.where("k = 13").selectExpr("book", "k", "'y' as v")):
+        files.merge_increment(change, path, ["book", "k"], place=F.col("k"), places=8)
+    assert len(list((tmp_path / "t" / "book=b").glob("_place=*"))) == 8
+    assert {r.k: r.v for r in files.read_merged(spark, path, "book string, k long, v string").collect()} == {k: "y" if k == 13 else "x" for k in range(40)}
+    with pytest.raises(ValueError, match="more places"):
+        files.merge_increment(rows, path, ["book", "k"], place=F.col("k"), places=4)
