@@ -247,6 +247,77 @@ def _buckets(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     return vectors.mapInArrow(sign, "id long, v array<double>, dim long")
 
 
+def _keyed(vectors: DataFrame, vid: str, vector: str, tables: int, bits: int, seed: int) -> DataFrame:
+    """_vectors(), or their _buckets() where ``tables`` are wanted."""
+    rows = _vectors(vectors, vid, vector)
+    return _buckets(rows, tables, bits, seed) if tables else rows
+
+
+def _above(batches, threshold: float, within: bool):
+    """Ids of both sides of each cell, with tiles of (places on side 0, places on side 1, cosines) of what is above the threshold.
+
+    ``within`` one table (_own_cells()) a block with itself has side 0 only, which meets itself.
+    """
+
+    def tiles(x, y):
+        step = max(1, TILE_CELLS // len(y))
+        for at in range(0, len(x), step):
+            s = x[at : at + step] @ y.T
+            i, j = np.nonzero(s > threshold)
+            yield at + i, j, s[i, j]
+
+    for _, left, right in _runs(batches, "dim"):
+        if left.num_rows and right.num_rows:
+            (a, x), (b, y) = _matrix(left), _matrix(right)
+            yield a, b, tiles(x, y)
+        elif within and left.num_rows and left.column("p")[0] == left.column("q")[0]:
+            a, x = _matrix(left)
+            yield a, a, tiles(x, x)
+
+
+def _pairs(cells: DataFrame, threshold: float, within: bool) -> DataFrame:
+    """(a, b, cosine) with a < b of all pairs above the threshold in each cell."""
+
+    def pairs(batches):
+        for a, b, tiles in _above(batches, threshold, within):
+            for i, j, s in tiles:
+                one, two = a[i], b[j]
+                keep = one < two if a is b else one != two
+                one, two = one[keep], two[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s[keep])], names=["a", "b", "cosine"])
+
+    return cells.mapInArrow(pairs, "a long, b long, cosine double")
+
+
+def _stars(cells: DataFrame, threshold: float, within: bool) -> DataFrame:
+    """(a, b) with a < b: each row b of a cell with the smallest id a that pairs above the threshold lead to within the cell."""
+
+    def stars(batches):
+        for a, b, tiles in _above(batches, threshold, within):
+            ids = np.unique(np.concatenate([a, b]))
+            at_a, at_b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            low = np.arange(len(ids))
+            for i, j, _ in tiles:
+                _lower(low, at_a[i], at_b[j])
+            moved = np.flatnonzero(low != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low[moved]]), pa.array(ids[moved])], names=["a", "b"])
+
+    return cells.mapInArrow(stars, "a long, b long")
+
+
+def _lower(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Work links i - j into ``low``, which has the smallest place of each place's component."""
+    while True:
+        x, y = low[i], low[j]
+        apart = x != y
+        if not apart.any():
+            return
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low[:] = low[low]
+
+
 def similar_pairs(
     vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", tables: int = 0, bits: int = 12, seed: int = 11, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -257,45 +328,33 @@ def similar_pairs(
     and pairs whose signs differ in every table are missed. Two vectors at angle t share a
     bucket of one table with probability (1 - t / pi) ** bits.
     """
-    rows = _vectors(vectors, vid, vector)
-    rows = _buckets(rows, tables, bits, seed) if tables else rows
-
-    def pairs(batches):
-        for _, left, right in _runs(batches, "dim"):
-            (a, x), within = _matrix(left), not right.num_rows
-            b, y = (a, x) if within else _matrix(right)
-            step = max(1, TILE_CELLS // len(b))
-            for at in range(0, len(a), step):
-                s = x[at : at + step] @ y.T
-                i, j = np.nonzero(s > threshold)
-                one, two = a[at + i], b[j]
-                keep = one < two if within else one != two
-                one, two = one[keep], two[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s[i, j][keep])], names=["a", "b", "cosine"])
-
-    found = _own_cells(rows, "dim", block_rows).mapInArrow(pairs, "a long, b long, cosine double")
+    found = _pairs(_own_cells(_keyed(vectors, vid, vector, tables, bits, seed), "dim", block_rows), threshold, within=True)
     return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")) if tables else found
 
 
 def similar_to(new: DataFrame, known: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, cosine) with a < b above the threshold of pairs with a ``new`` row: among these, and with the ``known`` ones, which don't meet each other."""
 
-    def pairs(batches):
-        for _, left, right in _runs(batches, "dim"):
-            if not (left.num_rows and right.num_rows):
-                continue
-            (a, x), (b, y) = _matrix(left), _matrix(right)
-            step = max(1, TILE_CELLS // len(b))
-            for at in range(0, len(a), step):
-                s = x[at : at + step] @ y.T
-                i, j = np.nonzero((s > threshold) & (a[at : at + step, None] != b[None, :]))
-                one, two = a[at + i], b[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s[i, j])], names=["a", "b", "cosine"])
-
-    across = _cells(_vectors(new, vid, vector), _vectors(known, vid, vector), "dim", block_rows).mapInArrow(pairs, "a long, b long, cosine double")
+    across = _pairs(_cells(_vectors(new, vid, vector), _vectors(known, vid, vector), "dim", block_rows), threshold, within=False)
     return across.unionByName(similar_pairs(new, threshold, vid, vector, block_rows=block_rows))
 
 
+def links(
+    vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", tables: int = 0, bits: int = 12, seed: int = 11, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(a, b) with a < b whose components are those of similar_pairs(): at most one a row and cell, however many pairs there are.
+
+    A link need not be a similar pair itself; similar pairs within the cell lead from one end to the other.
+    """
+    return _stars(_own_cells(_keyed(vectors, vid, vector, tables, bits, seed), "dim", block_rows), threshold, within=True)
+
+
+def links_to(new: DataFrame, known: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b) with a < b whose components are those of similar_to(), as links() has them for similar_pairs()."""
+    across = _stars(_cells(_vectors(new, vid, vector), _vectors(known, vid, vector), "dim", block_rows), threshold, within=False)
+    return across.unionByName(links(new, threshold, vid, vector, block_rows=block_rows))
+
+
 def deduplicate(vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id", vector: str = "embedding", tables: int = 0, bits: int = 12) -> DataFrame:
     """vid and canonical: the smallest id that similar pairs lead to; ids without pairs stand for themselves.
 
@@ -307,7 +366,7 @@ def deduplicate(vectors: DataFrame, threshold: float = 0.92, vid: str = "vec_id"
     heads = classed.groupBy("_class").agg(F.min(vid).alias("_head"))
     members = materialise(classed.select(vid, "_class").join(heads, "_class").select(vid, "_head"))
     distinct = classed.join(heads, (classed["_class"] == heads["_class"]) & (F.col(vid) == F.col("_head"))).select(vid, vector).dropDuplicates([vid])
-    found = components(similar_pairs(distinct, threshold, vid, vector, tables, bits))
+    found = components(links(distinct, threshold, vid, vector, tables, bits))
     placed = members.join(found, F.col("_head") == F.col("node"), "left").select(vid, F.coalesce("component", "_head").alias("canonical"))
     return placed.unionByName(vectors.where(~F.coalesce(_usable(v), F.lit(False))).select(vid, F.col(vid).alias("canonical")))
 

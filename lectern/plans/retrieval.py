@@ -72,8 +72,8 @@ def alias_merge(spark, sf):
     """The same groups from two increments: the links of the second half of the vectors are merged into the components of the first."""
     vectors = table(spark, sf, "embeddings")
     first, second = vectors.where("vec_id % 2 = 0"), vectors.where("vec_id % 2 <> 0")
-    known = components(retrieve.similar_pairs(first, 0.45))
-    merged, _ = merge_components(known, retrieve.similar_to(second, first, 0.45))
+    known = components(retrieve.links(first, 0.45))
+    merged, _ = merge_components(known, retrieve.links_to(second, first, 0.45))
     return vectors.select("vec_id").join(merged, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("canonical"))
 
 
