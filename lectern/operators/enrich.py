@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from lectern.functions import text as T
-from lectern.session import bounded_batches
-
+from lectern.session import bounded_batches, free_names, materialise
 
+#: Most keys shared by texts that are sent to every task, to tell these texts from those with keys of their own; more are joined.
+SENT_KEYS = 1 << 18
 _WORD, _STOP = re.compile("[\u0980-\u09FF]{3,}|[a-zA-Z]{4,}"), frozenset(T.STOPWORDS)
 
 
@@ -49,26 +52,45 @@ def _counted(df: DataFrame, key: list[str], body: str, top_n: int | None = None)
     return rows.mapInArrow(count, StructType([*rows.schema.fields[:-1], *[StructField(c, k) for c, k in kinds]]))
 
 
-def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
-    """key, word, n and the word's first place; empty where a text has no words.
-
-    Keys are counted first. Where each has one text, words are counted in place; else a shuffle brings those of a key together.
-    """
+def _apart(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Texts with a key of their own, and those that share theirs (None where none does); nulls count as equal."""
     if _texts(df, key)[1]:
-        return _counted(df, key, body).drop("rank")
+        return df, None
+    names = free_names(df.columns, *key, "n")
+    sizes = df.groupBy(*[F.col(c).alias(name) for c, name in zip(key, names, strict=False)]).agg(F.count("*").alias(names[-1]))
+    shared = materialise(sizes.where(F.col(names[-1]) > 1).drop(names[-1]))
+    same = reduce(and_, [df[c].eqNullSafe(shared[name]) for c, name in zip(key, names, strict=False)])
+    few = F.broadcast(shared) if shared.count() <= SENT_KEYS else shared
+    return df.join(few, same, "left_anti"), df.join(few, same, "left_semi")
+
+
+def _gathered(df: DataFrame, key: list[str], body: str) -> DataFrame:
+    """key, word, n and first_pos where texts share keys: a shuffle brings the words of a key together."""
     return (
         df.select(*key, F.posexplode(T.words(body)).alias("pos", "word"))
         .groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     )
 
 
+def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
+    """key, word, n and the word's first place; empty where a text has no words.
+
+    Keys are counted first. Words of texts with a key of their own are counted in place, and only those of texts that share one are shuffled.
+    """
+    own, shared = _apart(df, key)
+    counts = _counted(own, key, body).drop("rank")
+    return counts if shared is None else counts.unionByName(_gathered(shared, key, body))
+
+
 def top_keywords(df: DataFrame, key: list[str], body: str = "text", top_n: int = 10, by: str = "n") -> DataFrame:
     """The most frequent words of each text with their rank; ties by first occurrence."""
-    if by == "n" and _texts(df, key)[1]:
-        return _counted(df, key, body, top_n)
     order = W.partitionBy(*key).orderBy(F.desc(by), "first_pos")
-    counts = word_counts(df, key, body) if by == "n" else tf_idf(df, key, body)
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    ranked = lambda counts: counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    if by != "n":
+        return ranked(tf_idf(df, key, body))
+    own, shared = _apart(df, key)
+    best = _counted(own, key, body, top_n)
+    return best if shared is None else best.unionByName(ranked(_gathered(shared, key, body)))
 
 
 def tf_idf(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:

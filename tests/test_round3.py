@@ -66,6 +66,23 @@ def test_keywords_of_texts_with_own_keys_need_no_shuffle(spark):
     assert sorted((r.word, r.n) for r in twice.collect()) == [("alpha", 4), ("beta", 4), ("gamma", 2)]
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 18])
+def test_words_of_texts_that_share_a_key_alone_are_shuffled(spark, monkeypatch, sent):
+    monkeypatch.setattr(enrich, "SENT_KEYS", sent)
+    rows = [*REPEATED, (1, "alpha", "s"), (None, "delta", "t"), (4, "omega omega alpha", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own, shared = enrich._apart(df, ["doc_id"])
+    assert sorted(r.doc_id for r in own.collect()) == [2, 3, 4]  # words of all eight were shuffled before
+    assert sorted(r.text for r in shared.collect()) == ["alpha", "alpha beta Alpha", "beta gamma", "delta", "gamma delta"]
+    top = enrich.top_keywords(df, ["doc_id"], top_n=2)
+    assert "MapInArrow" in top._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.word, r.n, r.rank) for r in top.collect()} == {
+        (1, "alpha", 3, 1), (1, "beta", 2, 2), (None, "delta", 2, 1), (None, "gamma", 1, 2), (4, "omega", 2, 1), (4, "alpha", 1, 2),
+    }
+    assert {r.doc_id: r.keywords for r in enrich.enrich(df.where("doc_id > 1"), "doc_id").collect()} == {2: [], 3: [], 4: ["omega", "alpha"]}
+    assert {(r.word, r.n) for r in enrich.word_counts(df, ["doc_id"]).where("doc_id is null").collect()} == {("gamma", 1), ("delta", 2)}
+
+
 def test_enriched_texts_travel_with_their_keywords_only(spark):
     df = spark.createDataFrame([(1, "beta alpha Beta"), (2, None)], "doc_id long, text string")
     made = enrich.enrich(df, "doc_id").select("doc_id", "keywords", "char_count")
