@@ -90,6 +90,14 @@ def test_enriched_texts_travel_with_their_keywords_only(spark):
     assert {r.doc_id: r.keywords for r in made.collect()} == {1: ["beta", "alpha"], 2: []}
 
 
+def test_enriched_texts_of_one_shared_key_leave_others_in_place(spark):
+    df = spark.createDataFrame([(1, "beta alpha Beta"), (2, "gamma"), (2, "delta Gamma"), (3, None), (None, "omega")], "doc_id long, text string")
+    made = enrich.enrich(df, "doc_id").select("doc_id", "keywords", "char_count")
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()  # all words were shuffled before
+    rows = [(1, ["beta", "alpha"], 15), (2, ["gamma", "delta"], 5), (2, ["gamma", "delta"], 11), (3, [], None), (None, [], 5)]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_archives_are_read_in_small_batches(spark):
     spark.conf.set(BYTES, "64m")
     raw = b"Content-Type: text/html\r\n\r\n<p>x"
