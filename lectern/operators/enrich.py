@@ -7,8 +7,9 @@ from collections import Counter
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -21,6 +22,11 @@ SENT_KEYS = 1 << 18
 _WORD, _STOP = re.compile("[\u0980-\u09FF]{3,}|[a-zA-Z]{4,}"), frozenset(T.STOPWORDS)
 
 
+def _words(text: str | None) -> list[str]:
+    """The words of T.words() in a text."""
+    return [w for w in map(str.lower, _WORD.findall(text or "")) if w not in _STOP]
+
+
 def _texts(df: DataFrame, key: list[str]) -> tuple[int, bool]:
     """Number of texts, and whether each has a key of its own without nulls."""
     n, own = df.agg(F.count("*"), F.count_distinct(*key)).first()
@@ -36,7 +42,7 @@ def _counted(df: DataFrame, key: list[str], body: str, top_n: int | None = None)
         for batch in batches:
             at, words, numbers, places, ranks = [], [], [], [], []
             for i, text in enumerate(batch.column(len(key)).to_pylist()):
-                found = [w for w in map(str.lower, _WORD.findall(text or "")) if w not in _STOP]
+                found = _words(text)
                 first = {w: j for j, w in reversed(list(enumerate(found)))}
                 best = Counter(found).most_common(top_n)  # ties in order of first occurrence
                 at += [i] * len(best)
@@ -65,11 +71,8 @@ def _apart(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _gathered(df: DataFrame, key: list[str], body: str) -> DataFrame:
-    """key, word, n and first_pos where texts share keys: a shuffle brings the words of a key together."""
-    return (
-        df.select(*key, F.posexplode(T.words(body)).alias("pos", "word"))
-        .groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    )
+    """key, word, n and first_pos where texts share keys: words are counted in each text, and a shuffle brings those of a key together."""
+    return _counted(df, key, body).groupBy(*key, "word").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
 
 
 def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
@@ -82,15 +85,19 @@ def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
     return counts if shared is None else counts.unionByName(_gathered(shared, key, body))
 
 
+def _ranked(counts: DataFrame, key: list[str], top_n: int, by: str = "n") -> DataFrame:
+    """The first words of each key with their rank."""
+    order = W.partitionBy(*key).orderBy(F.desc(by), "first_pos")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+
+
 def top_keywords(df: DataFrame, key: list[str], body: str = "text", top_n: int = 10, by: str = "n") -> DataFrame:
     """The most frequent words of each text with their rank; ties by first occurrence."""
-    order = W.partitionBy(*key).orderBy(F.desc(by), "first_pos")
-    ranked = lambda counts: counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     if by != "n":
-        return ranked(tf_idf(df, key, body))
+        return _ranked(tf_idf(df, key, body), key, top_n, by)
     own, shared = _apart(df, key)
     best = _counted(own, key, body, top_n)
-    return best if shared is None else best.unionByName(ranked(_gathered(shared, key, body)))
+    return best if shared is None else best.unionByName(_ranked(_gathered(shared, key, body), key, top_n))
 
 
 def tf_idf(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
@@ -122,11 +129,30 @@ def flags(df: DataFrame, body: str = "text") -> DataFrame:
     return found.withColumns({"difficulty": T.difficulty(body, F.col("has_math") | F.col("has_questions")), "char_count": F.length(body)})
 
 
+def _keywords(body: str, top_n: int) -> Column:
+    """The most frequent words of a text as an array; ties by first occurrence."""
+
+    @F.pandas_udf("array<string>")
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for w, _ in Counter(_words(t)).most_common(top_n)])
+
+    return best(F.coalesce(body, F.lit("")))
+
+
 def enrich(chunks: DataFrame, key: str = "chunk_id", top_n: int = 10) -> DataFrame:
-    """Chunks with flags and their keywords as an array, most frequent first."""
-    words = top_keywords(chunks, [key], top_n=top_n)
+    """Chunks with flags and their keywords as an array, most frequent first; none where the key is null.
+
+    Chunks with a key of their own get them in place, by no join or shuffle; those that share one get the keywords of all its texts.
+    """
+    bounded_batches(chunks.sparkSession, size="2m")
+    own, shared = _apart(chunks, [key])
+    none = F.array().cast("array<string>")
+    alone = flags(own).withColumn("keywords", F.when(F.col(key).isNotNull(), _keywords("text", top_n)).otherwise(none))
+    if shared is None:
+        return alone
+    words = _ranked(_gathered(shared, [key], "text"), [key], top_n)
     lists = words.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
-    return flags(chunks).join(lists, key, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return alone.unionByName(flags(shared).join(lists, key, "left").withColumn("keywords", F.coalesce("keywords", none)))
 
 
 def report(enriched: DataFrame, *by: str) -> DataFrame:

@@ -98,6 +98,21 @@ def test_enriched_texts_of_one_shared_key_leave_others_in_place(spark):
     assert sorted(map(tuple, made.collect()), key=str) == sorted(rows, key=str)
 
 
+def test_enriched_texts_with_own_keys_neither_join_nor_travel(spark):
+    texts = [None, "", "beta alpha Beta delta", "one two", "বাংলা omega বাংলা omega alpha", " ".join(f"word{c}{d}" for c in "abc" for d in "defghij")]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, page int")
+    made = enrich.enrich(df, "doc_id", top_n=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # keywords were gathered and joined to their texts before
+    best = {i: [] for i in range(len(texts))}
+    for r in enrich.top_keywords(df, ["doc_id"], top_n=4).orderBy("doc_id", "rank").collect():
+        best[r.doc_id].append(r.word)
+    assert {r.doc_id: r.keywords for r in made.collect()} == best
+    assert best[2] == ["beta", "alpha", "delta"] and best[4] == ["বাংলা", "omega", "alpha"] and len(best[5]) == 4
+    null = df.unionByName(spark.createDataFrame([(None, "omega", 9)], df.schema))  # a null key has no keywords, as by a join
+    assert {r.doc_id: r.keywords for r in enrich.enrich(null, "doc_id", top_n=4).collect()} == {**best, None: []}
+
+
 def test_archives_are_read_in_small_batches(spark):
     spark.conf.set(BYTES, "64m")
     raw = b"Content-Type: text/html\r\n\r\n<p>x"
