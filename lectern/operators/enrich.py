@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import reduce
-from operator import and_
+from itertools import batched, chain, groupby
+from operator import and_, itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +20,8 @@ from lectern.session import bounded_batches, free_names, materialise
 
 #: Most keys shared by texts that are sent to every task, to tell these texts from those with keys of their own; more are joined.
 SENT_KEYS = 1 << 18
+#: Most texts of one key that are brought together as texts; words of more are counted apart.
+TEXTS_TOGETHER = 64
 _WORD, _STOP = re.compile("[\u0980-\u09FF]{3,}|[a-zA-Z]{4,}"), frozenset(T.STOPWORDS)
 
 
@@ -54,25 +57,70 @@ def _counted(df: DataFrame, key: list[str], body: str, top_n: int | None = None)
             made = [pa.array(words, pa.string()), pa.array(numbers, pa.int64()), pa.array(places, pa.int32()), pa.array(ranks, pa.int32())]
             yield pa.RecordBatch.from_arrays([*own, *made], names=[*key, "word", "n", "first_pos", "rank"])
 
+    return rows.mapInArrow(count, _counted_as(rows))
+
+
+def _counted_as(rows: DataFrame) -> StructType:
     kinds = (("word", StringType()), ("n", LongType()), ("first_pos", IntegerType()), ("rank", IntegerType()))
-    return rows.mapInArrow(count, StructType([*rows.schema.fields[:-1], *[StructField(c, k) for c, k in kinds]]))
+    return StructType([*rows.schema.fields[:-1], *[StructField(c, k) for c, k in kinds]])
+
+
+def _merged(df: DataFrame, key: list[str], body: str, top_n: int | None = None) -> DataFrame:
+    """The columns of _counted() where few texts share a key: they meet as texts, which take less than rows of their words."""
+    bounded_batches(df.sparkSession, size="2m")
+    rows = df.select(*key, body).repartition(*key).sortWithinPartitions(*key)
+
+    def counted(batches):
+        texts = (row for b in batches for row in zip(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True), b.columns[-1].to_pylist(), strict=True))
+        for own, group in groupby(texts, itemgetter(0)):
+            n, first = Counter(), {}
+            for _, text in group:
+                found = _words(text)
+                n.update(found)
+                for w, j in {w: j for j, w in reversed(list(enumerate(found)))}.items():
+                    first[w] = min(j, first.get(w, j))
+            for rank, w in enumerate(sorted(n, key=lambda w: (-n[w], first[w], w))[:top_n], 1):
+                yield *own, w, n[w], first[w], rank
 
+    def merge(batches):
+        for head in batches:
+            names, kinds = [*key, "word", "n", "first_pos", "rank"], [*head.schema.types[:-1], pa.string(), pa.int64(), pa.int32(), pa.int32()]
+            for made in batched(counted(chain([head], batches)), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-def _apart(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Texts with a key of their own, and those that share theirs (None where none does); nulls count as equal."""
-    if _texts(df, key)[1]:
+    return rows.mapInArrow(merge, _counted_as(rows))
+
+
+def _apart(df: DataFrame, key: list[str], most: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """Texts whose key has ``most`` texts, and those whose key has more (None where none has); nulls count as equal."""
+    if most == 1 and _texts(df, key)[1]:
         return df, None
     names = free_names(df.columns, *key, "n")
     sizes = df.groupBy(*[F.col(c).alias(name) for c, name in zip(key, names, strict=False)]).agg(F.count("*").alias(names[-1]))
-    shared = materialise(sizes.where(F.col(names[-1]) > 1).drop(names[-1]))
+    shared = materialise(sizes.where(F.col(names[-1]) > most).drop(names[-1]))
+    n = shared.count()
+    if not n:
+        return df, None
     same = reduce(and_, [df[c].eqNullSafe(shared[name]) for c, name in zip(key, names, strict=False)])
-    few = F.broadcast(shared) if shared.count() <= SENT_KEYS else shared
+    few = F.broadcast(shared) if n <= SENT_KEYS else shared
     return df.join(few, same, "left_anti"), df.join(few, same, "left_semi")
 
 
-def _gathered(df: DataFrame, key: list[str], body: str) -> DataFrame:
-    """key, word, n and first_pos where texts share keys: words are counted in each text, and a shuffle brings those of a key together."""
-    return _counted(df, key, body).groupBy(*key, "word").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+def _ranked(counts: DataFrame, key: list[str], top_n: int | None, by: str = "n") -> DataFrame:
+    """The first words of each key, or all, with their rank."""
+    order = W.partitionBy(*key).orderBy(F.desc(by), "first_pos", "word")
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    return ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
+
+
+def _gathered(df: DataFrame, key: list[str], body: str, top_n: int | None = None) -> DataFrame:
+    """The columns of _counted() where texts share keys: few of one key meet as texts, of more the words counted in each text."""
+    few, many = _apart(df, key, TEXTS_TOGETHER)
+    best = _merged(few, key, body, top_n)
+    if many is None:
+        return best
+    counts = _counted(many, key, body).groupBy(*key, "word").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+    return best.unionByName(_ranked(counts, key, top_n))
 
 
 def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
@@ -82,13 +130,7 @@ def word_counts(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
     """
     own, shared = _apart(df, key)
     counts = _counted(own, key, body).drop("rank")
-    return counts if shared is None else counts.unionByName(_gathered(shared, key, body))
-
-
-def _ranked(counts: DataFrame, key: list[str], top_n: int, by: str = "n") -> DataFrame:
-    """The first words of each key with their rank."""
-    order = W.partitionBy(*key).orderBy(F.desc(by), "first_pos")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    return counts if shared is None else counts.unionByName(_gathered(shared, key, body).drop("rank"))
 
 
 def top_keywords(df: DataFrame, key: list[str], body: str = "text", top_n: int = 10, by: str = "n") -> DataFrame:
@@ -97,7 +139,7 @@ def top_keywords(df: DataFrame, key: list[str], body: str = "text", top_n: int =
         return _ranked(tf_idf(df, key, body), key, top_n, by)
     own, shared = _apart(df, key)
     best = _counted(own, key, body, top_n)
-    return best if shared is None else best.unionByName(_ranked(_gathered(shared, key, body), key, top_n))
+    return best if shared is None else best.unionByName(_gathered(shared, key, body, top_n))
 
 
 def tf_idf(df: DataFrame, key: list[str], body: str = "text") -> DataFrame:
@@ -150,7 +192,7 @@ def enrich(chunks: DataFrame, key: str = "chunk_id", top_n: int = 10) -> DataFra
     alone = flags(own).withColumn("keywords", F.when(F.col(key).isNotNull(), _keywords("text", top_n)).otherwise(none))
     if shared is None:
         return alone
-    words = _ranked(_gathered(shared, [key], "text"), [key], top_n)
+    words = _gathered(shared, [key], "text", top_n)
     lists = words.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
     return alone.unionByName(flags(shared).join(lists, key, "left").withColumn("keywords", F.coalesce("keywords", none)))
 

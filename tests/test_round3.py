@@ -83,6 +83,27 @@ def test_words_of_texts_that_share_a_key_alone_are_shuffled(spark, monkeypatch,
     assert {(r.word, r.n) for r in enrich.word_counts(df, ["doc_id"]).where("doc_id is null").collect()} == {("gamma", 1), ("delta", 2)}
 
 
+@pytest.mark.parametrize("together", [1, 2, 64])
+def test_few_texts_of_a_key_meet_as_texts(spark, monkeypatch, together):
+    monkeypatch.setattr(enrich, "TEXTS_TOGETHER", together, raising=False)
+    rows = [
+        (1, "x", "alpha beta Alpha"), (1, "x", "beta gamma"), (1, "x", "gamma gamma delta"), (1, "y", "omega"), (1, None, "delta beta"), (1, None, "beta delta"),
+        (None, "x", None), (None, "x", "alpha"), (2, "x", None), (2, "x", ""), (3, "x", "sigma"),
+    ]
+    df = spark.createDataFrame(rows, "book int, part string, text string")
+    top = enrich.top_keywords(df, ["book", "part"], top_n=2)
+    if together == 64:
+        assert "Window" not in top._jdf.queryExecution().executedPlan().toString()  # a row for each word was shuffled twice before
+    assert sorted(map(tuple, top.collect()), key=str) == sorted(
+        [
+            (1, "x", "gamma", 3, 0, 1), (1, "x", "alpha", 2, 0, 2), (1, "y", "omega", 1, 0, 1), (1, None, "beta", 2, 0, 1), (1, None, "delta", 2, 0, 2),
+            (None, "x", "alpha", 1, 0, 1), (3, "x", "sigma", 1, 0, 1),
+        ], key=str,
+    )
+    counts = {(r.book, r.part, r.word): (r.n, r.first_pos) for r in enrich.word_counts(df, ["book", "part"]).collect()}
+    assert len(counts) == 9 and counts[1, "x", "beta"] == (2, 0) and counts[1, "x", "delta"] == (1, 2) and counts[1, None, "delta"] == (2, 0)
+
+
 def test_enriched_texts_travel_with_their_keywords_only(spark):
     df = spark.createDataFrame([(1, "beta alpha Beta"), (2, None)], "doc_id long, text string")
     made = enrich.enrich(df, "doc_id").select("doc_id", "keywords", "char_count")
