@@ -256,11 +256,11 @@ def _with_moved_examples(rows: DataFrame, order: str) -> DataFrame:
 
 def chunk_pages(
     pages: DataFrame, group: list[str], order: str = "page_num", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, skip_blank: bool = False,
-    atomic: bool = False, range_pages: int = RANGE_PAGES,
+    atomic: bool = False, range_pages: int = RANGE_PAGES, short_whole: bool = True,
 ) -> DataFrame:
     """Group columns, piece (0-based) and text of the chunks of each group's pages. Null texts count as empty.
 
-    A group that fits one chunk is one as it is. Others are cut into ranges of ``range_pages``
+    A group that fits one chunk is one as it is, unless ``short_whole`` is off: then it is folded as well. Others are cut into ranges of ``range_pages``
     pages, which are folded apart: first as a map from the length with which a chunk may be open on entry to
     that on exit, then, when a walk over these maps has told each range's true entry, into
     chunks. Only chunks that cross ranges, and those next to them, are put together by a shuffle.
@@ -276,11 +276,13 @@ def chunk_pages(
     ranged = materialise(rows.groupBy("_g", F.floor(F.col(order) / range_pages).alias("_r")).agg(
         F.array_sort(F.collect_list(F.struct(order, "text"))).alias("pages"), F.sum(F.length("text") + 2).alias("chars"),
     ).select("_g", "_r", F.col("pages.text").alias("texts"), "chars"))
-    total = F.greatest(F.lit(1), F.floor((F.sum("chars") - 2) / T.CHARS_PER_TOKEN))
-    short = ranged.groupBy("_g").agg((total <= max_tokens).alias("short")).where("short").drop("short")
-    whole = ranged.join(short, "_g").groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "texts"))).alias("rs"))
-    whole = whole.select("_g", F.lit(0).cast("long").alias("piece"), F.array_join(F.flatten(F.col("rs.texts")), "\n\n").alias("text"))
-    long = ranged.join(short, "_g", "left_anti")
+    long, wholes = ranged, []
+    if short_whole:
+        total = F.greatest(F.lit(1), F.floor((F.sum("chars") - 2) / T.CHARS_PER_TOKEN))
+        short = ranged.groupBy("_g").agg((total <= max_tokens).alias("short")).where("short").drop("short")
+        whole = ranged.join(short, "_g").groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "texts"))).alias("rs"))
+        wholes = [whole.select("_g", F.lit(0).cast("long").alias("piece"), F.array_join(F.flatten(F.col("rs.texts")), "\n\n").alias("text"))]
+        long = ranged.join(short, "_g", "left_anti")
 
     def exits(batches):
         for batch in batches:
@@ -327,17 +329,19 @@ def chunk_pages(
     stitched = edges.where("text is not null").drop("tail").join(before, ["_g", "piece"], "left")
     overlapped = F.concat(F.when(F.col("before").isNull(), "").otherwise(_tail(F.col("before"), overlap_tokens)), F.col("text")) if overlap_tokens else F.col("text")
     out = known.unionByName(stitched).select("_g", "piece", overlapped.alias("text"))
-    out = out.unionByName(whole.where(T.strip("text") != "") if skip_blank else whole)
+    for whole in wholes:
+        out = out.unionByName(whole.where(T.strip("text") != "") if skip_blank else whole)
     return out.select(*[F.col("_g")[c].alias(c) for c in group], F.col("piece").cast("int").alias("piece"), "text")
 
 
 def chunk_books(
-    pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False, atomic: bool = False, range_pages: int = RANGE_PAGES
+    pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False, atomic: bool = False, range_pages: int = RANGE_PAGES,
+    short_whole: bool = True,
 ) -> DataFrame:
     """Numbered chunks of books, by chapter where ``chapters`` has some and else over the whole book.
 
     All chunks are theory, unless ``typed``: then chunk_type() tells. ``atomic`` keeps examples
-    whole, as in chunk_pages(). A chapter's chunks are numbered on from the counts of those before it.
+    whole, and ``short_whole`` is as in chunk_pages(). A chapter's chunks are numbered on from the counts of those before it.
     """
     bounds = pages.groupBy("book").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
     whole = bounds.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
@@ -348,7 +352,7 @@ def chunk_books(
     else:
         ranges = whole
         placed = pages.where("book is not null and page_num is not null").withColumn("chapter_idx", F.lit(0))
-    made = chunk_pages(placed.select("book", "chapter_idx", "page_num", "text"), ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages)
+    made = chunk_pages(placed.select("book", "chapter_idx", "page_num", "text"), ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages, short_whole=short_whole)
     made = made.where((F.col("chapter_idx") == 0) | (F.col("piece") > 0) | (T.strip("text") != ""))
     upto = W.partitionBy("book").orderBy("chapter_idx").rowsBetween(W.unboundedPreceding, -1)  # a row a chapter
     counts = made.groupBy("book", "chapter_idx").agg(F.count("*").alias("_n"))
