@@ -54,7 +54,7 @@ def detect_chapters(pages: DataFrame, is_marker: Column | None = None) -> DataFr
         marked = marked.withColumn("chapter_title", F.when(is_marker, F.coalesce("chapter_title", F.lit("")))).withColumn(
             "chapter_no", F.when(is_marker, F.coalesce("chapter_no", F.lit("")))
         )
-    opens = F.col("chapter_title").isNotNull()
+    opens = F.col("chapter_title").isNotNull() if is_marker is None else F.coalesce(is_marker, F.lit(False))
     order = W.partitionBy("book").orderBy("page_num").rowsBetween(W.unboundedPreceding, 0)
     numbered = marked.withColumn("chapter_idx", F.count_if(opens).over(order))
     numbered = numbered.withColumn("sections", F.transform(
@@ -103,9 +103,24 @@ def check_sections(sections: DataFrame, max_chars: int = 20_000, least: int = 10
 
 
 def pages_in_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Interval join within a book, bounds included; pages outside all ranges drop out, overlaps repeat."""
-    r = ranges.withColumnRenamed("book", "_book").withColumn("page_end", F.coalesce("page_end", "page_start"))
-    return pages.join(r, (F.col("book") == F.col("_book")) & F.col("page_num").between(F.col("page_start"), F.col("page_end"))).drop("_book")
+    """Interval join within a book, bounds included; pages outside all ranges drop out, overlaps repeat.
+
+    Pages and ranges meet in bins of BIN_PAGES page numbers, so a page is compared with the ranges of its bin, not
+    with all of its book. Ranges longer than BINS bins go to bins BINS times as wide, and so on; pages
+    are repeated only for the widths that some range has.
+    """
+    r = ranges.withColumnRenamed("book", "_book").withColumn("page_end", F.coalesce("page_end", "page_start")).where("page_end >= page_start")
+    wide = [BIN_PAGES * BINS**k for k in range(9)]
+    longer = [(F.col("page_end") - F.col("page_start") >= F.lit(BINS * w)).cast("int") for w in wide[:-1]]
+    r = materialise(r.withColumn("_level", sum(longer, F.lit(0))))
+    levels = [x[0] for x in r.select("_level").distinct().collect()] or [0]  # nine at most
+    width = F.element_at(F.array(*map(F.lit, wide)), F.col("_level") + 1)
+    spread = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("page_start") / width), F.floor(F.col("page_end") / width))))
+    bins = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("page_num") / wide[k]).alias("bin")) for k in levels])
+    met = pages.withColumn("_at", F.explode(bins)).join(
+        spread, (F.col("book") == F.col("_book")) & (F.col("_at.k") == F.col("_level")) & (F.col("_at.bin") == F.col("_bin")) & F.col("page_num").between(F.col("page_start"), F.col("page_end"))
+    )
+    return met.drop("_book", "_at", "_level", "_bin")
 
 
 def chunk_column(c: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> Column:
@@ -147,6 +162,8 @@ CONTINUES = r"(?i)^\s*(?:(?:solution|answer|hence|therefore|thus)\b|সমাধ
 _EXAMPLE, _CONTINUES = regex.compile(EXAMPLE), regex.compile(CONTINUES)
 #: Pages of a group that are folded together.
 RANGE_PAGES = 128
+#: Page numbers of the narrowest bins in which pages meet ranges, and bins that a range takes, but for one, at most.
+BIN_PAGES, BINS = 128, 64
 
 
 def _tokens(s: str) -> int:
@@ -251,12 +268,12 @@ def _with_moved_examples(rows: DataFrame, order: str) -> DataFrame:
     text = lambda ps: F.array_join(ps, "\n\n")
     kept = counted.join(homes, ["_g", order], "left").withColumn("text", F.when(F.col("_home").isNull(), F.col("text")).otherwise(text(F.slice(parts, F.col("_lead") + 1, F.greatest(F.size(parts), F.lit(1))))))
     joined = kept.join(taken, ["_g", order], "left")
-    return joined.select("_g", order, F.when(F.col("more").isNull(), F.col("text")).otherwise(F.concat(F.col("text"), F.lit("\n\n"), text(F.flatten(F.col("more.ps"))))).alias("text"))
+    return joined.select("_g", "_one", order, F.when(F.col("more").isNull(), F.col("text")).otherwise(F.concat(F.col("text"), F.lit("\n\n"), text(F.flatten(F.col("more.ps"))))).alias("text"))
 
 
 def chunk_pages(
     pages: DataFrame, group: list[str], order: str = "page_num", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, skip_blank: bool = False,
-    atomic: bool = False, range_pages: int = RANGE_PAGES, short_whole: bool = True,
+    atomic: bool = False, range_pages: int = RANGE_PAGES, short_whole: bool = True, in_one: Column | None = None,
 ) -> DataFrame:
     """Group columns, piece (0-based) and text of the chunks of each group's pages. Null texts count as empty.
 
@@ -264,25 +281,29 @@ def chunk_pages(
     pages, which are folded apart: first as a map from the length with which a chunk may be open on entry to
     that on exit, then, when a walk over these maps has told each range's true entry, into
     chunks. Only chunks that cross ranges, and those next to them, are put together by a shuffle.
-    No task holds a group. Pages of one number stay together.
+    No task holds a group. Pages of one number stay together. ``in_one`` is true for all pages of a group,
+    or for none: such a group has to lie in one range, which is then folded at once.
 
     If ``atomic``, worked examples and exercises with their solutions (EXAMPLE, CONTINUES) are
     not cut unless they are longer than a chunk, and then they share no chunk with other text.
     """
     bounded_batches(pages.sparkSession, size="4m")
-    rows = pages.select(F.struct(*group).alias("_g"), order, F.coalesce("text", F.lit("")).alias("text"))
+    one = F.lit(False) if in_one is None else F.coalesce(in_one, F.lit(False))
+    rows = pages.select(F.struct(*group).alias("_g"), one.alias("_one"), order, F.coalesce("text", F.lit("")).alias("text"))
     if atomic:
         rows = _with_moved_examples(rows, order)
-    ranged = materialise(rows.groupBy("_g", F.floor(F.col(order) / range_pages).alias("_r")).agg(
+    ranged = materialise(rows.groupBy("_g", F.floor(F.col(order) / range_pages).alias("_r"), "_one").agg(
         F.array_sort(F.collect_list(F.struct(order, "text"))).alias("pages"), F.sum(F.length("text") + 2).alias("chars"),
-    ).select("_g", "_r", F.col("pages.text").alias("texts"), "chars"))
-    long, wholes = ranged, []
+    ).select("_g", "_r", F.col("pages.text").alias("texts"), "chars", "_one"))
+    alone, long = ranged.where("_one"), ranged.where("not _one")
+    wholes = []
     if short_whole:
-        total = F.greatest(F.lit(1), F.floor((F.sum("chars") - 2) / T.CHARS_PER_TOKEN))
-        short = ranged.groupBy("_g").agg((total <= max_tokens).alias("short")).where("short").drop("short")
-        whole = ranged.join(short, "_g").groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "texts"))).alias("rs"))
-        wholes = [whole.select("_g", F.lit(0).cast("long").alias("piece"), F.array_join(F.flatten(F.col("rs.texts")), "\n\n").alias("text"))]
-        long = ranged.join(short, "_g", "left_anti")
+        total = lambda chars: F.greatest(F.lit(1), F.floor((chars - 2) / T.CHARS_PER_TOKEN))
+        fits = total(F.col("chars")) <= max_tokens
+        short = long.groupBy("_g").agg((total(F.sum("chars")) <= max_tokens).alias("short")).where("short").drop("short")
+        whole = long.join(short, "_g").groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "texts"))).alias("rs")).select("_g", F.flatten(F.col("rs.texts")).alias("texts"))
+        wholes = [x.select("_g", F.lit(0).cast("long").alias("piece"), F.array_join("texts", "\n\n").alias("text")) for x in (whole, alone.where(fits))]
+        alone, long = alone.where(~fits), long.join(short, "_g", "left_anti")
 
     def exits(batches):
         for batch in batches:
@@ -299,24 +320,26 @@ def chunk_pages(
     def fold(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                texts, entry, number = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                texts, entry, number, one = (batch.column(c)[i].as_py() for c in (2, 3, 4, 5))
                 out, before = [], None
                 for n, foreign, text, ends in _folded(texts, max_tokens, atomic, entry, number):
-                    if foreign or not ends:
+                    if foreign or not (ends or one):
                         out.append((n, "part", text, None))
                         if before is not None:
                             out.append((n - 1, "tail", before[-keep:], None))
                     else:
                         out.append((n, "chunk", text, None if before is None else before[-keep:]))
                     before = None if foreign else text
-                if before is not None and ends:
+                if before is not None and ends and not one:
                     out.append((n, "tail", before[-keep:], None))
                 at = pa.array([i] * len(out), pa.int32())
                 columns = [pa.array([o[c] for o in out], k) for c, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["_g", "_r", "piece", "kind", "text", "before"])
 
     types = StructType([*head, StructField("piece", LongType()), *[StructField(c, StringType()) for c in ("kind", "text", "before")]])
-    made = materialise(long.join(_starts(maps), ["_g", "_r"]).select("_g", "_r", "texts", "entry", "number").mapInArrow(fold, types))
+    first = alone.withColumn("entry", F.lit(0)).withColumn("number", F.lit(0).cast("long"))
+    known_start = long.join(_starts(maps), ["_g", "_r"]).unionByName(first)
+    made = materialise(known_start.select("_g", "_r", "texts", "entry", "number", "_one").mapInArrow(fold, types))
     # A chunk is known with its predecessor, or is put together, or follows one that another range knows.
     known = made.where("kind = 'chunk' and (before is not null or piece = 0)").select("_g", "piece", "text", "before")
     edges = made.where("kind <> 'chunk' or (before is null and piece > 0)").groupBy("_g", "piece").agg(
@@ -347,12 +370,15 @@ def chunk_books(
     whole = bounds.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
     if chapters is not None:
         found = chapters.where("not whole").select("book", "page_start", "page_end", "chapter_idx", F.col("chapter_title").alias("title"))
+        found = materialise(found if title_from_chapter else found.withColumn("title", F.lit(None).cast("string")))
         ranges = found.unionByName(whole.join(found.select("book").distinct(), "book", "left_anti"))
         placed = pages_in_ranges(pages.select("book", "page_num", "text"), ranges.select("book", "chapter_idx", "page_start", "page_end"))
     else:
         ranges = whole
         placed = pages.where("book is not null and page_num is not null").withColumn("chapter_idx", F.lit(0))
-    made = chunk_pages(placed.select("book", "chapter_idx", "page_num", "text"), ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages, short_whole=short_whole)
+    of_range = lambda c: F.floor(F.col(c) / range_pages)
+    in_one = None if chapters is None else of_range("page_start") == of_range("page_end")
+    made = chunk_pages(placed, ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages, short_whole=short_whole, in_one=in_one)
     made = made.where((F.col("chapter_idx") == 0) | (F.col("piece") > 0) | (T.strip("text") != ""))
     upto = W.partitionBy("book").orderBy("chapter_idx").rowsBetween(W.unboundedPreceding, -1)  # a row a chapter
     counts = made.groupBy("book", "chapter_idx").agg(F.count("*").alias("_n"))

@@ -3,7 +3,10 @@
 import random
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from lectern.operators import chunks
 from lectern.plans import catalog
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -53,3 +56,53 @@ def test_sessions_longer_than_a_range(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, sentence(rng, rng.choice((1, 20, 700))), "e" if i % 400 < 300 else "f" if i % 2 else "g", "s") for i in range(1200)]
     same_as_sql(spark, tmp_path, rows)
+
+
+def test_groups_in_one_range_are_folded_at_once(spark):
+    """The same chunks with and without the note that a group lies in one range."""
+    rng = random.Random(3)
+    rows = [(g, p, " ".join(sentence(rng, rng.randint(1, 30)) for _ in range(rng.choice((0, 1, 40))))) for g in range(30) for p in range(8 * g, 8 * g + rng.randint(1, 8))]
+    pages = spark.createDataFrame(rows, "g int, page_num int, text string")
+    for kept in (True, False):
+        apart, at_once = (chunks.chunk_pages(pages, ["g"], max_tokens=60, overlap_tokens=10, range_pages=8, short_whole=kept, in_one=x).collect() for x in (None, F.lit(True)))
+        assert sorted(map(tuple, apart)) == sorted(map(tuple, at_once))
+
+
+def ranges_and_pages(spark):
+    rng = random.Random(4)
+    starts = [rng.randint(-500, 30_000) for _ in range(300)]
+    ranges = [(b, s, s + int(10 ** rng.uniform(0, 4.5)) if s % 9 else None, i) for i, s in enumerate(starts) for b in "ab"]
+    ranges += [("a", -(10**12), 10**12, 1000), ("a", 5, 4, 1001), ("b", None, 7, 1002), (None, 1, 9, 1003), ("c", 0, 2**50, 1004)]
+    pages = [(b, p) for b in "abd" for p in range(-600, 40_000, 7)] + [("a", 10**12), ("a", None), (None, 3), ("c", 2**50), ("c", 2**50 + 1)]
+    return spark.createDataFrame(ranges, "book string, page_start long, page_end long, idx int"), spark.createDataFrame(pages, "book string, page_num long")
+
+
+def test_pages_meet_all_ranges_that_hold_them(spark):
+    ranges, pages = ranges_and_pages(spark)
+    want = pages.join(
+        ranges.withColumnRenamed("book", "b"), F.col("book").eqNullSafe(F.col("b")) & F.col("book").isNotNull() & F.col("page_num").between(F.col("page_start"), F.coalesce("page_end", "page_start"))
+    )
+    made = chunks.pages_in_ranges(pages, ranges)
+    assert made.columns == ["book", "page_num", "page_start", "page_end", "idx"]
+    assert sorted(map(tuple, made.select("book", "page_num", "idx").collect())) == sorted(map(tuple, want.select("book", "page_num", "idx").collect()))
+
+
+def test_no_ranges_hold_no_pages(spark):
+    ranges, pages = ranges_and_pages(spark)
+    assert chunks.pages_in_ranges(pages, ranges.where("idx < 0")).count() == 0
+
+
+@pytest.mark.parametrize("n", [2_000, 8_000])
+def test_pages_are_compared_with_ranges_near_them_only(spark, n):
+    """A range a page: those that share the keys of the join with a page are bounded, however long the book."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        book = spark.range(n).select(F.lit("b").alias("book"), F.col("id").alias("page_num"))
+        ranges = book.select("book", F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"))
+        plan = chunks.pages_in_ranges(book, ranges)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    keys = next(x for x in plan.splitlines() if "Join" in x)
+    assert "_bin" in keys and "_level" in keys
