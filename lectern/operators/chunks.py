@@ -319,6 +319,7 @@ def chunk_pages(
 
     def fold(batches):
         for batch in batches:
+            rows, at, held = [], [], 0
             for i in range(batch.num_rows):
                 texts, entry, number, one = (batch.column(c)[i].as_py() for c in (2, 3, 4, 5))
                 out, before = [], None
@@ -332,9 +333,12 @@ def chunk_pages(
                     before = None if foreign else text
                 if before is not None and ends and not one:
                     out.append((n, "tail", before[-keep:], None))
-                at = pa.array([i] * len(out), pa.int32())
-                columns = [pa.array([o[c] for o in out], k) for c, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["_g", "_r", "piece", "kind", "text", "before"])
+                rows, at, held = rows + out, at + [i] * len(out), held + sum(len(o[2]) for o in out)
+                if held >= 2**20 or i == batch.num_rows - 1:  # short ranges share a batch
+                    columns = [pa.array([o[c] for o in rows], k) for c, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
+                    heads = [batch.column(c).take(pa.array(at, pa.int32())) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*heads, *columns], names=["_g", "_r", "piece", "kind", "text", "before"])
+                    rows, at, held = [], [], 0
 
     types = StructType([*head, StructField("piece", LongType()), *[StructField(c, StringType()) for c in ("kind", "text", "before")]])
     first = alone.withColumn("entry", F.lit(0)).withColumn("number", F.lit(0).cast("long"))
