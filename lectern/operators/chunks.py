@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lectern.functions import text as T
-from lectern.session import bounded_batches, materialise
+from lectern.session import bounded_batches, discard, materialise
 
 MAX_TOKENS = 500
 OVERLAP_TOKENS = 100
@@ -344,6 +344,8 @@ def chunk_pages(
     first = alone.withColumn("entry", F.lit(0)).withColumn("number", F.lit(0).cast("long"))
     known_start = long.join(_starts(maps), ["_g", "_r"]).unionByName(first)
     made = materialise(known_start.select("_g", "_r", "texts", "entry", "number", "_one").mapInArrow(fold, types))
+    if not wholes:
+        discard(ranged)
     # A chunk is known with its predecessor, or is put together, or follows one that another range knows.
     known = made.where("kind = 'chunk' and (before is not null or piece = 0)").select("_g", "piece", "text", "before")
     edges = made.where("kind <> 'chunk' or (before is null and piece > 0)").groupBy("_g", "piece").agg(
@@ -361,6 +363,15 @@ def chunk_pages(
     return out.select(*[F.col("_g")[c].alias(c) for c in group], F.col("piece").cast("int").alias("piece"), "text")
 
 
+def book_ranges(pages: DataFrame, chapters: DataFrame, titles: bool = True) -> DataFrame:
+    """book, page_start, page_end, chapter_idx and title of the chapters of ``pages``, or of a whole book, as chapter 0, that has none."""
+    bounds = pages.groupBy("book").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
+    whole = bounds.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
+    title = F.col("chapter_title") if titles else F.lit(None).cast("string")
+    found = materialise(chapters.where("not whole").select("book", "page_start", "page_end", "chapter_idx", title.alias("title")))
+    return materialise(found.unionByName(whole.join(found.select("book").distinct(), "book", "left_anti")))
+
+
 def chunk_books(
     pages: DataFrame, chapters: DataFrame | None = None, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False, atomic: bool = False, range_pages: int = RANGE_PAGES,
     short_whole: bool = True,
@@ -370,18 +381,23 @@ def chunk_books(
     All chunks are theory, unless ``typed``: then chunk_type() tells. ``atomic`` keeps examples
     whole, and ``short_whole`` is as in chunk_pages(). A chapter's chunks are numbered on from the counts of those before it.
     """
-    bounds = pages.groupBy("book").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
-    whole = bounds.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
     if chapters is not None:
-        found = chapters.where("not whole").select("book", "page_start", "page_end", "chapter_idx", F.col("chapter_title").alias("title"))
-        found = materialise(found if title_from_chapter else found.withColumn("title", F.lit(None).cast("string")))
-        ranges = found.unionByName(whole.join(found.select("book").distinct(), "book", "left_anti"))
+        ranges = book_ranges(pages, chapters, title_from_chapter)
         placed = pages_in_ranges(pages.select("book", "page_num", "text"), ranges.select("book", "chapter_idx", "page_start", "page_end"))
     else:
-        ranges = whole
-        placed = pages.where("book is not null and page_num is not null").withColumn("chapter_idx", F.lit(0))
+        ranges = pages.groupBy("book").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
+        ranges = ranges.withColumn("chapter_idx", F.lit(0)).withColumn("title", F.lit(None).cast("string"))
+        placed = pages.select("book", "page_num", "text").where("book is not null and page_num is not null").withColumn("chapter_idx", F.lit(0))
+    return chunk_placed(placed, ranges, max_tokens, title_from_chapter, typed, atomic, range_pages, short_whole)
+
+
+def chunk_placed(
+    placed: DataFrame, ranges: DataFrame, max_tokens: int = MAX_TOKENS, title_from_chapter: bool = False, typed: bool = False, atomic: bool = False, range_pages: int = RANGE_PAGES,
+    short_whole: bool = True,
+) -> DataFrame:
+    """chunk_books() of pages that pages_in_ranges() has placed in the ranges of book_ranges()."""
     of_range = lambda c: F.floor(F.col(c) / range_pages)
-    in_one = None if chapters is None else of_range("page_start") == of_range("page_end")
+    in_one = of_range("page_start") == of_range("page_end") if "page_start" in placed.columns else None
     made = chunk_pages(placed, ["book", "chapter_idx"], "page_num", max_tokens, atomic=atomic, range_pages=range_pages, short_whole=short_whole, in_one=in_one)
     made = made.where((F.col("chapter_idx") == 0) | (F.col("piece") > 0) | (T.strip("text") != ""))
     upto = W.partitionBy("book").orderBy("chapter_idx").rowsBetween(W.unboundedPreceding, -1)  # a row a chapter
